@@ -66,8 +66,14 @@ def id_array(content: Column | str) -> Column:
 
 
 def strict_json(text: Column | str) -> Column:
-    """Parsed JSON, null for malformed text, duplicate keys or non-finite numbers."""
-    return F.try_parse_json(col(text))
+    """Parsed JSON, null for malformed text, duplicate keys or non-finite numbers.
+
+    The parser alone ignores what follows a complete value. A text that is exactly one value parses
+    both as the only item of a list and as the only field of an object.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), col(text), F.lit("]"))), "$", "array<variant>")
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), col(text), F.lit("}")))
+    return F.when((F.size(listed) == 1) & named.isNotNull(), F.get(listed, F.lit(0)))
 
 
 _TAGS = {"boolean": "b", "tinyint": "i", "smallint": "i", "int": "i", "bigint": "i",

@@ -7,6 +7,7 @@ import time
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -29,6 +30,7 @@ def rows_of(names, rows):
 
 
 def main(folder: str, only: list[str]) -> int:
+    SparkSession.builder.config("spark.ui.showConsoleProgress", "false")
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
