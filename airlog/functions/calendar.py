@@ -123,18 +123,26 @@ def on_holiday(ts: Column | str, name: Column | str, holidays: Mapping[str, str]
     return F.coalesce(test, F.lit(False))
 
 
+# Days of each month in a year that is not a leap year.
+_MONTH_LENGTHS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+
+
+def _month_day(month: Column, day: Column) -> Column:
+    """month * 100 + day, null for a day the month never has. 29 February is no valid rule date."""
+    lengths = F.array(*[F.lit(n) for n in _MONTH_LENGTHS])
+    return F.when((day >= 1) & (day <= F.get(lengths, month - 1)), month * 100 + day)
+
+
 def range_bounds(text: Column | str) -> Column:
-    """Struct (m1, d1, m2, d2) of 'December 1 - December 25'; null when not a valid range."""
+    """Struct (lo, hi) as month * 100 + day of 'December 1 - December 25'; null when not a valid range."""
     t = F.lit(text) if isinstance(text, str) else text
 
     def part(i: int) -> Column:
         return F.nullif(F.regexp_extract(t, RANGE_PATTERN, i), F.lit(""))
 
-    m1, d1 = month_number(part(1)), part(2).cast("int")
-    m2, d2 = month_number(part(3)), part(4).cast("int")
-    # 1900 is no leap year: 29 February is never a valid bound
-    ok = _try_date(F.lit(1900), m1, d1).isNotNull() & _try_date(F.lit(1900), m2, d2).isNotNull()
-    return F.when(ok, F.struct(m1.alias("m1"), d1.alias("d1"), m2.alias("m2"), d2.alias("d2")))
+    lo = _month_day(month_number(part(1)), part(2).cast("int"))
+    hi = _month_day(month_number(part(3)), part(4).cast("int"))
+    return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
 
 
 def in_month_day_range(ts: Column | str, text: Column | str, inclusive: bool = False) -> Column:
@@ -144,7 +152,7 @@ def in_month_day_range(ts: Column | str, text: Column | str, inclusive: bool = F
     outside. inclusive=True compares calendar days and keeps the whole last day.
     """
     when, r = col(ts), range_bounds(text)
-    first, last = r["m1"] * 100 + r["d1"], r["m2"] * 100 + r["d2"]
+    first, last = r["lo"], r["hi"]
     today = F.month(when) * 100 + F.dayofmonth(when)
     after = today >= first
     if inclusive:
@@ -155,23 +163,31 @@ def in_month_day_range(ts: Column | str, text: Column | str, inclusive: bool = F
     return F.coalesce(F.when(first <= last, after & before).otherwise(after | before), F.lit(False))
 
 
-def matches_date_key(ts: Column | str, key: Column) -> Column:
-    """Calendar keys 'April 23' and 'December 24 - January 2', both ends included."""
-    when = col(ts)
+def key_bounds(key: Column) -> Column:
+    """Struct (lo, hi) of a calendar key, 'April 23' or 'December 24 - January 2'; null when invalid."""
     pattern = rf"(?i)^\s*({_MONTH_NAMES})\s+([0-9]{{1,2}})\s*$"
     sides = F.split(key, " - ")
 
     def value(i: int) -> Column:
         side = F.get(sides, F.lit(i))
         month = month_number(F.nullif(F.regexp_extract(side, pattern, 1), F.lit("")))
-        day = F.nullif(F.regexp_extract(side, pattern, 2), F.lit("")).cast("int")
-        return F.when(_try_date(F.lit(1900), month, day).isNotNull(), month * 100 + day)
+        return _month_day(month, F.nullif(F.regexp_extract(side, pattern, 2), F.lit("")).cast("int"))
 
+    lo = value(0)
+    hi = F.when(F.size(sides) == 1, lo).when(F.size(sides) == 2, value(1))
+    return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+def in_key_bounds(ts: Column | str, bounds: Column) -> Column:
+    """Whether a day lies in calendar-key bounds, both ends included; a range may wrap the year."""
+    when = col(ts)
     today = F.month(when) * 100 + F.dayofmonth(when)
-    lo, hi = value(0), value(1)
-    span = F.when(lo <= hi, (today >= lo) & (today <= hi)).otherwise((today >= lo) | (today <= hi))
-    span = F.when(lo.isNotNull() & hi.isNotNull(), span)
-    return F.coalesce(F.when(F.size(sides) == 1, today == lo).when(F.size(sides) == 2, span), F.lit(False))
+    after, before = today >= bounds["lo"], today <= bounds["hi"]
+    return F.coalesce(F.when(bounds["lo"] <= bounds["hi"], after & before).otherwise(after | before), F.lit(False))
+
+
+def matches_date_key(ts: Column | str, key: Column) -> Column:
+    return in_key_bounds(ts, key_bounds(key))
 
 
 def broadcast_week(day: Column | str) -> Column:

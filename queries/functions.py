@@ -230,11 +230,13 @@ def _(t):
 
 
 @query("bump_positions", """
-    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'pre' WHEN 1 THEN 'post' ELSE 'fill' END AS position FROM part""")
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'pre' WHEN 1 THEN 'post' ELSE 'fill' END AS position,
+           p_type || CASE p_partkey % 3 WHEN 0 THEN '-pre' WHEN 1 THEN '-post' ELSE '' END AS pool FROM part""")
 def _(t):
     names = F.get(F.array(*[F.lit(x) for x in ("pre", "post", "friday")]), (F.col("p_partkey") % 3).cast("int"))
     found = hints.parse_hints(names, bumps=True)
-    return t.read("part").select("p_partkey", hints.bump_position(found).alias("position"))
+    return t.read("part").select(
+        "p_partkey", hints.bump_position(found).alias("position"), hints.bump_tag("p_type", found).alias("pool"))
 
 
 @query("paths_under_directory", """

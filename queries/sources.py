@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airlog.operators import joins as jn
+from airlog.operators.catalog import show_rollup
 from airlog.sources import configs as cf
 from airlog.sources import guide, manifests, sidecars, tables
 from queries.registry import query
+from queries.scratch import scratch
 
 
 def _raw_blocks(t):
@@ -276,3 +278,49 @@ def _(t):
       || strftime(end_time, '%Y-%m-%dT%H:%M:%S.%f') || '"}' AS listing FROM blocks""")
 def _(t):
     return guide.guide_listings(t.blocks).select("station", "id", "listing")
+
+
+# ---- sinks, written to the shared checkpoint folder and read back --------------------------
+
+
+@query("replace_station", """
+    SELECT id, station, 'old' AS title FROM blocks WHERE station <> 'view' AND id % 2 = 0
+    UNION ALL SELECT id, station, 'new' FROM blocks WHERE station = 'view' AND id % 2 = 1""")
+def _(t):
+    folder = scratch(t) + "/schedule"
+    tables.replace_station(t.blocks.filter("id % 2 = 0").select("id", "station", F.lit("old").alias("title")), folder)
+    tables.replace_station(t.blocks.filter("station = 'view' AND id % 2 = 1").select("id", "station", F.lit("new").alias("title")), folder)
+    return t.spark.read.parquet(folder).select("id", "station", "title")
+
+
+@query("append_blocks", "SELECT id, station, start_time FROM blocks UNION ALL SELECT id, station, start_time FROM blocks WHERE id % 3 = 0")
+def _(t):
+    folder, rows = scratch(t) + "/schedule", t.blocks.select("id", "station", "start_time")
+    tables.append_blocks(rows, folder)
+    tables.append_blocks(rows.filter("id % 3 = 0"), folder)
+    return t.spark.read.parquet(folder).select("id", "station", "start_time")
+
+
+@query("latest_snapshot", "SELECT path, size, mtime_ns FROM manifest_after")
+def _(t):
+    folder = scratch(t) + "/inventory"
+    manifests.save_snapshot(t.manifest_before, folder, "20240101T000000")
+    manifests.save_snapshot(t.manifest_after, folder, "20240201T000000")
+    return manifests.latest_snapshot(t.spark, folder).select("path", "size", "mtime_ns")
+
+
+@query("export_guide", """
+    SELECT station, id, '{"title":"' || title || '","start_time":"' || strftime(start_time, '%Y-%m-%dT%H:%M:%S.%f') || '","end_time":"'
+      || strftime(end_time, '%Y-%m-%dT%H:%M:%S.%f') || '"}' AS listing FROM blocks""")
+def _(t):
+    folder = scratch(t)
+    guide.export_guide(t.blocks, t.blocks.select("station").distinct(), folder)
+    return t.spark.read.json(folder + "/schedules").select("station", "id", "listing")
+
+
+@query("scan_manifest", "SELECT DISTINCT 'source=' || source AS show FROM documents")
+def _(t):
+    folder = scratch(t) + "/library"
+    t.read("documents").select("source", "text").write.partitionBy("source").text(folder)
+    files, _skipped = manifests.scan_manifest(t.spark, folder, extensions=("txt",))
+    return show_rollup(files).select("show")
