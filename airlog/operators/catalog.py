@@ -122,7 +122,9 @@ def apply_meta_hints(
     item = paths.parts("path")
     above = F.transform(F.sequence(F.lit(1), F.size(item)), lambda n: F.array_join(F.slice(item, F.lit(1), n), "/"))
     ids = list(per) + ["id"]
-    hits = candidates.select(*ids, when, F.explode(above).alias("_dir")).join(keyed, "_dir").withColumn(
+    # rules are found once per path, however many requests ask for it
+    ruled = candidates.select("path").distinct().select("path", F.explode(above).alias("_dir")).join(keyed, "_dir")
+    hits = candidates.select(*ids, when, "path").join(ruled, "path").withColumn(
         "_pass", rule_passes(when, holidays, parts))
     failed_at = F.min(F.when(~F.col("_pass"), F.col("rule_order")))
     exclusive_at = F.min(F.when(F.col("_pass") & F.col("_exclusive"), F.col("rule_order")))

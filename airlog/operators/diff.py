@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from airlog.functions.paths import show_of
 from airlog.functions.values import canonical
 from airlog.operators.intervals import _ntz, clipped, components
-from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running
+from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running, is_large
 
 
 # ---- manifests -----------------------------------------------------------------------------
@@ -81,9 +81,11 @@ class ScheduleDiff:
 
     def __init__(self, base: DataFrame, proposed: DataFrame, windows: DataFrame, fields: Sequence[str],
                  rows_per_task: int = ROWS_PER_TASK):
-        self.fields, self.windows, self.rows_per_task = list(fields), windows, rows_per_task
+        self.fields, self.windows = list(fields), windows
+        # both sides together bound every scan below
+        self.large = is_large(base.select("station").unionAll(proposed.select("station")), ["station"], rows_per_task)
         labelled = components(
-            _sides(base, proposed, windows, fields), ["station"], ["side", *fields, "id"], rows_per_task)
+            _sides(base, proposed, windows, fields), ["station"], ["side", *fields, "id"], large=self.large)
         self._interval = ["station", "component_us", "start_us", "end_us"]
         self.meanings = labelled.groupBy(*self._interval, *self.fields).agg(
             F.count_if(F.col("side") == 0).alias("b"), F.count_if(F.col("side") == 1).alias("p"))
@@ -121,7 +123,7 @@ class ScheduleDiff:
         left = self.meanings.filter("b <> p").join(matched, ["station", "component_us"], "left_semi")
         sized = left.withColumns({"side": (F.col("p") > F.col("b")).cast("int"), "n": F.abs(F.col("b") - F.col("p"))})
         placed = OrderedScan(
-            sized, ["station", "start_us", "end_us", "side"], self.fields, self.rows_per_task
+            sized, ["station", "start_us", "end_us", "side"], self.fields, large=self.large
         ).running(Running("upto", "sum", F.col("n"))).result()
         each = placed.withColumn("k", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))))
         keys = ["station", "start_us", "end_us", "k"]

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airlog.functions.values import micros, seconds_interval, with_micros
-from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running, numbered
+from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running, is_large, numbered
 
 
 
@@ -64,7 +64,8 @@ def coverage_spans(
     cut = clipped(blocks, windows).select(
         "station", "id", "start_us", "end_us", "from_us", "to_us", "seam_us", "horizon_us"
     )
-    scan = OrderedScan(cut, ["station"], ["start_us", "end_us", "id"], rows_per_task)
+    large = is_large(blocks, ["station"], rows_per_task)
+    scan = OrderedScan(cut, ["station"], ["start_us", "end_us", "id"], large=large)
     seen = scan.running(Running("before", "max", F.col("to_us"), inclusive=False)).result()
     covered_to = F.coalesce("before", "seam_us")
     overlap_end = F.least("before", "to_us") if overlap_cap else F.col("before")
@@ -123,9 +124,10 @@ def components(
     keys: Sequence[str] = ("station",),
     tie: Sequence[str] = ("id",),
     rows_per_task: int = ROWS_PER_TASK,
+    large: bool | None = None,
 ) -> DataFrame:
     """Label maximal runs of overlapping blocks with the start of the run (component_us)."""
-    scan = OrderedScan(with_micros(blocks), list(keys), ["start_us", "end_us", *tie], rows_per_task)
+    scan = OrderedScan(with_micros(blocks), list(keys), ["start_us", "end_us", *tie], rows_per_task, large)
     scan.running(Running("_reach", "max", F.col("end_us"), inclusive=False))
     opens = F.col("_reach").isNull() | (F.col("start_us") >= F.col("_reach"))
     scan.running(Running("component_us", "max", F.when(opens, F.col("start_us"))))
@@ -192,7 +194,8 @@ def exclude_overlapping(
     probes = cands.filter(F.col(key).isNotNull()).withColumns({"_at": F.col("end_us"), "_side": F.lit(0)})
     both = probes.unionByName(marks.groupBy(key, "_at", "_side").agg(F.max("_busy_to").alias("_busy_to")),
                               allowMissingColumns=True)
-    scanned = OrderedScan(both, [key], ["_at", "_side", *tie], rows_per_task).running(
+    large = is_large(candidates.select(key).unionAll(busy.select(key)).filter(F.col(key).isNotNull()), [key], rows_per_task)
+    scanned = OrderedScan(both, [key], ["_at", "_side", *tie], large=large).running(
         Running("_reach", "max", F.col("_busy_to"), inclusive=False)
     ).result()
     free = scanned.filter(

@@ -58,9 +58,10 @@ class OrderedScan:
         keys: Sequence[str],
         order: Sequence[str],
         rows_per_task: int = ROWS_PER_TASK,
+        large: bool | None = None,
     ):
         self.keys, self.order = list(keys), list(order)
-        self.chunked = _largest_key(df, self.keys) > rows_per_task
+        self.chunked = is_large(df, self.keys, rows_per_task) if large is None else large
         self.df = _cut(df, self.keys, self.order) if self.chunked else df
 
     def _window(self, inclusive: bool):
@@ -111,15 +112,20 @@ class OrderedScan:
         return self.df.drop(_CHUNK) if self.chunked else self.df
 
 
-def _largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the fullest key: one number, from a count that combines before it shuffles."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
-    return counted.agg(F.max("n")).first()[0] or 0
+def is_large(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> bool:
+    """Whether some key has more rows than a task should hold.
+
+    One number comes back, from a count that combines before it shuffles and reads only the keys. An
+    operator of several scans asks once, for the input that bounds them all, and passes the answer on
+    as `large`.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return (counted.agg(F.max("n")).first()[0] or 0) > rows_per_task
 
 
 def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Number contiguous chunks of the total order, fixed on storage so that retries agree."""
-    ranged = df.repartitionByRange(*keys, *order) if keys else df.repartitionByRange(*order)
+    ranged = df.repartitionByRange(*keys, *order)
     return durable(ranged.withColumn(_CHUNK, F.spark_partition_id()))
 
 
@@ -129,12 +135,14 @@ def running(
     order: Sequence[str],
     *wanted: Running,
     rows_per_task: int = ROWS_PER_TASK,
+    large: bool | None = None,
 ) -> DataFrame:
-    return OrderedScan(df, keys, order, rows_per_task).running(*wanted).result()
+    return OrderedScan(df, keys, order, rows_per_task, large).running(*wanted).result()
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows_per_task: int = ROWS_PER_TASK,
+    large: bool | None = None,
 ) -> DataFrame:
     """1-based position of each row in its key."""
-    return running(df, keys, order, Running(name, "count", F.lit(1)), rows_per_task=rows_per_task)
+    return running(df, keys, order, Running(name, "count", F.lit(1)), rows_per_task=rows_per_task, large=large)

@@ -16,10 +16,10 @@ FIELDS = ["title", "content_id"]
 _DIFF = """
     WITH sides AS (
       SELECT b.station, b.id, epoch_us(start_time) AS start_us, epoch_us(end_time) AS end_us, title, content_id, 0 AS side
-      FROM baseline b JOIN windows w ON w.station = b.station WHERE start_time < w.horizon AND end_time > w.seam
+      FROM baseline b JOIN windows w ON w.station = b.station WHERE start_time < w.horizon AND end_time > w.seam AND end_time > start_time
       UNION ALL
       SELECT b.station, b.id, epoch_us(start_time), epoch_us(end_time), title, content_id, 1
-      FROM proposed b JOIN windows w ON w.station = b.station WHERE start_time < w.horizon AND end_time > w.seam),
+      FROM proposed b JOIN windows w ON w.station = b.station WHERE start_time < w.horizon AND end_time > w.seam AND end_time > start_time),
     reach AS (SELECT *, max(end_us) OVER (PARTITION BY station ORDER BY start_us, end_us, side, title, content_id, id
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM sides),
     comp AS (SELECT *, max(CASE WHEN r IS NULL OR start_us >= r THEN start_us END)
@@ -116,7 +116,7 @@ def _two_spans() -> str:
       SELECT b.station, b.id, epoch_us(start_time) AS start_us, epoch_us(end_time) AS end_us, epoch_us(w.seam) AS seam_us,
              epoch_us(w.horizon) AS horizon_us, greatest(epoch_us(start_time), epoch_us(w.seam)) AS from_us,
              least(epoch_us(end_time), epoch_us(w.horizon)) AS to_us
-      FROM {name} b JOIN windows w ON w.station = b.station WHERE start_time < w.horizon AND end_time > w.seam),
+      FROM {name} b JOIN windows w ON w.station = b.station WHERE start_time < w.horizon AND end_time > w.seam AND end_time > start_time),
       """ + spans_sql(f"cut_{name}").replace("scanned AS", f"scanned_{name} AS").replace("FROM scanned", f"FROM scanned_{name}").replace(
             "spans AS", f"spans_{name} AS"))
     return "WITH " + ",\n".join(cuts)

@@ -33,7 +33,7 @@ CUT_BY_USER = """
              greatest(epoch_us(start_time), epoch_us(w.seam)) AS from_us,
              least(epoch_us(end_time), epoch_us(w.horizon)) AS to_us
       FROM blocks_by_user b JOIN windows_by_user w ON w.station = b.station
-      WHERE start_time < w.horizon AND end_time > w.seam)"""
+      WHERE start_time < w.horizon AND end_time > w.seam AND end_time > start_time)"""
 
 
 def spans_sql(cut: str = "cut", windows: str = "windows", capped: bool = True) -> str:

@@ -55,7 +55,7 @@ VIEWS = {
                greatest(epoch_us(start_time), epoch_us(w.seam)) AS from_us,
                least(epoch_us(end_time), epoch_us(w.horizon)) AS to_us
         FROM blocks b JOIN windows w ON w.station = b.station
-        WHERE start_time < w.horizon AND end_time > w.seam""",
+        WHERE start_time < w.horizon AND end_time > w.seam AND end_time > start_time""",
 }
 
 

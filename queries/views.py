@@ -18,9 +18,6 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def rows(self, name: str) -> DataFrame:
-        return self.read(name)
-
     @cached_property
     def blocks(self) -> DataFrame:
         us = F.round(F.col("value") * 100).cast("bigint") * 200000
