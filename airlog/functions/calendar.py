@@ -30,16 +30,18 @@ _FIXED_HOLIDAY = re.compile(rf"^ *({_MONTH_NAMES}) *([0-3]?[0-9])$", re.IGNORECA
 _NTH_HOLIDAY = re.compile(rf"^(1st|2nd|3rd|4th|last) ({'|'.join(DAYS)}) ({_MONTH_NAMES})$", re.IGNORECASE)
 
 
+def _numbers(names: Sequence[str], first: int) -> Column:
+    return F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n.lower()), F.lit(i + first))])
+
+
 def month_number(name: Column | str) -> Column:
     """1..12 for an English month name in any case; null otherwise."""
-    found = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(col(name)))
-    return F.nullif(found, F.lit(0)).cast("int")
+    return F.try_element_at(_numbers(MONTHS, 1), F.lower(col(name)))
 
 
 def weekday_number(name: Column | str) -> Column:
     """0 for monday .. 6 for sunday, by lower-cased name; null otherwise."""
-    found = F.array_position(F.array(*[F.lit(d) for d in DAYS]), F.lower(col(name)))
-    return (F.nullif(found, F.lit(0)) - 1).cast("int")
+    return F.try_element_at(_numbers(DAYS, 0), F.lower(col(name)))
 
 
 def weekday_name(ts: Column | str) -> Column:
@@ -56,14 +58,17 @@ def on_month(ts: Column | str, name: Column | str) -> Column:
 
 def on_quarter(ts: Column | str, quarter: Column | str) -> Column:
     """Quarter given as q1..q4 in either case."""
-    wanted = F.regexp_extract(F.lit(quarter) if isinstance(quarter, str) else quarter, r"^[qQ]([1-4])$", 1)
-    return F.quarter(col(ts)) == F.nullif(wanted, F.lit("")).cast("int")
+    return F.quarter(col(ts)) == quarter_of(F.lit(quarter) if isinstance(quarter, str) else quarter)
+
+
+def quarter_of(text: Column) -> Column:
+    return F.regexp_extract(text, r"^[qQ]([1-4])$", 1).try_cast("int")
 
 
 def week_of(text: Column) -> Column:
     """Week number of '20' or 'week number 20'; null when out of range."""
     digits = F.regexp_extract(F.trim(text), r"(?i)^(?:week number )?([1-9]|[1-4][0-9]|5[0-3])$", 1)
-    return F.nullif(digits, F.lit("")).cast("int")
+    return digits.try_cast("int")
 
 
 def on_week(ts: Column | str, week: Column | str | int) -> Column:
@@ -81,10 +86,15 @@ def day_part_hours(parts: Mapping[str, tuple[int, int]]) -> dict[str, list[int]]
 
 
 def in_day_part(ts: Column | str, part: Column | str, parts: Mapping[str, Sequence[int]] = DAY_PARTS) -> Column:
+    hours = hours_of(F.lit(part) if isinstance(part, str) else part, parts)
+    return F.coalesce(F.array_contains(hours, F.hour(col(ts))), F.lit(False))
+
+
+def hours_of(part: Column, parts: Mapping[str, Sequence[int]] = DAY_PARTS) -> Column:
+    """Hours of a named day part; null for a name that is not known."""
     table = F.create_map(*[x for name, hours in parts.items()
                            for x in (F.lit(name), F.array(*[F.lit(int(h)) for h in hours]))])
-    hours = F.try_element_at(table, F.lit(part) if isinstance(part, str) else part)
-    return F.coalesce(F.array_contains(hours, F.hour(col(ts))), F.lit(False))
+    return F.try_element_at(table, part)
 
 
 def nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:
@@ -138,10 +148,10 @@ def range_bounds(text: Column | str) -> Column:
     t = F.lit(text) if isinstance(text, str) else text
 
     def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(t, RANGE_PATTERN, i), F.lit(""))
+        return F.regexp_extract(t, RANGE_PATTERN, i)
 
-    lo = _month_day(month_number(part(1)), part(2).cast("int"))
-    hi = _month_day(month_number(part(3)), part(4).cast("int"))
+    lo = _month_day(month_number(part(1)), part(2).try_cast("int"))
+    hi = _month_day(month_number(part(3)), part(4).try_cast("int"))
     return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
 
 
@@ -151,8 +161,12 @@ def in_month_day_range(ts: Column | str, text: Column | str, inclusive: bool = F
     By default the range ends at midnight at the start of its last day, so most of that day is
     outside. inclusive=True compares calendar days and keeps the whole last day.
     """
-    when, r = col(ts), range_bounds(text)
-    first, last = r["lo"], r["hi"]
+    return in_range_bounds(ts, range_bounds(text), inclusive)
+
+
+def in_range_bounds(ts: Column | str, bounds: Column, inclusive: bool = False) -> Column:
+    """in_month_day_range with the range parsed already."""
+    when, first, last = col(ts), bounds["lo"], bounds["hi"]
     today = F.month(when) * 100 + F.dayofmonth(when)
     after = today >= first
     if inclusive:
@@ -170,8 +184,8 @@ def key_bounds(key: Column) -> Column:
 
     def value(i: int) -> Column:
         side = F.get(sides, F.lit(i))
-        month = month_number(F.nullif(F.regexp_extract(side, pattern, 1), F.lit("")))
-        return _month_day(month, F.nullif(F.regexp_extract(side, pattern, 2), F.lit("")).cast("int"))
+        month = month_number(F.regexp_extract(side, pattern, 1))
+        return _month_day(month, F.regexp_extract(side, pattern, 2).try_cast("int"))
 
     lo = value(0)
     hi = F.when(F.size(sides) == 1, lo).when(F.size(sides) == 2, value(1))

@@ -82,16 +82,25 @@ def stale_rows(meta: DataFrame, manifest: DataFrame, cutoff) -> DataFrame:
 _RULE_TESTS = ("month", "quarter", "date_range", "week_number", "day_of_week", "day_part", "custom_holiday")
 
 
-def rule_passes(when: Column | str, holidays: Mapping[str, str] | None = None,
-                parts: Mapping[str, Sequence[int]] = cal.DAY_PARTS) -> Column:
-    """Whether every field set in a metadata-hint rule row holds at a time."""
+def _parsed_rules(rules: DataFrame, parts: Mapping[str, Sequence[int]]) -> DataFrame:
+    """Rules with their texts parsed once, before they meet any candidate."""
+    return rules.select(
+        F.array_join(paths.parts("under"), "/").alias("_dir"), "rule_order", *_RULE_TESTS,
+        F.coalesce("exclusive", F.lit(False)).alias("_exclusive"),
+        cal.month_number("month").alias("_month"), cal.quarter_of(F.col("quarter")).alias("_quarter"),
+        cal.range_bounds(F.col("date_range")).alias("_range"), cal.week_of(F.col("week_number")).alias("_week"),
+        cal.weekday_number("day_of_week").alias("_weekday"), cal.hours_of(F.col("day_part"), parts).alias("_hours"))
+
+
+def _rule_passes(when: str, holidays: Mapping[str, str] | None) -> Column:
+    """Whether every field set in a parsed rule holds at a time."""
     tests = {
-        "month": cal.on_month(when, F.col("month")),
-        "quarter": cal.on_quarter(when, F.col("quarter")),
-        "date_range": cal.in_month_day_range(when, F.col("date_range")),
-        "week_number": cal.on_week(when, F.col("week_number")),
-        "day_of_week": cal.on_weekday(when, F.col("day_of_week")),
-        "day_part": cal.in_day_part(when, F.col("day_part"), parts),
+        "month": F.month(when) == F.col("_month"),
+        "quarter": F.quarter(when) == F.col("_quarter"),
+        "date_range": cal.in_range_bounds(when, F.col("_range")),
+        "week_number": F.weekofyear(when) == F.col("_week"),
+        "day_of_week": F.weekday(when) == F.col("_weekday"),
+        "day_part": F.array_contains("_hours", F.hour(when)),
         "custom_holiday": cal.on_holiday(when, F.col("custom_holiday"), holidays or {}),
     }
     passed = F.lit(True)
@@ -116,16 +125,13 @@ def apply_meta_hints(
     passing exclusive items. compat=True also counts an item as exclusive when an exclusive rule
     passed before a later rule of the same item failed.
     """
-    keyed = rules.select(
-        F.array_join(paths.parts("under"), "/").alias("_dir"), "rule_order", *_RULE_TESTS,
-        F.coalesce("exclusive", F.lit(False)).alias("_exclusive"))
     item = paths.parts("path")
     above = F.transform(F.sequence(F.lit(1), F.size(item)), lambda n: F.array_join(F.slice(item, F.lit(1), n), "/"))
     ids = list(per) + ["id"]
     # rules are found once per path, however many requests ask for it
-    ruled = candidates.select("path").distinct().select("path", F.explode(above).alias("_dir")).join(keyed, "_dir")
-    hits = candidates.select(*ids, when, "path").join(ruled, "path").withColumn(
-        "_pass", rule_passes(when, holidays, parts))
+    ruled = candidates.select("path").distinct().select("path", F.explode(above).alias("_dir")).join(
+        _parsed_rules(rules, parts), "_dir")
+    hits = candidates.select(*ids, when, "path").join(ruled, "path").withColumn("_pass", _rule_passes(when, holidays))
     failed_at = F.min(F.when(~F.col("_pass"), F.col("rule_order")))
     exclusive_at = F.min(F.when(F.col("_pass") & F.col("_exclusive"), F.col("rule_order")))
     judged = hits.groupBy(*ids).agg(failed_at.alias("_failed_at"), exclusive_at.alias("_exclusive_at"))

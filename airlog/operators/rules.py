@@ -78,8 +78,6 @@ def expand_directives(directives: DataFrame, week_start, parts: Mapping[str, Seq
     range), series, date, hour, daypart, start_date, end_date, hours (array), all_day.
     """
     start = F.lit(str(week_start)).cast("date")
-    table = F.create_map(*[x for name, hours in parts.items()
-                           for x in (F.lit(name), F.array(*[F.lit(int(h)) for h in hours]))])
     one_day = F.col("type").isin("date_slot", "marathon")
     part = F.col("type") == "daypart"
     dates = (
@@ -88,7 +86,7 @@ def expand_directives(directives: DataFrame, week_start, parts: Mapping[str, Seq
         .when(F.col("start_date") <= F.col("end_date"), F.sequence("start_date", "end_date"))
     )
     hours = (
-        F.when(one_day, F.array(F.col("hour").cast("int"))).when(part, F.try_element_at(table, F.col("daypart")))
+        F.when(one_day, F.array(F.col("hour").cast("int"))).when(part, cal.hours_of(F.col("daypart"), parts))
         .when(F.col("all_day"), F.sequence(F.lit(0), F.lit(23))).otherwise(F.col("hours").cast("array<int>"))
     )
     dated = directives.select("id", "channel", "series", F.explode(dates).alias("date"), hours.alias("_hours"))

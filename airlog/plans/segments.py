@@ -46,17 +46,17 @@ def segments(points: DataFrame, files: DataFrame, rows_per_task: int = ROWS_PER_
 
 def black_marks(log: DataFrame) -> DataFrame:
     """Midpoints of the black frames reported in detector log lines (path, line_no, line)."""
-    body = F.split_part("line", F.lit("]"), F.lit(2))
+    named = log.filter(F.contains("line", F.lit("blackdetect")) & F.contains("line", F.lit("black_duration:")))
+    tokens = named.select("path", "line_no", F.split(F.regexp_extract("line", r"\]\s*([^\]]*)", 1), " ").alias("_tokens"))
 
     def value(name: str) -> Column:
-        found = F.regexp_extract(F.concat(F.lit(" "), body, F.lit(" ")), f" {name}:([^ :]+) ", 1)
-        return F.nullif(found, F.lit("")).try_cast("double")
+        # the last of several tokens of one name counts
+        found = F.filter("_tokens", lambda x: F.startswith(x, F.lit(name + ":")))
+        return F.substr(F.get(found, F.size(found) - 1), F.lit(len(name) + 2)).try_cast("double").alias(name)
 
-    named = log.filter(F.contains("line", F.lit("blackdetect")) & F.contains("line", F.lit("black_duration:")))
-    found = named.select("path", "line_no", value("black_start").alias("a"), value("black_end").alias("b"),
-                         value("black_duration").alias("d"))
-    whole = found.filter("a IS NOT NULL AND b IS NOT NULL AND d IS NOT NULL")
-    return whole.select("path", "line_no", ((F.col("a") + F.col("b")) / 2).alias("midpoint"))
+    found = tokens.select("path", "line_no", value("black_start"), value("black_end"), value("black_duration"))
+    whole = found.filter("black_start IS NOT NULL AND black_end IS NOT NULL AND black_duration IS NOT NULL")
+    return whole.select("path", "line_no", ((F.col("black_start") + F.col("black_end")) / 2).alias("midpoint"))
 
 
 def black_segments(log: DataFrame, files: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
