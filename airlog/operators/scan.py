@@ -21,7 +21,10 @@ _CHUNK = "_chunk"
 
 @dataclass(frozen=True)
 class Running:
-    """A running value: kind is max, sum, count or last (the last non-null value)."""
+    """A running value: kind is max, sum, count or last (the last non-null value).
+
+    Before the first value, sums and counts are 0 and the others null.
+    """
 
     name: str
     kind: str
@@ -45,7 +48,7 @@ def _combine(kind: str, before: Column, within: Column) -> Column:
     if kind == "max":
         return F.greatest(before, within)
     if kind in ("sum", "count"):
-        return F.coalesce(before, F.lit(0)) + F.coalesce(within, F.lit(0))
+        return F.coalesce(before, F.lit(0)) + within
     return F.coalesce(within, before)
 
 
@@ -71,10 +74,12 @@ class OrderedScan:
 
     def running(self, *wanted: Running) -> "OrderedScan":
         """Add running columns. Later calls may use the columns of earlier ones."""
-        local = {
-            (f"_in_{r.name}" if self.chunked else r.name): _aggregate(r.kind, r.value).over(self._window(r.inclusive))
-            for r in wanted
-        }
+        local = {}
+        for r in wanted:
+            within = _aggregate(r.kind, r.value).over(self._window(r.inclusive))
+            if r.kind in ("sum", "count"):
+                within = F.coalesce(within, F.lit(0))
+            local[f"_in_{r.name}" if self.chunked else r.name] = within
         if not self.chunked:
             self.df = self.df.withColumns(local)
             return self

@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from airlog.functions.paths import VIDEO_FORMATS, extension
 
 
+def relative_to(path: str, root: str) -> Column:
+    """A listed file's path below the folder it was listed from, whatever scheme it carries."""
+    base = root.rstrip("/") + "/"
+    return F.substr(path, F.instr(path, base) + F.lit(len(base)))
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """path relative to the root, size and mtime_ns of every file; contents are not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    inside = F.regexp_replace("path", r"^[a-z]+:/{1,3}(?=/)", "")
     return listed.select(
-        F.substr(inside, F.instr(inside, base) + F.lit(len(base))).alias("path"),
+        relative_to("path", root).alias("path"),
         F.col("length").alias("size"),
         (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"),
     )
