@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from airlog.functions.calendar import DAYS
 from airlog.functions.values import strict_json, tags_array
+from airlog.sources.manifests import source_file
 
 _MAP = T.MapType(T.StringType(), T.StringType())
 
@@ -13,7 +14,7 @@ _MAP = T.MapType(T.StringType(), T.StringType())
 def load_configs(spark: SparkSession, folder: str) -> DataFrame:
     """One row per JSON file (file, text); malformed files are kept for parse_configs to report."""
     read = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    return read.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return read.select(source_file().alias("file"), F.col("value").alias("text"))
 
 
 def _get(path: str, text: str = "text") -> Column:

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from airlog.functions.paths import VIDEO_FORMATS, extension
 
 
+def source_file() -> Column:
+    """Path of the file a row was read from; Spark gives it with escapes, a plus sign stands for itself."""
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+
+
 def relative_to(path: str, root: str) -> Column:
     """A listed file's path below the folder it was listed from, whatever scheme it carries."""
     base = root.rstrip("/") + "/"

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from airlog.functions.metadata import parse_sidecar
-from airlog.sources.manifests import relative_to
+from airlog.sources.manifests import relative_to, source_file
 
 
 def read_sidecars(spark: SparkSession, root: str, pattern: str = "*.nfo") -> DataFrame:
     """path relative to the folder and text of every sidecar below it, one row per file."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    named = files.select(source_file().alias("path"), F.col("value").alias("text"))
     return named.select(relative_to("path", root).alias("path"), "text")
 
 
