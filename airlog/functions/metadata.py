@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-from airlog.functions.values import col
+from airlog.functions.values import col, let
 
 # Fixed value: at most this many lines of a plain-text sidecar are kept.
 MAX_LINES = 5
@@ -29,8 +29,12 @@ def root_tag(text: Column | str) -> Column:
 def parse_sidecar(text: Column | str) -> Column:
     """Metadata struct of one sidecar: XML with any root tag, else up to five plain lines."""
     raw = col(text)
-    tag = root_tag(raw)
     xml = F.from_xml(raw, _XML, {"mode": "PERMISSIVE"})
+    return let(F.struct(raw.alias("raw"), root_tag(raw).alias("tag"), xml.alias("xml")), _from_parsed)
+
+
+def _from_parsed(p: Column) -> Column:
+    raw, tag, xml = p["raw"], p["tag"], p["xml"]
     closed = F.regexp_like(raw, F.concat(F.lit(r"(?s)(</"), tag, F.lit(r"\s*>|/>)\s*\z")))
     is_xml = F.coalesce(tag.isNotNull() & closed, F.lit(False))
 

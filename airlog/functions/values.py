@@ -41,6 +41,11 @@ def with_micros(df: DataFrame, start: str = "start_time", end: str = "end_time")
     return df.withColumns({"start_us": micros(start), "end_us": micros(end)})
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once per row, however often and conditionally it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def round_up(seconds: Column | str, increment_minutes: Column | int) -> Column:
     """Round a duration up to a multiple of the schedule increment; 0 leaves it alone."""
     step = (increment_minutes if isinstance(increment_minutes, Column) else F.lit(increment_minutes)) * 60

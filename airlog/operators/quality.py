@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from airlog import schemas
-from airlog.functions.values import col, micros_interval, strict_json, with_micros
+from airlog.functions.values import col, let, micros_interval, strict_json, with_micros
 from airlog.operators.intervals import covering_pairs
 
 # Names used in stored chapter envelopes.
@@ -30,14 +30,17 @@ def content_problem(content: Column | str, kind: Column | str) -> Column:
 
     A JSON null is right only for web blocks.
     """
-    v = strict_json(content)
+    return let(strict_json(content), lambda v: _content_problem(v, col(kind)))
+
+
+def _content_problem(v: Column, kind: Column) -> Column:
     shape = F.schema_of_variant(v)
     items = F.try_variant_get(v, "$", "array<variant>")
     whole = F.forall(items, lambda e: F.schema_of_variant(e) == "BIGINT")
     positive = F.forall(F.try_variant_get(v, "$", "array<bigint>"), lambda n: n > 0)
     return (
         F.when(v.isNull(), "malformed")
-        .when(shape == "VOID", F.when(col(kind) != "LiquidWebBlock", "missing"))
+        .when(shape == "VOID", F.when(kind != "LiquidWebBlock", "missing"))
         .when(shape == "BIGINT", F.when(F.try_variant_get(v, "$", "bigint") <= 0, "not_positive"))
         .when(items.isNotNull(), F.when(F.size(items) == 0, "empty_list").when(~whole, "not_integer")
               .when(~positive, "not_positive"))
@@ -52,7 +55,10 @@ def check_content_ids(blocks: DataFrame) -> DataFrame:
 
 def plan_problem(plan: Column | str) -> Column:
     """Why a plan is wrong; null when every entry has exactly the six keys with usable types."""
-    v = strict_json(plan)
+    return let(strict_json(plan), _plan_problem)
+
+
+def _plan_problem(v: Column) -> Column:
     entries = F.try_variant_get(v, "$", "array<map<string,variant>>")
     keys = F.array(*[F.lit(k) for k in PLAN_KEYS])
     shaped = F.forall(entries, lambda e: F.coalesce(F.array_sort(F.map_keys(e)) == keys, F.lit(False)))

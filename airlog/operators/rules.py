@@ -38,13 +38,17 @@ def slot_calendar(slots: DataFrame, first_day, last_day) -> DataFrame:
     next level is used, not the next rule. Every rule is expanded to its own days, so stations, days
     and rules are never crossed.
     """
-    days = F.sequence(F.lit(str(first_day)).cast("date"), F.lit(str(last_day)).cast("date"))
+    first, last = (F.lit(str(day)).cast("date") for day in (first_day, last_day))
     rules = slots.select("station", "rule_kind", "rule_key", "rule_order").distinct()
     bounded = rules.withColumns({
         "_bounds": F.when(F.col("rule_kind") != "weekday", cal.key_bounds(F.col("rule_key"))),
         "_weekday": F.when(F.col("rule_kind") == "weekday", cal.weekday_number(F.col("rule_key"))),
     })
-    hit = F.coalesce(F.weekday("date") == F.col("_weekday"), cal.in_key_bounds("date", F.col("_bounds")))
+    # a weekday rule steps by whole weeks, a calendar key is tested on every day
+    opening = F.date_add(first, F.pmod(F.col("_weekday") - F.weekday(first), F.lit(7)))
+    weekly = F.when(opening <= last, F.sequence(opening, last, F.expr("INTERVAL 7 DAYS")))
+    days = F.when(F.col("_weekday").isNotNull(), weekly).otherwise(F.sequence(first, last))
+    hit = F.col("_weekday").isNotNull() | cal.in_key_bounds("date", F.col("_bounds"))
     dated = bounded.withColumn("date", F.explode(days)).filter(hit).drop("_bounds", "_weekday")
     chosen = first_per(dated, ["station", "date", "rule_kind"], ["rule_order", "rule_key"]).drop("rule_order")
     laid = chosen.join(slots.drop("rule_order"), ["station", "rule_kind", "rule_key"])

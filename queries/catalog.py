@@ -250,7 +250,7 @@ def _rules(t):
 
 def _requests(t):
     """One request per event, for the items of a brand with a given running time."""
-    return t.read("events").select(
+    return t.spread("events").select(
         F.col("event_id").alias("request_id"), F.concat(F.lit("Brand#"), F.col("event_id") % 25 + 1).alias("station"),
         ((F.col("event_id") % 50 + 1) * 60).cast("double").alias("duration"), F.col("ts").alias("when"))
 
@@ -299,7 +299,7 @@ def _(t):
 def _(t):
     """Eligible items per request, not busy on another station, and the least-played one of them."""
     tags = F.array(*[F.lit(x) for x in ("ECONOMY", "PROMO", "SMALL", "LARGE", "MEDIUM", "STANDARD")])
-    requests = t.read("events").select(
+    requests = t.spread("events").select(
         F.col("event_id").alias("request_id"), F.concat(F.lit("Brand#"), F.col("event_id") % 25 + 1).alias("station"),
         F.get(tags, (F.col("event_id") % 6).cast("int")).alias("tag"), F.col("ts").alias("when"),
         (F.col("value") * 20).alias("seconds"))

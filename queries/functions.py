@@ -119,7 +119,7 @@ def _(t):
         .otherwise(xml("artist", name, ("plot", F.col("p_type"))))
     )
     m = metadata.parse_sidecar("text")
-    parsed = t.read("part").select("p_partkey", text.alias("text")).select("p_partkey", m.alias("m"))
+    parsed = t.spread("part").select("p_partkey", text.alias("text")).select("p_partkey", m.alias("m"))
     return parsed.select("p_partkey", "m.type", "m.title", "m.year", "m.plot", "m.season",
                          F.array_join("m.lines", "|").alias("lines"))
 
@@ -212,7 +212,7 @@ def _(t):
         F.lit(r'["{\"type\": \"week_number\", \"week_number\": \"week number 3\"}"]'),
         F.lit(r'["{\"type\": \"bump\", \"where\": \"pre\"}", "{\"type\": \"moon_phase\", \"phase\": \"full\"}"]'),
         F.lit(r'["{\"type\": \"quarter\", \"quarter\": \"q1\"}", "{\"type\": \"custom_holiday\", \"custom_holiday\": \"mlk\"}"]'))
-    rows = t.read("events").withColumn("hints", hints.decode_hints(F.get(stored, (F.col("event_id") % 6).cast("int"))))
+    rows = t.spread("events").withColumn("hints", hints.decode_hints(F.get(stored, (F.col("event_id") % 6).cast("int"))))
     passes = hints.hint_matches("hints", "ts", {"mlk": "3rd monday january"})
     return rows.select("event_id", passes.alias("passes"))
 

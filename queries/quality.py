@@ -13,6 +13,10 @@ def _pick(n, *values):
     return F.get(F.array(*values), n.cast("int"))
 
 
+def _ids(t):
+    return t.spread("events").select(F.col("event_id").alias("id"))
+
+
 @query("check_content_ids", """
     SELECT id, CASE id % 8 WHEN 2 THEN 'empty_list' WHEN 3 THEN 'not_integer' WHEN 4 THEN 'not_positive' WHEN 5 THEN CASE WHEN id % 3 <> 0 THEN 'missing' END
              WHEN 6 THEN 'malformed' WHEN 7 THEN 'unsupported_shape' END AS problem
@@ -22,7 +26,7 @@ def _(t):
     text = _pick(n, ref, F.concat(F.lit("["), ref, F.lit(", 7]")), F.lit("[]"), F.concat(F.lit("["), ref, F.lit(", \"7\"]")),
                  F.concat(F.lit("["), ref, F.lit(", -7]")), F.lit("null"), F.concat(F.lit("["), ref), F.lit("true"))
     kind = F.when(F.col("id") % 3 == 0, F.lit("LiquidWebBlock")).otherwise("LiquidBlock")
-    return q.check_content_ids(t.blocks.select("id", text.alias("content_json"), kind.alias("liquid_type")))
+    return q.check_content_ids(_ids(t).select("id", text.alias("content_json"), kind.alias("liquid_type")))
 
 
 @query("check_plans", """
@@ -32,7 +36,7 @@ def _(t):
     good = '{"path": "a", "skip": 0, "duration": 5, "is_stream": false, "content_type": "feature", "media_type": "video"}'
     text = _pick(F.col("id") % 6, F.lit(f"[{good}, {good}]"), F.lit(f'[{good}, {{"path": "a"}}]'), F.lit("[" + good.replace("false", "0") + "]"),
                  F.lit(good), F.lit("[" + good), F.lit("[" + good.replace('"skip": 0', '"skip": 0, "extra": 1') + "]"))
-    return q.check_plans(t.blocks.select("id", text.alias("plan_json")))
+    return q.check_plans(_ids(t).select("id", text.alias("plan_json")))
 
 
 def _chapters(t):

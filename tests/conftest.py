@@ -13,7 +13,7 @@ from airlog.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(cores=8, partitions=4, memory="6g")
+    session = local_session(cores=8, partitions=2, memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     return session
