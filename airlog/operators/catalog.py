@@ -226,7 +226,8 @@ def library_totals(catalog: DataFrame, blocks: DataFrame) -> DataFrame:
 def station_status(blocks: DataFrame, stations: DataFrame, now) -> DataFrame:
     """Current item and final scheduled time of each station."""
     probes = stations.select("station", _ntz(now).alias("at"))
-    current = now_playing(blocks.filter(F.col("start_time") <= _ntz(now)).filter(F.col("end_time") > _ntz(now)), probes)
+    on_air = (F.col("start_time") <= _ntz(now)) & (F.col("end_time") > _ntz(now))
+    current = now_playing(blocks.filter(on_air), probes)
     return current.join(horizon(blocks).select("station", "final_scheduled"), "station", "left").select(
         "station", "title", "start_us", "end_us", "final_scheduled")
 

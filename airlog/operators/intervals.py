@@ -207,45 +207,43 @@ def exclude_overlapping(
 # ---- point lookups -------------------------------------------------------------------------
 
 
-def covering_pairs(blocks: DataFrame, probes: DataFrame, closed: bool = False, bucket_seconds: int = 3600) -> DataFrame:
-    """(probe, block) rows where the block covers the probe's `at` on the probe's station."""
-    width = bucket_seconds * 1_000_000
-    reach = with_micros(blocks)
-    reach = reach.select(*[F.col(c).alias(f"b_{c}") for c in reach.columns])
-    # a closed interval also touches the bucket of its end
-    reach = reach.withColumn("_to", F.col("b_end_us") + (1 if closed else 0))
-    reach = _in_buckets(reach, "b_start_us", "_to", width, "_bucket").drop("_to")
-    points = probes.withColumn("at_us", micros("at")).withColumn("_p", F.floor(F.col("at_us") / F.lit(width)))
-    upper = F.col("b_end_us") >= F.col("at_us") if closed else F.col("b_end_us") > F.col("at_us")
-    on = (
-        (F.col("station") == F.col("b_station"))
-        & (F.col("_bucket") == F.col("_p"))
-        & (F.col("b_start_us") <= F.col("at_us"))
-        & upper
-    )
-    return points.join(reach, on).drop("_bucket", "_p")
+def airtime(blocks: DataFrame, closed: bool = False, rows_per_task: int = ROWS_PER_TASK,
+            large: bool | None = None) -> DataFrame:
+    """The time in which each block is the first one on air, as disjoint spans [from_us, until_us).
+
+    Along the start order, a block that ends no later than one before it is never first. The others
+    end later and later, so each is first from its start, or from the end of the one before it, until
+    its own end. closed=True counts a block's end as on air.
+    """
+    scan = OrderedScan(with_micros(blocks), ["station"], ["start_us", "end_us", "id"], rows_per_task, large).running(
+        Running("_reach", "max", F.col("end_us"), inclusive=False))
+    past = 1 if closed else 0
+    first = scan.result().withColumns({
+        "from_us": F.greatest(F.col("start_us"), F.col("_reach") + past), "until_us": F.col("end_us") + past})
+    shown = (F.col("_reach").isNull() | (F.col("end_us") > F.col("_reach"))) & (F.col("from_us") < F.col("until_us"))
+    return first.filter(shown).drop("_reach")
 
 
-def now_playing(blocks: DataFrame, probes: DataFrame, closed: bool = False, bucket_seconds: int = 3600) -> DataFrame:
+def now_playing(blocks: DataFrame, probes: DataFrame, closed: bool = False,
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """The block on air at each probe (station, at): the first one in start order.
 
     closed=True accepts a block ending exactly at the probe, so a boundary belongs to the earlier
-    block. Probes with nothing on air are kept, with a null block.
+    block. Probes with nothing on air are kept, with a null block. Each probe looks back to the last
+    span of airtime that began before it; blocks and probes are never paired.
     """
-    first = F.min(F.struct("b_start_us", "b_end_us", "b_id", "b_title")).alias("hit")
-    hits = covering_pairs(blocks, probes, closed, bucket_seconds).groupBy("station", "at").agg(first)
-    return (
-        probes.join(hits, ["station", "at"], "left")
-        .withColumns(
-            {
-                "block_id": F.col("hit.b_id"),
-                "title": F.col("hit.b_title"),
-                "start_us": F.col("hit.b_start_us"),
-                "end_us": F.col("hit.b_end_us"),
-            }
-        )
-        .drop("hit")
-    )
+    large = is_large(blocks.select("station").unionAll(probes.select("station")), ["station"], rows_per_task)
+    block = F.struct("id", "title", "start_us", "end_us", "until_us")
+    spans = airtime(blocks, closed, large=large).select("station", F.col("from_us").alias("_us"), F.lit(0).alias("_side"), block.alias("_block"))
+    points = probes.select("station", "at", micros("at").alias("_us"), F.lit(1).alias("_side")).distinct()
+    both = points.unionByName(spans, allowMissingColumns=True)
+    seen = OrderedScan(both, ["station"], ["_us", "_side"], large=large).running(
+        Running("_hit", "last", F.col("_block"))).result().filter("_side = 1")
+    hit = F.when(F.col("_us") < F.col("_hit.until_us"), F.col("_hit"))
+    found = seen.select("station", "at", hit.alias("_hit"))
+    return probes.join(found, ["station", "at"], "left").withColumns({
+        "block_id": F.col("_hit.id"), "title": F.col("_hit.title"),
+        "start_us": F.col("_hit.start_us"), "end_us": F.col("_hit.end_us")}).drop("_hit")
 
 
 def slot_grid(blocks: DataFrame, stations: DataFrame, lo, hi, slot_minutes: int = 30,

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from airlog import schemas
-from airlog.functions.values import col, let, micros_interval, strict_json, with_micros
-from airlog.operators.intervals import covering_pairs
+from airlog.functions.values import col, let, strict_json, with_micros
+from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running, is_large
 
 # Names used in stored chapter envelopes.
 METHODS = ("ffprobe_show_chapters_v1", "native_short_media_v1")
@@ -235,29 +235,37 @@ def check_unique(stations: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("uses")).filter("uses > 1")
 
 
-def check_guide(raw: DataFrame, projected: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def check_guide(raw: DataFrame, projected: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Per station: probes one microsecond around every block edge, and how they resolve.
 
     checked, zero and one count probes by what the guide shows; multiple counts probes where either
-    side has more than one entry, mismatched those where the guide differs from the schedule.
+    side has more than one entry, mismatched those where the guide shows other entries than the
+    schedule. Every edge adds or removes its entry from a running count and a running digest of what
+    is on, so no probe is paired with a block.
     """
-    edges = with_micros(raw).select("station", F.explode(F.array("start_us", "end_us")).alias("us"))
-    shifted = edges.select("station", F.explode(F.array(F.col("us") - 1, F.col("us"), F.col("us") + 1)).alias("us")).distinct()
-    at = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + micros_interval("us")
-    probes = shifted.select("station", at.alias("at"))
-
-    def resolved(blocks: DataFrame, side: str) -> DataFrame:
-        hits = covering_pairs(blocks, probes, bucket_seconds=bucket_seconds)
-        entry = F.min(F.struct("b_id", "b_title"))
-        return hits.groupBy("station", "at").agg(F.count(F.lit(1)).alias(f"{side}_n"), entry.alias(f"{side}_entry"))
-
-    both = probes.join(resolved(raw, "raw"), ["station", "at"], "left").join(
-        resolved(projected, "shown"), ["station", "at"], "left").fillna(0, ["raw_n", "shown_n"])
-    differs = (F.col("raw_n") != F.col("shown_n")) | ~F.col("raw_entry").eqNullSafe(F.col("shown_entry"))
-    return both.groupBy("station").agg(
-        F.count(F.lit(1)).alias("checked"), F.count_if(F.col("shown_n") == 0).alias("zero"),
-        F.count_if(F.col("shown_n") == 1).alias("one"),
-        F.count_if((F.col("raw_n") > 1) | (F.col("shown_n") > 1)).alias("multiple"), F.count_if(differs).alias("mismatched"))
+    def edges(blocks: DataFrame, side: str) -> DataFrame:
+        entry = F.xxhash64("id", "title")
+        steps = F.explode(F.array(
+            F.struct(F.col("start_us").alias("us"), F.lit(1).alias("n")), F.struct(F.col("end_us").alias("us"), F.lit(-1).alias("n"))))
+        lasting = with_micros(blocks).filter("end_us > start_us")
+        return lasting.select("station", steps.alias("e"), entry.alias("x")).select(
+            "station", "e.us", F.col("e.n").alias(f"{side}_n"), F.col("x").alias(f"{side}_x"))
+
+    every = edges(raw, "raw").unionByName(edges(projected, "shown"), allowMissingColumns=True)
+    ends = with_micros(raw).select("station", F.explode(F.array("start_us", "end_us")).alias("us"))
+    probes = ends.select("station", F.explode(F.array(F.col("us") - 1, F.col("us"), F.col("us") + 1)).alias("us"), F.lit(True).alias("probe"))
+    moments = every.unionByName(probes, allowMissingColumns=True).groupBy("station", "us").agg(
+        *[F.sum(f"{side}_n").alias(f"{side}_n") for side in ("raw", "shown")],
+        *[F.bit_xor(f"{side}_x").alias(f"{side}_x") for side in ("raw", "shown")], F.bool_or("probe").alias("probe"))
+    large = is_large(raw.select("station").unionAll(projected.select("station")), ["station"], rows_per_task // 6)
+    on = OrderedScan(moments, ["station"], ["us"], large=large).running(
+        *[Running(f"{side}_on", "sum", F.col(f"{side}_n")) for side in ("raw", "shown")],
+        *[Running(f"{side}_set", "xor", F.col(f"{side}_x")) for side in ("raw", "shown")]).result().filter("probe")
+    differs = (F.col("raw_on") != F.col("shown_on")) | (F.col("raw_set") != F.col("shown_set"))
+    return on.groupBy("station").agg(
+        F.count(F.lit(1)).alias("checked"), F.count_if(F.col("shown_on") == 0).alias("zero"),
+        F.count_if(F.col("shown_on") == 1).alias("one"),
+        F.count_if((F.col("raw_on") > 1) | (F.col("shown_on") > 1)).alias("multiple"), F.count_if(differs).alias("mismatched"))
 
 
 def json_keys(text: Column | str) -> Column:

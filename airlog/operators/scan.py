@@ -21,9 +21,9 @@ _CHUNK = "_chunk"
 
 @dataclass(frozen=True)
 class Running:
-    """A running value: kind is max, sum, count or last (the last non-null value).
+    """A running value: kind is max, sum, count, xor or last (the last non-null value).
 
-    Before the first value, sums and counts are 0 and the others null.
+    Before the first value, sums, counts and xors are 0 and the others null.
     """
 
     name: str
@@ -39,6 +39,8 @@ def _aggregate(kind: str, value: Column) -> Column:
         return F.sum(value)
     if kind == "count":
         return F.count(value)
+    if kind == "xor":
+        return F.bit_xor(value)
     if kind == "last":
         return F.last(value, ignorenulls=True)
     raise ValueError(f"unknown running aggregate {kind!r}")
@@ -49,6 +51,8 @@ def _combine(kind: str, before: Column, within: Column) -> Column:
         return F.greatest(before, within)
     if kind in ("sum", "count"):
         return F.coalesce(before, F.lit(0)) + within
+    if kind == "xor":
+        return F.coalesce(before, F.lit(0)).bitwiseXOR(within)
     return F.coalesce(within, before)
 
 
@@ -77,7 +81,7 @@ class OrderedScan:
         local = {}
         for r in wanted:
             within = _aggregate(r.kind, r.value).over(self._window(r.inclusive))
-            if r.kind in ("sum", "count"):
+            if r.kind in ("sum", "count", "xor"):
                 within = F.coalesce(within, F.lit(0))
             local[f"_in_{r.name}" if self.chunked else r.name] = within
         if not self.chunked:

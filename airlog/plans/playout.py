@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from airlog.functions.values import micros
 from airlog.operators.intervals import now_playing
-from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running
+from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running, is_large
 
 
 def plan_rows(blocks: DataFrame, plan: str = "plan") -> DataFrame:
@@ -31,11 +31,23 @@ def plan_timeline(
         {"from_us": F.col("until_us") - F.col("_us"), "entry": F.col("entry") - 1}).drop("_us")
 
 
-def play_point(blocks: DataFrame, timeline: DataFrame, probes: DataFrame, closed: bool = False) -> DataFrame:
-    """Entry index and offset playing at each probe (station, at); null past the end of the plan."""
-    on_air = now_playing(blocks, probes, closed).withColumn("_off", micros("at") - F.col("start_us"))
-    spans = timeline.select(
-        F.col("block_id").alias("_block"), "entry", F.col("from_us").alias("_from"), F.col("until_us").alias("_until"))
-    inside = (F.col("block_id") == F.col("_block")) & (F.col("_from") <= F.col("_off")) & (F.col("_off") < F.col("_until"))
-    return on_air.join(spans, inside, "left").select(
-        "station", "at", "block_id", F.col("entry").alias("index"), (F.col("_off") - F.col("_from")).alias("offset_us"))
+def play_point(blocks: DataFrame, timeline: DataFrame, probes: DataFrame, closed: bool = False,
+               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Entry index and offset playing at each probe (station, at); null past the end of the plan.
+
+    Inside its block a probe looks back to the last entry that began before it.
+    """
+    on_air = now_playing(blocks, probes, closed, rows_per_task).withColumn("_us", micros("at") - F.col("start_us"))
+    entry = F.struct("entry", "from_us", "until_us")
+    begun = timeline.select(
+        "block_id", F.col("from_us").alias("_us"), F.lit(0).alias("_side"), F.col("entry").alias("_n"), entry.alias("_entry"))
+    asked = on_air.filter("block_id IS NOT NULL").select("block_id", "_us", F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_n")).distinct()
+    large = is_large(timeline.select("block_id"), ["block_id"], rows_per_task) or is_large(
+        probes.select("station"), ["station"], rows_per_task)
+    seen = OrderedScan(
+        begun.unionByName(asked, allowMissingColumns=True), ["block_id"], ["_us", "_side", "_n"], large=large
+    ).running(Running("_hit", "last", F.col("_entry"))).result().filter("_side = 1")
+    hit = F.when(F.col("_us") < F.col("_hit.until_us"), F.col("_hit"))
+    found = seen.select("block_id", "_us", hit.alias("_hit"))
+    return on_air.join(found, ["block_id", "_us"], "left").select(
+        "station", "at", "block_id", F.col("_hit.entry").alias("index"), (F.col("_us") - F.col("_hit.from_us")).alias("offset_us"))

@@ -132,11 +132,11 @@ def _(t):
 @query("check_guide", """
     WITH probes AS (SELECT DISTINCT station, u.us FROM (SELECT station, unnest([epoch_us(start_time) - 1, epoch_us(start_time), epoch_us(start_time) + 1,
                       epoch_us(end_time) - 1, epoch_us(end_time), epoch_us(end_time) + 1]) AS us FROM blocks_by_user) u),
-    hits AS (SELECT p.station, p.us, count(b.id) AS rn, count(b.id) FILTER (WHERE b.id % 19 <> 0) AS sn, min(b.id) AS any_id,
-               arg_min(CASE WHEN b.id % 23 = 0 THEN 'x' ELSE '' END, b.id) AS mark
+    hits AS (SELECT p.station, p.us, count(b.id) AS rn, count(b.id) FILTER (WHERE b.id % 19 <> 0) AS sn,
+               count(b.id) FILTER (WHERE b.id % 19 = 0 OR b.id % 23 = 0) AS other
              FROM probes p LEFT JOIN blocks_by_user b ON b.station = p.station AND epoch_us(b.start_time) <= p.us AND epoch_us(b.end_time) > p.us GROUP BY 1, 2)
     SELECT station, CAST(count(*) AS BIGINT) AS checked, CAST(count(*) FILTER (WHERE sn = 0) AS BIGINT) AS zero, CAST(count(*) FILTER (WHERE sn = 1) AS BIGINT) AS one,
-      CAST(count(*) FILTER (WHERE rn > 1 OR sn > 1) AS BIGINT) AS multiple, CAST(count(*) FILTER (WHERE rn <> sn OR mark = 'x') AS BIGINT) AS mismatched
+      CAST(count(*) FILTER (WHERE rn > 1 OR sn > 1) AS BIGINT) AS multiple, CAST(count(*) FILTER (WHERE other > 0) AS BIGINT) AS mismatched
     FROM hits GROUP BY 1""")
 def _(t):
     shown = t.blocks_by_user.filter("id % 19 <> 0").withColumn(

@@ -77,12 +77,12 @@ def test_overlap_join_equals_the_plain_predicate(spark, bucket):
     assert semi.count() == semi.distinct().count()
 
 
-@pytest.mark.parametrize("closed", [False, True])
-def test_now_playing_takes_the_earliest_block(spark, closed):
+@pytest.mark.parametrize("closed, rows_per_task", [(False, 10**9), (True, 10**9), (False, 1), (True, 1)])
+def test_now_playing_takes_the_earliest_block(spark, closed, rows_per_task):
     made = schedule(200, 3, 4)
     points = [(b[1], T0 + timedelta(seconds=s)) for b in made[:40] for s in (0, 500, 1000, 1060, (b[3] - T0).seconds)]
     probes = spark.createDataFrame(sorted(set(points)), "station string, at timestamp_ntz")
-    got = {(r["station"], r["at"]): r["block_id"] for r in iv.now_playing(spark.createDataFrame(made, BLOCKS), probes, closed, 60).collect()}
+    got = {(r["station"], r["at"]): r["block_id"] for r in iv.now_playing(spark.createDataFrame(made, BLOCKS), probes, closed, rows_per_task).collect()}
     for station, at in set(points):
         fit = [b for b in made if b[1] == station and b[2] <= at and (at <= b[3] if closed else at < b[3])]
         want = min(fit, key=lambda b: (b[2], b[3], b[0]))[0] if fit else None
