@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlog.llm import chat, language, mixing, sharding, simhash, token_files
+from airlog.llm import chat, language, mixing, pieces, sharding, simhash, token_files
 from airlog.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,17 @@ def op7(spark, sf_dir):
     model = language.fit(docs.where(~held_out()))
     found = language.predict(docs, model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op5_nbest_pieces")
+def op5(spark, sf_dir):
+    """The three best segmentations of every document, and whether the best decodes to its text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents"), model, n=3, keep=("doc_id", "text"))
+    picked = coded.select(
+        "doc_id", "text", F.col("nbest")[0]["ids"].alias("ids"), F.size(F.col("nbest")[0]["ids"]).alias("n_pieces"),
+        F.transform("nbest", lambda b: b["score"]).alias("scores"),
+        F.transform("nbest", lambda b: F.xxhash64(b["ids"])).alias("ids_hashes"))
+    return pieces.decode(picked, model).select(
+        "doc_id", "n_pieces", "scores", "ids_hashes",
+        F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("round_trip"))
