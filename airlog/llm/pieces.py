@@ -214,13 +214,17 @@ class Pieces:
         self.learn(new)
         for own in units:
             records = list(map(self.known.__getitem__, own))
-            best = sum(r[1] for r in records)
-            coded = [r[0] for r in records]
+            coded, scores, gaps = map(list, zip(*records)) if records else ([], [], [])
+            best = sum(scores)
             results = [(best, b"".join(coded))]
             if n > 1 and own:
-                gaps = [r[2] for r in records]
                 places = sorted(heapq.nsmallest(n - 1, range(len(own)), key=gaps.__getitem__))
-                choices = [self.search(own[p], n) for p in places]
+                # of segmentations with equal scores the search may meet another one first than Viterbi chose
+                choices = []
+                for p in places:
+                    options = self.search(own[p], n)
+                    others = [o for o in options if o[1] != coded[p]]
+                    choices.append([(scores[p], coded[p]), *others][:n])
                 combined: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
                 for options in choices:
                     combined = heapq.nsmallest(n, (
