@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlog.llm import chat, language, mixing, pieces, sharding, simhash, token_files
+from airlog.llm import chat, embeddings, language, maxscore, mixing, pieces, sharding, simhash, token_counts, token_files
 from airlog.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +154,50 @@ def op5(spark, sf_dir):
     return pieces.decode(picked, model).select(
         "doc_id", "n_pieces", "scores", "ids_hashes",
         F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+@query("op6_edited_token_counts")
+def op6(spark, sf_dir):
+    """Token counts of all documents before and after three edits of each."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.length(F.coalesce("text", F.lit("")))
+
+    def edit(number: int, removed: int, put: str) -> Column:
+        place = F.pmod(F.xxhash64(F.lit(number), F.col("doc_id")), size + 1)
+        return F.struct(place.cast("long").alias("start"), F.lit(removed).cast("long").alias("removed"), F.lit(put).alias("put"))
+
+    edits = F.array(edit(1, 12, "'s new\n"), edit(2, 0, " 2 words"), edit(3, 40, ""))
+    found = token_counts.count_edited(docs.withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                      public_tokenizers.PATTERN)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "edited_tokens", F.length("edited_text").alias("edited_chars"),
+                        F.crc32(F.col("edited_text").cast("binary")).alias("edited_crc32"), "encoded_again")
+
+
+@query("op8_maxscore", r"""
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vector FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+queries AS (SELECT * FROM rows WHERE vec_id % 50 = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+         list_sum(list_transform(list_zip(q.vector, r.vector), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM queries q JOIN rows r ON q.vec_id <> r.vec_id),
+ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5
+""")
+def op8(spark, sf_dir):
+    """The five nearest rows of every fiftieth vector."""
+    rows = table(spark, sf_dir, "embeddings").where(maxscore.usable(F.col("embedding"))).select(
+        "vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"))
+    return maxscore.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+
+@query("op4_subspace_pigeonhole")
+def op4(spark, sf_dir):
+    """Near-duplicate groups of all embeddings."""
+    return embeddings.similar(table(spark, sf_dir, "embeddings"), threshold=0.93)
