@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +40,16 @@ def word_count(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def portions(batch: pa.RecordBatch, text: int, size: int = 300_000, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in stretches of at most so many rows and about so many bytes of text, so that little is unpacked at once.
+
+    text: number of the column with the texts. A longer text is a stretch of its own with what stands before it.
+    """
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(lengths) // size + np.arange(len(lengths)) // rows
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(lengths)]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        if high > low:
+            yield batch.slice(low, high - low)

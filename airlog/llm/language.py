@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlog.llm.common import written
+from airlog.llm.common import portions, written
 
 BINS = 4096
 #: Characters of a text that are counted at once (n-grams across such a cut are not counted), and texts.
-PIECE, TEXTS = 1_000_000, 512
+PIECE, TEXTS = 300_000, 256
 UNKNOWN = "und"
 
 
@@ -145,8 +145,7 @@ def fit(labelled: DataFrame, per_language: int = 200, centroids: int = 4, slack:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(at, TEXTS)
+            for some in portions(batch, 2):
                 counts = gram_counts(some.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.array([c.tobytes() for c in counts], pa.binary())],
@@ -184,10 +183,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, rejected = model.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)],
-                names=["id", "lang_pred", "score", "rejected"])
+            for some in portions(batch, 1):
+                names, scores, rejected = model.predict(some.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)],
+                    names=["id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         predicted, f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
@@ -199,6 +199,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~model.predict(batch.column(place).to_pylist())[2]))
+            for some in portions(batch, place):
+                yield some.filter(pa.array(~model.predict(some.column(place).to_pylist())[2]))
 
     return docs.mapInArrow(kept, docs.schema)

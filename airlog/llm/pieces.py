@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlog.llm.token_files import together
+from airlog.llm.common import portions
 
 #: Units that a worker remembers, searches that it remembers, and rows of a batch that it returns.
-REMEMBERED, SEARCHES, ROWS = 400_000, 50_000, 256
+REMEMBERED, SEARCHES, ROWS = 200_000, 20_000, 256
 _UNITS = re.compile(r" +[^ ]*")
 _OPEN: dict[str, Pieces] = {}
 
@@ -259,21 +259,16 @@ def encode(docs: DataFrame, model: str, n: int = 2, text_col: str = "text", keep
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = open_pieces(model)
         for batch in batches:
-            at = 0
-            for some in together(batch.column(len(keep)).to_pylist()):
-                found = list(pieces.n_best(some, n))
-                for low in range(0, len(found), ROWS):
-                    rows = found[low:low + ROWS]
-                    flat = [one for row in rows for one in row]
-                    ids = pa.ListArray.from_arrays(
-                        pa.array(np.cumsum([0] + [len(c) // 4 for _, c in flat]), pa.int32()),
-                        pa.array(np.frombuffer(b"".join(c for _, c in flat), dtype="<i4")))
-                    best = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), ids], ["score", "ids"])
-                    nbest = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in rows]), pa.int32()), best)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(c.slice(at, len(rows)) for c in batch.columns[:len(keep)]), nbest.cast(nbest_type)],
-                        names=[*keep, "nbest"])
-                    at += len(rows)
+            for some in portions(batch, len(keep)):
+                rows = list(pieces.n_best(some.column(len(keep)).to_pylist(), n))
+                flat = [one for row in rows for one in row]
+                ids = pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0] + [len(c) // 4 for _, c in flat]), pa.int32()),
+                    pa.array(np.frombuffer(b"".join(c for _, c in flat), dtype="<i4")))
+                best = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), ids], ["score", "ids"])
+                nbest = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in rows]), pa.int32()), best)
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[:len(keep)], nbest.cast(nbest_type)], names=[*keep, "nbest"])
 
     return docs.select(*[docs[c] for c in keep], F.coalesce(docs[text_col].cast("string"), F.lit(""))).mapInArrow(
         encoded, schema + ", nbest array<struct<score: double, ids: array<int>>>")

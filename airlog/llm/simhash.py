@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlog.llm.common import written
+from airlog.llm.common import portions, written
 from airlog.llm.components import connected_components
 
 #: Rows of a partition that are turned into trees together, and pairs of a search that are looked at together.
@@ -50,7 +50,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(t, width, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
+            found = np.array([
+                simhash(t, width, seed) for some in portions(batch, 1) for t in some.column(1).cast(pa.binary()).to_pylist()
+            ], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(hashed, schema)

@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters after which a leaf ends at the next place where it may, and rows of a batch that is returned.
-LEAF, ROWS = 512, 256
+from airlog.llm.common import portions
+
+#: Characters after which a leaf ends at the next place where it may.
+LEAF = 512
 _CUT = re.compile(r"(?<=\S)[ \n]")
 _OPEN: dict[tuple[str, str], object] = {}
 
@@ -134,8 +136,7 @@ def count_edited(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = open_ranks(ranks, pattern)
         for batch in batches:
-            for low in range(0, batch.num_rows, ROWS):
-                some = batch.slice(low, ROWS)
+            for some in portions(batch, 1):
                 before, texts, after, again = [], [], [], []
                 for text, edits in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
                     tree = CountTree(text or "", encoding)

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airlog.llm import rans
-from airlog.llm.common import written
+from airlog.llm.common import portions, written
 
 SECTION, BLOCK = 1 << 22, 1 << 19
-#: Units that a worker remembers, and characters that are tokenized together.
-REMEMBERED, TOGETHER = 400_000, 1_000_000
+#: Units that a worker remembers.
+REMEMBERED = 200_000
 #: A space after white space: there a text can not be cut into units.
 _DOUBLE = re.compile(r"\s ")
 _OPEN: dict[str, Units] = {}
@@ -76,18 +76,6 @@ def open_units(path: str) -> Units:
     return _OPEN[path]
 
 
-def together(texts: list[str], size: int = TOGETHER) -> Iterator[list[str]]:
-    """Stretches of texts with about so many characters."""
-    start = total = 0
-    for k, text in enumerate(texts):
-        total += len(text)
-        if total >= size:
-            yield texts[start:k + 1]
-            start, total = k + 1, 0
-    if start < len(texts):
-        yield texts[start:]
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id",
                       text_col: str = "text") -> None:
     """Tokenize every text, append end_id, and write the ids in ascending order of document ids below path.
@@ -124,14 +112,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         ids: list = []
         coded: list[bytes] = []
         for batch in batches:
-            file_no, at = batch.column(2)[0].as_py() if batch.num_rows else file_no, 0
-            own = batch.column(0).to_pylist()
-            for texts in together(batch.column(1).to_pylist()):
-                for one in units.encode(texts):
+            for some in portions(batch, 1):
+                file_no = some.column(2)[0].as_py()
+                ids += some.column(0).to_pylist()
+                for one in units.encode(some.column(1).to_pylist()):
                     coded.append(one + end)
-                    ids.append(own[at])
                     held += len(one) // 4 + 1
-                    at += 1
                 if held >= SECTION:
                     yield section_row(file_no, section, start, ids, coded)
                     ids, coded, held, section, start = [], [], 0, section + 1, start + held
