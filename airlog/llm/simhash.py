@@ -202,7 +202,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).where("keep").drop("keep"), "kept")
 
     def stays(ids: DataFrame) -> DataFrame:
-        return docs.join(ids.select("kept_id"), docs[id_col].eqNullSafe(ids["kept_id"]), "left_semi")
+        # the kept ids grow with the corpus: a merge join at every size, never a broadcast
+        return docs.join(ids.select("kept_id").hint("merge"), docs[id_col].eqNullSafe(ids["kept_id"]), "left_semi")
 
     once, repeated = kept.where("kept_rows = 1"), kept.where("kept_rows > 1")
     if repeated.isEmpty():
