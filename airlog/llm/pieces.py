@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,9 @@ class Pieces:
                 text = piece.replace("▁", " ")
                 self.pieces[text] = (k, model.get_score(k))
                 self.bytes_of.append(text.encode())
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.byte_lengths = np.array([len(b) for b in self.bytes_of])
+        self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
         if len(byte_ids) != 256:
             raise ValueError("the vocabulary has no pieces for bytes")
         self.byte_ids = [byte_ids[b] for b in range(256)]
@@ -218,7 +222,7 @@ class Pieces:
             best = sum(scores)
             results = [(best, b"".join(coded))]
             if n > 1 and own:
-                places = sorted(heapq.nsmallest(n - 1, range(len(own)), key=gaps.__getitem__))
+                places = range(len(own)) if len(own) < n else np.sort(np.argpartition(np.array(gaps), n - 2)[:n - 1]).tolist()
                 # of segmentations with equal scores the search may meet another one first than Viterbi chose
                 choices = []
                 for p in places:
@@ -241,9 +245,15 @@ class Pieces:
             for unit in new:
                 del self.known[unit]
 
-    def decode(self, ids: list[int]) -> str:
-        joined = b"".join(map(self.bytes_of.__getitem__, ids))
-        return (joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of rows of ids: row k has the ids from offsets[k] to offsets[k + 1]."""
+        lengths = self.byte_lengths[ids]
+        ends = np.cumsum(lengths)
+        spread = np.repeat(self.byte_starts[ids] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        joined = self.all_bytes[spread].tobytes()
+        bounds = np.concatenate([[0], ends])[offsets - offsets[0]].tolist()
+        return [joined[a + 1 if joined[a:a + 1] == b" " and a < b else a:b].decode("utf-8", "replace")
+                for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def encode(docs: DataFrame, model: str, n: int = 2, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -284,8 +294,11 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_name: str = "
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS):
                 some = batch.slice(low, ROWS)
-                texts = [None if ids is None else pieces.decode(ids) for ids in some.column(len(others)).to_pylist()]
+                ids = some.column(len(others))
+                offsets = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy())])
+                texts = pieces.decode(ids.flatten().to_numpy(), offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns[:len(others)], pa.array(texts, pa.string())], names=[*(f.name for f in others), text_name])
+                    [*some.columns[:len(others)], pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(False))],
+                    names=[*(f.name for f in others), text_name])
 
     return rows.select(*[rows[f.name] for f in others], rows[ids_col]).mapInArrow(decoded, f"{schema}, `{text_name}` string")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-SCALE, LANES, CHECKPOINT = 20, 512, 256
+SCALE, LANES, CHECKPOINT = 19, 512, 256
 _LOW = np.uint64(1 << 31)
 _WORD, _SCALE = np.uint64(32), np.uint64(SCALE)
 _WORD_MASK, _SLOT_MASK = np.uint64(0xFFFFFFFF), np.uint64((1 << SCALE) - 1)
@@ -52,55 +52,69 @@ class Table:
         return (np.cumsum(self.shares, dtype=np.uint64) - self.shares).astype(np.uint64)
 
 
-def encode(ids: np.ndarray, table: Table) -> tuple[bytes, bytes]:
-    """(checkpoints, payload) of a block of one id or more."""
-    steps = -(-len(ids) // LANES)
-    at = np.searchsorted(table.ids, ids)
-    at = np.concatenate([at, np.full(steps * LANES - len(ids), at[0])]).reshape(steps, LANES)
+def encode(blocks: list[np.ndarray], table: Table) -> list[tuple[bytes, bytes]]:
+    """(checkpoints, payload) of each block; every block has one id or more. Blocks are coded side by side."""
+    steps = np.array([-(-len(b) // LANES) for b in blocks])
+    order = np.argsort(-steps, kind="stable")  # the blocks still to be coded at a step are the first ones
+    at = np.zeros((steps.max(), len(blocks), LANES), dtype=np.int64)
+    place_of = np.zeros(int(table.ids[-1]) + 1, dtype=np.int32)
+    place_of[table.ids] = np.arange(len(table.ids))
+    for k, b in enumerate(order):
+        own = place_of[blocks[b]]
+        own = np.concatenate([own, np.full(steps[b] * LANES - len(own), own[0])])
+        at[:steps[b], k] = own.reshape(-1, LANES)
     shares, starts = table.shares.astype(np.uint64), table.starts()
-    limits = shares << np.uint64(63 - SCALE)
-    state = np.full(LANES, _LOW)
-    words: list[np.ndarray] = []
-    kept: list[np.ndarray] = []
-    for step in range(steps - 1, -1, -1):
-        row = at[step]
-        share = shares[row]
-        full = state >= limits[row]
-        words.append((state[full] & _WORD_MASK).astype("<u4"))
-        state[full] >>= _WORD
-        quotient, rest = np.divmod(state, share)
-        state = (quotient << _SCALE) + rest + starts[row]
+    state = np.full((len(blocks), LANES), _LOW)
+    words: list[list[np.ndarray]] = [[] for _ in blocks]
+    kept: list[list[np.ndarray]] = [[] for _ in blocks]
+    open_blocks = np.searchsorted(-steps[order], -np.arange(steps.max()), side="left")
+    for step in range(steps.max() - 1, -1, -1):
+        count = int(open_blocks[step])
+        row, x = at[step, :count], state[:count]
+        share = shares.take(row)
+        full = (x >> np.uint64(63 - SCALE)) >= share
+        low = (x[full] & _WORD_MASK).astype("<u4")
+        ends = np.cumsum(np.count_nonzero(full, axis=1)).tolist()
+        for k, (begin, end) in enumerate(zip([0, *ends], ends)):
+            words[k].append(low[begin:end])
+        x[:] = np.where(full, x >> _WORD, x)
+        quotient = x // share
+        x[:] = (quotient << _SCALE) + (x - quotient * share) + starts.take(row)
         if step % CHECKPOINT == 0:
-            kept.append(state.astype("<u8"))
-    words.reverse()
-    kept.reverse()
-    places = np.concatenate([[0], np.cumsum([len(w) for w in words])])[:steps:CHECKPOINT].astype("<u8")
-    return b"".join(p.tobytes() + k.tobytes() for p, k in zip(places, kept)), b"".join(w.tobytes() for w in words)
+            for k in range(count):
+                kept[k].append(x[k].astype("<u8"))
+    coded: list = [None] * len(blocks)
+    for k, b in enumerate(order):
+        own = words[k][::-1]
+        places = np.concatenate([[0], np.cumsum([len(w) for w in own])])[:steps[b]:CHECKPOINT].astype("<u8")
+        coded[b] = (b"".join(p.tobytes() + s.tobytes() for p, s in zip(places, kept[k][::-1])), b"".join(w.tobytes() for w in own))
+    return coded
 
 
 class Decoder:
     def __init__(self, table: Table):
-        self.ids = np.repeat(table.ids, table.shares)
-        self.shares = np.repeat(table.shares.astype(np.uint64), table.shares)
-        self.rest = np.arange(1 << SCALE, dtype=np.uint64) - np.repeat(table.starts(), table.shares)
-
-    def part(self, checkpoints: bytes, payload: bytes, count: int, k: int) -> np.ndarray:
-        """The ids from the k-th checkpoint up to the next one, of a block of count ids."""
-        size = 8 * (LANES + 1)
-        kept = np.frombuffer(checkpoints, dtype="<u8", count=LANES + 1, offset=k * size)
-        words, place, state = np.frombuffer(payload, dtype="<u4"), int(kept[0]), kept[1:].copy()
-        steps = min(CHECKPOINT, -(-count // LANES) - k * CHECKPOINT)
-        out = np.empty((steps, LANES), dtype=np.uint32)
-        for step in range(steps):
-            slot = state & _SLOT_MASK
-            out[step] = self.ids[slot]
-            state = self.shares[slot] * (state >> _SCALE) + self.rest[slot]
-            low = state < _LOW
-            more = int(np.count_nonzero(low))
-            state[low] = (state[low] << _WORD) | words[place:place + more]
-            place += more
-        return out.ravel()[:count - k * CHECKPOINT * LANES]
-
-    def block(self, checkpoints: bytes, payload: bytes, count: int) -> np.ndarray:
-        parts = len(checkpoints) // (8 * (LANES + 1))
-        return np.concatenate([self.part(checkpoints, payload, count, k) for k in range(parts)])
+        self.ids, self.shares, self.starts = table.ids, table.shares.astype(np.uint64), table.starts()
+        small = np.uint16 if len(table.ids) <= 1 << 16 else np.uint32
+        self.places = np.repeat(np.arange(len(table.ids), dtype=small), table.shares)
+
+    def block(self, checkpoints: bytes, payload: bytes, count: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """The ids of a block of count ids, from its first checkpoint up to the last; what lies between is decoded side by side."""
+        kept = np.frombuffer(checkpoints, dtype="<u8").reshape(-1, LANES + 1)[first:last]
+        words = np.append(np.frombuffer(payload, dtype="<u4"), np.uint32(0))
+        place, state = kept[:, 0].astype(np.int64), kept[:, 1:].astype(np.uint64)
+        steps = np.minimum(CHECKPOINT, -(-count // LANES) - CHECKPOINT * np.arange(first, first + len(kept)))
+        out = np.empty((len(kept), CHECKPOINT, LANES), dtype=self.places.dtype)
+        for step in range(steps.max(initial=0)):
+            parts = len(kept) if step < steps[-1] else len(kept) - 1  # only the block's last part can be shorter
+            x = state[:parts]
+            slot = x & _SLOT_MASK
+            found = self.places[slot]
+            out[:parts, step] = found
+            x[:] = self.shares[found] * (x >> _SCALE) + slot - self.starts[found]
+            low = x < _LOW
+            taken = np.cumsum(low, axis=1)
+            word = words[np.minimum(place[:parts, None] + taken - 1, len(words) - 1)]
+            x[:] = np.where(low, (x << _WORD) | word, x)
+            place[:parts] += taken[:, -1]
+        flat = out.reshape(-1)
+        return self.ids[flat[:min(len(flat), count - first * CHECKPOINT * LANES)]]

@@ -9,7 +9,6 @@ files are Parquet files with a row for each table and each block: Spark's commit
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,10 +22,8 @@ from airlog.llm import rans
 from airlog.llm.common import portions, written
 
 SECTION, BLOCK = 1 << 22, 1 << 19
-#: Units that a worker remembers.
-REMEMBERED = 200_000
-#: A space after white space: there a text can not be cut into units.
-_DOUBLE = re.compile(r"\s ")
+#: Units, and words of units, that a worker remembers; characters of words that are tokenized as one text.
+REMEMBERED, JOINED = 500_000, 20_000
 _OPEN: dict[str, Units] = {}
 
 
@@ -35,7 +32,8 @@ class Units:
 
     The tokenizer cuts a text into pre-tokens before anything else, and always before a space that follows another character than
     white space. So a text without a space after white space is, at its spaces, a sequence of units whose ids do not depend on
-    their neighbours. Other texts are encoded as they are.
+    their neighbours. Other texts are encoded as they are. A unit of Latin letters with one stop or comma after them is two
+    pre-tokens; words of letters not met before are encoded many at a time, parted by the tokens that begin with a space.
     """
 
     def __init__(self, path: str):
@@ -43,31 +41,72 @@ class Units:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.begins_word = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(size)])
+        self.ends = {c: self._ids([c])[0] for c in ".,"}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters, each with a space before it."""
+        found: dict[str, bytes] = {}
+        per_text = max(1, JOINED // (1 + max(map(len, words), default=1)))
+        for at in range(0, len(words), per_text):
+            some = words[at:at + per_text]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            starts = (4 * np.flatnonzero(self.begins_word[ids])).tolist()
+            if len(starts) != len(some) or starts[0]:
+                found.update(zip(some, self._ids([" " + w for w in some])))
+                continue
+            packed = ids.tobytes()
+            found.update(zip(some, [packed[a:b] for a, b in zip(starts, [*starts[1:], len(packed)])]))
+        return found
+
+    def _learn(self, units: list[str]) -> dict[str, bytes | None]:
+        """Ids of units; none for one that can not be followed by a space, because it is empty or ends in white space."""
+        plain, split, others = [], [], []
+        for unit in units:
+            word = unit[:-1] if unit[-1:] in self.ends else unit
+            if word.isalpha() and max(word) < "\u0250":
+                (plain if word is unit else split).append(unit)
+            else:
+                others.append(unit)
+        wanted = {*plain, *(u[:-1] for u in split)}
+        new = self._words(sorted(wanted.difference(self.words), key=len))
+        get = lambda w: self.words.get(w) or new[w]
+        fresh: dict[str, bytes | None] = {u: get(u) for u in plain}
+        fresh.update((u, get(u[:-1]) + self.ends[u[-1]]) for u in split)
+        fresh.update(zip(others, self._ids([u[1:] if u[:1] == " " else " " + u for u in others])))
+        fresh.update((u, None) for u in others if not u or u[-1].isspace())
+        if len(self.words) < REMEMBERED:
+            self.words.update(new)
+        if len(self.known) < REMEMBERED:
+            self.known.update(fresh)
+        return fresh
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        units: list[list[str] | None] = []
-        seen: set[str] = set()
+        get, rows, missing = self.known.get, [], set()
         for text in texts:
-            if _DOUBLE.search(text):
-                units.append(None)
-                continue
             parts = text.split(" ")
-            parts[0] = " " + parts[0]  # no unit has a space, so this marks the one unit without a space before it
-            units.append(parts)
-            seen.update(parts)
-        new = list(seen.difference(self.known))
-        self.known.update(zip(new, self._ids([u[1:] if u[:1] == " " else " " + u for u in new])))
-        whole = iter(self._ids([t for t, u in zip(texts, units) if u is None]))
-        found = [next(whole) if u is None else b"".join(map(self.known.__getitem__, u)) for u in units]
-        if len(self.known) > REMEMBERED:
-            for unit in new:
-                del self.known[unit]
-        return found
+            parts[0] = " " + parts[0]  # no other unit has a space: this marks the one unit without a space before it
+            found = list(map(get, parts))
+            gaps = [k for k, ids in enumerate(found) if ids is None]
+            missing.update([parts[k] for k in gaps])
+            rows.append((parts, found, gaps))
+        fresh = self._learn(list(missing))
+        out: list[bytes] = []
+        for text, (parts, found, gaps) in zip(texts, rows):
+            for k in gaps:
+                found[k] = fresh[parts[k]]
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # a space after white space
+                out.append(self._ids([text])[0])
+        return out
 
 
 def open_units(path: str) -> Units:
@@ -96,14 +135,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         lengths = np.array([len(c) // 4 for c in coded], dtype=np.int64)
         ends = np.cumsum(lengths)
         number = (ends - lengths) // BLOCK
-        blocks = []
-        for block in np.unique(number):
-            docs_of = np.flatnonzero(number == block)
-            first, last = docs_of[0], docs_of[-1]
-            some = tokens[ends[first] - lengths[first]:ends[last]]
-            checkpoints, payload = rans.encode(some, frequencies)
-            blocks.append({"ids": ids[first:last + 1], "lengths": lengths[docs_of].tolist(), "n_tokens": len(some),
-                           "checkpoints": checkpoints, "payload": payload, "payload_crc32": zlib.crc32(payload)})
+        firsts = np.flatnonzero(np.diff(number, prepend=-1))
+        lasts = np.append(firsts[1:], len(ids))
+        cut = [tokens[ends[a] - lengths[a]:ends[b - 1]] for a, b in zip(firsts, lasts)]
+        blocks = [{"ids": ids[a:b], "lengths": lengths[a:b].tolist(), "n_tokens": len(some), "checkpoints": checkpoints,
+                   "payload": payload, "payload_crc32": zlib.crc32(payload)}
+                  for a, b, some, (checkpoints, payload) in zip(firsts, lasts, cut, rans.encode(cut, frequencies))]
         values = [[file_no], [section], [start], [len(tokens)], [frequencies.to_bytes()], [blocks]]
         return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, schema)], schema=schema)
 
