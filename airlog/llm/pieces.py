@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from airlog.llm.common import portions
 
 #: Units that a worker remembers, searches that it remembers, and rows of a batch that it returns.
-REMEMBERED, SEARCHES, ROWS = 200_000, 20_000, 256
+REMEMBERED, SEARCHES, ROWS = 300_000, 20_000, 256
 _UNITS = re.compile(r" +[^ ]*")
 _OPEN: dict[str, Pieces] = {}
 
@@ -70,6 +70,8 @@ class Pieces:
         self.longest = max(map(len, self.pieces))
         self.fallback = min(score for _, score in self.pieces.values() if score > -1e8) - 10
         self._build_trie()
+        #: Pairs of neighbours inside some piece: elsewhere a lattice falls into two.
+        self.bridged = {piece[k:k + 2] for piece in self.pieces for k in range(len(piece) - 1)}
         self.known: dict[str, tuple[bytes, float, float]] = {}
         self.searched: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
@@ -117,10 +119,22 @@ class Pieces:
         found.append((bare, np.ones(len(bare), dtype=np.int64), np.full(len(bare), -1), width * self.fallback))
         return tuple(np.concatenate(column) for column in zip(*found))
 
-    def learn(self, units: list[str]) -> None:
-        """Viterbi over many units at once."""
+    def learn(self, units: list[str]) -> dict[str, tuple[bytes, float, float]]:
+        """Best ids, score and gap of each unit. A sign at the end that no piece joins to what is before it is looked up alone."""
+        heads = {u: u[:-1] for u in units if u[-1] in ".,:;!?" and len(u) > 2 and u[-2:] not in self.bridged}
+        wanted = {*(heads.get(u, u) for u in units), *(u[-1] for u in heads)}
+        fresh = self.viterbi(sorted(wanted.difference(self.known), key=len))
+        for unit, head in heads.items():
+            (a, x, g), (b, y, h) = (fresh.get(part) or self.known[part] for part in (head, unit[-1]))
+            fresh[unit] = (a + b, x + y, min(g, h))
+        if len(self.known) < REMEMBERED:
+            self.known.update(fresh)
+        return fresh | {u: self.known[u] for u in units if u not in fresh}
+
+    def viterbi(self, units: list[str]) -> dict[str, tuple[bytes, float, float]]:
+        """The same for many units that are not empty, all at once."""
         if not units:
-            return
+            return {}
         sizes = np.array([len(u) for u in units])
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         owner = np.repeat(np.arange(len(units)), sizes)
@@ -168,7 +182,7 @@ class Pieces:
             own = slice(begins[u], int(lasts[u]))
             coded[u] = self._with_bytes([
                 (int(k), units[u][int(s) - int(begin[u])]) for k, s in zip(ids[own], starts[own])])
-        self.known.update(zip(units, zip(coded, scores, margins)))
+        return dict(zip(units, zip(coded, scores, margins)))
 
     def _with_bytes(self, pieces: list[tuple[int, str]]) -> bytes:
         out: list[int] = []
@@ -214,10 +228,16 @@ class Pieces:
         """For each text its n best segmentations (all, if fewer): score, ids as little-endian 32-bit integers. '' has the empty one."""
         units = [[] if not t else [" " + p for p in t.split(" ")] if "  " not in t and t[0] != " " and t[-1] != " "
                  else _UNITS.findall(" " + t) for t in texts]
-        new = list(set().union(*units).difference(self.known))
-        self.learn(new)
+        get, rows, missing = self.known.get, [], set()
         for own in units:
-            records = list(map(self.known.__getitem__, own))
+            records = list(map(get, own))
+            gone = [k for k, record in enumerate(records) if record is None]
+            missing.update([own[k] for k in gone])
+            rows.append((own, records, gone))
+        fresh = self.learn(list(missing))
+        for own, records, gone in rows:
+            for k in gone:
+                records[k] = fresh[own[k]]
             coded, scores, gaps = map(list, zip(*records)) if records else ([], [], [])
             best = sum(scores)
             results = [(best, b"".join(coded))]
@@ -241,9 +261,6 @@ class Pieces:
                             changed[p] = options[k][1]
                     results.append((best - loss, b"".join(changed)))
             yield results
-        if len(self.known) > REMEMBERED:
-            for unit in new:
-                del self.known[unit]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of rows of ids: row k has the ids from offsets[k] to offsets[k + 1]."""
