@@ -27,7 +27,7 @@ from airlog.llm.maxscore import matrix, usable
 from airlog.llm.simhash import merge_labels
 
 #: Subspaces, grid coordinates of each, width of a cell in ranges, rows of a tile, and pairs that are verified at a time.
-BLOCKS, GRID, WIDTH, TILE, PAIRS = 4, 2, 2.0, 2048, 200_000
+BLOCKS, GRID, WIDTH, TILE, PAIRS = 4, 2, 2.0, 8192, 200_000
 #: Added to the budget, far above what rounding can take from a squared distance.
 SLACK = 1e-9
 
@@ -78,7 +78,7 @@ class Subspaces:
                 yield block, rows, number[rows], np.full(len(rows), not any(step))
 
     def distances(self, block: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Squared distances in a subspace of rows of a to rows of b, or of pairs of rows if both have the same rank."""
+        """Squared distances in a subspace between rows of a and b, added up in one order: the same wherever a pair is met."""
         part = self.parts[block]
         out = 0.0
         for k in part:
@@ -88,14 +88,17 @@ class Subspaces:
 
     def candidates(self, block: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of rows that this subspace is the first to find."""
-        near = self.distances(block, a[:, None, :], b[None, :, :]) <= self.budgets[block]
-        left, right = np.nonzero(near)
-        for before in range(block):
-            fresh = np.ones(len(left), dtype=bool)
+        part = slice(self.parts[block].start, self.parts[block].stop)
+        x, y = a[:, part], b[:, part]
+        # a product of matrices first, whose rounding depends on the rows beside: with slack, and then exactly for what is left
+        about = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
+        left, right = np.nonzero(about <= self.budgets[block] + SLACK)
+        for at_most, other in [(True, block), *((False, before) for before in range(block))]:
+            stays = np.ones(len(left), dtype=bool)
             for at in range(0, len(left), PAIRS):
                 own = slice(at, at + PAIRS)
-                fresh[own] = self.distances(before, a[left[own]], b[right[own]]) > self.budgets[before]
-            left, right = left[fresh], right[fresh]
+                stays[own] = (self.distances(other, a[left[own]], b[right[own]]) <= self.budgets[other]) == at_most
+            left, right = left[stays], right[stays]
         return left, right
 
 
