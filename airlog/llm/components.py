@@ -15,7 +15,7 @@ def _state(links: DataFrame) -> tuple:
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of the graph with the links (a, b), as rows (node, component).
 
-    component is the smallest node reachable. Only nodes with a link to another node are returned; links of a node to itself,
+    component is the smallest node reachable; it has no row itself, nor have nodes without a link to another node. Links of a node to itself,
     repeated links and links with a null end say nothing. An empty table of links gives an empty table.
 
     Each round hangs every larger neighbour of a node on the node's smallest neighbour, then every smaller neighbour of a node

@@ -136,12 +136,12 @@ def fit(labelled: DataFrame, per_language: int = 200, centroids: int = 4, slack:
     letter teach nothing. Without any text the model rejects everything.
     """
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    ids = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label")).where(
-        "id IS NOT NULL AND label IS NOT NULL")
-    picked = written(ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select(
+    known = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"),
+                            F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND label IS NOT NULL")
+    picked = written(known.select("id", "label").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select(
         F.col("id").alias("picked_id"), F.col("label").alias("picked_label")).distinct(), "training-rows")
-    texts = labelled.join(picked, (F.col(id_col) == F.col("picked_id")) & (F.col(label_col) == F.col("picked_label"))).select(
-        F.col("picked_id").alias("id"), F.col("picked_label").alias("label"), F.col(text_col).cast("string").alias("text"))
+    texts = known.join(picked, (F.col("id") == F.col("picked_id")) & (F.col("label") == F.col("picked_label"))).select(
+        "id", "label", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -108,9 +108,8 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     # one row for each source; written, so that its size is known before the entries are joined with it
     decided = written(goals.join(thresholds(entries, goals, passes), "queue", "left"), "thresholds")
     copies = F.when(F.col("target") > 0, _copies(F.col("place"), F.col("id"), F.col("last"))).otherwise(0)
-    return entries.join(decided, "queue").select(
-        F.when(F.col("id") != _FIRST_ID, F.col("id")).alias("id"), "size", "source_size", "target",
-        copies.cast("int").alias("copies"))
+    found = entries.join(decided, "queue").select("id", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    return found.withColumn("id", F.when(F.col("id") != _FIRST_ID, F.col("id")))
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, passes: int = 2, seed: int = 0,
