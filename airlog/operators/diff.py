@@ -270,19 +270,21 @@ def reconcile_ids(
     """Ids for regenerated catalog rows: identity columns, id, disposition.
 
     A row that is the same as an old one keeps its id (reused); any other gets the next id above the
-    floor and all old ids, in identity order (new). A changed row of a protected id is a conflict and
-    a repeated identity a duplicate; neither gets an id. Protected rows that were not generated again
+    floor and all old ids, in identity order (new). A changed row of a protected id is a conflict, an
+    identity generated twice a duplicate, and one that several old rows have is ambiguous; none gets an id. Protected rows that were not generated again
     are kept.
     """
     keys = list(identity)
     held = old.select(*keys, F.col("id").alias("_old_id"), F.struct(*compare).alias("_was")).join(
         protected.select(F.col("id").alias("_old_id"), F.lit(True).alias("_protected")), "_old_id", "left")
+    repeated = old.groupBy(*keys).agg(F.count(F.lit(1)).alias("_held")).filter("_held > 1")
+    held = held.join(repeated, keys, "left")
     fresh = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*compare)).alias("_now"))
     joined = held.join(fresh, keys, "full_outer")
     same = F.col("_was").eqNullSafe(F.col("_now")) & F.col("_was").isNotNull()
     disposition = (
         F.when(F.col("_copies").isNull(), F.when(F.col("_protected"), "kept"))
-        .when(F.col("_copies") > 1, "duplicate").when(same, "reused").when(F.col("_protected"), "conflict").otherwise("new")
+        .when(F.col("_copies") > 1, "duplicate").when(F.col("_held") > 1, "ambiguous").when(same, "reused").when(F.col("_protected"), "conflict").otherwise("new")
     )
     judged = joined.withColumn("disposition", disposition).filter("disposition IS NOT NULL")
     top = max(old.agg(F.max("id")).first()[0] or 0, floor)
@@ -290,4 +292,5 @@ def reconcile_ids(
     placed = OrderedScan(added, ["_all"], keys, rows_per_task).running(Running("_n", "count", F.lit(1))).result()
     rest = judged.filter("disposition <> 'new'").select(
         *keys, F.when(F.col("disposition").isin("reused", "kept"), F.col("_old_id")).alias("id"), "disposition")
+    rest = rest.filter("id IS NOT NULL").unionByName(rest.filter("id IS NULL").distinct())
     return placed.select(*keys, (F.col("_n") + top).alias("id"), F.lit("new").alias("disposition")).unionByName(rest)

@@ -10,15 +10,18 @@ from airlog.operators.aliases import prefixed
 
 
 def attach_content(blocks: DataFrame, catalog: DataFrame, fields: Sequence[str] = ("path", "title", "duration", "tag")) -> DataFrame:
-    """Add `content`: the catalog items of each block's content_ids in list order, missing ones dropped."""
+    """Add `content`: the catalog items of each block's content_ids in list order, missing ones dropped.
+
+    Each different list is looked up once and joined back, so blocks may share an id.
+    """
     items = catalog.select(F.col("id").alias("_item"), F.struct(F.col("id"), *fields).alias("_content"))
-    rest = F.struct(*[c for c in blocks.columns if c != "id"])
-    members = blocks.select("id", rest.alias("_block"), F.posexplode_outer("content_ids").alias("_pos", "_id"))
-    found = members.join(items, F.col("_id") == F.col("_item"), "left")
-    listed = F.collect_list(F.when(F.col("_content").isNotNull(), F.struct("_pos", "_content")))
-    grouped = found.groupBy("id").agg(F.any_value("_block").alias("_block"), listed.alias("_list"))
-    return grouped.select(
-        "id", "_block.*", F.transform(F.array_sort("_list"), lambda m: m["_content"]).alias("content"))
+    lists = blocks.select(F.col("content_ids").alias("_ids")).distinct()
+    found = lists.select("_ids", F.posexplode("_ids").alias("_pos", "_id")).join(items, F.col("_id") == F.col("_item"))
+    listed = found.groupBy("_ids").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_pos", "_content"))), lambda m: m["_content"]).alias("_listed"))
+    none = F.array().cast(listed.schema["_listed"].dataType)
+    return blocks.join(listed, blocks["content_ids"] == listed["_ids"], "left").select(
+        "id", *[c for c in blocks.columns if c != "id"], F.coalesce("_listed", none).alias("content"))
 
 
 def with_tag(blocks: DataFrame, catalog: DataFrame, content: str = "content_id") -> DataFrame:

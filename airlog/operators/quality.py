@@ -244,23 +244,23 @@ def check_guide(raw: DataFrame, projected: DataFrame, rows_per_task: int = ROWS_
     is on, so no probe is paired with a block.
     """
     def edges(blocks: DataFrame, side: str) -> DataFrame:
-        entry = F.xxhash64("id", "title")
+        entry = F.xxhash64("id", "title", "start_us", "end_us").cast("decimal(20,0)")
         steps = F.explode(F.array(
             F.struct(F.col("start_us").alias("us"), F.lit(1).alias("n")), F.struct(F.col("end_us").alias("us"), F.lit(-1).alias("n"))))
         lasting = with_micros(blocks).filter("end_us > start_us")
         return lasting.select("station", steps.alias("e"), entry.alias("x")).select(
-            "station", "e.us", F.col("e.n").alias(f"{side}_n"), F.col("x").alias(f"{side}_x"))
+            "station", "e.us", F.col("e.n").alias(f"{side}_n"), (F.col("x") * F.col("e.n")).alias(f"{side}_x"))
 
     every = edges(raw, "raw").unionByName(edges(projected, "shown"), allowMissingColumns=True)
     ends = with_micros(raw).select("station", F.explode(F.array("start_us", "end_us")).alias("us"))
     probes = ends.select("station", F.explode(F.array(F.col("us") - 1, F.col("us"), F.col("us") + 1)).alias("us"), F.lit(True).alias("probe"))
     moments = every.unionByName(probes, allowMissingColumns=True).groupBy("station", "us").agg(
         *[F.sum(f"{side}_n").alias(f"{side}_n") for side in ("raw", "shown")],
-        *[F.bit_xor(f"{side}_x").alias(f"{side}_x") for side in ("raw", "shown")], F.bool_or("probe").alias("probe"))
+        *[F.sum(f"{side}_x").cast("decimal(38,0)").alias(f"{side}_x") for side in ("raw", "shown")], F.bool_or("probe").alias("probe"))
     large = is_large(raw.select("station").unionAll(projected.select("station")), ["station"], rows_per_task // 6)
     on = OrderedScan(moments, ["station"], ["us"], large=large).running(
         *[Running(f"{side}_on", "sum", F.col(f"{side}_n")) for side in ("raw", "shown")],
-        *[Running(f"{side}_set", "xor", F.col(f"{side}_x")) for side in ("raw", "shown")]).result().filter("probe")
+        *[Running(f"{side}_set", "sum", F.col(f"{side}_x")) for side in ("raw", "shown")]).result().filter("probe")
     differs = (F.col("raw_on") != F.col("shown_on")) | (F.col("raw_set") != F.col("shown_set"))
     return on.groupBy("station").agg(
         F.count(F.lit(1)).alias("checked"), F.count_if(F.col("shown_on") == 0).alias("zero"),
@@ -269,10 +269,11 @@ def check_guide(raw: DataFrame, projected: DataFrame, rows_per_task: int = ROWS_
 
 
 def json_keys(text: Column | str) -> Column:
-    """All object keys of a JSON text at any depth, in order of appearance."""
+    """All object keys of a JSON text at any depth, in order of appearance, their escapes decoded."""
     tokens = F.regexp_extract_all(col(text), F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
     named = F.filter(tokens, lambda t: F.endswith(t, F.lit(":")))
-    return F.transform(named, lambda t: F.regexp_replace(t, r'^"|"\s*:$', ""))
+    return F.transform(named, lambda t: F.from_json(
+        F.concat(F.lit("["), F.regexp_replace(t, r'\s*:$', ""), F.lit("]")), "array<string>")[0])
 
 
 def is_reference_key(key: Column) -> Column:

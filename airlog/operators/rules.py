@@ -112,11 +112,14 @@ def check_proposal(
     owners: DataFrame,
     protected: DataFrame,
     closed_channels: Sequence[int] = (1, 8),
+    locked_channels: Sequence[int] = (8,),
 ) -> DataFrame:
     """Rule violations of a proposal, as distinct (code, series).
 
     changes: series, action, from_channel, to_channel. directives: series, channel. exclusions and
     protected: series. owners: series, channel as configured now. Series are compared in lower case.
+    Nothing is given to a closed channel and nothing taken from a locked one; what closed channels own
+    stays with them.
     """
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("series", F.lower("series"))
@@ -139,7 +142,7 @@ def check_proposal(
     placed = directives.join(intended, "series", "left").join(counts, "series", "left")
     permitted = F.when(F.col("changed"), F.col("intended")).when(F.col("n_owners") == 1, F.col("owner"))
     used = in_change.union(directives.select("series")).distinct()
-    leaving = source.unionByName(
+    leaving = source.filter(~F.col("channel").isin(*closed)).unionByName(
         excluded.join(owners, "series").filter(~F.col("channel").isin(*closed)).select("series", "channel")).distinct()
     projected = owners.join(leaving, ["series", "channel"], "left_anti").unionByName(
         asked.filter(~F.col("channel").isin(*closed)).select("series", "channel")).distinct()
@@ -147,7 +150,7 @@ def check_proposal(
         found(counts.filter("n_owners > 1"), "exclusive_ownership"),
         found(changes.groupBy("series").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several_changes"),
         found(changes.join(held, "series", "left_semi"), "protected_change"),
-        found(changes.filter(F.col("from_channel").isin(*closed) | F.col("to_channel").isin(*closed)), "closed_channel_change"),
+        found(changes.filter(F.col("from_channel").isin(*locked_channels) | F.col("to_channel").isin(*closed)), "closed_channel_change"),
         found(source.join(owners, ["series", "channel"], "left_anti"), "not_assigned_to_source"),
         found(changes.filter("action = 'assign'").join(counts, "series", "left_semi"), "already_assigned"),
         found(target.join(asked, ["series", "channel"], "left_anti"), "missing_directive"),
@@ -205,42 +208,19 @@ def effect_evidence(directives: DataFrame, blocks: DataFrame, timeline: DataFram
 
 # ---- recommendations -----------------------------------------------------------------------
 
-MAX_KEYWORDS = 5000
-
-
 def keyword_hits(shows: DataFrame, policy: DataFrame) -> DataFrame:
     """(show, number, name, keyword) for every keyword that a show's name contains, ignoring case.
 
-    A policy of up to MAX_KEYWORDS keywords is a list tested inside each row. A larger one is met by
-    an equi-join on the substrings of each name that have the length of some keyword.
+    An equi-join on the different substrings of each name that have the length of some keyword; the
+    lengths are a joined table too.
     """
     words = policy.select("number", "name", F.explode("keywords").alias("keyword")).filter("keyword <> ''").distinct()
-    listed = words.limit(MAX_KEYWORDS + 1).collect()
-    text = F.lower("show")
-    if len(listed) <= MAX_KEYWORDS:
-        if not listed:
-            return shows.select("show", F.lit(0).alias("number"), F.lit("").alias("name"), F.lit("").alias("keyword")).limit(0)
-        table = F.array(*[F.struct(F.lit(w["number"]).alias("number"), F.lit(w["name"]).alias("name"),
-                                   F.lit(w["keyword"]).alias("keyword")) for w in listed])
-        held = F.filter(table, lambda w: F.contains(text, F.lower(w["keyword"])))
-        return shows.select("show", F.explode(held).alias("h")).select("show", "h.number", "h.name", "h.keyword")
-    return keyword_hits_by_join(shows, words)
-
-
-def keyword_hits_by_join(shows: DataFrame, words: DataFrame) -> DataFrame:
-    """The same hits through a join on substrings, for policies of any size."""
-    lengths = words.select(F.length(F.lower("keyword")).alias("n")).distinct()
-    sized = F.sort_array(F.collect_set("n"))
-    widths = [int(n) for n in (lengths.agg(sized.alias("n")).first()[0] or [])]
-    text = F.lower("show")
-
-    def pieces_of(width: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - width + 1)
-        return F.when(F.length(text) >= width, F.transform(starts, lambda i: F.substr(text, i, F.lit(width))))
-
-    empty = F.array().cast("array<string>")
-    parts = F.array_distinct(F.concat(empty, *[F.coalesce(pieces_of(n), empty) for n in widths]))
-    cut = shows.select("show", F.explode(parts).alias("_piece"))
+    lengths = words.select(F.length(F.lower("keyword")).alias("_n")).distinct()
+    sized = shows.select("show", F.lower("show").alias("_text")).select(
+        "show", "_text", F.explode(F.sequence(F.lit(1), F.length("_text"))).alias("_n")).join(lengths, "_n")
+    starts = F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1)
+    cut = sized.select("show", F.explode(F.array_distinct(
+        F.transform(starts, lambda i: F.substr("_text", i, F.col("_n"))))).alias("_piece"))
     return cut.join(words.withColumn("_piece", F.lower("keyword")), "_piece").select("show", "number", "name", "keyword")
 
 

@@ -144,14 +144,31 @@ def _(t):
     return q.check_guide(t.blocks_by_user, shown)
 
 
+@query("check_guide_repeats", """
+    WITH twice AS (SELECT * FROM blocks_by_user UNION ALL SELECT * FROM blocks_by_user WHERE id % 7 = 0),
+    probes AS (SELECT DISTINCT station, u.us FROM (SELECT station, unnest([epoch_us(start_time) - 1, epoch_us(start_time), epoch_us(start_time) + 1,
+                      epoch_us(end_time) - 1, epoch_us(end_time), epoch_us(end_time) + 1]) AS us FROM blocks_by_user) u),
+    hits AS (SELECT p.station, p.us, count(b.id) AS n, count(b.id) FILTER (WHERE b.id % 7 = 0) AS other
+             FROM probes p LEFT JOIN twice b ON b.station = p.station AND epoch_us(b.start_time) <= p.us AND epoch_us(b.end_time) > p.us GROUP BY 1, 2)
+    SELECT station, CAST(count(*) AS BIGINT) AS checked, CAST(count(*) FILTER (WHERE n = 0) AS BIGINT) AS zero, CAST(count(*) FILTER (WHERE n = 1) AS BIGINT) AS one,
+      CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS multiple, CAST(count(*) FILTER (WHERE other > 0) AS BIGINT) AS mismatched
+    FROM hits GROUP BY 1""")
+def _(t):
+    twice = t.blocks_by_user.unionAll(t.blocks_by_user.filter("id % 7 = 0"))
+    shown = twice.withColumn("title", F.when(F.col("id") % 7 == 0, F.lit("other")).otherwise(F.col("title")))
+    return q.check_guide(twice, shown)
+
+
 @query("hidden_references", """
     SELECT id, 'sequence_key' AS "column", 'Catalog-Ref' AS json_key FROM blocks WHERE id % 6 = 0
-    UNION ALL SELECT id, 'break_info', 'named_sequence_id' FROM blocks WHERE id % 10 = 0""")
+    UNION ALL SELECT id, 'break_info', 'named_sequence_id' FROM blocks WHERE id % 10 = 0
+    UNION ALL SELECT id, 'break_info', 'catalog_id' FROM blocks WHERE id % 10 = 5""")
 def _(t):
     n = F.col("id")
     rows = t.blocks.select(
         "id", F.when(n % 6 == 0, F.lit('{"a": [{"Catalog-Ref": 3, "x": "catalog_id\\": 5"}]}')).otherwise('{"tag": "catalog_id", "id": 4}').alias("sequence_key"),
-        F.when(n % 10 == 0, F.lit('{"deep": {"named_sequence_id" : 7}}')).alias("break_info"))
+        F.when(n % 10 == 0, F.lit('{"deep": {"named_sequence_id" : 7}}')).when(
+            n % 10 == 5, F.lit('{"\\u0063atalog\\u005fid": 7}')).alias("break_info"))
     return q.check_hidden_references(rows, ["sequence_key", "break_info"])
 
 

@@ -62,6 +62,17 @@ def _(t):
     return found.select("id", F.array_join(F.transform("content", lambda c: c["title"]), ",").alias("titles"))
 
 
+@query("attach_content_repeated", """
+    SELECT b.id % 50 AS id, b.station, b.start_time, CASE b.id % 4 WHEN 0 THEN coalesce(x.title, '') WHEN 1 THEN
+             CASE WHEN x.id IS NOT NULL AND y.id IS NOT NULL THEN x.title || ',' || y.title ELSE coalesce(x.title, y.title, '') END ELSE '' END AS titles
+    FROM blocks b LEFT JOIN items x ON x.id = b.id % 2500 AND (b.id % 4 = 1 OR b.id % 2500 <> 0)
+    LEFT JOIN items y ON y.id = (b.id * 7) % 2500""")
+def _(t):
+    repeated = tables.decode_blocks(_raw_blocks(t)).withColumn("id", F.col("id") % 50)
+    found = jn.attach_content(repeated, t.parts_as_items)
+    return found.select("id", "station", "start_time", F.array_join(F.transform("content", lambda c: c["title"]), ",").alias("titles"))
+
+
 @query("with_tag", "SELECT b.id, b.station, i.tag FROM blocks b LEFT JOIN items i ON i.id = b.id * 3")
 def _(t):
     return jn.with_tag(t.blocks.withColumn("content_id", F.col("id") * 3), t.parts_as_items).select("id", "station", "tag")
