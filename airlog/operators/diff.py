@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from airlog.functions.paths import show_of
 from airlog.functions.values import canonical
 from airlog.operators.intervals import _ntz, clipped, components
-from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running, is_large
+from airlog.operators.scan import DAY_US, OrderedScan, Running, numbered_by_levels
 
 
 # ---- manifests -----------------------------------------------------------------------------
@@ -80,12 +80,10 @@ class ScheduleDiff:
     """
 
     def __init__(self, base: DataFrame, proposed: DataFrame, windows: DataFrame, fields: Sequence[str],
-                 rows_per_task: int = ROWS_PER_TASK):
+                 width: int = DAY_US):
         self.fields, self.windows = list(fields), windows
-        # both sides together bound every scan below
-        self.large = is_large(base.select("station").unionAll(proposed.select("station")), ["station"], rows_per_task)
         labelled = components(
-            _sides(base, proposed, windows, fields), ["station"], ["side", *fields, "id"], large=self.large)
+            _sides(base, proposed, windows, fields), ["station"], ["side", *fields, "id"], width)
         self._interval = ["station", "component_us", "start_us", "end_us"]
         self.meanings = labelled.groupBy(*self._interval, *self.fields).agg(
             F.count_if(F.col("side") == 0).alias("b"), F.count_if(F.col("side") == 1).alias("p"))
@@ -122,9 +120,8 @@ class ScheduleDiff:
         matched = self.components.filter("kind = 'matched' AND b > same").select("station", "component_us")
         left = self.meanings.filter("b <> p").join(matched, ["station", "component_us"], "left_semi")
         sized = left.withColumns({"side": (F.col("p") > F.col("b")).cast("int"), "n": F.abs(F.col("b") - F.col("p"))})
-        placed = OrderedScan(
-            sized, ["station", "start_us", "end_us", "side"], self.fields, large=self.large
-        ).running(Running("upto", "sum", F.col("n"))).result()
+        # one row for each distinct block of one interval and side
+        placed = OrderedScan(sized, ["station", "start_us", "end_us", "side"], self.fields).running(Running("upto", "sum", F.col("n"))).result()
         each = placed.withColumn("k", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))))
         keys = ["station", "start_us", "end_us", "k"]
         was = each.filter("side = 0").select(*keys, *[F.col(f).alias(f"was_{f}") for f in self.fields])
@@ -150,8 +147,8 @@ class ScheduleDiff:
 
 
 def diff_schedules(base: DataFrame, proposed: DataFrame, windows: DataFrame, fields: Sequence[str] = ("title", "content_id"),
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    return ScheduleDiff(base, proposed, windows, fields, rows_per_task).summary()
+                   width: int = DAY_US) -> DataFrame:
+    return ScheduleDiff(base, proposed, windows, fields, width).summary()
 
 
 def comparison_totals(summary: DataFrame) -> DataFrame:
@@ -265,14 +262,14 @@ def reconcile_ids(
     compare: Sequence[str],
     protected: DataFrame,
     floor: int = 0,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Ids for regenerated catalog rows: identity columns, id, disposition.
 
     A row that is the same as an old one keeps its id (reused); any other gets the next id above the
     floor and all old ids, in identity order (new). A changed row of a protected id is a conflict, an
-    identity generated twice a duplicate, and one that several old rows have is ambiguous; none gets an id. Protected rows that were not generated again
-    are kept.
+    identity generated twice a duplicate, and one that several old rows have is ambiguous; none gets an id. Protected rows
+    that were not generated again are kept. New rows are numbered level by level of the identity: by its first column, then
+    inside that by the second, and so on.
     """
     keys = list(identity)
     held = old.select(*keys, F.col("id").alias("_old_id"), F.struct(*compare).alias("_was")).join(
@@ -287,9 +284,8 @@ def reconcile_ids(
         .when(F.col("_copies") > 1, "duplicate").when(F.col("_held") > 1, "ambiguous").when(same, "reused").when(F.col("_protected"), "conflict").otherwise("new")
     )
     judged = joined.withColumn("disposition", disposition).filter("disposition IS NOT NULL")
-    top = max(old.agg(F.max("id")).first()[0] or 0, floor)
-    added = judged.filter("disposition = 'new'").select(*keys, F.lit(0).alias("_all"))
-    placed = OrderedScan(added, ["_all"], keys, rows_per_task).running(Running("_n", "count", F.lit(1))).result()
+    top = old.agg(F.greatest(F.max("id"), F.lit(floor))).scalar()
+    placed = numbered_by_levels(judged.filter("disposition = 'new'").select(*keys), keys, "_n")
     rest = judged.filter("disposition <> 'new'").select(
         *keys, F.when(F.col("disposition").isin("reused", "kept"), F.col("_old_id")).alias("id"), "disposition")
     rest = rest.filter("id IS NOT NULL").unionByName(rest.filter("id IS NULL").distinct())

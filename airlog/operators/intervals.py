@@ -11,8 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airlog.functions.values import micros, seconds_interval, with_micros
-from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running, is_large, numbered
-
+from airlog.operators.scan import DAY_US, OrderedScan, Running
 
 
 # ---- filters -------------------------------------------------------------------------------
@@ -54,7 +53,7 @@ def coverage_spans(
     blocks: DataFrame,
     windows: DataFrame,
     overlap_cap: bool = True,
-    rows_per_task: int = ROWS_PER_TASK,
+    width: int = DAY_US,
 ) -> DataFrame:
     """Every gap and overlap as (station, kind, start_us, end_us).
 
@@ -64,8 +63,7 @@ def coverage_spans(
     cut = clipped(blocks, windows).select(
         "station", "id", "start_us", "end_us", "from_us", "to_us", "seam_us", "horizon_us"
     )
-    large = is_large(blocks, ["station"], rows_per_task)
-    scan = OrderedScan(cut, ["station"], ["start_us", "end_us", "id"], large=large)
+    scan = OrderedScan(cut, ["station"], ["start_us", "end_us", "id"], width)
     seen = scan.running(Running("before", "max", F.col("to_us"), inclusive=False)).result()
     covered_to = F.coalesce("before", "seam_us")
     overlap_end = F.least("before", "to_us") if overlap_cap else F.col("before")
@@ -114,20 +112,18 @@ def coverage_summary(spans: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def coverage(blocks: DataFrame, windows: DataFrame, overlap_cap: bool = True,
-             rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    return coverage_summary(coverage_spans(blocks, windows, overlap_cap, rows_per_task), windows)
+def coverage(blocks: DataFrame, windows: DataFrame, overlap_cap: bool = True, width: int = DAY_US) -> DataFrame:
+    return coverage_summary(coverage_spans(blocks, windows, overlap_cap, width), windows)
 
 
 def components(
     blocks: DataFrame,
     keys: Sequence[str] = ("station",),
     tie: Sequence[str] = ("id",),
-    rows_per_task: int = ROWS_PER_TASK,
-    large: bool | None = None,
+    width: int = DAY_US,
 ) -> DataFrame:
     """Label maximal runs of overlapping blocks with the start of the run (component_us)."""
-    scan = OrderedScan(with_micros(blocks), list(keys), ["start_us", "end_us", *tie], rows_per_task, large)
+    scan = OrderedScan(with_micros(blocks), list(keys), ["start_us", "end_us", *tie], width)
     scan.running(Running("_reach", "max", F.col("end_us"), inclusive=False))
     opens = F.col("_reach").isNull() | (F.col("start_us") >= F.col("_reach"))
     scan.running(Running("component_us", "max", F.when(opens, F.col("start_us"))))
@@ -177,7 +173,7 @@ def exclude_overlapping(
     busy: DataFrame,
     key: str = "realpath",
     tie: Sequence[str] = ("id",),
-    rows_per_task: int = ROWS_PER_TASK,
+    width: int = DAY_US,
 ) -> DataFrame:
     """Drop candidates whose item is busy elsewhere in an overlapping window.
 
@@ -194,8 +190,7 @@ def exclude_overlapping(
     probes = cands.filter(F.col(key).isNotNull()).withColumns({"_at": F.col("end_us"), "_side": F.lit(0)})
     both = probes.unionByName(marks.groupBy(key, "_at", "_side").agg(F.max("_busy_to").alias("_busy_to")),
                               allowMissingColumns=True)
-    large = is_large(candidates.select(key).unionAll(busy.select(key)).filter(F.col(key).isNotNull()), [key], rows_per_task)
-    scanned = OrderedScan(both, [key], ["_at", "_side", *tie], large=large).running(
+    scanned = OrderedScan(both, [key], ["_at", "_side", *tie], width).running(
         Running("_reach", "max", F.col("_busy_to"), inclusive=False)
     ).result()
     free = scanned.filter(
@@ -207,15 +202,14 @@ def exclude_overlapping(
 # ---- point lookups -------------------------------------------------------------------------
 
 
-def airtime(blocks: DataFrame, closed: bool = False, rows_per_task: int = ROWS_PER_TASK,
-            large: bool | None = None) -> DataFrame:
+def airtime(blocks: DataFrame, closed: bool = False, width: int = DAY_US) -> DataFrame:
     """The time in which each block is the first one on air, as disjoint spans [from_us, until_us).
 
     Along the start order, a block that ends no later than one before it is never first. The others
     end later and later, so each is first from its start, or from the end of the one before it, until
     its own end. closed=True counts a block's end as on air.
     """
-    scan = OrderedScan(with_micros(blocks), ["station"], ["start_us", "end_us", "id"], rows_per_task, large).running(
+    scan = OrderedScan(with_micros(blocks), ["station"], ["start_us", "end_us", "id"], width).running(
         Running("_reach", "max", F.col("end_us"), inclusive=False))
     past = 1 if closed else 0
     first = scan.result().withColumns({
@@ -224,20 +218,18 @@ def airtime(blocks: DataFrame, closed: bool = False, rows_per_task: int = ROWS_P
     return first.filter(shown).drop("_reach")
 
 
-def now_playing(blocks: DataFrame, probes: DataFrame, closed: bool = False,
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def now_playing(blocks: DataFrame, probes: DataFrame, closed: bool = False, width: int = DAY_US) -> DataFrame:
     """The block on air at each probe (station, at): the first one in start order.
 
     closed=True accepts a block ending exactly at the probe, so a boundary belongs to the earlier
     block. Probes with nothing on air are kept, with a null block. Each probe looks back to the last
     span of airtime that began before it; blocks and probes are never paired.
     """
-    large = is_large(blocks.select("station").unionAll(probes.select("station")), ["station"], rows_per_task)
     block = F.struct("id", "title", "start_us", "end_us", "until_us")
-    spans = airtime(blocks, closed, large=large).select("station", F.col("from_us").alias("_us"), F.lit(0).alias("_side"), block.alias("_block"))
+    spans = airtime(blocks, closed, width).select("station", F.col("from_us").alias("_us"), F.lit(0).alias("_side"), block.alias("_block"))
     points = probes.select("station", "at", micros("at").alias("_us"), F.lit(1).alias("_side")).distinct()
     both = points.unionByName(spans, allowMissingColumns=True)
-    seen = OrderedScan(both, ["station"], ["_us", "_side"], large=large).running(
+    seen = OrderedScan(both, ["station"], ["_us", "_side"], width).running(
         Running("_hit", "last", F.col("_block"))).result().filter("_side = 1")
     hit = F.when(F.col("_us") < F.col("_hit.until_us"), F.col("_hit"))
     found = seen.select("station", "at", hit.alias("_hit"))
@@ -327,23 +319,24 @@ def block_tag(kind: Column, title: Column, tag: Column, is_list: Column) -> Colu
     )
 
 
-def lookahead(blocks: DataFrame, n: int = 3, tag: str = "block_tag", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Each block's tag and those of the next n blocks of its station, as next_1 .. next_n.
+def lookahead(blocks: DataFrame, n: int = 3, tag: str = "block_tag", width: int = DAY_US) -> DataFrame:
+    """Each block with its tag and those of the next n blocks of its station, as next_1 .. next_n.
 
-    Blocks are numbered along the station, then each row is sent to the n positions before it and
-    met there: the (station, position) key is unique, so no station lands in one task.
+    The window looks ahead inside a bucket of the order. The first n tags of every bucket are lent to the buckets before it,
+    where they stand after the last block, so no station lands in one task.
     """
-    placed = numbered(with_micros(blocks), ["station"], ["start_us", "end_us", "id"], "position", rows_per_task)
-    steps = F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step")
-    sent = placed.select("station", "position", F.col(tag).alias("_tag"), "id", steps).withColumn(
-        "slot", F.col("position") - F.col("step")
-    ).filter("slot > 0")
-    met = sent.groupBy("station", F.col("slot").alias("position")).agg(
-        F.max(F.when(F.col("step") == 0, F.col("id"))).alias("id"),
-        F.max(F.when(F.col("step") == 0, F.col("_tag"))).alias(tag),
-        *[F.max(F.when(F.col("step") == i, F.col("_tag"))).alias(f"next_{i}") for i in range(1, n + 1)],
-    )
-    return met
+    timed = with_micros(blocks).withColumn("_bucket", F.floor(F.col("start_us") / F.lit(width)))
+    order = ["start_us", "end_us", "id"]
+    keys = ["station", "_bucket"]
+    heads = timed.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n)
+    first = heads.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(tag).alias("_tag")))).alias("_tags"))
+    later = Window.partitionBy("station").orderBy("_bucket").rowsBetween(1, n)
+    following = F.slice(F.flatten(F.collect_list("_tags").over(later)), 1, n)
+    lent = first.withColumn("_tags", following).select(*keys, F.posexplode("_tags").alias("_lent", "_t")).select(*keys, "_lent", F.col("_t._tag").alias(tag))
+    both = timed.withColumn("_lent", F.lit(-1)).unionByName(lent, allowMissingColumns=True)
+    ahead = Window.partitionBy(*keys).orderBy("_lent", *order)
+    seen = both.withColumns({f"next_{i}": F.lead(tag, i).over(ahead) for i in range(1, n + 1)})
+    return seen.filter("_lent = -1").select(*blocks.columns, *[f"next_{i}" for i in range(1, n + 1)])
 
 
 def seam(blocks: DataFrame, boundary, end) -> DataFrame:

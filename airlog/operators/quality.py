@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from airlog import schemas
 from airlog.functions.values import col, let, strict_json, with_micros
-from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running, is_large
+from airlog.operators.scan import DAY_US, OrderedScan, Running
 
 # Names used in stored chapter envelopes.
 METHODS = ("ffprobe_show_chapters_v1", "native_short_media_v1")
@@ -235,7 +235,7 @@ def check_unique(stations: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("uses")).filter("uses > 1")
 
 
-def check_guide(raw: DataFrame, projected: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def check_guide(raw: DataFrame, projected: DataFrame, width: int = DAY_US) -> DataFrame:
     """Per station: probes one microsecond around every block edge, and how they resolve.
 
     checked, zero and one count probes by what the guide shows; multiple counts probes where either
@@ -257,8 +257,7 @@ def check_guide(raw: DataFrame, projected: DataFrame, rows_per_task: int = ROWS_
     moments = every.unionByName(probes, allowMissingColumns=True).groupBy("station", "us").agg(
         *[F.sum(f"{side}_n").alias(f"{side}_n") for side in ("raw", "shown")],
         *[F.sum(f"{side}_x").cast("decimal(38,0)").alias(f"{side}_x") for side in ("raw", "shown")], F.bool_or("probe").alias("probe"))
-    large = is_large(raw.select("station").unionAll(projected.select("station")), ["station"], rows_per_task // 6)
-    on = OrderedScan(moments, ["station"], ["us"], large=large).running(
+    on = OrderedScan(moments, ["station"], ["us"], width).running(
         *[Running(f"{side}_on", "sum", F.col(f"{side}_n")) for side in ("raw", "shown")],
         *[Running(f"{side}_set", "sum", F.col(f"{side}_x")) for side in ("raw", "shown")]).result().filter("probe")
     differs = (F.col("raw_on") != F.col("shown_on")) | (F.col("raw_set") != F.col("shown_set"))

@@ -1,9 +1,9 @@
 """Ordered scans: running aggregates along a sort order within a key.
 
-A window partitioned by the key is one shuffle, and the right plan while every key fits in a
-task. When one key holds far more rows than that, the same result comes from contiguous chunks:
-a range shuffle cuts the order into bounded chunks, each chunk is scanned on its own, and a table
-of one row per (chunk, key) carries the running value of all earlier chunks into it.
+There is one plan at every size. The order is cut into buckets of a fixed width, so a bucket is a function of the row alone. A
+combined aggregate gives each (key, bucket) one total; a window over these totals, of which a key has as many as its
+order has steps, gives what all earlier buckets carry into each; and that carried value enters the bucket as its first row. So no
+task has to hold a key, and building a query runs no job.
 """
 
 from __future__ import annotations
@@ -11,19 +11,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from airlog.session import durable
+from airlog.functions.values import micros
 
-ROWS_PER_TASK = 4_000_000
-_CHUNK = "_chunk"
+HOUR_US = 3_600_000_000
+DAY_US = 24 * HOUR_US
+_BUCKET, _REAL = "_bucket_of_order", "_real_row"
 
 
 @dataclass(frozen=True)
 class Running:
-    """A running value: kind is max, sum, count, xor or last (the last non-null value).
+    """A running value: kind is max, sum, count or last (the last non-null value).
 
-    Before the first value, sums, counts and xors are 0 and the others null.
+    Before the first value, sums and counts are 0 and the others null.
     """
 
     name: str
@@ -35,123 +36,94 @@ class Running:
 def _aggregate(kind: str, value: Column) -> Column:
     if kind == "max":
         return F.max(value)
-    if kind == "sum":
+    if kind in ("sum", "count"):
         return F.sum(value)
-    if kind == "count":
-        return F.count(value)
-    if kind == "xor":
-        return F.bit_xor(value)
     if kind == "last":
         return F.last(value, ignorenulls=True)
     raise ValueError(f"unknown running aggregate {kind!r}")
 
 
-def _combine(kind: str, before: Column, within: Column) -> Column:
-    if kind == "max":
-        return F.greatest(before, within)
-    if kind in ("sum", "count"):
-        return F.coalesce(before, F.lit(0)) + within
-    if kind == "xor":
-        return F.coalesce(before, F.lit(0)).bitwiseXOR(within)
-    return F.coalesce(within, before)
+class OrderedScan:
+    """Rows of each key in a total order. `order` must end in a unique column.
 
+    width: length of a bucket in the units of the first order column, a number or a time (then in microseconds). It changes
+    where rows are worked on and no result. Without it a key is one bucket; that is for keys whose rows the data model
+    bounds, such as the entries of one plan or the files of one show.
+    """
 
-class OrderedScan:
-    """Rows of each key in a total order. `order` must end in a unique column."""
-
-    def __init__(
-        self,
-        df: DataFrame,
-        keys: Sequence[str],
-        order: Sequence[str],
-        rows_per_task: int = ROWS_PER_TASK,
-        large: bool | None = None,
-    ):
-        self.keys, self.order = list(keys), list(order)
-        self.chunked = is_large(df, self.keys, rows_per_task) if large is None else large
-        self.df = _cut(df, self.keys, self.order) if self.chunked else df
-
-    def _window(self, inclusive: bool):
-        keys = ([_CHUNK] if self.chunked else []) + self.keys
-        rows = Window.partitionBy(*keys).orderBy(*self.order)
-        return rows.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None = None):
+        self.keys, self.order, self.width = list(keys), list(order), width
+        if width is not None:
+            first = self.order[0]
+            timed = isinstance(df.schema[first].dataType, (T.TimestampNTZType, T.TimestampType))
+            df = df.withColumn(_BUCKET, F.floor((micros(first) if timed else F.col(first)) / F.lit(width)))
+        self.df = df
 
     def running(self, *wanted: Running) -> "OrderedScan":
         """Add running columns. Later calls may use the columns of earlier ones."""
-        local = {}
+        values = {f"_value_{r.name}": F.when(r.value.isNotNull(), F.lit(1)).cast("bigint") if r.kind == "count" else r.value
+                  for r in wanted}
+        valued = self.df.withColumns(values)
+        keys, order = self.keys, self.order
+        types = {}
+        if self.width is not None:
+            carry = self._carried(valued, wanted)
+            types = {r.name: carry.schema[f"_value_{r.name}"].dataType for r in wanted}
+            typed = valued.withColumns({f"_value_{r.name}": F.col(f"_value_{r.name}").cast(types[r.name]) for r in wanted})
+            valued = typed.withColumn(_REAL, F.lit(1)).unionByName(carry, allowMissingColumns=True)
+            keys, order = [*keys, _BUCKET], [_REAL, *order]
+        rows = Window.partitionBy(*keys).orderBy(*order)
+        found = {}
         for r in wanted:
-            within = _aggregate(r.kind, r.value).over(self._window(r.inclusive))
-            if r.kind in ("sum", "count", "xor"):
-                within = F.coalesce(within, F.lit(0))
-            local[f"_in_{r.name}" if self.chunked else r.name] = within
-        if not self.chunked:
-            self.df = self.df.withColumns(local)
-            return self
-        totals = self._chunk_totals(wanted)
-        earlier = Window.partitionBy(*self.keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select(
-            F.col(_CHUNK).alias("_c"),
-            *[F.col(k).alias(f"_c_{k}") for k in self.keys],
-            *[_aggregate("sum" if r.kind == "count" else r.kind, F.col(f"_all_{r.name}")).over(earlier)
-              .alias(f"_pre_{r.name}") for r in wanted],
-        )
-        same = [F.col(_CHUNK) == F.col("_c")]
-        same += [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in self.keys]
-        scanned = self.df.withColumns(local).join(carry, same, "left")
-        scanned = scanned.withColumns(
-            {r.name: _combine(r.kind, F.col(f"_pre_{r.name}"), F.col(f"_in_{r.name}")) for r in wanted}
-        )
-        helpers = ["_c"] + [f"_c_{k}" for k in self.keys]
-        helpers += [f"_{side}_{r.name}" for r in wanted for side in ("in", "pre")]
-        self.df = scanned.drop(*helpers)
+            frame = rows.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)
+            value = _aggregate(r.kind, F.col(f"_value_{r.name}")).over(frame)
+            value = F.coalesce(value, F.lit(0)) if r.kind in ("sum", "count") else value
+            found[r.name] = value.cast(types[r.name]) if r.name in types else value
+        scanned = valued.withColumns(found)
+        if self.width is not None:
+            scanned = scanned.filter(F.col(_REAL) == 1).drop(_REAL)
+        self.df = scanned.drop(*values)
         return self
 
-    def _chunk_totals(self, wanted: Sequence[Running]) -> DataFrame:
-        position = F.struct(*self.order)
-        columns = []
-        for r in wanted:
-            if r.kind == "last":
-                whole = F.max_by(r.value, F.when(r.value.isNotNull(), position))
-            else:
-                whole = _aggregate(r.kind, r.value)
-            columns.append(whole.alias(f"_all_{r.name}"))
-        return self.df.groupBy(_CHUNK, *self.keys).agg(*columns)
+    def _carried(self, valued: DataFrame, wanted: Sequence[Running]) -> DataFrame:
+        """One row per (key, bucket) with what the earlier buckets of the key add up to."""
+        place = F.struct(*self.order)
+        totals = valued.groupBy(*self.keys, _BUCKET).agg(*[
+            (F.max_by(f"_value_{r.name}", F.when(F.col(f"_value_{r.name}").isNotNull(), place)) if r.kind == "last"
+             else _aggregate(r.kind, F.col(f"_value_{r.name}"))).alias(f"_total_{r.name}") for r in wanted])
+        earlier = Window.partitionBy(*self.keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(*self.keys, _BUCKET, F.lit(0).alias(_REAL), *[
+            _aggregate(r.kind, F.col(f"_total_{r.name}")).over(earlier).cast(totals.schema[f"_total_{r.name}"].dataType)
+            .alias(f"_value_{r.name}") for r in wanted])
 
     def result(self) -> DataFrame:
-        return self.df.drop(_CHUNK) if self.chunked else self.df
+        return self.df.drop(_BUCKET)
 
 
-def is_large(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> bool:
-    """Whether some key has more rows than a task should hold.
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *wanted: Running, width: float | None = None) -> DataFrame:
+    return OrderedScan(df, keys, order, width).running(*wanted).result()
 
-    One number comes back, from a count that combines before it shuffles and reads only the keys. An
-    operator of several scans asks once, for the input that bounds them all, and passes the answer on
-    as `large`.
-    """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return (counted.agg(F.max("n")).first()[0] or 0) > rows_per_task
-
-
-def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Number contiguous chunks of the total order, fixed on storage so that retries agree."""
-    ranged = df.repartitionByRange(*keys, *order)
-    return durable(ranged.withColumn(_CHUNK, F.spark_partition_id()))
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, width: float | None = None) -> DataFrame:
+    """1-based position of each row in its key."""
+    return running(df, keys, order, Running(name, "count", F.lit(1)), width=width)
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    *wanted: Running,
-    rows_per_task: int = ROWS_PER_TASK,
-    large: bool | None = None,
-) -> DataFrame:
-    return OrderedScan(df, keys, order, rows_per_task, large).running(*wanted).result()
 
+def numbered_by_levels(df: DataFrame, levels: Sequence[str], name: str) -> DataFrame:
+    """1-based position of each row in the order of all levels together, without one window over all rows.
 
-def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows_per_task: int = ROWS_PER_TASK,
-    large: bool | None = None,
-) -> DataFrame:
-    """1-based position of each row in its key."""
-    return running(df, keys, order, Running(name, "count", F.lit(1)), rows_per_task=rows_per_task, large=large)
+    Rows are counted by the first level, then by the first two, and so on; each count table is numbered inside its parent, and
+    rows themselves only inside all levels but the last. The first window holds the distinct values of the first level.
+    """
+    before = []
+    for depth in range(1, len(levels)):
+        parent, keys = list(levels[:depth - 1]), list(levels[:depth])
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        rows = Window.partitionBy(*parent).orderBy(levels[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        offset = counts.select(*[F.col(k).alias(f"_is_{k}") for k in keys],
+                               F.coalesce(F.sum("_n").over(rows), F.lit(0)).alias(f"_before_{depth}"))
+        same = [F.col(k).eqNullSafe(F.col(f"_is_{k}")) for k in keys]
+        df = df.join(offset, same).drop(*[f"_is_{k}" for k in keys])
+        before.append(F.col(f"_before_{depth}"))
+    inner = F.row_number().over(Window.partitionBy(*levels[:-1]).orderBy(levels[-1]))
+    return df.withColumn(name, sum(before, inner.cast("bigint"))).drop(*[f"_before_{d}" for d in range(1, len(levels))])

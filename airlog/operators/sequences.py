@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from airlog.functions.calendar import BROADCAST_START, weekday_number
 from airlog.operators.intervals import _ntz
-from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running, numbered
+from airlog.operators.scan import DAY_US, OrderedScan, Running, numbered
 
 KEY = ("station", "sequence_name", "tag_path")
 
@@ -37,12 +37,16 @@ def assign_episodes(
     order: Sequence[str],
     keys: Sequence[str] = KEY,
     seed: int = 0,
-    rows_per_task: int = ROWS_PER_TASK,
+    width: float | None = DAY_US,
 ) -> DataFrame:
-    """Give every airing its episode. Episodes are taken in path order, airings in the given order."""
-    placed = numbered(episodes, keys, ["fpath", "id"], "_n", rows_per_task)
+    """Give every airing its episode. Episodes are taken in path order, airings in the given order.
+
+    The order of airings starts with a time or number, of which width is scanned together. The episodes of a sequence are
+    the files of one show and are numbered in one piece.
+    """
+    placed = numbered(episodes, keys, ["fpath", "id"], "_n")
     placed = placed.select(*keys, (F.col("_n") - 1).alias("episode_index"), "fpath")
-    aired = numbered(airings, keys, order, "_k", rows_per_task)
+    aired = numbered(airings, keys, order, "_k", width)
     timed = aired.join(sequence_bounds(sequences, episodes, keys, seed), list(keys))
     index = episode_index(F.col("_k") - 1, F.col("start_index"), F.col("end_index"))
     chosen = timed.withColumn("episode_index", index).drop("_k", "length", "start_index", "end_index")
@@ -61,13 +65,12 @@ def rewind_cursors(blocks: DataFrame, positions: DataFrame, today, keys: Sequenc
     return wanted.join(positions, [*keys, "fpath"]).select(*keys, F.col("sequence_index").alias("current_index"))
 
 
-def resync_cursor(cursors: DataFrame, old: DataFrame, new: DataFrame, keys: Sequence[str] = KEY,
-                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def resync_cursor(cursors: DataFrame, old: DataFrame, new: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Cursors after a file list changed: follow the file, else keep the index, else go to 0.
 
     cursors: keys + current_index; old: keys + fpath, sequence_index; new: keys + fpath.
     """
-    fresh = numbered(new.select(*keys, "fpath").distinct(), keys, ["fpath"], "_n", rows_per_task)
+    fresh = numbered(new.select(*keys, "fpath").distinct(), keys, ["fpath"], "_n")
     fresh = fresh.select(*keys, "fpath", (F.col("_n") - 1).alias("_new_index"))
     sizes = fresh.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     at = old.select(*keys, F.col("sequence_index").alias("current_index"), "fpath")
@@ -78,7 +81,7 @@ def resync_cursor(cursors: DataFrame, old: DataFrame, new: DataFrame, keys: Sequ
     return held.select(*keys, moved.alias("current_index"))
 
 
-def fill_continued(slots: DataFrame, scope: Sequence[str] = ("station",), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def fill_continued(slots: DataFrame, scope: Sequence[str] = ("station",)) -> DataFrame:
     """Give slots marked continued the tags of the last slot with tags, in broadcast-day order.
 
     slots: scope columns, day (weekday name), hour, tags, continued. A continued slot without any
@@ -88,7 +91,7 @@ def fill_continued(slots: DataFrame, scope: Sequence[str] = ("station",), rows_p
         "_day": weekday_number("day"),
         "_hour": F.pmod(F.col("hour") - BROADCAST_START, F.lit(24)),
     })
-    scan = OrderedScan(at, list(scope), ["_day", "_hour"], rows_per_task).running(
+    scan = OrderedScan(at, list(scope), ["_day", "_hour"]).running(
         Running("_held", "last", F.col("tags")))
     inherits = F.col("tags").isNull() & F.coalesce("continued", F.lit(False))
     return scan.result().withColumns({

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from airlog.functions.values import micros
 from airlog.operators.intervals import now_playing
-from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running, is_large
+from airlog.operators.scan import DAY_US, HOUR_US, OrderedScan, Running
 
 
 def plan_rows(blocks: DataFrame, plan: str = "plan") -> DataFrame:
@@ -21,31 +21,32 @@ def plan_timeline(
     entries: DataFrame,
     block: str = "block_id",
     order: Sequence[str] = ("position",),
-    rows_per_task: int = ROWS_PER_TASK,
+    width: float | None = None,
 ) -> DataFrame:
-    """Position of each entry and its offsets from_us and until_us inside its block."""
+    """Position of each entry and its offsets from_us and until_us inside its block.
+
+    A plan is one value of one row, so its entries fit in a task; width cuts longer orders into buckets.
+    """
     sized = entries.withColumn("_us", F.round(F.col("duration") * 1000000).cast("bigint"))
-    scan = OrderedScan(sized, [block], list(order), rows_per_task).running(
+    scan = OrderedScan(sized, [block], list(order), width).running(
         Running("until_us", "sum", F.col("_us")), Running("entry", "count", F.lit(1)))
     return scan.result().withColumns(
         {"from_us": F.col("until_us") - F.col("_us"), "entry": F.col("entry") - 1}).drop("_us")
 
 
 def play_point(blocks: DataFrame, timeline: DataFrame, probes: DataFrame, closed: bool = False,
-               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+               width: int = DAY_US) -> DataFrame:
     """Entry index and offset playing at each probe (station, at); null past the end of the plan.
 
     Inside its block a probe looks back to the last entry that began before it.
     """
-    on_air = now_playing(blocks, probes, closed, rows_per_task).withColumn("_us", micros("at") - F.col("start_us"))
+    on_air = now_playing(blocks, probes, closed, width).withColumn("_us", micros("at") - F.col("start_us"))
     entry = F.struct("entry", "from_us", "until_us")
     begun = timeline.select(
         "block_id", F.col("from_us").alias("_us"), F.lit(0).alias("_side"), F.col("entry").alias("_n"), entry.alias("_entry"))
     asked = on_air.filter("block_id IS NOT NULL").select("block_id", "_us", F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_n")).distinct()
-    large = is_large(timeline.select("block_id"), ["block_id"], rows_per_task) or is_large(
-        probes.select("station"), ["station"], rows_per_task)
     seen = OrderedScan(
-        begun.unionByName(asked, allowMissingColumns=True), ["block_id"], ["_us", "_side", "_n"], large=large
+        begun.unionByName(asked, allowMissingColumns=True), ["block_id"], ["_us", "_side", "_n"], HOUR_US
     ).running(Running("_hit", "last", F.col("_entry"))).result().filter("_side = 1")
     hit = F.when(F.col("_us") < F.col("_hit.until_us"), F.col("_hit"))
     found = seen.select("block_id", "_us", hit.alias("_hit"))

@@ -11,32 +11,32 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airlog.operators.scan import ROWS_PER_TASK, OrderedScan, Running, is_large
+from airlog.operators.scan import OrderedScan, Running
 
 # Fixed value: breaks closer than this to either end, and shorter segments, are not used.
 MIN_SECONDS = 60
 
+#: Seconds of a file, and positions, that are scanned together.
+WIDTH, POSITIONS = 600, 1000
 
-def _next(df: DataFrame, value: str, name: str, order: list[str], large: bool) -> DataFrame:
+
+def _next(df: DataFrame, value: str, name: str, order: list[str], width: float) -> DataFrame:
     """Value of the following row of the same path, by scanning the order backwards."""
     back = df.withColumns({f"_back_{c}": -F.col(c) for c in order})
-    seen = OrderedScan(back, ["path"], [f"_back_{c}" for c in order], large=large).running(
+    seen = OrderedScan(back, ["path"], [f"_back_{c}" for c in order], width).running(
         Running(name, "last", F.col(value), inclusive=False))
     return seen.result().drop(*[f"_back_{c}" for c in order])
 
 
-def segments(points: DataFrame, files: DataFrame, rows_per_task: int = ROWS_PER_TASK,
-             large: bool | None = None) -> DataFrame:
+def segments(points: DataFrame, files: DataFrame, width: float = WIDTH) -> DataFrame:
     """Break marks as segments covering a file from 0 to its duration.
 
     points: path, seq (a unique number per mark of a file), chapter_start, optional chapter_end.
     """
-    if large is None:
-        large = is_large(points, ["path"], rows_per_task)
     first = points.groupBy("path").agg(F.min("chapter_start").alias("chapter_end")).filter("chapter_end > 0")
     lead_in = first.select("path", F.lit(-1).cast("bigint").alias("seq"), F.lit(0.0).alias("chapter_start"), "chapter_end")
     marks = points.select("path", F.col("seq").cast("bigint").alias("seq"), "chapter_start", "chapter_end")
-    followed = _next(marks.unionByName(lead_in), "chapter_start", "_next", ["chapter_start", "seq"], large)
+    followed = _next(marks.unionByName(lead_in), "chapter_start", "_next", ["chapter_start", "seq"], width)
     timed = followed.join(files.select("path", "duration"), "path")
     until = F.coalesce("_next", "duration")
     return timed.select(
@@ -59,16 +59,15 @@ def black_marks(log: DataFrame) -> DataFrame:
     return whole.select("path", "line_no", ((F.col("black_start") + F.col("black_end")) / 2).alias("midpoint"))
 
 
-def black_segments(log: DataFrame, files: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def black_segments(log: DataFrame, files: DataFrame, width: float = WIDTH) -> DataFrame:
     """Segments cut at the midpoints of black frames that are well inside the file.
 
     Every mark closes the segment before it and opens the next. The first segment of a file starts at
     0 and the last one ends with the file, so the lead-in of segments() is never needed here.
     """
-    large = is_large(log, ["path"], rows_per_task)
     marks = black_marks(log).join(files.select("path", "duration"), "path").filter(
         (F.col("midpoint") > MIN_SECONDS) & (F.col("midpoint") < F.col("duration") - MIN_SECONDS))
-    scan = OrderedScan(marks, ["path"], ["line_no"], large=large).running(
+    scan = OrderedScan(marks, ["path"], ["line_no"], POSITIONS).running(
         Running("_previous", "last", F.col("midpoint"), inclusive=False))
     seen = scan.result()
     tail = seen.groupBy("path").agg(
@@ -77,7 +76,7 @@ def black_segments(log: DataFrame, files: DataFrame, rows_per_task: int = ROWS_P
     cut = seen.select(
         "path", F.col("line_no").alias("seq"), F.coalesce("_previous", F.lit(0.0)).alias("chapter_start"),
         F.col("midpoint").alias("chapter_end"))
-    pieces = _next(cut.unionByName(tail), "chapter_start", "_next", ["chapter_start", "seq"], large)
+    pieces = _next(cut.unionByName(tail), "chapter_start", "_next", ["chapter_start", "seq"], width)
     timed = pieces.join(files.select("path", "duration"), "path")
     return timed.select(
         "path", "seq", "chapter_start", "chapter_end",
@@ -85,7 +84,7 @@ def black_segments(log: DataFrame, files: DataFrame, rows_per_task: int = ROWS_P
 
 
 def merge_short(segs: DataFrame, min_seconds: float = MIN_SECONDS, compat_hole: bool = False,
-                rows_per_task: int = ROWS_PER_TASK, large: bool | None = None) -> DataFrame:
+                width: float = WIDTH) -> DataFrame:
     """Fold the shortest segment into the one before it until none is shorter than min_seconds.
 
     Which segment is folded next depends on the folds before it, but a fold never reaches past a
@@ -94,7 +93,7 @@ def merge_short(segs: DataFrame, min_seconds: float = MIN_SECONDS, compat_hole:
     compat_hole=True leaves the end of the surviving segment where it was.
     """
     long_enough = (F.col("segment_duration") >= min_seconds).cast("int")
-    runs = OrderedScan(segs, ["path"], ["chapter_start", "seq"], rows_per_task, large).running(
+    runs = OrderedScan(segs, ["path"], ["chapter_start", "seq"], width).running(
         Running("_run", "sum", long_enough)).result()
     fields = "path string, _run bigint, seq bigint, chapter_start double, chapter_end double, segment_duration double"
     names = [f.split()[0] for f in fields.split(", ")]
@@ -151,13 +150,10 @@ def _fold_runs(rows: pd.DataFrame, min_seconds: float) -> pd.DataFrame:
     return rows.assign(segment_duration=length)[keep]
 
 
-def thin_segments(segs: DataFrame, wanted: Column | int, rows_per_task: int = ROWS_PER_TASK,
-                  large: bool | None = None) -> DataFrame:
+def thin_segments(segs: DataFrame, wanted: Column | int, width: float = WIDTH, positions: int = POSITIONS) -> DataFrame:
     """At most `wanted` segments per file: evenly spread breaks are kept, neighbours merged."""
-    if large is None:
-        large = is_large(segs, ["path"], rows_per_task)
     m = wanted if isinstance(wanted, Column) else F.lit(wanted)
-    placed = OrderedScan(segs.withColumn("_m", m.cast("bigint")), ["path"], ["chapter_start", "seq"], large=large).running(
+    placed = OrderedScan(segs.withColumn("_m", m.cast("bigint")), ["path"], ["chapter_start", "seq"], width).running(
         Running("_index", "count", F.lit(1))).result().withColumn("_index", F.col("_index") - 1)
     sizes = segs.groupBy("path").agg(
         F.count(F.lit(1)).alias("_n"), F.max_by("chapter_end", F.struct("chapter_start", "seq")).alias("_last"))
@@ -168,7 +164,7 @@ def thin_segments(segs: DataFrame, wanted: Column | int, rows_per_task: int = RO
         F.sequence(F.greatest(near - 1, F.lit(1)), F.greatest(near + 1, F.lit(1))),
         lambda i: (i <= F.col("_m") - 1) & (F.bround(i * step) == F.col("_index")))
     opens = (F.col("_n") <= F.col("_m")) | (F.col("_index") == 0) | F.coalesce(chosen, F.lit(False))
-    kept = _next(sized.filter(opens), "chapter_start", "_next", ["_index"], large)
+    kept = _next(sized.filter(opens), "chapter_start", "_next", ["_index"], positions)
     whole = F.col("_n") <= F.col("_m")
     return kept.select(
         "path", "chapter_start",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from airlog.operators import diff as df_
 from airlog.operators.intervals import coverage_spans
 from airlog.operators.joins import diff_records
+from airlog.operators.scan import HOUR_US
 from airlog.sources.manifests import classify_manifest
 from queries.intervals import spans_sql
 from queries.registry import query
@@ -80,7 +81,7 @@ def _(t):
 
 @query("diff_schedules_chunked", _by_user(_DIFF + "SELECT * FROM summary"))
 def _(t):
-    return df_.diff_schedules(_user(t, t.baseline), _user(t, t.proposed), t.windows_by_user, FIELDS, rows_per_task=1)
+    return df_.diff_schedules(_user(t, t.baseline), _user(t, t.proposed), t.windows_by_user, FIELDS, width=HOUR_US)
 
 
 @query("replaced_pairs", _by_user(_DIFF + """SELECT station, start_us, end_us, k, was_title, now_title, was_content_id, now_content_id,

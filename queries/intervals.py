@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from airlog.functions.values import micros
 from airlog.operators import intervals as iv
+from airlog.operators.scan import HOUR_US
 from queries.registry import query
 
 NOON = "2024-01-15 12:00:00"
@@ -95,7 +96,7 @@ def _(t):
 @query("coverage_chunked", f"WITH {spans_sql()} {_SUMMARY.format(windows='windows')}")
 def _(t):
     """The same coverage through bounded chunks, as used when one station outgrows a task."""
-    return iv.coverage(t.blocks, t.windows, rows_per_task=1)
+    return iv.coverage(t.blocks, t.windows, width=HOUR_US)
 
 
 _COMPONENTS = """
@@ -121,7 +122,7 @@ def _(t):
 
 @query("overlap_components_chunked", _COMPONENTS)
 def _(t):
-    labelled = iv.components(t.blocks_by_user, rows_per_task=1)
+    labelled = iv.components(t.blocks_by_user, width=HOUR_US)
     return labelled.groupBy("station", "component_us").agg(
         F.count(F.lit(1)).alias("n"), F.max("end_us").alias("end_us"))
 
@@ -172,7 +173,7 @@ def _(t):
         AND b.start_time < c.end_time AND b.end_time > c.start_time)""")
 def _(t):
     mine, busy = t.blocks.filter("station = 'view'"), t.blocks.filter("station <> 'view'")
-    return iv.exclude_overlapping(mine, busy, key="content_id", rows_per_task=1).select("id")
+    return iv.exclude_overlapping(mine, busy, key="content_id", width=HOUR_US).select("id")
 
 
 def _probes(t):
@@ -283,7 +284,7 @@ def _(t):
 
 @query("lookahead_chunked", _LOOKAHEAD)
 def _(t):
-    return iv.lookahead(_tagged(t), rows_per_task=1).select("station", "id", "block_tag", "next_1", "next_2", "next_3")
+    return iv.lookahead(_tagged(t), width=HOUR_US).select("station", "id", "block_tag", "next_1", "next_2", "next_3")
 
 
 @query("seam", f"""

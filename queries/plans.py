@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airlog.operators import sequences as sq
-from airlog.operators.scan import numbered
+from airlog.operators.scan import DAY_US, numbered
 from airlog.plans import breaks, playout, segments as sg
 from queries.registry import query
 
@@ -89,8 +89,8 @@ def _(t):
 
 @query("thin_segments_chunked", _THIN)
 def _(t):
-    cut = sg.segments(_points(t), _files(t), rows_per_task=1)
-    return sg.thin_segments(cut, 3, rows_per_task=1)
+    cut = sg.segments(_points(t), _files(t), width=60)
+    return sg.thin_segments(cut, 3, width=60, positions=2)
 
 
 @query("merge_short_segments")
@@ -245,7 +245,7 @@ def _(t):
 
 @query("assign_episodes_chunked", _ASSIGN)
 def _(t):
-    aired = sq.assign_episodes(t.plays, _sequences(t), _episodes(t), _AIRINGS, keys=["station"], rows_per_task=1)
+    aired = sq.assign_episodes(t.plays, _sequences(t), _episodes(t), _AIRINGS, keys=["station"], width=30 * DAY_US)
     return aired.select("station", *_AIRINGS[1:], "episode_index", "fpath")
 
 

@@ -1,4 +1,4 @@
-"""Interval operators against brute force on random schedules, in both scan forms."""
+"""Interval operators against brute force on random schedules, in wide and narrow buckets."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from airlog.operators import intervals as iv
-from airlog.operators.scan import OrderedScan, Running, numbered
+from airlog.operators import diff, intervals as iv
+from airlog.operators.quality import check_guide
+from airlog.operators.scan import DAY_US, OrderedScan, Running, numbered, numbered_by_levels
+from airlog.plans.playout import plan_timeline
 from conftest import rows
+from queries.views import Tables
 
 T0 = datetime(2024, 1, 1)
 BLOCKS = "id bigint, station string, start_time timestamp_ntz, end_time timestamp_ntz, title string"
@@ -29,14 +32,14 @@ def schedule(n, stations, seed, longest=300):
     return made
 
 
-@pytest.mark.parametrize("rows_per_task", [10**9, 1])
-def test_coverage_adds_up(spark, rows_per_task):
+@pytest.mark.parametrize("width", [DAY_US, 50_000_000])
+def test_coverage_adds_up(spark, width):
     made = schedule(400, 6, 1)
     blocks = spark.createDataFrame(made, BLOCKS)
     lo, hi = T0 + timedelta(seconds=200), T0 + timedelta(seconds=2500)
     stations = sorted({b[1] for b in made}) + ["empty"]
     windows = spark.createDataFrame([(s, lo, hi) for s in stations], "station string, seam timestamp_ntz, horizon timestamp_ntz")
-    got = {r["station"]: r for r in iv.coverage(blocks, windows, rows_per_task=rows_per_task).collect()}
+    got = {r["station"]: r for r in iv.coverage(blocks, windows, width=width).collect()}
     for s in stations:
         mine = sorted((max(b[2], lo), min(b[3], hi), b[0], b[2], b[3]) for b in made if b[1] == s and b[2] < hi and b[3] > lo)
         mine.sort(key=lambda b: (b[3], b[4], b[2]))
@@ -77,12 +80,12 @@ def test_overlap_join_equals_the_plain_predicate(spark, bucket):
     assert semi.count() == semi.distinct().count()
 
 
-@pytest.mark.parametrize("closed, rows_per_task", [(False, 10**9), (True, 10**9), (False, 1), (True, 1)])
-def test_now_playing_takes_the_earliest_block(spark, closed, rows_per_task):
+@pytest.mark.parametrize("closed, width", [(False, DAY_US), (True, DAY_US), (False, 50_000_000), (True, 50_000_000)])
+def test_now_playing_takes_the_earliest_block(spark, closed, width):
     made = schedule(200, 3, 4)
     points = [(b[1], T0 + timedelta(seconds=s)) for b in made[:40] for s in (0, 500, 1000, 1060, (b[3] - T0).seconds)]
     probes = spark.createDataFrame(sorted(set(points)), "station string, at timestamp_ntz")
-    got = {(r["station"], r["at"]): r["block_id"] for r in iv.now_playing(spark.createDataFrame(made, BLOCKS), probes, closed, rows_per_task).collect()}
+    got = {(r["station"], r["at"]): r["block_id"] for r in iv.now_playing(spark.createDataFrame(made, BLOCKS), probes, closed, width).collect()}
     for station, at in set(points):
         fit = [b for b in made if b[1] == station and b[2] <= at and (at <= b[3] if closed else at < b[3])]
         want = min(fit, key=lambda b: (b[2], b[3], b[0]))[0] if fit else None
@@ -95,17 +98,59 @@ def test_scan_forms_agree(spark):
     wanted = (Running("m", "max", F.col("v")), Running("s", "sum", F.col("id"), False), Running("c", "count", F.col("v")),
               Running("l", "last", F.col("v"), False))
     results = []
-    for large in (False, True):
-        scan = OrderedScan(df, ["key"], ["o", "id"], large=large).running(*wanted)
+    for width in (None, 10):
+        scan = OrderedScan(df, ["key"], ["o", "id"], width).running(*wanted)
         scan.running(Running("again", "max", F.col("s") % 17))
         results.append(rows(scan.result().select("id", "m", "s", "c", "l", "again")))
     assert results[0] == results[1]
 
 
+def test_one_hot_key_is_cut_into_buckets(spark):
+    df = spark.range(2000).selectExpr("'hot' AS key", "id AS o", "id")
+    scan = OrderedScan(df, ["key"], ["o", "id"], 100).running(Running("n", "count", F.lit(1)), Running("s", "sum", F.col("id")))
+    assert scan.df.select("key", F.col("_bucket_of_order")).distinct().count() == 20
+    assert scan.result().filter("n <> id + 1 OR s <> id * (id + 1) / 2").count() == 0
+
+
+def test_building_runs_no_job(spark, folder):
+    t = Tables(spark, folder)
+    builds = [
+        lambda: iv.coverage(t.blocks, t.windows), lambda: iv.components(t.blocks), lambda: iv.lookahead(t.blocks, tag="title"),
+        lambda: iv.exclude_overlapping(t.baseline, t.proposed, "content_id"),
+        lambda: iv.now_playing(t.blocks, t.blocks.selectExpr("station", "start_time AS at")),
+        lambda: diff.diff_schedules(t.baseline, t.proposed, t.windows),
+        lambda: diff.reconcile_ids(t.parts_as_items, t.parts_as_items.drop("id"), ["station", "tag", "path"], ["title"], t.parts_as_items.select("id")),
+        lambda: check_guide(t.blocks, t.blocks), lambda: plan_timeline(t.plan_entries, order=["l_linenumber", "l_partkey", "l_suppkey"])]
+    t.blocks, t.baseline, t.proposed, t.windows, t.parts_as_items, t.plan_entries  # reading a footer may run a job
+    spark.sparkContext.setJobGroup("building", "no job may run")
+    try:
+        for build in builds:
+            build()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+
+
+def test_numbering_by_levels(spark):
+    made = [(a, b, c) for a in ("x", None, "y") for b in (2, 1, None) for c in ("q", "p")]
+    df = spark.createDataFrame(made, "a string, b int, c string")
+    got = [tuple(r)[:3] for r in numbered_by_levels(df, ["a", "b", "c"], "n").orderBy("n").collect()]
+    assert got == [tuple(r) for r in df.orderBy("a", "b", "c").collect()]
+
+
+def test_lookahead_keeps_the_block_and_crosses_buckets(spark):
+    made = [(i, "s" if i % 4 else "other", T0 + timedelta(hours=7 * i), T0 + timedelta(hours=7 * i + 1), None if i % 5 == 0 else f"t{i}") for i in range(40)]
+    for width in (3_600_000_000, DAY_US, 10**15):
+        got = {r["id"]: r for r in iv.lookahead(spark.createDataFrame(made, BLOCKS), 3, "title", width).collect()}
+        for i, station, start, *_ in made:
+            after = [b[4] for b in made if b[1] == station and b[2] > start][:3] + [None] * 3
+            assert [got[i][f"next_{k}"] for k in (1, 2, 3)] == after[:3] and got[i]["start_time"] == start
+
+
 def test_numbering_null_keys(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), ("a", 3)], "key string, id int")
-    for large in (False, True):
-        assert rows(numbered(df, ["key"], ["id"], "n", large=large).select("id", "n")) == [(1, 1), (2, 2), (3, 1)]
+    for width in (None, 1):
+        assert rows(numbered(df, ["key"], ["id"], "n", width).select("id", "n")) == [(1, 1), (2, 2), (3, 1)]
 
 
 def test_preview_keeps_blocks_under_a_second(spark):

@@ -44,11 +44,11 @@ def files_and_points(seed, n_files=25):
     return made, files, points
 
 
-@pytest.mark.parametrize("rows_per_task", [10**9, 1])
-def test_merge_short_equals_folding_one_by_one(spark, rows_per_task):
+@pytest.mark.parametrize("width", [600, 7])
+def test_merge_short_equals_folding_one_by_one(spark, width):
     made, files, points = files_and_points(5)
-    segs = sg.segments(spark.createDataFrame(points, POINTS), spark.createDataFrame(files, "path string, duration double"), rows_per_task)
-    got = sg.merge_short(segs, rows_per_task=rows_per_task)
+    segs = sg.segments(spark.createDataFrame(points, POINTS), spark.createDataFrame(files, "path string, duration double"), width)
+    got = sg.merge_short(segs, width=width)
     want = [(p, s, s + d, d) for p, starts in made.items() for s, d in fold(cut(starts, 3050.0), 60)]
     assert rows(got.select("path", "chapter_start", "chapter_end", "segment_duration")) == sorted(want, key=repr)
 
@@ -71,23 +71,27 @@ def test_merge_short_can_leave_the_hole(spark):
     assert rows(sg.merge_short(segs).select("chapter_start", "chapter_end")) == [(0.0, 120.0), (120.0, 300.0)]
 
 
-@pytest.mark.parametrize("wanted", [0, 1, 2, 3, 7, 100])
-def test_thinning(spark, wanted):
+@pytest.mark.parametrize("wanted, spans", [
+    (0, []), (1, [(0, 500)]), (2, [(0, 400), (400, 500)]), (3, [(0, 200), (200, 400), (400, 500)]),
+    (5, [(0, 100), (100, 200), (200, 300), (300, 400), (400, 500)]), (9, [(0, 100), (100, 200), (200, 300), (300, 400), (400, 500)])])
+def test_thinning(spark, wanted, spans):
+    points = spark.createDataFrame([("f", i, i * 100.0, None) for i in range(5)], POINTS)
+    segs = sg.segments(points, spark.createDataFrame([("f", 500.0)], "path string, duration double"))
+    for positions in (1, 1000):
+        got = sg.thin_segments(segs, wanted, width=150, positions=positions).select("chapter_start", "chapter_end")
+        assert rows(got) == sorted([(float(a), float(b)) for a, b in spans], key=repr)
+
+
+def test_thinned_segments_cover_each_file(spark):
     made, files, points = files_and_points(7, 8)
     segs = sg.segments(spark.createDataFrame(points, POINTS), spark.createDataFrame(files, "path string, duration double"))
-    want = []
-    for p, starts in made.items():
-        s = cut(starts, 3050.0)
-        if wanted <= 0:
-            continue
-        if len(s) <= wanted:
-            want += [(p, a, a + d) for a, d in s]
-            continue
-        step = (len(s) - 1) / (wanted - 1) if wanted > 1 else 0
-        marks = sorted({round(i * step) for i in range(1, wanted)})
-        edges = [0] + [m for m in marks if m > 0]
-        want += [(p, s[a][0], s[b][0]) for a, b in zip(edges, edges[1:])] + [(p, s[edges[-1]][0], 3050.0)]
-    assert rows(sg.thin_segments(segs, wanted)) == sorted(want, key=repr)
+    found = {}
+    for r in sg.thin_segments(segs, 7).collect():
+        found.setdefault(r["path"], []).append((r["chapter_start"], r["chapter_end"]))
+    for path, starts in made.items():
+        spans = sorted(found[path])
+        assert len(spans) == min(7, len(cut(starts, 3050.0))) and spans[0][0] == 0 and spans[-1][1] == 3050.0
+        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and {s for s, _ in spans} <= {0.0, *starts}
 
 
 def test_bad_log_lines_are_skipped(spark):
@@ -100,65 +104,44 @@ def test_bad_log_lines_are_skipped(spark):
     assert rows(got) == [(0.0, 105.0, 105.0), (105.0, 300.0, 195.0)]
 
 
-def clip_order(clips, reels, strategy):
-    """Clips and reels in playing order, one at a time."""
-    left = list(reels)
-    if len(reels) <= 1 or strategy == "end":
-        return clips + left
-    if strategy == "center":
-        half = len(clips) // 2
-        return clips[:half] + left + clips[half:]
-    out = []
-    if len(clips) > len(reels):
-        every = round(len(clips) / len(reels))
-        for i, c in enumerate(clips):
-            out.append(c)
-            if left and i > 0 and i % every == 0:
-                out.append(left.pop(0))
-    else:
-        each, extra = divmod(len(reels), len(clips) + 1)
-        for i, c in enumerate(clips):
-            out.append(c)
-            for _ in range(each + (i < extra)):
-                if left:
-                    out.append(left.pop(0))
-    return out + left
-
-
-def test_clip_plans(spark):
-    bases, clips, reels, want = [], [], [], {}
-    number = 0
-    for strategy in ("standard", "end", "center"):
-        for k in range(1, 8):
-            for r in range(0, 10):
-                number += 1
-                bases.append((number, strategy, None, 0.0, None, 0.0))
-                clips += [(number, i, f"c{i}", 1.0, "feature") for i in range(k)]
-                reels += [(number, i, 0, f"r{i}", 1.0, "commercial") for i in range(r)]
-                want[number] = clip_order([f"c{i}" for i in range(k)], [f"r{i}" for i in range(r)], strategy)
+ORDERS = [
+    ("standard", 5, 2, "c0 c1 c2 r0 c3 c4 r1"), ("standard", 6, 2, "c0 c1 c2 c3 r0 c4 c5 r1"), ("standard", 2, 3, "c0 r0 c1 r1 r2"),
+    ("standard", 2, 5, "c0 r0 r1 c1 r2 r3 r4"), ("standard", 4, 1, "c0 c1 c2 c3 r0"), ("standard", 3, 0, "c0 c1 c2"),
+    ("center", 3, 2, "c0 r0 r1 c1 c2"), ("center", 4, 2, "c0 c1 r0 r1 c2 c3"), ("end", 3, 2, "c0 c1 c2 r0 r1")]
+
+
+def clip_plans(spark, asked):
+    """Paths in playing order of plans of so many clips and reels."""
+    numbered = list(enumerate(asked))
     plan = breaks.assemble_clip_plan(
-        spark.createDataFrame(bases, "block_id int, strategy string, start_bump string, start_bump_seconds double, end_bump string, end_bump_seconds double"),
-        spark.createDataFrame(clips, "block_id int, clip_no int, path string, duration double, content_type string"),
-        spark.createDataFrame(reels, "block_id int, reel_no int, entry_no int, path string, duration double, content_type string"))
-    got = {}
+        spark.createDataFrame([(n, s, None, 0.0, None, 0.0) for n, (s, *_) in numbered],
+                              "block_id int, strategy string, start_bump string, start_bump_seconds double, end_bump string, end_bump_seconds double"),
+        spark.createDataFrame([(n, i, f"c{i}", 1.0, "feature") for n, (_, k, _) in numbered for i in range(k)],
+                              "block_id int, clip_no int, path string, duration double, content_type string"),
+        spark.createDataFrame([(n, i, 0, f"r{i}", 1.0, "commercial") for n, (_, _, r) in numbered for i in range(r)],
+                              "block_id int, reel_no int, entry_no int, path string, duration double, content_type string"))
+    got = {n: [] for n, _ in numbered}
     for row in sorted(plan.collect(), key=lambda r: (r["block_id"], r["major"], r["minor"])):
-        got.setdefault(row["block_id"], []).append(row["path"])
-    assert got == want
-
-
-def test_episode_index_follows_the_cursor(spark):
-    cases, want = [], []
-    for length in range(1, 7):
-        for start in range(0, length + 1):
-            for end in range(0, length + 1):
-                at = start
-                for k in range(12):
-                    at = 0 if at >= length else at
-                    at = 0 if at >= end else at
-                    cases.append((k, start, end, length))
-                    want.append(at)
-                    at += 1
-    df = spark.createDataFrame([(*c, w) for c, w in zip(cases, want)], "k bigint, s bigint, e bigint, n bigint, want bigint")
-    # a start at or past the end begins at 0, as the cursor does
-    wrong = df.withColumn("got", episode_index(F.col("k"), F.col("s"), F.col("e"))).filter("got <> want")
-    assert wrong.collect() == []
+        got[row["block_id"]].append(row["path"])
+    return [got[n] for n, _ in numbered]
+
+
+def test_clip_orders(spark):
+    assert [" ".join(p) for p in clip_plans(spark, [o[:3] for o in ORDERS])] == [o[3] for o in ORDERS]
+
+
+def test_clip_plans_play_everything_once_and_spread_reels(spark):
+    asked = [(s, k, r) for s in ("standard", "end", "center") for k in range(1, 8) for r in range(10)]
+    for (strategy, k, r), plan in zip(asked, clip_plans(spark, asked)):
+        assert [p for p in plan if p[0] == "c"] == [f"c{i}" for i in range(k)]
+        assert [p for p in plan if p[0] == "r"] == [f"r{i}" for i in range(r)]
+        if strategy == "standard" and r >= k and r > 1:
+            gaps = [len(g.split()) for g in " ".join(x if x[0] == "r" else "|" for x in plan).split("|")[1:-1]]
+            assert not gaps or max(gaps) - min(gaps) <= 1
+
+
+@pytest.mark.parametrize("start, end, want", [
+    (0, 3, [0, 1, 2, 0, 1, 2]), (1, 3, [1, 2, 0, 1, 2, 0]), (2, 5, [2, 3, 4, 0, 1, 2]), (0, 1, [0] * 6), (3, 2, [0, 1, 0, 1, 0, 1]), (0, 0, [0] * 6)])
+def test_episodes_go_round_from_the_start(spark, start, end, want):
+    df = spark.createDataFrame([(k, start, end) for k in range(6)], "k bigint, s bigint, e bigint")
+    assert [r[1] for r in sorted(df.select("k", episode_index(F.col("k"), F.col("s"), F.col("e"))).collect())] == want
