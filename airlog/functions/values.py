@@ -85,17 +85,38 @@ _TAGS = {"boolean": "b", "tinyint": "i", "smallint": "i", "int": "i", "bigint":
          "float": "r", "double": "r", "string": "t", "binary": "x"}
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
 def canonical(df: DataFrame, columns: Sequence[str]) -> Column:
-    """One unambiguous text per row: every value framed by its type tag and its length."""
+    """One unambiguous text per row: every value framed by its type tag and its length.
+
+    Times are microseconds, whatever the session's time zone, and the entries of a map stand in the order of their keys.
+    Maps inside other values and times inside nested values have no such form and are refused.
+    """
     frames = []
     for name in sorted(columns):
         kind = df.schema[name].dataType.simpleString()
         value = F.col(name)
         if kind == "binary":
             text = F.base64(value)
-        elif kind in _TAGS or kind.startswith(("decimal", "timestamp", "date")):
+        elif kind == "timestamp_ntz":
+            text = micros(value).cast("string")
+        elif kind == "timestamp":
+            text = F.unix_micros(value).cast("string")
+        elif kind in _TAGS or kind.startswith(("decimal", "date")):
             text = value.cast("string")
         else:
+            whole = df.schema[name].dataType
+            if isinstance(whole, T.MapType):
+                whole, value = T.StructType([T.StructField("k", whole.keyType), T.StructField("v", whole.valueType)]), F.array_sort(F.map_entries(value))
+            if _holds_map(whole) or "timestamp" in whole.simpleString():
+                raise ValueError(f"column {name}: no canonical form of {kind}")
             text = F.to_json(value)
         tag = _TAGS.get(kind, kind.split("<")[0].split("(")[0])
         framed = F.concat(F.lit(tag), F.length(text).cast("string"), F.lit(":"), text)

@@ -44,7 +44,7 @@ def slot_calendar(slots: DataFrame, first_day, last_day) -> DataFrame:
         "_bounds": F.when(F.col("rule_kind") != "weekday", cal.key_bounds(F.col("rule_key"))),
         "_weekday": F.when(F.col("rule_kind") == "weekday", cal.weekday_number(F.col("rule_key"))),
     })
-    # a weekday rule steps by whole weeks, a calendar key is tested on every day
+    # a weekday rule steps by whole weeks, a calendar key by the days of its bounds
     opening = F.date_add(first, F.pmod(F.col("_weekday") - F.weekday(first), F.lit(7)))
     weekly = F.when(opening <= last, F.sequence(opening, last, F.expr("INTERVAL 7 DAYS")))
     days = F.when(F.col("_weekday").isNotNull(), weekly).otherwise(F.sequence(first, last))
@@ -171,14 +171,36 @@ def check_proposal(
     return every.distinct()
 
 
+def _timed_well() -> Column:
+    """Whether an entry's duration and skip are finite and within their bounds."""
+    duration, skip = F.col("duration").cast("double"), F.coalesce(F.col("skip").cast("double"), F.lit(0.0))
+    # NaN is larger than any number
+    return F.coalesce((duration > 0) & (duration <= 86400) & (skip >= 0) & (skip < float("inf")), F.lit(False))
+
+
+def effect_features(proved: DataFrame, directives: DataFrame, blocks: DataFrame, timeline: DataFrame) -> DataFrame:
+    """What proves each request: the features (id, block_id, start_us, end_us) of all blocks that start in its hour.
+
+    proved: rows of effect_evidence; only those with that status give rows. timeline: block_id, content_type, from_us, until_us.
+    """
+    asked = directives.join(proved.filter("status = 'proved'").select("id"), "id").select(
+        "id", "station", (F.col("date").cast("timestamp_ntz") + seconds_interval(F.col("hour") * 3600)).alias("_from"))
+    begun = blocks.select(F.col("id").alias("block_id"), "station", micros("start_time").alias("_at"),
+                          F.date_trunc("hour", F.col("start_time")).cast("timestamp_ntz").alias("_from"))
+    shown = timeline.filter("content_type = 'feature'").select("block_id", "from_us", "until_us")
+    return asked.join(begun, ["station", "_from"]).join(shown, "block_id").select(
+        "id", "block_id", (F.col("_at") + F.col("from_us")).alias("start_us"), (F.col("_at") + F.col("until_us")).alias("end_us"))
+
+
 def effect_evidence(directives: DataFrame, blocks: DataFrame, timeline: DataFrame, catalog: DataFrame) -> DataFrame:
     """Whether each (station, date, hour, series) request is proved by the schedule.
 
     All blocks starting in the hour must be plain blocks of the series on their own station, the
-    features of the plan must be that item and nothing else, and the plan must end inside the block. Returns id,
-    blocks and status: proved, no_blocks, wrong_type, wrong_series, no_feature or plan_too_long.
-    blocks: id, station, liquid_type, start_time, end_time, content_id. timeline: block_id, path,
-    content_type, until_us.
+    features of the plan must be that item and nothing else, every entry must be longer than 0 and at most a day and skip no
+    negative time, and the plan must end inside the block. Returns id, blocks and status: proved, no_blocks, wrong_type,
+    wrong_series, bad_timing, no_feature or plan_too_long.
+    blocks: id, station, liquid_type, start_time, end_time, content_id. timeline: block_id, path, content_type, until_us,
+    duration and skip in seconds.
     """
     timed = directives.withColumn("_from", F.col("date").cast("timestamp_ntz") + seconds_interval(F.col("hour") * 3600))
     asked = timed.select(F.col("id").alias("_d"), "station", "_from", "series")
@@ -187,19 +209,20 @@ def effect_evidence(directives: DataFrame, blocks: DataFrame, timeline: DataFram
                            F.coalesce("realpath", "path").alias("_path"))
     rows = blocks.withColumn("_from", hour).join(asked, ["station", "_from"]).join(items, "content_id", "left")
     ends = timeline.groupBy(F.col("block_id").alias("_b")).agg(
-        F.max("until_us").alias("_plan_us"),
+        F.max("until_us").alias("_plan_us"), F.bool_and(_timed_well()).alias("_timed"),
         F.min(F.when(F.col("content_type") == "feature", F.col("path"))).alias("_lo"),
         F.max(F.when(F.col("content_type") == "feature", F.col("path"))).alias("_hi"))
     judged = rows.join(ends, F.col("id") == F.col("_b"), "left")
     fault = (
         F.when(F.col("liquid_type") != "LiquidBlock", 1)
         .when(~F.coalesce((F.col("tag") == F.col("series")) & (F.col("_owner") == F.col("station")), F.lit(False)), 2)
-        .when(~F.coalesce((F.col("_lo") == F.col("_path")) & (F.col("_hi") == F.col("_path")), F.lit(False)), 3)
-        .when(F.col("_plan_us") > micros("end_time") - micros("start_time"), 4).otherwise(0)
+        .when(~F.coalesce("_timed", F.lit(True)), 3)
+        .when(~F.coalesce((F.col("_lo") == F.col("_path")) & (F.col("_hi") == F.col("_path")), F.lit(False)), 4)
+        .when(F.col("_plan_us") > micros("end_time") - micros("start_time"), 5).otherwise(0)
     )
     worst = judged.withColumn("_fault", fault).groupBy("_d").agg(
         F.count_distinct("id").alias("blocks"), F.min(F.when(F.col("_fault") > 0, F.col("_fault"))).alias("_fault"))
-    names = F.array(*[F.lit(x) for x in ("wrong_type", "wrong_series", "no_feature", "plan_too_long")])
+    names = F.array(*[F.lit(x) for x in ("wrong_type", "wrong_series", "bad_timing", "no_feature", "plan_too_long")])
     status = F.when(F.col("blocks").isNull(), "no_blocks").when(F.col("_fault").isNull(), "proved").otherwise(
         F.get(names, F.col("_fault") - 1))
     return directives.select("id").join(worst, F.col("id") == F.col("_d"), "left").select(
@@ -225,26 +248,29 @@ def keyword_hits(shows: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def recommend(shows: DataFrame, policy: DataFrame, owners: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
-    """Best channel of every show by keyword hits: show, status, channel, identity, score, confidence.
+    """Best channel of every show by keyword hits, with its evidence.
 
-    policy: number, name, accepts_recommendations, keywords (array). Shows that are assigned already
-    are passed through with their owner count.
+    Columns: show, status, channel, identity, score, confidence, matched_keywords, owners, channels. policy: number, name,
+    accepts_recommendations, keywords (array). Shows that are assigned already are passed through with their owners, whose
+    names are in channels.
     """
     skip = [x.lower() for x in excluded] + ["(media root)"]
     named = shows.select("show").distinct().filter(~F.lower("show").isin(*skip))
-    held = owners.groupBy(F.lower("tag").alias("_key")).agg(F.count_distinct("station").alias("owners"))
+    held = owners.groupBy(F.lower("tag").alias("_key")).agg(
+        F.count_distinct("station").alias("owners"), F.array_sort(F.collect_set("station")).alias("channels"))
     marked = named.withColumn("_key", F.lower("show")).join(held, "_key", "left").drop("_key")
     open_policy = policy.filter("accepts_recommendations")
-    free = marked.filter("owners IS NULL").drop("owners")
-    hits = keyword_hits(free, open_policy).groupBy("show", "number", "name").agg(F.count_distinct("keyword").alias("score"))
-    best = hits.groupBy("show").agg(F.max_by(F.struct("number", "name", "score"), F.struct("score", -F.col("number"))).alias("b"))
-    score = F.coalesce("b.score", F.lit(0))
+    free = marked.filter("owners IS NULL").select("show")
+    hits = keyword_hits(free, open_policy).groupBy("show", "number", "name").agg(
+        F.array_sort(F.collect_set("keyword")).alias("matched")).withColumn("score", F.size("matched").cast("bigint"))
+    best = hits.groupBy("show").agg(F.max_by(F.struct("number", "name", "score", "matched"), F.struct("score", -F.col("number"))).alias("b"))
+    score, none = F.coalesce("b.score", F.lit(0)), F.array().cast("array<string>")
     advised = free.join(best, "show", "left").select(
         "show", F.lit("advisory").alias("status"), F.col("b.number").alias("channel"), F.col("b.name").alias("identity"),
         score.alias("score"), F.when(score == 0, "unclassified").when(score == 1, "low").otherwise("medium").alias("confidence"),
-        F.lit(0).cast("bigint").alias("owners"))
+        F.coalesce("b.matched", none).alias("matched_keywords"), F.lit(0).cast("bigint").alias("owners"), none.alias("channels"))
     kept = marked.filter("owners IS NOT NULL").select(
         "show", F.lit("already_assigned").alias("status"), F.lit(None).cast("int").alias("channel"),
         F.lit(None).cast("string").alias("identity"), F.lit(0).cast("bigint").alias("score"),
-        F.lit(None).cast("string").alias("confidence"), "owners")
+        F.lit(None).cast("string").alias("confidence"), none.alias("matched_keywords"), "owners", "channels")
     return advised.unionByName(kept)

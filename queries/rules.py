@@ -183,20 +183,22 @@ _RECOMMEND = """
     WITH shows AS (SELECT DISTINCT p_name || ' of ' || p_type || ' ' || p_partkey AS nm FROM part),
     words AS (SELECT DISTINCT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) AS number, p_brand AS name, unnest(string_split(p_name, ' ')) AS w FROM part),
     owned AS (SELECT lower(p_name || ' of ' || p_type || ' ' || p_partkey) AS k, CAST(1 AS BIGINT) AS owners FROM part WHERE p_partkey % 6 = 0),
-    hits AS (SELECT nm, number, name, count(DISTINCT w) AS score FROM shows JOIN words ON contains(lower(nm), lower(w)) AND number % 4 <> 0 GROUP BY ALL),
-    best AS (SELECT nm, arg_max(number, (score, -number)) AS channel, arg_max(name, (score, -number)) AS identity, max(score) AS score FROM hits GROUP BY 1)
+    hits AS (SELECT nm, number, name, count(DISTINCT w) AS score, string_agg(DISTINCT upper(w[1]) || w[2:], ',' ORDER BY upper(w[1]) || w[2:]) AS matched FROM shows JOIN words ON contains(lower(nm), lower(w)) AND number % 4 <> 0 GROUP BY ALL),
+    best AS (SELECT nm, arg_max(number, (score, -number)) AS channel, arg_max(name, (score, -number)) AS identity, max(score) AS score, arg_max(matched, (score, -number)) AS matched FROM hits GROUP BY 1)
     SELECT s.nm AS show, CASE WHEN o.k IS NULL THEN 'advisory' ELSE 'already_assigned' END AS status,
            CASE WHEN o.k IS NULL THEN b.channel END AS channel, CASE WHEN o.k IS NULL THEN b.identity END AS identity,
            CAST(CASE WHEN o.k IS NULL THEN coalesce(b.score, 0) ELSE 0 END AS BIGINT) AS score,
            CASE WHEN o.k IS NULL THEN CASE coalesce(b.score, 0) WHEN 0 THEN 'unclassified' WHEN 1 THEN 'low' ELSE 'medium' END END AS confidence,
-           coalesce(o.owners, 0) AS owners
+           coalesce(o.owners, 0) AS owners, CASE WHEN o.k IS NULL THEN coalesce(b.matched, '') ELSE '' END AS matched_keywords,
+           CASE WHEN o.k IS NULL THEN '' ELSE 'st' END AS channels
     FROM shows s LEFT JOIN owned o ON o.k = lower(s.nm) LEFT JOIN best b ON b.nm = s.nm"""
 
 
 @query("recommend", _RECOMMEND)
 def _(t):
     owners = t.read("part").filter("p_partkey % 6 = 0").select(F.concat_ws(" ", "p_name", F.lit("of"), "p_type", "p_partkey").alias("tag"), F.lit("st").alias("station"))
-    return r.recommend(_shows(t), _policy(t), owners)
+    found = r.recommend(_shows(t), _policy(t), owners)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("matched_keywords", "channels")})
 
 
 _KEYWORDS = """
@@ -217,19 +219,19 @@ def _(t):
     return r.keyword_hits(_shows(t), words.select("number", "name", F.array("keyword").alias("keywords")))
 
 
-@query("effect_evidence", """
+_EFFECT = """
     WITH b AS (SELECT id, station, start_time, end_time, id % 2000 AS content_id, CASE WHEN id % 40 = 0 THEN 'LiquidClipBlock' ELSE 'LiquidBlock' END AS liquid_type, date_trunc('hour', start_time) AS h FROM blocks),
     req AS (SELECT DISTINCT station, h FROM b WHERE id % 3 = 0 UNION SELECT DISTINCT station, h - INTERVAL 30 DAY FROM b WHERE id % 1000 = 0),
     asked AS (SELECT station || strftime(h, '%Y%m%d%H') AS id, station, h, 'series ' || (epoch(h)::BIGINT // 3600 % 2) AS series FROM req),
     judged AS (
       SELECT a.id AS d, b.id, CASE WHEN liquid_type <> 'LiquidBlock' THEN 1 WHEN 'series ' || (epoch(b.h)::BIGINT // 3600 % 2 + CASE WHEN b.id % 30 = 0 THEN 1 ELSE 0 END) <> a.series THEN 2
-          WHEN b.id % 25 = 0 THEN 3 WHEN 30 * 1000000 > epoch_us(end_time) - epoch_us(start_time) THEN 4 ELSE 0 END AS fault
+          WHEN b.id % 70 = 0 OR b.id % 110 = 0 THEN 3 WHEN b.id % 25 = 0 THEN 4 WHEN 30 * 1000000 > epoch_us(end_time) - epoch_us(start_time) THEN 5 ELSE 0 END AS fault
       FROM asked a JOIN b ON b.station = a.station AND b.h = a.h),
     worst AS (SELECT d, count(DISTINCT id) AS n, min(fault) FILTER (WHERE fault > 0) AS fault FROM judged GROUP BY 1)
-    SELECT a.id, CAST(coalesce(n, 0) AS BIGINT) AS blocks, CASE WHEN n IS NULL THEN 'no_blocks' WHEN fault IS NULL THEN 'proved'
-       ELSE ['wrong_type','wrong_series','no_feature','plan_too_long'][fault] END AS status
-    FROM asked a LEFT JOIN worst w ON w.d = a.id""")
-def _(t):
+"""
+
+
+def _effects(t):
     hour = F.date_trunc("hour", "start_time").cast("timestamp_ntz")
     blocks = t.blocks.select(
         "id", "station", "start_time", "end_time", F.col("id").alias("content_id"),
@@ -244,6 +246,23 @@ def _(t):
     own = (F.unix_date(F.col("start_time").cast("date")).cast("bigint") * 24 + F.hour("start_time")) % 2 + F.when(F.col("id") % 30 == 0, 1).otherwise(0)
     items = t.blocks.select("id", "station", F.concat(F.lit("series "), own).alias("tag"), F.concat(F.lit("f"), "id").alias("path"), F.lit(None).cast("string").alias("realpath"))
     plan = t.blocks.select(F.col("id").alias("block_id"), F.posexplode(F.array(F.lit("feature"), F.lit("commercial")))).select(
-        "block_id", F.col("pos").alias("position"), F.col("col").alias("content_type"), F.lit(15.0).alias("duration"),
+        "block_id", F.col("pos").alias("position"), F.col("col").alias("content_type"),
+        F.when((F.col("col") == "feature") & (F.col("block_id") % 70 == 0), 0.0).otherwise(15.0).alias("duration"),
+        F.when((F.col("col") == "commercial") & (F.col("block_id") % 110 == 0), -1.0).otherwise(0.0).alias("skip"),
         F.when((F.col("col") == "feature") & (F.col("block_id") % 25 != 0), F.concat(F.lit("f"), "block_id")).otherwise("other").alias("path"))
-    return r.effect_evidence(asked, blocks, plan_timeline(plan), items)
+    return asked, blocks, plan_timeline(plan), items
+
+
+@query("effect_evidence", _EFFECT + """    SELECT a.id, CAST(coalesce(n, 0) AS BIGINT) AS blocks, CASE WHEN n IS NULL THEN 'no_blocks' WHEN fault IS NULL THEN 'proved'
+       ELSE ['wrong_type','wrong_series','bad_timing','no_feature','plan_too_long'][fault] END AS status
+    FROM asked a LEFT JOIN worst w ON w.d = a.id""")
+def _(t):
+    return r.effect_evidence(*_effects(t))
+
+
+@query("effect_features", _EFFECT + """
+    SELECT a.id, b.id AS block_id, epoch_us(b.start_time) AS start_us, epoch_us(b.start_time) + 15000000 AS end_us
+    FROM asked a JOIN worst w ON w.d = a.id AND w.fault IS NULL JOIN b ON b.station = a.station AND b.h = a.h""")
+def _(t):
+    asked, blocks, timeline, items = _effects(t)
+    return r.effect_features(r.effect_evidence(asked, blocks, timeline, items), asked, blocks, timeline)
