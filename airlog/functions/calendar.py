@@ -200,6 +200,21 @@ def in_key_bounds(ts: Column | str, bounds: Column) -> Column:
     return F.coalesce(F.when(bounds["lo"] <= bounds["hi"], after & before).otherwise(after | before), F.lit(False))
 
 
+def days_in_bounds(bounds: Column, first: Column, last: Column) -> Column:
+    """The days from first to last that lie in calendar-key bounds, made from the bounds of each year; null bounds give none."""
+    def day(year: Column, at: Column, last_of_month: bool) -> Column:
+        month = F.make_date(year, F.floor(at / 100).cast("int"), F.lit(1))
+        found = F.date_add(month, (at % 100 - 1).cast("int"))
+        # 29 February of a plain year: a range begins on the day after it, or ends on the day before
+        return F.least(found, F.last_day(month)) if last_of_month else found
+
+    wraps = (bounds["lo"] > bounds["hi"]).cast("int")
+    spans = F.transform(F.sequence(F.year(first) - 1, F.year(last)), lambda y: F.struct(
+        F.greatest(day(y, bounds["lo"], False), first).alias("lo"), F.least(day(y + wraps, bounds["hi"], True), last).alias("hi")))
+    inside = F.filter(spans, lambda s: s["lo"] <= s["hi"])
+    return F.when(bounds.isNotNull(), F.flatten(F.transform(inside, lambda s: F.sequence(s["lo"], s["hi"]))))
+
+
 def matches_date_key(ts: Column | str, key: Column) -> Column:
     return in_key_bounds(ts, key_bounds(key))
 

@@ -7,6 +7,7 @@ unless an operator says otherwise; comparisons use exact microseconds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -151,9 +152,11 @@ def overlap_join(
 
     Columns of the right side get the prefix r_. A pair sharing several buckets is kept only in the
     bucket where the later of the two starts, so every pair appears once. With how="left_semi" the
-    left rows that have a partner are returned once each (they need a unique id column).
+    left rows that have a partner are returned, and no pair is made.
     """
     width = bucket_seconds * 1_000_000
+    if how == "left_semi":
+        return _reached(with_micros(left), right, keys, (), width).filter(F.col("_reach") > F.col("start_us")).drop("_reach")
     a = _in_buckets(with_micros(left), "start_us", "end_us", width, "_bucket")
     b = with_micros(right)
     b = b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns])
@@ -162,8 +165,6 @@ def overlap_join(
     on = on & (F.col("end_us") > F.col("r_start_us"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"r_{k}"))
-    if how == "left_semi":
-        return a.join(b, on, "left_semi").drop("_bucket").distinct()
     later = F.floor(F.greatest("start_us", "r_start_us") / F.lit(width))
     return a.join(b, on & (F.col("_bucket") == later)).drop("_bucket", "r__bucket")
 
@@ -177,28 +178,32 @@ def exclude_overlapping(
 ) -> DataFrame:
     """Drop candidates whose item is busy elsewhere in an overlapping window.
 
-    No pairs are made: along the starts of an item's busy windows, the latest end among windows
-    that start before a candidate ends tells whether any of them reaches past the candidate's
-    start. A candidate without a key is never dropped.
+    No pairs are made. A candidate without a key is never dropped.
     """
     cands = with_micros(candidates)
-    columns = cands.columns
-    windows = with_micros(busy).filter(F.col(key).isNotNull())
-    marks = windows.select(F.col(key), F.col("start_us").alias("_at"), F.lit(1).alias("_side"),
-                           F.col("end_us").alias("_busy_to"))
-    # a window that starts exactly where the candidate ends does not overlap: candidates go first
-    probes = cands.filter(F.col(key).isNotNull()).withColumns({"_at": F.col("end_us"), "_side": F.lit(0)})
-    both = probes.unionByName(marks.groupBy(key, "_at", "_side").agg(F.max("_busy_to").alias("_busy_to")),
-                              allowMissingColumns=True)
-    scanned = OrderedScan(both, [key], ["_at", "_side", *tie], width).running(
-        Running("_reach", "max", F.col("_busy_to"), inclusive=False)
-    ).result()
-    free = scanned.filter(
-        (F.col("_side") == 0) & (F.col("_reach").isNull() | (F.col("_reach") <= F.col("start_us")))
-    ).select(*columns)
+    probed = _reached(cands, busy, [key], tie, width)
+    free = probed.filter(F.col("_reach").isNull() | (F.col("_reach") <= F.col("start_us"))).drop("_reach")
     return free.unionByName(cands.filter(F.col(key).isNull()))
 
 
+def _reached(cands: DataFrame, busy: DataFrame, keys: Sequence[str], tie: Sequence[str], width: int) -> DataFrame:
+    """Candidates with keys, and how far the busy windows reach that start before a candidate ends (_reach).
+
+    A candidate overlaps one of them when they reach past its start.
+    """
+    columns, keys = cands.columns, list(keys)
+    keyed = [F.col(k).isNotNull() for k in keys]
+    there = reduce(Column.__and__, keyed) if keyed else F.lit(True)
+    marks = with_micros(busy).filter(there).groupBy(*keys, F.col("start_us").alias("_at")).agg(
+        F.max("end_us").alias("_busy_to")).withColumn("_side", F.lit(1))
+    # a window that starts exactly where the candidate ends does not overlap: candidates go first
+    probes = cands.filter(there).withColumns({"_at": F.col("end_us"), "_side": F.lit(0)})
+    both = probes.unionByName(marks, allowMissingColumns=True)
+    scanned = OrderedScan(both, keys, ["_at", "_side", *tie], width).running(
+        Running("_reach", "max", F.col("_busy_to"), inclusive=False))
+    return scanned.result().filter("_side = 0").select(*columns, "_reach")
+
+
 # ---- point lookups -------------------------------------------------------------------------
 
 

@@ -47,9 +47,8 @@ def slot_calendar(slots: DataFrame, first_day, last_day) -> DataFrame:
     # a weekday rule steps by whole weeks, a calendar key by the days of its bounds
     opening = F.date_add(first, F.pmod(F.col("_weekday") - F.weekday(first), F.lit(7)))
     weekly = F.when(opening <= last, F.sequence(opening, last, F.expr("INTERVAL 7 DAYS")))
-    days = F.when(F.col("_weekday").isNotNull(), weekly).otherwise(F.sequence(first, last))
-    hit = F.col("_weekday").isNotNull() | cal.in_key_bounds("date", F.col("_bounds"))
-    dated = bounded.withColumn("date", F.explode(days)).filter(hit).drop("_bounds", "_weekday")
+    days = F.when(F.col("_weekday").isNotNull(), weekly).otherwise(cal.days_in_bounds(F.col("_bounds"), first, last))
+    dated = bounded.withColumn("date", F.explode(days)).drop("_bounds", "_weekday")
     chosen = first_per(dated, ["station", "date", "rule_kind"], ["rule_order", "rule_key"]).drop("rule_order")
     laid = chosen.join(slots.drop("rule_order"), ["station", "rule_kind", "rule_key"])
     fits = (F.col("rule_kind") != "week") | (F.col("day") == cal.weekday_name("date"))

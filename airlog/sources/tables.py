@@ -64,12 +64,18 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Se
 
 def replace_station(df: DataFrame, folder: str) -> None:
     """Write full station sets; stations that are not in df keep their partition."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("station").parquet(folder)
+    _clustered(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("station").parquet(folder)
+
+
+def _clustered(df: DataFrame) -> DataFrame:
+    """Rows ranged by station and time, so a station has few files and each of them a span of time that a scan can skip."""
+    order = [c for c in ("station", "start_time") if c in df.columns]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def append_blocks(df: DataFrame, folder: str) -> None:
     """Append schedule rows. There is no unique key: appending twice stores twice."""
-    df.write.mode("append").partitionBy("station").parquet(folder)
+    _clustered(df).write.mode("append").partitionBy("station").parquet(folder)
 
 
 def _in_range(station: str, lo, hi):

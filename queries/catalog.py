@@ -213,14 +213,17 @@ def _(t):
 @query("sample_bounded", """
     WITH ranked AS (
       SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank,
-             count(*) OVER (PARTITION BY source) > 5 AS samples_truncated
-      FROM documents WHERE lang = 'en')
-    SELECT source, CAST(rank AS INTEGER) AS rank, strlen(text) > 512 AS value_truncated, samples_truncated
+             count(*) OVER (PARTITION BY source) > 5 AS samples_truncated,
+             list_filter(generate_series(least(length(text), 512), 0, -1), lambda k: strlen(text[:k]) <= 512)[1] AS chars,
+      FROM documents)
+    SELECT source, CAST(rank AS INTEGER) AS rank, strlen(text) > 512 AS value_truncated, samples_truncated,
+           text[:chars] AS whole_chars, strlen(text) > 512 AND strlen(text[:chars]) < 512 AS cut_char
     FROM ranked WHERE rank <= 5""")
 def _(t):
-    english = t.read("documents").filter("lang = 'en'")
-    found = ct.sample_bounded(english, ["source"], ["doc_id"], "text", n=5, max_bytes=512)
-    return found.select("source", "rank", "value_truncated", "samples_truncated")
+    """A preview whose last character was cut ends in the replacement character; the rest are whole characters."""
+    found = ct.sample_bounded(t.read("documents"), ["source"], ["doc_id"], "text", n=5, max_bytes=512)
+    return found.select("source", "rank", "value_truncated", "samples_truncated",
+                        F.regexp_replace("preview", "\ufffd+$", "").alias("whole_chars"), F.endswith("preview", F.lit("\ufffd")).alias("cut_char"))
 
 
 @query("best_match", """

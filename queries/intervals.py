@@ -138,11 +138,10 @@ def _(t):
 
 @query("overlap_join_bucketed", """
     SELECT a.id AS left_id, b.id AS right_id
-    FROM (SELECT * FROM blocks WHERE station = 'view') a JOIN (SELECT * FROM blocks WHERE station = 'error') b
-      ON a.start_time < b.end_time AND a.end_time > b.start_time""")
+    FROM blocks a JOIN blocks b ON a.station <> b.station AND a.start_time < b.end_time AND a.end_time > b.start_time""")
 def _(t):
-    """Overlap between two stations, with no equality key but the time bucket."""
-    pairs = iv.overlap_join(t.blocks.filter("station = 'view'"), t.blocks.filter("station = 'error'"))
+    """Overlap between all stations, with no equality key but the time bucket."""
+    pairs = iv.overlap_join(t.blocks, t.blocks).filter("station <> r_station")
     return pairs.select(F.col("id").alias("left_id"), F.col("r_id").alias("right_id"))
 
 
