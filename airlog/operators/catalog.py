@@ -92,23 +92,36 @@ def _parsed_rules(rules: DataFrame, parts: Mapping[str, Sequence[int]]) -> DataF
         cal.weekday_number("day_of_week").alias("_weekday"), cal.hours_of(F.col("day_part"), parts).alias("_hours"))
 
 
-def _rule_passes(when: str, holidays: Mapping[str, str] | None) -> Column:
+def _rule_passes(rule: Column, when: Column, holidays: Mapping[str, str] | None) -> Column:
     """Whether every field set in a parsed rule holds at a time."""
     tests = {
-        "month": F.month(when) == F.col("_month"),
-        "quarter": F.quarter(when) == F.col("_quarter"),
-        "date_range": cal.in_range_bounds(when, F.col("_range")),
-        "week_number": F.weekofyear(when) == F.col("_week"),
-        "day_of_week": F.weekday(when) == F.col("_weekday"),
-        "day_part": F.array_contains("_hours", F.hour(when)),
-        "custom_holiday": cal.on_holiday(when, F.col("custom_holiday"), holidays or {}),
+        "month": F.month(when) == rule["_month"],
+        "quarter": F.quarter(when) == rule["_quarter"],
+        "date_range": cal.in_range_bounds(when, rule["_range"]),
+        "week_number": F.weekofyear(when) == rule["_week"],
+        "day_of_week": F.weekday(when) == rule["_weekday"],
+        "day_part": F.array_contains(rule["_hours"], F.hour(when)),
+        "custom_holiday": cal.on_holiday(when, rule["custom_holiday"], holidays or {}),
     }
     passed = F.lit(True)
     for name in _RULE_TESTS:
-        passed = passed & (F.col(name).isNull() | F.coalesce(tests[name], F.lit(False)))
+        passed = passed & (rule[name].isNull() | F.coalesce(tests[name], F.lit(False)))
     return passed
 
 
+def rules_of_paths(items: DataFrame, rules: DataFrame, parts: Mapping[str, Sequence[int]] = cal.DAY_PARTS) -> DataFrame:
+    """(path, _rules): the parsed rules of each path that has any, in their order.
+
+    A rule applies to every path below its directory (`under`). A path has as many rules as its directories have.
+    """
+    item = paths.parts("path")
+    above = F.transform(F.sequence(F.lit(1), F.size(item)), lambda n: F.array_join(F.slice(item, F.lit(1), n), "/"))
+    parsed = _parsed_rules(rules, parts)
+    rule = F.struct("rule_order", *[c for c in parsed.columns if c not in ("_dir", "rule_order")])
+    return items.select("path").distinct().select("path", F.explode(above).alias("_dir")).join(parsed, "_dir").groupBy("path").agg(
+        F.collect_list(rule).alias("_rules"))
+
+
 def apply_meta_hints(
     candidates: DataFrame,
     rules: DataFrame,
@@ -117,35 +130,29 @@ def apply_meta_hints(
     compat: bool = False,
     holidays: Mapping[str, str] | None = None,
     parts: Mapping[str, Sequence[int]] = cal.DAY_PARTS,
+    items: DataFrame | None = None,
 ) -> DataFrame:
     """The candidate pool of each request under metadata-hint rules.
 
-    A rule applies to every item below its directory (`under`). Without a passing exclusive item,
-    the pool is the items without rules plus those whose rules all pass; with one, it is only the
-    passing exclusive items. compat=True also counts an item as exclusive when an exclusive rule
-    passed before a later rule of the same item failed.
+    Without a passing exclusive item, the pool is the items without rules plus those whose rules all pass; with one, it is only
+    the passing exclusive items. compat=True also counts an item as exclusive when an exclusive rule passed before a later
+    rule of the same item failed. items is a table with every candidate's path, such as the catalog, if it is smaller than the
+    candidates. Rules are found once per path; each candidate is judged in its own row, and one window per request
+    tells whether an exclusive item passed.
     """
-    item = paths.parts("path")
-    above = F.transform(F.sequence(F.lit(1), F.size(item)), lambda n: F.array_join(F.slice(item, F.lit(1), n), "/"))
-    ids = list(per) + ["id"]
-    # rules are found once per path, however many requests ask for it
-    ruled = candidates.select("path").distinct().select("path", F.explode(above).alias("_dir")).join(
-        _parsed_rules(rules, parts), "_dir")
-    hits = candidates.select(*ids, when, "path").join(ruled, "path").withColumn("_pass", _rule_passes(when, holidays))
-    failed_at = F.min(F.when(~F.col("_pass"), F.col("rule_order")))
-    exclusive_at = F.min(F.when(F.col("_pass") & F.col("_exclusive"), F.col("rule_order")))
-    judged = hits.groupBy(*ids).agg(failed_at.alias("_failed_at"), exclusive_at.alias("_exclusive_at"))
+    ruled = rules_of_paths(candidates if items is None else items, rules, parts)
+    met = candidates.join(ruled, "path", "left")
+    judged = met.withColumn("_judged", F.transform("_rules", lambda r: F.struct(
+        r["rule_order"].alias("at"), _rule_passes(r, F.col(when), holidays).alias("passes"), r["_exclusive"].alias("exclusive"))))
+    failed_at = F.array_min(F.transform(F.filter("_judged", lambda r: ~r["passes"]), lambda r: r["at"]))
+    exclusive_at = F.array_min(F.transform(F.filter("_judged", lambda r: r["passes"] & r["exclusive"]), lambda r: r["at"]))
+    marked = judged.withColumns({"_failed_at": failed_at, "_exclusive_at": exclusive_at})
     all_pass = F.col("_failed_at").isNull()
     captured = F.col("_exclusive_at").isNotNull() & (
         (all_pass | (F.col("_exclusive_at") < F.col("_failed_at"))) if compat else all_pass)
-    judged = judged.select(*ids, all_pass.alias("_all"), captured.alias("_captured"))
-    pools = judged.groupBy(*per).agg(F.bool_or("_captured").alias("_only_exclusive"))
-    return (
-        candidates.join(judged, ids, "left")
-        .join(pools, list(per), "left")
-        .filter(F.when(F.col("_only_exclusive"), F.col("_captured")).otherwise(F.coalesce("_all", F.lit(True))))
-        .drop("_all", "_captured", "_only_exclusive")
-    )
+    pooled = marked.withColumn("_captured", captured).withColumn(
+        "_only_exclusive", F.bool_or("_captured").over(Window.partitionBy(*per)))
+    return pooled.filter(F.when(F.col("_only_exclusive"), F.col("_captured")).otherwise(all_pass)).select(*candidates.columns)
 
 
 # ---- ranking and samples -------------------------------------------------------------------
@@ -300,7 +307,7 @@ def candidates(
     if "hints" in catalog.columns:
         pool = pool.filter(hint_matches("hints", "when", holidays, parts))
     if rules is not None:
-        pool = apply_meta_hints(pool, rules, holidays=holidays, parts=parts)
+        pool = apply_meta_hints(pool, rules, holidays=holidays, parts=parts, items=catalog)
     if busy is not None:
         end = F.col("when") + F.make_dt_interval(
             F.lit(0), F.lit(0), F.lit(0), F.col("duration").cast("decimal(18,6)"))

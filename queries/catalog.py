@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airlog.functions import paths
+from airlog.functions.hints import decode_hints
 from airlog.operators import catalog as ct
 from airlog.operators.intervals import lookahead
 from queries.registry import query
@@ -285,30 +286,61 @@ _JUDGED = """
 def _(t):
     items = t.parts_as_items.select("id", "station", "path", "duration")
     pool = _requests(t).join(items, ["station", "duration"])
-    return ct.apply_meta_hints(pool, _rules(t)).select("request_id", "id")
+    return ct.apply_meta_hints(pool, _rules(t), items=items).select("request_id", "id")
+
+
+@query("meta_hint_pool_compat", f"""WITH {_JUDGED},
+    firsts AS (
+      SELECT *, CASE n % 4 WHEN 0 THEN month("when") = 1
+        WHEN 1 THEN CAST("when" AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-19' OR "when" = TIMESTAMP '2024-01-20 00:00:00'
+        WHEN 2 THEN isodow("when") = 5 ELSE hour("when") IN (23, 0, 1, 2) END AS narrow FROM pool),
+    caught AS (
+      SELECT request_id, id, tag = 'PROMO' AND narrow AS captured, (tag = 'SMALL' OR narrow) AND (n % 10 <> 5 OR quarter("when") = 2) AS every_rule
+      FROM firsts),
+    pooled AS (SELECT *, bool_or(captured) OVER (PARTITION BY request_id) AS only_captured FROM caught)
+    SELECT request_id, id FROM pooled WHERE CASE WHEN only_captured THEN captured ELSE every_rule END""")
+def _(t):
+    """An exclusive rule comes first and the rule of a whole brand last, for a quarter in which nothing is asked."""
+    items = t.parts_as_items.select("id", "station", "path", "duration")
+    late = _rules(t).withColumn("rule_order", 3 - F.col("rule_order")).withColumn("quarter", F.when(F.col("quarter") == "Q1", F.lit("Q2")))
+    pool = _requests(t).join(items, ["station", "duration"])
+    return ct.apply_meta_hints(pool, late, compat=True, items=items).select("request_id", "id")
 
 
 @query("candidates", """
     WITH req AS (SELECT event_id AS request_id, 'Brand#' || (event_id % 25 + 1) AS station, ts AS "when",
                         value * 20 AS seconds, ['ECONOMY','PROMO','SMALL','LARGE','MEDIUM','STANDARD'][event_id % 6 + 1] AS tag
                  FROM events),
-    ok AS (
-      SELECT r.request_id, i.id, i.title, i.path, i.count
+    fit AS (
+      SELECT r.*, i.id, i.title, i.path, i.count, i.duration, i.tag = 'PROMO' AS exclusive, i.tag IN ('PROMO', 'LARGE') AS ruled
       FROM req r JOIN catalog i ON i.station = r.station AND i.tag = r.tag AND i.duration >= 1 AND i.duration < r.seconds
+      WHERE i.id % 3 <> 0 OR isodow(r."when") = 5),
+    passed AS (
+      SELECT *, NOT ruled OR CASE WHEN exclusive THEN hour("when") IN (23, 0, 1, 2) ELSE month("when") = 1 END AS passes FROM fit),
+    pooled AS (SELECT *, bool_or(exclusive AND passes) OVER (PARTITION BY request_id) AS only_exclusive FROM passed),
+    ok AS (
+      SELECT r.request_id, r.id, r.title, r.path, r.count FROM (SELECT * FROM pooled WHERE CASE WHEN only_exclusive THEN exclusive AND passes ELSE passes END) r
       WHERE NOT EXISTS (
-        SELECT 1 FROM blocks b WHERE b.station <> 'view' AND 'item' || (b.content_id % 40) = 'item' || (i.id % 40)
-          AND b.start_time < r."when" + to_microseconds(CAST(i.duration * 1000000 AS BIGINT)) AND b.end_time > r."when"))
+        SELECT 1 FROM blocks b WHERE b.station <> 'view' AND 'item' || (b.content_id % 40) = 'item' || (r.id % 40)
+          AND b.start_time < r."when" + to_microseconds(CAST(r.duration * 1000000 AS BIGINT)) AND b.end_time > r."when"))
     SELECT request_id, arg_min(id, (count, title, path, id)) AS id, CAST(count(*) AS BIGINT) AS n FROM ok GROUP BY 1""")
 def _(t):
-    """Eligible items per request, not busy on another station, and the least-played one of them."""
+    """Eligible items per request whose hints and rules pass, not busy on another station, and the least-played one of them."""
     tags = F.array(*[F.lit(x) for x in ("ECONOMY", "PROMO", "SMALL", "LARGE", "MEDIUM", "STANDARD")])
     requests = t.spread("events").select(
         F.col("event_id").alias("request_id"), F.concat(F.lit("Brand#"), F.col("event_id") % 25 + 1).alias("station"),
         F.get(tags, (F.col("event_id") % 6).cast("int")).alias("tag"), F.col("ts").alias("when"),
         (F.col("value") * 20).alias("seconds"))
-    items = t.catalog.withColumn("realpath", F.concat(F.lit("item"), F.col("id") % 40))
+    items = t.catalog.withColumns({
+        "realpath": F.concat(F.lit("item"), F.col("id") % 40), "hints": decode_hints(F.when(
+            F.col("id") % 3 == 0, F.lit(r'["{\"type\": \"day_of_week\", \"day\": \"friday\"}"]')))})
+    null, part = F.lit(None).cast("string"), F.col("p_type")
+    rules = t.read("part").select("p_brand", "p_type").distinct().filter("p_type IN ('PROMO', 'LARGE')").select(
+        F.concat_ws("/", "p_brand", "p_type").alias("under"), F.lit(1).alias("rule_order"), F.when(part == "LARGE", F.lit("January")).alias("month"),
+        *[null.alias(c) for c in ("quarter", "date_range", "week_number", "day_of_week")], F.when(part == "PROMO", F.lit("late")).alias("day_part"),
+        null.alias("custom_holiday"), (part == "PROMO").alias("exclusive"))
     busy = t.blocks.filter("station <> 'view'").withColumn("realpath", F.concat(F.lit("item"), F.col("content_id") % 40))
-    pool = ct.candidates(requests, items, busy=busy)
+    pool = ct.candidates(requests, items, rules, busy)
     counts = pool.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
     return ct.pick_least_played(pool, ["request_id"]).select("request_id", "id").join(counts, "request_id")
 

@@ -262,12 +262,17 @@ def _(t):
 
 
 @query("unsafe_documents", r"""
-    SELECT doc_id FROM documents
+    SELECT doc_id FROM (SELECT doc_id, text || CASE doc_id % 30 WHEN 0 THEN ' kept at /srv/' || source || '/x' WHEN 1 THEN ' his PassWord' WHEN 2 THEN ' d:\\x' ELSE '' END AS text FROM documents)
     WHERE regexp_matches(text, '(?:^|[\s"''=:(])/(?:[^/\s]+(?:/|$))')
        OR regexp_matches(text, '(?:^|[\s"''=:(])(?:[A-Za-z]:[\\/]|\\\\)')
        OR regexp_matches(text, '(?i)(authorization|bearer|cookie|password|passwd|private[ _-]?key|api[ _-]?key|access[ _-]?token|refresh[ _-]?token|secret|environment(?: variables?)?)')""")
 def _(t):
-    return t.read("documents").filter(paths.unsafe_text("text").isNotNull()).select("doc_id")
+    """The given texts have nothing unsafe, so of every thirty, three are given a path or a secret word."""
+    n = F.col("doc_id") % 30
+    added = F.when(n == 0, F.concat(F.lit(" kept at /srv/"), "source", F.lit("/x"))).when(n == 1, F.lit(" his PassWord")).when(
+        n == 2, F.lit(" d:\\x")).otherwise("")
+    docs = t.read("documents").withColumn("text", F.concat("text", added))
+    return docs.filter(paths.unsafe_text("text").isNotNull()).select("doc_id")
 
 
 @query("round_up", """
