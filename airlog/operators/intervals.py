@@ -123,12 +123,30 @@ def components(
     tie: Sequence[str] = ("id",),
     width: int = DAY_US,
 ) -> DataFrame:
-    """Label maximal runs of overlapping blocks with the start of the run (component_us)."""
-    scan = OrderedScan(with_micros(blocks), list(keys), ["start_us", "end_us", *tie], width)
-    scan.running(Running("_reach", "max", F.col("end_us"), inclusive=False))
+    """Label maximal runs of overlapping blocks with the start of the run (component_us).
+
+    A bucket of the order tells how far it reaches and where a run last begins in it, seen alone. That begin is a true one if
+    nothing before the bucket reaches past it, so a window over the buckets gives each of them what the earlier ones carry in:
+    their reach and the run that is open. Both enter as the first row of the bucket, and one window over the rows does the rest.
+    """
+    order, place = ["start_us", "end_us", *tie], [*keys, "_bucket"]
+    timed = with_micros(blocks).withColumn("_bucket", F.floor(F.col("start_us") / F.lit(width)))
     opens = F.col("_reach").isNull() | (F.col("start_us") >= F.col("_reach"))
-    scan.running(Running("component_us", "max", F.when(opens, F.col("start_us"))))
-    return scan.result().drop("_reach")
+    rows = Window.partitionBy(*place).orderBy(*order)
+    alone = timed.withColumn("_reach", F.max("end_us").over(rows.rowsBetween(Window.unboundedPreceding, -1)))
+    buckets = alone.groupBy(*place).agg(
+        F.max("end_us").alias("_end"), F.max(F.when(opens, F.col("start_us"))).alias("_begin"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    reached = buckets.withColumn("_before", F.max("_end").over(earlier))
+    begins = F.when(F.col("_before").isNull() | (F.col("_begin") >= F.col("_before")), F.col("_begin"))
+    carried = reached.withColumn("_open", F.max(begins).over(earlier)).filter(F.col("_before").isNotNull()).select(
+        *place, F.col("_before").alias("end_us"), "_open", F.lit(0).alias("_real"))
+    both = timed.withColumn("_real", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    scan = Window.partitionBy(*place).orderBy("_real", *order)
+    seen = both.withColumn("_reach", F.max("end_us").over(scan.rowsBetween(Window.unboundedPreceding, -1)))
+    begun = F.when(F.col("_real") == 0, F.col("_open")).when(opens, F.col("start_us"))
+    labelled = seen.withColumn("component_us", F.max(begun).over(scan.rowsBetween(Window.unboundedPreceding, 0)))
+    return labelled.filter("_real = 1").drop("_reach", "_open", "_real", "_bucket")
 
 
 # ---- overlap joins -------------------------------------------------------------------------

@@ -38,8 +38,10 @@ def test_eligibility_reaches_the_scan(t, spark, folder):
     assert "GreaterThanOrEqual(p_retailprice,1.0), LessThan(p_retailprice,1000.0)" in plan(catalog.eligible(items, 1000.0, strict=True))
 
 
-def test_components_need_one_shuffle(t):
-    assert plan(iv.components(t.blocks)).count(") Exchange") == 1
+def test_components_shuffle_rows_twice_and_buckets_once(t):
+    """Rows meet in buckets, never a whole station in one task: once for the totals, once for the labels."""
+    text = plan(iv.components(t.blocks))
+    assert text.count(") Exchange") == 3 and text.count("hashpartitioning(station") == 3
 
 
 def test_first_per_combines_before_the_shuffle(t):
