@@ -1,7 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each time covers building the query, with the small jobs some operators run to choose their plan, and
-computing every row of the result. All queries run once before they are timed.
+Each time covers building the query and computing every row of the result. All queries run once before they are timed.
 """
 
 from __future__ import annotations
