@@ -131,3 +131,10 @@ def title_words(text: Column) -> Column:
         F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))),
         " ",
     )
+
+
+def seeded_number(seed: int, *columns: Column | str) -> Column:
+    """A number from 0 to 2**60 - 1 drawn from a seed and a row's values: md5 of their texts joined by colons, so that any engine can
+    repeat it. Nulls are left out of the text."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(15)), 16, 10).cast("bigint")

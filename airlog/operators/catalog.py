@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from airlog.functions import calendar as cal
 from airlog.functions import paths
 from airlog.functions.hints import hint_matches
+from airlog.functions.values import seeded_number
 from airlog.operators.intervals import _ntz, exclude_overlapping, now_playing
 
 # The total orders used for stable output.
@@ -173,7 +174,7 @@ def pick_least_played(candidates: DataFrame, per: Sequence[str], seed: int | Non
     """One item per request: fewest plays, ties by title, path and id, or by a seeded hash."""
     if seed is None:
         return first_per(candidates, per, ORDERS["least_played"])
-    shuffled = candidates.withColumn("_tie", F.xxhash64(F.lit(seed), *per, "id"))
+    shuffled = candidates.withColumn("_tie", seeded_number(seed, *per, "id"))
     return first_per(shuffled, per, ["count", "_tie", "id"]).drop("_tie")
 
 

@@ -34,7 +34,12 @@ def _ntz(value) -> Column:
 
 
 def clipped(blocks: DataFrame, windows: DataFrame) -> DataFrame:
-    """Blocks of each window's station cut to [seam, horizon); empty pieces are dropped."""
+    """Blocks of each window's station cut to [seam, horizon); empty pieces are dropped.
+
+    The outermost bounds of all windows are applied to the raw columns first, so that a scan skips what no window needs.
+    """
+    latest, earliest = windows.agg(F.max("horizon")).scalar(), windows.agg(F.min("seam")).scalar()
+    blocks = blocks.filter((F.col("start_time") < latest) & (F.col("end_time") > earliest))
     bounds = windows.select(
         F.col("station").alias("w_station"),
         micros("seam").alias("seam_us"),

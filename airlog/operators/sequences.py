@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from airlog.functions.calendar import BROADCAST_START, weekday_number
+from airlog.functions.values import seeded_number
 from airlog.operators.intervals import _ntz
 from airlog.operators.scan import DAY_US, OrderedScan, Running, numbered
 
@@ -17,7 +18,7 @@ def sequence_bounds(sequences: DataFrame, episodes: DataFrame, keys: Sequence[st
     """Length, start and end index of each sequence. A negative start fraction means a seeded random start."""
     sizes = episodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("length"))
     end = F.floor(F.col("end_perc") * F.col("length"))
-    random = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), *keys), F.nullif(end, F.lit(0))), F.lit(0))
+    random = F.coalesce(F.pmod(seeded_number(seed, *keys), F.nullif(end, F.lit(0))), F.lit(0))
     start = F.when(F.col("start_perc") < 0, random).otherwise(F.floor(F.col("start_perc") * F.col("length")))
     return sequences.join(sizes, list(keys)).select(
         *keys, "length", start.alias("start_index"), end.alias("end_index"))

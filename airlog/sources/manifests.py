@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -55,6 +56,29 @@ def classify_manifest(listing: DataFrame, extensions: Sequence[str] = VIDEO_FORM
     return marked.filter("reason IS NULL").drop("reason"), skipped.distinct()
 
 
+def listing_errors(listing: DataFrame) -> DataFrame:
+    """(path, error) of listed files of a kept kind that could not be read.
+
+    listing: path, size, mtime_ns and, where the lister reports it, error. A row with an error, or without a size or a time, is one.
+    """
+    told = F.col("error") if "error" in listing.columns else F.lit(None).cast("string")
+    error = F.coalesce(told, F.when(F.col("size").isNull() | F.col("mtime_ns").isNull(), "not readable"))
+    return listing.filter(skip_reason("path").isNull()).select("path", error.alias("error")).filter("error IS NOT NULL")
+
+
+def readable(listing: DataFrame) -> DataFrame:
+    """The listed rows without an error: path, size, mtime_ns."""
+    sound = F.col("size").isNotNull() & F.col("mtime_ns").isNotNull()
+    if "error" in listing.columns:
+        sound = sound & F.col("error").isNull()
+    return listing.filter(sound).select("path", "size", "mtime_ns")
+
+
+def usable_baseline(errors: DataFrame) -> DataFrame:
+    """One row (usable, errors): a snapshot with errors is no baseline, as files would seem to be missing."""
+    return errors.agg(F.count(F.lit(1)).alias("errors")).select((F.col("errors") == 0).alias("usable"), "errors")
+
+
 def scan_manifest(spark: SparkSession, root: str, extensions: Sequence[str] = VIDEO_FORMATS) -> tuple[DataFrame, DataFrame]:
     """Files and skipped rows below a folder. Spark's own listing leaves out names starting with . or _."""
     return classify_manifest(list_files(spark, root), extensions)
@@ -75,7 +99,14 @@ def save_snapshot(manifest: DataFrame, folder: str, snapshot_id: str) -> None:
 
 
 def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The manifest with the greatest snapshot id; other snapshots are pruned from the scan."""
-    kept = spark.read.option("inferPartitionColumns", "false").parquet(folder)
-    newest = kept.agg(F.max("snapshot_id")).first()[0]
-    return kept.filter(F.col("snapshot_id") == newest)
+    """The manifest with the greatest snapshot id; other snapshots are not opened."""
+    newest = max(subfolders(spark, folder, "snapshot_id="))
+    return spark.read.parquet(f"{folder}/snapshot_id={newest}").withColumn("snapshot_id", F.lit(unquote(newest)))
+
+
+def subfolders(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """What follows a prefix in the names of a folder's folders. One listing of names; no file is opened."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [status.getPath().getName() for status in listed if status.isDirectory()]
+    return [name.removeprefix(prefix) for name in names if name.startswith(prefix)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from airlog.operators.intervals import _ntz
+from airlog.sources.manifests import subfolders
 
 
 def schedule_ends(blocks: DataFrame) -> DataFrame:
@@ -34,6 +35,5 @@ def horizon_alerts(blocks: DataFrame, stations: DataFrame, folder: str, checkpoi
 
 
 def current_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    kept = spark.read.option("basePath", folder).parquet(folder)
-    newest = kept.agg(F.max("batch_id")).first()[0]
-    return kept.filter(F.col("batch_id") == newest).drop("batch_id")
+    newest = max(int(b) for b in subfolders(spark, folder, "batch_id="))
+    return spark.read.parquet(f"{folder}/batch_id={newest}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from airlog.operators.catalog import first_per
@@ -12,11 +12,12 @@ from airlog.streaming import sinks
 META = ("path", "size", "mtime_ns", "meta", "media_type")
 
 
-def ingest_manifest(files: DataFrame, meta: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+def ingest_manifest(files: DataFrame, meta: DataFrame, folder: str, checkpoint: str, every: int = sinks.EVERY,
+                    **trigger) -> StreamingQuery:
     """Write what each micro-batch of manifest rows changes: path, size, mtime_ns, action.
 
     A row is judged against the starting cache and all earlier batches. Of several rows of one path in
-    a batch the newest counts.
+    a batch the newest counts. Changes are merged every so many batches, so a batch reads one version and few batches.
     """
     spark = files.sparkSession
     empty = meta.limit(0).selectExpr("path", "size", "mtime_ns", "'' AS action")
@@ -26,20 +27,28 @@ def ingest_manifest(files: DataFrame, meta: DataFrame, folder: str, checkpoint:
         newest = first_per(
             batch.select("path", "size", "mtime_ns").selectExpr("*", "-mtime_ns AS _older"), ["path"], ["_older", "size"]
         ).drop("_older")
-        known = cached(spark, meta, folder, before=batch_id)
+        known = cached(spark, meta, folder, batch_id, every)
         sinks.write_batch(cache_delta(newest, known).filter("action <> 'unchanged'"), folder, batch_id)
+        sinks.compact(spark, folder, batch_id, _newest, every)
 
     writer = files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def cached(spark: SparkSession, meta: DataFrame, folder: str, before: int | None = None) -> DataFrame:
-    """The cache after the stored batches, or after those before a batch: newest row of each path."""
+def _newest(changes: DataFrame) -> DataFrame:
+    """The newest change of each path."""
+    aged = changes.selectExpr("path", "size", "mtime_ns", "action", "batch_id", "-batch_id AS _age")
+    return first_per(aged, ["path"], ["_age"]).drop("_age")
+
+
+def cached(spark: SparkSession, meta: DataFrame, folder: str, before: int | None = None, every: int = sinks.EVERY) -> DataFrame:
+    """The cache after the stored batches, or after those before a batch: newest row of each path.
+
+    A file that was refreshed and had no metadata has {} from then on, so it is not refreshed each time it is listed.
+    """
     start = meta.select(*META)
-    changes = sinks.read_batches(spark, folder)
-    if before is not None:
-        changes = changes.filter(changes["batch_id"] < before)
-    newest = first_per(changes.selectExpr("path", "size", "mtime_ns", "-batch_id AS _age"), ["path"], ["_age"]).drop("_age")
+    newest = _newest(sinks.stored(spark, folder, before, every))
     details = start.select("path", "meta", "media_type")
-    updated = newest.join(details, "path", "left")
+    told = F.when(F.col("action") == "refresh", F.coalesce(F.nullif("meta", F.lit("")), F.lit("{}"))).otherwise(F.col("meta"))
+    updated = newest.join(details, "path", "left").withColumn("meta", told)
     return start.join(newest.select("path"), "path", "left_anti").unionByName(updated.select(*META))

@@ -6,8 +6,15 @@ and nothing is counted twice. A partition of a batch that never finished is over
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from airlog.sources.manifests import subfolders
+
+#: Batches between two versions; it changes no result.
+EVERY = 16
+
 
 def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
     """Store one micro-batch under its id."""
@@ -18,6 +25,31 @@ def read_batches(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("basePath", folder).parquet(folder)
 
 
+def stored(spark: SparkSession, folder: str, before: int | None = None, every: int = EVERY) -> DataFrame:
+    """Rows of all batches, or of those before one, with their batch_id: the newest version and at most `every` batches after it.
+
+    A version of batch v was complete before batch v began, so it is there whenever that batch is.
+    """
+    kept = [int(b) for b in subfolders(spark, folder, "batch_id=")]
+    before = max(kept) + 1 if before is None else before
+    version = max(before - 1, 0) // every * every
+    recent = [b for b in kept if b < before and (b >= version or version == 0)]
+    if not recent:
+        return spark.read.parquet(f"{folder}_versions/version={version}")
+    rows = spark.read.option("basePath", folder).parquet(*[f"{folder}/batch_id={b}" for b in sorted(recent)])
+    return rows.unionByName(spark.read.parquet(f"{folder}_versions/version={version}")) if version else rows
+
+
+def compact(spark: SparkSession, folder: str, batch_id: int, merge: Callable[[DataFrame], DataFrame], every: int = EVERY) -> None:
+    """After each `every`-th batch, merge what is stored so far into a version that later batches read instead.
+
+    merge takes and returns the columns of the batches with batch_id. A batch run again writes the same version again.
+    """
+    if (batch_id + 1) % every == 0:
+        merge(stored(spark, folder, batch_id + 1, every)).write.mode("overwrite").parquet(
+            f"{folder}_versions/version={batch_id + 1}")
+
+
 def start(empty: DataFrame, folder: str) -> None:
     """Store an empty batch -1, so that the table can be read before the first batch."""
     write_batch(empty, folder, -1)

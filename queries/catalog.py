@@ -185,9 +185,10 @@ def _(t):
     return ct.pick_least_played(t.catalog, ["station", "tag"]).select("station", "tag", "id")
 
 
-@query("least_played_seeded")
+@query("least_played_seeded", """
+    SELECT station, tag, arg_min(id, (count, md5('42:' || station || ':' || tag || ':' || id)[:15], id)) AS id, min(count) AS count
+    FROM catalog GROUP BY 1, 2""")
 def _(t):
-    """Ties by a seeded hash that only Spark has."""
     return ct.pick_least_played(t.catalog, ["station", "tag"], seed=42).select("station", "tag", "id", "count")
 
 
@@ -254,7 +255,7 @@ def _rules(t):
 
 def _requests(t):
     """One request per event, for the items of a brand with a given running time."""
-    return t.spread("events").select(
+    return t.read("events").select(
         F.col("event_id").alias("request_id"), F.concat(F.lit("Brand#"), F.col("event_id") % 25 + 1).alias("station"),
         ((F.col("event_id") % 50 + 1) * 60).cast("double").alias("duration"), F.col("ts").alias("when"))
 
@@ -327,7 +328,7 @@ def _(t):
 def _(t):
     """Eligible items per request whose hints and rules pass, not busy on another station, and the least-played one of them."""
     tags = F.array(*[F.lit(x) for x in ("ECONOMY", "PROMO", "SMALL", "LARGE", "MEDIUM", "STANDARD")])
-    requests = t.spread("events").select(
+    requests = t.read("events").select(
         F.col("event_id").alias("request_id"), F.concat(F.lit("Brand#"), F.col("event_id") % 25 + 1).alias("station"),
         F.get(tags, (F.col("event_id") % 6).cast("int")).alias("tag"), F.col("ts").alias("when"),
         (F.col("value") * 20).alias("seconds"))

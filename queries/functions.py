@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from airlog import schemas
 from airlog.functions import calendar as cal
 from airlog.functions import hints, metadata, paths, titles, values
+from airlog.plans import playout
 from queries.registry import query
 
 
@@ -119,7 +121,7 @@ def _(t):
         .otherwise(xml("artist", name, ("plot", F.col("p_type"))))
     )
     m = metadata.parse_sidecar("text")
-    parsed = t.spread("part").select("p_partkey", text.alias("text")).select("p_partkey", m.alias("m"))
+    parsed = t.read("part").select("p_partkey", text.alias("text")).select("p_partkey", m.alias("m"))
     return parsed.select("p_partkey", "m.type", "m.title", "m.year", "m.plot", "m.season",
                          F.array_join("m.lines", "|").alias("lines"))
 
@@ -212,7 +214,7 @@ def _(t):
         F.lit(r'["{\"type\": \"week_number\", \"week_number\": \"week number 3\"}"]'),
         F.lit(r'["{\"type\": \"bump\", \"where\": \"pre\"}", "{\"type\": \"moon_phase\", \"phase\": \"full\"}"]'),
         F.lit(r'["{\"type\": \"quarter\", \"quarter\": \"q1\"}", "{\"type\": \"custom_holiday\", \"custom_holiday\": \"mlk\"}"]'))
-    rows = t.spread("events").withColumn("hints", hints.decode_hints(F.get(stored, (F.col("event_id") % 6).cast("int"))))
+    rows = t.read("events").withColumn("hints", hints.decode_hints(F.get(stored, (F.col("event_id") % 6).cast("int"))))
     passes = hints.hint_matches("hints", "ts", {"mlk": "3rd monday january"})
     return rows.select("event_id", passes.alias("passes"))
 
@@ -351,9 +353,10 @@ def _(t):
 
 
 @query("plan_positions", """
-    SELECT o_orderkey AS block_id, CAST(u.pos AS INTEGER) AS pos, CAST(u.pos * 30 AS DOUBLE) AS duration
-    FROM orders, (SELECT unnest([0, 1, 2]) AS pos) u""")
+    SELECT o_orderkey AS block_id, CAST(u.pos AS INTEGER) AS pos, 'p' || o_orderkey AS path, CAST(u.pos * 30 AS DOUBLE) AS duration
+    FROM orders, (SELECT unnest([0, 1, 2]) AS pos) u WHERE u.pos <= o_orderkey % 4 AND o_orderkey % 5 > 0""")
 def _(t):
-    plan = F.array(*[F.struct((F.lit(i) * 30.0).alias("duration")) for i in range(3)])
-    rows = t.read("orders").select(F.col("o_orderkey").alias("block_id"), F.posexplode(plan))
-    return rows.select("block_id", "pos", "col.duration")
+    entries = F.array(*[F.struct(F.concat(F.lit("p"), F.col("o_orderkey")).alias("path"), (F.lit(i) * 30.0).alias("duration")) for i in range(3)])
+    plan = F.from_json(F.to_json(F.filter(entries, lambda e: e["duration"] <= F.col("o_orderkey") % 4 * 30)), T.ArrayType(schemas.PLAN_ENTRY))
+    blocks = t.read("orders").select(F.col("o_orderkey").alias("block_id"), F.when(F.col("o_orderkey") % 5 > 0, plan).alias("plan"))
+    return playout.plan_rows(blocks).select("block_id", F.col("position").alias("pos"), "path", "duration")

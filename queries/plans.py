@@ -93,9 +93,19 @@ def _(t):
     return sg.thin_segments(cut, 3, width=60, positions=2)
 
 
-@query("merge_short_segments")
+@query("merge_short_segments", f"""WITH RECURSIVE {_SEGMENTS},
+    folds AS (
+      SELECT path, list(seq ORDER BY chapter_start, seq) AS seqs, list(chapter_start ORDER BY chapter_start, seq) AS starts,
+             list(segment_duration ORDER BY chapter_start, seq) AS lens, 0 AS folded FROM segs GROUP BY path
+      UNION ALL
+      SELECT path, list_slice(seqs, 1, n - 1) || list_slice(seqs, n + 1, len(seqs)),
+             list_slice(starts, 1, n - 1) || list_slice(starts, n + 1, len(starts)),
+             list_slice(lens, 1, n - 2) || [lens[n - 1] + lens[n]] || list_slice(lens, n + 1, len(lens)), folded + 1
+      FROM (SELECT *, list_position(lens[2:], list_min(lens[2:])) + 1 AS n FROM folds WHERE list_min(lens[2:]) < 60)),
+    done AS (SELECT path, arg_max((seqs, starts, lens), folded) AS f FROM folds GROUP BY path),
+    kept AS (SELECT path, unnest(f[1]) AS seq, unnest(f[2]) AS chapter_start, unnest(f[3]) AS segment_duration FROM done)
+    SELECT path, seq, chapter_start, chapter_start + segment_duration AS chapter_end, segment_duration FROM kept""")
 def _(t):
-    """Each fold depends on the folds before it, which SQL cannot say; tests compare it with brute force."""
     return sg.merge_short(sg.segments(_points(t), _files(t)))
 
 
@@ -226,15 +236,16 @@ def _sequences(t):
 
 
 _AIRINGS = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-_ASSIGN = """
+_ASSIGN_FROM = """
     WITH eps AS (SELECT station, path, row_number() OVER (PARTITION BY station ORDER BY path, id) - 1 AS episode_index,
                         count(*) OVER (PARTITION BY station) AS n FROM items),
-    bounds AS (SELECT DISTINCT station, CAST(floor(0.25 * n) AS BIGINT) AS s, CAST(floor(0.75 * n) AS BIGINT) AS e FROM eps),
+    bounds AS (SELECT DISTINCT station, START AS s, CAST(floor(0.75 * n) AS BIGINT) AS e FROM eps),
     aired AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY ts, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS k FROM plays),
     chosen AS (SELECT a.*, CASE WHEN k < greatest(e - s, 0) THEN s + k WHEN e = 0 THEN 0 ELSE (k - greatest(e - s, 0)) % e END AS episode_index
                FROM aired a JOIN bounds b ON b.station = a.station)
     SELECT c.station, c.l_orderkey, c.l_linenumber, c.l_partkey, c.l_suppkey, c.episode_index, e.path AS fpath
     FROM chosen c JOIN eps e ON e.station = c.station AND e.episode_index = c.episode_index"""
+_ASSIGN = _ASSIGN_FROM.replace("START", "CAST(floor(0.25 * n) AS BIGINT)")
 
 
 @query("assign_episodes", _ASSIGN)
@@ -249,9 +260,10 @@ def _(t):
     return aired.select("station", *_AIRINGS[1:], "episode_index", "fpath")
 
 
-@query("assign_episodes_random_start")
+@query("assign_episodes_random_start", _ASSIGN_FROM.replace(
+    "START", "coalesce(('0x' || md5('42:' || station)[:15])::BIGINT % nullif(CAST(floor(0.75 * n) AS BIGINT), 0), 0)"))
 def _(t):
-    """A negative start fraction starts at a seeded random episode; the hash exists only in Spark."""
+    """A negative start fraction starts at a seeded random episode."""
     anywhere = _sequences(t).withColumn("start_perc", F.lit(-1.0))
     aired = sq.assign_episodes(t.plays, anywhere, _episodes(t), _AIRINGS, keys=["station"], seed=42)
     return aired.select("station", *_AIRINGS[1:], "episode_index", "fpath")

@@ -14,7 +14,7 @@ def _pick(n, *values):
 
 
 def _ids(t):
-    return t.spread("events").select(F.col("event_id").alias("id"))
+    return t.read("events").select(F.col("event_id").alias("id"))
 
 
 @query("check_content_ids", """

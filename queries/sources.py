@@ -322,16 +322,47 @@ def _(t):
 
 @query("export_guide", """
     SELECT station, id, '{"title":"' || title || '","start_time":"' || strftime(start_time, '%Y-%m-%dT%H:%M:%S.%f') || '","end_time":"'
-      || strftime(end_time, '%Y-%m-%dT%H:%M:%S.%f') || '"}' AS listing FROM blocks""")
+      || strftime(end_time, '%Y-%m-%dT%H:%M:%S.%f') || '","meta":{"season":' || content_id || '}}' AS listing FROM blocks
+    UNION ALL SELECT DISTINCT station, NULL, '#' || length(station) FROM blocks""")
 def _(t):
+    """Listings with metadata, and the channels, both read back from the files."""
     folder = scratch(t)
-    guide.export_guide(t.blocks, t.blocks.select("station").distinct(), folder)
-    return t.spark.read.json(folder + "/schedules").select("station", "id", "listing")
-
-
-@query("scan_manifest", "SELECT DISTINCT 'source=' || source AS show FROM documents")
+    blocks = t.blocks.withColumn("meta", F.struct(F.col("content_id").alias("season")))
+    channels = t.blocks.select("station", F.length("station").alias("number")).distinct()
+    guide.export_guide(blocks, channels, folder, meta=True)
+    listed = t.spark.read.schema("station string, id bigint, at timestamp_ntz, listing string").json(folder + "/schedules")
+    shown = t.spark.read.schema("station string, number int").json(folder + "/channels")
+    return listed.select("station", "id", "listing").unionByName(
+        shown.select("station", F.lit(None).cast("bigint").alias("id"), F.concat(F.lit("#"), "number").alias("listing")))
+
+
+@query("scan_manifest", """
+    SELECT 'source=' || source AS show, CAST(1 AS BIGINT) AS file_count, CAST(sum(strlen(text) + 1) AS BIGINT) AS total_bytes,
+           CAST(1 AS BIGINT) AS skipped, TRUE AS recent FROM documents GROUP BY source""")
 def _(t):
+    """A library of one text file per source, listed as texts (all kept) and as videos (all skipped)."""
     folder = scratch(t) + "/library"
-    t.read("documents").select("source", "text").write.partitionBy("source").text(folder)
-    files, _skipped = manifests.scan_manifest(t.spark, folder, extensions=("txt",))
-    return show_rollup(files).select("show")
+    t.read("documents").select("source", "text").repartition("source").write.partitionBy("source").text(folder)
+    files, _ = manifests.scan_manifest(t.spark, folder, extensions=("txt",))
+    _, skipped = manifests.scan_manifest(t.spark, folder)
+    left_out = skipped.filter("reason = 'unsupported_extension'").groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("show")).agg(
+        F.count(F.lit(1)).alias("skipped"))
+    timed = files.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("show")).agg(
+        (F.min("mtime_ns") > 1_600_000_000_000_000_000).alias("recent"))
+    return show_rollup(files).join(left_out, "show", "left").join(timed, "show")
+
+
+@query("manifest_errors", """
+    WITH l AS (SELECT doc_id, source || '/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.txt' ELSE '.mp4' END AS path,
+                      CASE WHEN doc_id % 10 = 1 THEN 'not readable' WHEN doc_id % 10 = 2 THEN 'denied' END AS error FROM documents),
+    e AS (SELECT path, error FROM l WHERE error IS NOT NULL AND doc_id % 3 <> 0)
+    SELECT path, error, FALSE AS usable, (SELECT count(*) FROM e) AS errors, (SELECT count(*) FROM l WHERE error IS NULL) AS readable FROM e""")
+def _(t):
+    n = F.col("doc_id") % 10
+    listing = t.read("documents").select(
+        F.concat("source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(".txt")).otherwise(".mp4")).alias("path"),
+        F.when(n != 1, F.col("n_chars")).alias("size"), F.col("doc_id").alias("mtime_ns"), F.when(n == 2, F.lit("denied")).alias("error"))
+    errors = manifests.listing_errors(listing)
+    sound = manifests.readable(listing).agg(F.count(F.lit(1)).alias("readable"))
+    judged = manifests.usable_baseline(errors)
+    return errors.withColumns({"usable": judged.select("usable").scalar(), "errors": judged.select("errors").scalar(), "readable": sound.scalar()})

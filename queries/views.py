@@ -18,16 +18,6 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table over all cores, for work that is heavy per row.
-
-        Only an input of fewer splits than cores is shuffled, such as these one-file tables; a table
-        of many files is read as it is.
-        """
-        df = self.read(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
     @cached_property
     def blocks(self) -> DataFrame:
         us = F.round(F.col("value") * 100).cast("bigint") * 200000

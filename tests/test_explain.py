@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from airlog.operators import catalog, diff, intervals as iv
@@ -47,3 +49,9 @@ def test_components_shuffle_rows_twice_and_buckets_once(t):
 def test_first_per_combines_before_the_shuffle(t):
     text = plan(catalog.first_per(t.blocks, ["station"], ["start_time", "id"]))
     assert "partial_min_by" in text and "Window" not in text
+
+
+def test_window_bounds_of_an_audit_meet_the_raw_column(t):
+    """The bounds are known only when the query runs; they are compared with the scanned column below the join."""
+    text = plan(iv.coverage(t.blocks, t.windows))
+    assert re.search(r"\(ts#\d+ < (Reused)?Subquery", text, re.IGNORECASE) or re.search(r"ts#\d+ < .{0,12}subquery", text, re.IGNORECASE)

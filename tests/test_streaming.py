@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from airlog.streaming import plays, sinks, status
+from airlog.streaming import manifests, plays, sinks, status
 from conftest import rows
 
 
@@ -43,3 +43,28 @@ def test_status_without_content_type_is_unknown(spark):
                                  "file_path string, content_type string, awaiting_pin boolean")
     row = status.latest_status(made).first()
     assert (row["title"], row["content_type"]) == ("new", "unknown")
+
+
+def test_later_batches_read_one_version_and_few_batches(spark, tmp_path):
+    kind = "station string, path string, ts timestamp_ntz"
+    source, folder, state = (str(tmp_path / n) for n in ("in", "counts", "state"))
+    for day in range(1, 8):
+        spark.createDataFrame([("s", "p", datetime(2024, 1, day))], kind).coalesce(1).write.mode("append").parquet(source)
+        plays.count_plays(spark.readStream.schema(kind).parquet(source), folder, state, every=3).awaitTermination()
+    assert rows(plays.play_totals(spark, folder, every=3)) == [("s", "p", 7)]
+    read = sinks.stored(spark, folder, every=3).inputFiles()
+    assert any("version=6" in f for f in read) and not any("batch_id=5" in f for f in read)
+
+
+def test_a_file_without_metadata_is_refreshed_once(spark, tmp_path):
+    kind = "path string, size bigint, mtime_ns bigint"
+    source, folder, state = (str(tmp_path / n) for n in ("in", "changes", "state"))
+    meta = spark.createDataFrame([("a.mp3", 1, 1, "", "audio"), ("b.mp3", 1, 1, "{\"title\":\"b\"}", "audio")],
+                                 kind + ", meta string, media_type string")
+    for size in (1, 1, 1, 2):
+        spark.createDataFrame([("a.mp3", 1, 1), ("b.mp3", size, 1)], kind).coalesce(1).write.mode("append").parquet(source)
+        manifests.ingest_manifest(spark.readStream.schema(kind).parquet(source), meta, folder, state, every=2).awaitTermination()
+    assert rows(sinks.read_batches(spark, folder).select("batch_id", "path", "action")) == [
+        (0, "a.mp3", "refresh"), (3, "b.mp3", "update")]
+    assert rows(manifests.cached(spark, meta, folder, every=2).select("path", "size", "meta")) == [
+        ("a.mp3", 1, "{}"), ("b.mp3", 2, "{\"title\":\"b\"}")]
