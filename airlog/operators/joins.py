@@ -52,7 +52,10 @@ def orphans(child: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFram
 
 
 def siblings(stations: DataFrame, slots: DataFrame) -> DataFrame:
-    """Pairs of different standard stations with the same content root and a common tag."""
+    """Pairs of different standard stations with the same content root and a common tag.
+
+    The pairs are the result and may be many; sibling_groups says the same with one row per station and tag.
+    """
     standard = stations.filter("network_type = 'standard' AND content_root <> ''").select("station", "content_root")
     tags = slots.select("station", F.explode("tags").alias("tag")).filter("tag <> ''").distinct()
     held = standard.join(tags, "station")
@@ -62,6 +65,18 @@ def siblings(stations: DataFrame, slots: DataFrame) -> DataFrame:
     return pairs.select("station", F.col("o_station").alias("sibling")).distinct()
 
 
+def sibling_groups(stations: DataFrame, slots: DataFrame) -> DataFrame:
+    """(content_root, tag, station, siblings) of every standard station and tag that others of its root have too.
+
+    siblings is how many others there are. Grows with the rows, not with their pairs.
+    """
+    standard = stations.filter("network_type = 'standard' AND content_root <> ''").select("station", "content_root")
+    tags = slots.select("station", F.explode("tags").alias("tag")).filter("tag <> ''").distinct()
+    held = standard.distinct().join(tags, "station")
+    sizes = held.groupBy("content_root", "tag").agg((F.count(F.lit(1)) - 1).alias("siblings")).filter("siblings > 0")
+    return held.join(sizes, ["content_root", "tag"]).select("content_root", "tag", "station", "siblings")
+
+
 def children(sequences: DataFrame, parents: DataFrame) -> DataFrame:
     """Sequences whose tag path lies below a parent tag of the same station and name.
 

@@ -319,3 +319,18 @@ def replay_counts(events: DataFrame, before: DataFrame, after: DataFrame) -> Dat
         .otherwise("preserve_baseline")
     )
     return joined.select("id", increments.alias("increments"), problem.alias("problem"), disposition.alias("disposition"))
+
+
+def check_event_groups(events: DataFrame, items: DataFrame, keys: Sequence[str] = ("station", "path"), event: str = "event_id") -> DataFrame:
+    """Events that do not list exactly the ids of their group in ascending order: event, keys, problem.
+
+    events: event, keys, ids. items: id, keys. problem is unknown_group for ids of a group that has no items, else wrong_ids.
+    The items of a group are entries of one file on one station; an event lists them all, so they fit in a row.
+    """
+    groups = items.groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("_group"))
+    judged = events.select(event, *keys, "ids").join(groups, list(keys), "left")
+    problem = (
+        F.when(F.col("_group").isNull() & (F.size(F.coalesce("ids", F.array())) > 0), "unknown_group")
+        .when(F.col("_group").isNotNull() & ~F.col("ids").eqNullSafe(F.col("_group")), "wrong_ids")
+    )
+    return judged.select(event, *keys, problem.alias("problem")).filter("problem IS NOT NULL")

@@ -202,6 +202,43 @@ def _(t):
     return q.replay_counts(events, items.withColumn("count", F.lit(2)), after)
 
 
+def _group_events(t):
+    """One event per line item, listing all items of its part's brand and type."""
+    items = t.read("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("station"), F.col("p_type").alias("path"))
+    groups = items.groupBy("station", "path").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    lines = t.read("lineitem").join(items, F.col("l_partkey") == F.col("id")).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("event_id"), "l_orderkey", "station", "path")
+    return lines.join(groups, ["station", "path"]), items
+
+
+@query("event_groups", """
+    WITH sizes AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2)
+    SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS event_id, p_brand AS station,
+           p_type || CASE WHEN l_orderkey % 9 = 2 THEN '?' ELSE '' END AS path,
+           CASE WHEN l_orderkey % 9 = 2 THEN 'unknown_group' ELSE 'wrong_ids' END AS problem
+    FROM lineitem JOIN part ON p_partkey = l_partkey JOIN sizes USING (p_brand, p_type)
+    WHERE l_orderkey % 9 IN (0, 2) OR l_orderkey % 9 = 1 AND n > 1""")
+def _(t):
+    """Of nine orders, one lists an id too many, one lists them backwards and one names a group that does not exist."""
+    events, items = _group_events(t)
+    n = F.col("l_orderkey") % 9
+    ids = F.when(n == 0, F.array_append("ids", F.lit(0).cast("bigint"))).when(n == 1, F.reverse("ids")).otherwise(F.col("ids"))
+    path = F.concat("path", F.when(n == 2, F.lit("?")).otherwise(""))
+    return q.check_event_groups(events.withColumns({"ids": ids, "path": path}), items)
+
+
+@query("replay_groups", """
+    WITH n AS (SELECT p_brand, p_type, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
+    SELECT p_partkey AS id, CAST(coalesce(n, 0) AS BIGINT) AS increments,
+           CASE WHEN coalesce(n, 0) <> 400 THEN 'count_mismatch' END AS problem,
+           CASE WHEN coalesce(n, 0) > 0 THEN 'native_selection' ELSE 'native_reset' END AS disposition
+    FROM part LEFT JOIN n USING (p_brand, p_type)""")
+def _(t):
+    """Events that list several ids; every item is said to have been played 400 times."""
+    events, items = _group_events(t)
+    return q.replay_counts(events, items.select("id", F.lit(0).alias("count")), items.select("id", F.lit(400).alias("count")))
+
+
 @query("check_decoded_rows", "SELECT id, 'missing' AS problem FROM blocks WHERE id % 4 = 2")
 def _(t):
     """Events written as schedule rows: a JSON null is not a reference, a missing text is not checked."""

@@ -127,6 +127,14 @@ def _(t):
     return jn.attach_metadata(items, meta, real).select("id", "meta")
 
 
+def _families(t):
+    kind = F.when(F.col("c_acctbal") > 0, F.lit("standard")).otherwise("web")
+    stations = t.read("customer").select(
+        F.col("c_custkey").alias("station"), F.floor(F.col("c_custkey") / 10).cast("string").alias("content_root"), kind.alias("network_type"))
+    slots = t.read("orders").select(F.col("o_custkey").alias("station"), F.array("o_orderpriority").alias("tags"))
+    return stations, slots
+
+
 @query("siblings", """
     WITH st AS (SELECT c_custkey AS station, c_custkey // 10 AS root FROM customer WHERE c_acctbal > 0),
     tg AS (SELECT DISTINCT o_custkey AS station, o_orderpriority AS tag FROM orders)
@@ -134,11 +142,15 @@ def _(t):
     FROM st a JOIN tg x ON x.station = a.station JOIN st b ON b.root = a.root AND b.station <> a.station
     JOIN tg y ON y.station = b.station AND y.tag = x.tag""")
 def _(t):
-    kind = F.when(F.col("c_acctbal") > 0, F.lit("standard")).otherwise("web")
-    stations = t.read("customer").select(
-        F.col("c_custkey").alias("station"), F.floor(F.col("c_custkey") / 10).cast("string").alias("content_root"), kind.alias("network_type"))
-    slots = t.read("orders").select(F.col("o_custkey").alias("station"), F.array("o_orderpriority").alias("tags"))
-    return jn.siblings(stations, slots)
+    return jn.siblings(*_families(t))
+
+
+@query("sibling_groups", """
+    WITH st AS (SELECT c_custkey AS station, CAST(c_custkey // 10 AS VARCHAR) AS content_root FROM customer WHERE c_acctbal > 0),
+    held AS (SELECT DISTINCT content_root, o_orderpriority AS tag, station FROM st JOIN orders ON o_custkey = station)
+    SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY content_root, tag) - 1 AS siblings FROM held) WHERE siblings > 0""")
+def _(t):
+    return jn.sibling_groups(*_families(t))
 
 
 @query("resolve_ids", """

@@ -63,6 +63,19 @@ def _(t):
     return plays.counted_catalog(t.parts_as_items.withColumn("count", F.lit(5)), totals).select("id", "count")
 
 
+@query("stream_distinct_plays", """
+    SELECT station, path, count(*) AS plays FROM plays GROUP BY 1, 2""")
+def _(t):
+    """Every third play is sent twice and counted once; the delay spans the whole data, so no play is late."""
+    folder = scratch(t)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    sent = t.plays.select("station", "path", F.col("ts").cast("timestamp").alias("ts"), *keys)
+    stream = _replayed(t, sent.unionByName(sent.filter("l_partkey % 3 = 0")), folder + "/in")
+    once = plays.deduplicated(stream, keys, delay="10000 days")
+    plays.count_plays(once, folder + "/counts", folder + "/state").awaitTermination()
+    return plays.play_totals(t.spark, folder + "/counts").select("station", "path", "plays")
+
+
 @query("stream_horizon_alerts", """
     WITH ends AS (SELECT station, arg_max(end_time, (start_time, end_time, id)) AS schedule_end FROM blocks_by_user GROUP BY 1)
     SELECT s.station, e.schedule_end FROM (SELECT CAST(c_custkey AS VARCHAR) AS station FROM customer) s LEFT JOIN ends e ON e.station = s.station
