@@ -64,14 +64,14 @@ def _(t):
 
 
 @query("stream_distinct_plays", """
-    SELECT station, path, count(*) AS plays FROM plays GROUP BY 1, 2""")
+    SELECT event_type AS station, CAST(user_id AS VARCHAR) AS path, count(*) AS plays FROM events GROUP BY 1, 2""")
 def _(t):
-    """Every third play is sent twice and counted once; the delay spans the whole data, so no play is late."""
+    """Every third event is sent twice and counted once; the delay spans the whole data, so no event is late."""
     folder = scratch(t)
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    sent = t.plays.select("station", "path", F.col("ts").cast("timestamp").alias("ts"), *keys)
-    stream = _replayed(t, sent.unionByName(sent.filter("l_partkey % 3 = 0")), folder + "/in")
-    once = plays.deduplicated(stream, keys, delay="10000 days")
+    sent = t.read("events").select("event_id", F.col("event_type").alias("station"), F.col("user_id").cast("string").alias("path"),
+                                   F.col("ts").cast("timestamp").alias("ts"))
+    stream = _replayed(t, sent.unionByName(sent.filter("event_id % 3 = 0")), folder + "/in")
+    once = plays.deduplicated(stream, ["event_id"], delay="10000 days")
     plays.count_plays(once, folder + "/counts", folder + "/state").awaitTermination()
     return plays.play_totals(t.spark, folder + "/counts").select("station", "path", "plays")
 
