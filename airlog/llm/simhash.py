@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlog.llm.common import portions, written
@@ -184,33 +184,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of a component that has no other is null. Repeated rows are repeated in the result. An empty table gives an empty one.
     """
     marks = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = written(marks.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    groups = connected_components(fingerprint_links(classes.select("fp"), radius, tree_size))
-    rooted = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = _rooted(written(marks.groupBy("fp").agg(F.min("id").alias("least")), "classes"), radius, tree_size)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marks.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id, with all its columns.
+def _rooted(classes: DataFrame, radius: int, tree_size: int) -> DataFrame:
+    """(fp, least, root) of the distinct fingerprints of a written table (fp, least): root is one fingerprint of the component."""
+    groups = connected_components(fingerprint_links(classes.select("fp"), radius, tree_size))
+    return classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("root"))
+
 
-    Rows that share an id are one document; of those of a kept document the row with the smallest text stays.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3,
+                 tree_size: int = 4096) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: one with the smallest id of the group, null last.
+
+    Rows that share an id but not their text are rows like others, also those without an id: each counts in the group of its
+    own text. If a group has several texts under its smallest id, the one with the smallest md5 stays; of rows that are equal
+    in id and text, the one with the smallest hash of all columns.
     """
-    kept = written(near_duplicates(docs, id_col, text_col, radius, width).groupBy(F.col("id").alias("kept_id")).agg(
-        F.count(F.lit(1)).alias("kept_rows"), F.max(F.col("id").eqNullSafe(F.col("component_id"))).alias("keep")
-    ).where("keep").drop("keep"), "kept")
-
-    def stays(ids: DataFrame) -> DataFrame:
-        # the kept ids grow with the corpus: a merge join at every size, never a broadcast
-        return docs.join(ids.select("kept_id").hint("merge"), docs[id_col].eqNullSafe(ids["kept_id"]), "left_semi")
-
-    once, repeated = kept.where("kept_rows = 1"), kept.where("kept_rows > 1")
-    if repeated.isEmpty():
-        return stays(once)
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    name = "row_number_of_id"
-    while name in docs.columns:
-        name += "_"
-    return stays(once).unionByName(
-        stays(repeated).withColumn(name, F.row_number().over(order)).where(F.col(name) == 1).drop(name))
+    ident, text = (F.md5(docs[c].cast("string").cast("binary")) for c in (id_col, text_col))
+    key = F.concat(F.coalesce(ident, F.lit("null")), F.lit(" "), F.coalesce(text, F.lit("null")))
+    marked = docs.select(F.struct(docs[id_col].isNull().alias("missing"), docs[id_col].alias("id"), key.alias("key")).alias("place"),
+                         docs[text_col].alias("text"))
+    marks = fingerprints(marked, "place", "text", width)
+    classes = written(marks.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    kept = written(_rooted(classes, radius, tree_size).groupBy("root").agg(F.min("least").alias("least")).select(
+        F.col("least.key").alias("key")), "kept")
+    # equal rows are combined before their shuffle, which also serves the join
+    row = F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.groupBy(key.alias("key")).agg(F.min_by(row, F.xxhash64(row.cast("string"))).alias("row"))
+    # the kept keys grow with the corpus: a merge join at every size, never a broadcast
+    return rows.join(kept.hint("merge"), "key", "left_semi").select("row.*")

@@ -100,6 +100,19 @@ def test_one_document_of_each_group_stays(docs, empty):
     assert simhash.deduplicated(empty).collect() == []
 
 
+def test_each_group_keeps_one_row_whatever_its_ids(spark):
+    other, more = "a dog ran over the green hill at noon", "she sells sea shells by the shore each day"
+    rows = [(1, TEXTS[0], "a"), (None, TEXTS[0], "b"), (None, other, "c"), (None, more, "d"), (None, None, "e"), (None, "", "f"),
+            (2, "first words of a row that shares its id", "g"), (2, "quite another sentence under one number", "h"),
+            (2, TEXTS[1], "i"), (3, LONG, "j"), (3, LONG, "k"), (4, LONG, "l")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    groups = components([fingerprint(t) for _, t, _ in rows], lambda a, b: (a ^ b).bit_count() <= 2)
+    kept = simhash.deduplicated(table).collect()
+    top = {r: g for (_, _, r), g in zip(rows, groups)}
+    assert sorted(top[r.row] for r in kept) == sorted(set(groups)) and len(kept) == 7
+    assert {r.row for r in kept} - {"e", "f", "j", "k"} == {"a", "c", "d", "g", "h"}
+
+
 def test_mix(docs, empty):
     plan = mixing.mix_plan(docs).collect()
     sizes = defaultdict(int)
