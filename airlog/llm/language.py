@@ -3,7 +3,8 @@
 A text's vector has the weights log(1 + count) * idf of its character n-grams (one to three letters, words padded with a space),
 hashed into BINS numbers and scaled to length one. Each language has several centroids, found by spherical k-means among the
 vectors of its training texts. A text gets the language of the centroid with the largest cosine, and is rejected if its distance
-from it, 1 - cosine, is above the language's radius.
+from it, 1 - cosine, is above the language's radius for its length in different n-grams: a short text shares fewer with a centroid
+than a long one. The radii come from training texts, whole and cut short, that were held back from the centroids they are measured against.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ BINS = 4096
 #: Characters of a text that are counted at once (n-grams across such a cut are not counted), and texts.
 PIECE, TEXTS = 300_000, 256
 UNKNOWN = "und"
+#: Characters of the beginnings of training texts that stand for short texts; classes of length, two for each doubling of its
+#: different n-grams.
+STARTS, CLASSES = (4, 8, 16, 32, 64, 128, 256, 1024), 2 * BINS.bit_length() - 1
+#: A training text's distance is measured without this part of the texts; a class of fewer distances says nothing by itself.
+FOLDS, FEW = 4, 20
 
 
 @cache
@@ -80,13 +86,18 @@ def _count_into(counts: np.ndarray, rows: list[int], pieces: list[str]) -> None:
     counts += flat.reshape(counts.shape)
 
 
+def _length_class(counts: np.ndarray) -> np.ndarray:
+    # different n-grams, as repeated ones add little to the vector
+    return np.rint(2 * np.log2(np.maximum(np.count_nonzero(counts, axis=1), 1))).astype(int)
+
+
 @dataclass
 class Model:
     languages: list[str]
     centroids: np.ndarray
     owners: np.ndarray
     idf: np.ndarray
-    radius: np.ndarray
+    radius: np.ndarray  # by language and class of length
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         weighted = np.log1p(counts) * self.idf
@@ -108,7 +119,7 @@ class Model:
             there = counts.any(axis=1)
             names += [self.languages[k] if known else UNKNOWN for k, known in zip(language, there)]
             scores[at:at + TEXTS] = np.where(there, score, 0)
-            rejected[at:at + TEXTS] = ~there | (1 - score > self.radius[language])
+            rejected[at:at + TEXTS] = ~there | (1 - score > self.radius[language, _length_class(counts)])
         return names, scores, rejected
 
 
@@ -126,14 +137,48 @@ def _cluster(vectors: np.ndarray, count: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
-def fit(labelled: DataFrame, per_language: int = 200, centroids: int = 4, slack: float = 0.75, id_col: str = "doc_id",
-        text_col: str = "text", label_col: str = "lang") -> Model:
+def _radii(model: Model, counts: np.ndarray, starts: list[list[bytes]], labels: np.ndarray, centroids: int, quantile: float,
+           slack: float) -> np.ndarray:
+    """The radius of each language and class of length, from the distances of held-back texts and of their beginnings."""
+    seen = []
+    for language in model.languages:
+        own = np.flatnonzero(labels == language)
+        classes, cosines = [np.zeros(0, int)], [np.zeros(0)]
+        for fold in range(min(FOLDS, len(own)) if len(own) > 1 else 0):
+            held = own[fold::FOLDS]
+            centers = _cluster(model.vectors(counts[np.setdiff1d(own, held)]), centroids)
+            short = [np.bincount(np.frombuffer(b, "<u2"), minlength=BINS) for row in held for b in starts[row] if b]
+            texts = np.concatenate([counts[held], np.array(short, np.float32).reshape(-1, BINS)])
+            classes.append(_length_class(texts))
+            cosines.append((model.vectors(texts) @ centers.T).max(axis=1).clip(0, 1))
+        seen.append((np.concatenate(classes), np.concatenate(cosines)))
+
+    together = [np.concatenate(parts) for parts in zip(*seen)]
+    floors = []
+    for own in seen:
+        floor = np.full(CLASSES, np.nan)
+        for classes, cosines in (together, own):
+            for c in np.flatnonzero(np.bincount(classes, minlength=CLASSES) >= FEW):
+                floor[c] = np.quantile(cosines[classes == c], 1 - quantile)
+        known = np.flatnonzero(~np.isnan(floor))
+        if len(known):  # of shorter texts than any known, the cosine falls with the square root of their n-grams
+            fall = 2.0 ** (np.minimum(np.arange(CLASSES) - known[0], 0) / 4)
+            floors.append(np.interp(np.arange(CLASSES), known, floor[known]) * fall)
+        else:
+            floors.append(np.zeros(CLASSES))
+    return 1 - (1 - slack) * np.array(floors)
+
+
+def fit(labelled: DataFrame, per_language: int = 200, centroids: int = 4, quantile: float = 0.95, slack: float = 0.4,
+        id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """Learn from a table of labelled texts.
 
     The sample is bounded: of each language, the per_language rows with the smallest hash of their id; rows with a null label or
-    id are left out. Their counts, 16 KB a row, go to the driver. A language's radius lies between the largest distance of a
-    training text from its centroid and 1 (a text that shares no n-gram): slack of the way, so short texts pass. Texts without a
-    letter teach nothing. Without any text the model rejects everything.
+    id are left out. Their counts, 16 KB a row, and those of their beginnings, some 10 KB, go to the driver. A language's radius
+    for a length lies between the quantile of the distances of held-back texts of that length and 1 (a text that shares no
+    n-gram): slack of the way. Without enough such texts of a length in a language, those of all languages count; without these,
+    the lengths near it. If no length has enough, only texts that share nothing are rejected. Texts without a letter teach
+    nothing. Without any text the model rejects everything.
     """
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     known = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"),
@@ -146,31 +191,35 @@ def fit(labelled: DataFrame, per_language: int = 200, centroids: int = 4, slack:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in portions(batch, 2):
-                counts = gram_counts(some.column(2).to_pylist())
+                read = some.column(2).to_pylist()
+                starts = [[] for _ in read]
+                for size in STARTS:  # a text that is not longer stands for itself
+                    for row, c in zip(starts, gram_counts([t[:size] if len(t or "") > size else None for t in read])):
+                        row.append(np.repeat(np.arange(BINS, dtype="<u2"), c.astype(int)).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array([c.tobytes() for c in counts], pa.binary())],
-                    names=["id", "label", "counts"])
+                    [some.column(0), some.column(1), pa.array([c.tobytes() for c in gram_counts(read)], pa.binary()),
+                     pa.array(starts, pa.list_(pa.binary()))], names=["id", "label", "counts", "starts"])
 
     kind = labelled.schema[id_col].dataType.simpleString()
-    rows = texts.mapInArrow(counted, f"id {kind}, label string, counts binary").collect()
-    rows = sorted((r.label, r.id, bytes(r.counts)) for r in rows)
-    counts = np.array([np.frombuffer(c, dtype=np.float32) for _, _, c in rows]).reshape(-1, BINS)
-    labels = np.array([label for label, _, _ in rows])
+    rows = texts.mapInArrow(counted, f"id {kind}, label string, counts binary, starts array<binary>").collect()
+    rows = sorted((r.label, r.id, bytes(r.counts), [bytes(b) for b in r.starts]) for r in rows)
+    counts = np.array([np.frombuffer(r[2], dtype=np.float32) for r in rows]).reshape(-1, BINS)
+    labels = np.array([r[0] for r in rows])
     there = counts.any(axis=1)
+    starts = [r[3] for r, full in zip(rows, there) if full]
     counts, labels = counts[there], labels[there]
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(sorted(set(labels.tolist())), np.zeros((0, BINS), np.float32), np.zeros(0, int), idf, np.zeros(0))
+    model = Model(sorted(set(labels.tolist())), np.zeros((0, BINS), np.float32), np.zeros(0, int), idf,
+                  np.zeros((0, CLASSES)))
     vectors = model.vectors(counts)
-    centers, owners, radius = [], [], []
+    centers, owners = [], []
     for k, language in enumerate(model.languages):
-        own = vectors[labels == language]
-        found = _cluster(own, centroids)
-        farthest = 1 - float((own @ found.T).max(axis=1).min())
+        found = _cluster(vectors[labels == language], centroids)
         centers.append(found)
         owners += [k] * len(found)
-        radius.append(farthest + slack * (1 - farthest))
     if centers:
-        model.centroids, model.owners, model.radius = np.concatenate(centers), np.array(owners), np.array(radius)
+        model.centroids, model.owners = np.concatenate(centers), np.array(owners)
+        model.radius = _radii(model, counts, starts, labels, centroids, quantile, slack)
     return model
 
 

@@ -281,5 +281,27 @@ def test_language(spark, folder, docs, empty):
     assert language.predict(empty, model).collect() == []
 
 
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván.",
+    "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu.",
+    "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền."]
+
+
+def test_other_languages_and_random_letters_are_rejected(spark, folder):
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    learned, held = table.randomSplit([0.7, 0.3], seed=4)
+    model, rnd = language.fit(learned), random.Random(6)
+    letters = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n)) for n in (100, 300, 1000, 9000) for _ in range(20)]
+    dumps = [" ".join(f"{rnd.getrandbits(32):08x}" for _ in range(n)) for n in (20, 100, 500) for _ in range(20)]
+    assert model.predict(FOREIGN)[2].all()
+    assert model.predict(letters)[2].mean() > 0.95 and model.predict(dumps)[2].mean() > 0.95
+    clean = [r.text for r in held.where("text RLIKE '[A-Za-z]'").collect()]
+    assert model.predict(clean)[2].mean() < 0.02
+    assert model.predict([t[:40] for t in clean if len(t) > 40])[2].mean() < 0.05
+
+
 def test_checksum_of_ids():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\x02\0\0\0")
