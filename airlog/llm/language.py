@@ -173,8 +173,9 @@ def fit(labelled: DataFrame, per_language: int = 200, centroids: int = 4, quanti
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """Learn from a table of labelled texts.
 
-    The sample is bounded: of each language, the per_language rows with the smallest hash of their id; rows with a null label or
-    id are left out. Their counts, 16 KB a row, and those of their beginnings, some 10 KB, go to the driver. A language's radius
+    The sample is bounded for each language: the per_language ids with the smallest hash, and of the rows of an id and label the
+    text with the smallest md5; rows with a null label or id are left out. The number of labels is not bounded, as none may be
+    left out: the driver's memory grows with it, by 5 MB a label and as much again while they are sorted and stacked. Their counts, 16 KB a row, and those of their beginnings, some 10 KB, go to the driver. A language's radius
     for a length lies between the quantile of the distances of held-back texts of that length and 1 (a text that shares no
     n-gram): slack of the way. Without enough such texts of a length in a language, those of all languages count; without these,
     the lengths near it. If no length has enough, only texts that share nothing are rejected. Texts without a letter teach
@@ -183,10 +184,11 @@ def fit(labelled: DataFrame, per_language: int = 200, centroids: int = 4, quanti
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     known = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"),
                             F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND label IS NOT NULL")
-    picked = written(known.select("id", "label").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select(
-        F.col("id").alias("picked_id"), F.col("label").alias("picked_label")).distinct(), "training-rows")
-    texts = known.join(picked, (F.col("id") == F.col("picked_id")) & (F.col("label") == F.col("picked_label"))).select(
-        "id", "label", "text")
+    names = known.select("id", "label").distinct()
+    picked = written(names.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select(
+        F.col("id").alias("picked_id"), F.col("label").alias("picked_label")), "training-rows")
+    found = known.join(picked, (F.col("id") == F.col("picked_id")) & (F.col("label") == F.col("picked_label")))
+    texts = found.groupBy("id", "label").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -303,5 +303,12 @@ def test_other_languages_and_random_letters_are_rejected(spark, folder):
     assert model.predict([t[:40] for t in clean if len(t) > 40])[2].mean() < 0.05
 
 
+def test_repeated_ids_teach_once(spark):
+    rows = [(k, f"{TEXTS[0]} {k * 'so '}", "en") for k in range(8)] + [(k, f"{TEXTS[6]} {k * 'oui '}", "fr") for k in range(8)]
+    again = rows + [rows[3]] * 300 + [rows[12]] * 40 + [(5, None, "fr")] * 30
+    plain, repeated = (language.fit(spark.createDataFrame(r, "doc_id long, text string, lang string"), per_language=6) for r in (rows, again))
+    assert (plain.idf == repeated.idf).all() and (plain.centroids == repeated.centroids).all() and (plain.radius == repeated.radius).all()
+
+
 def test_checksum_of_ids():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\x02\0\0\0")
