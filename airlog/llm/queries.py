@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlog.llm import chat, embeddings, language, maxscore, mixing, pieces, sharding, simhash, token_counts, token_files
+from airlog.llm import (
+    chat, embeddings, importance, language, maxscore, mixing, pieces, prefix_trie, sharding, simhash, sql, token_counts, token_files)
 from airlog.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +202,16 @@ query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 def op4(spark, sf_dir):
     """Near-duplicate groups of all embeddings."""
     return embeddings.similar(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op11_prefix_trie", sql.PREFIX_TRIE)
+def op11(spark, sf_dir):
+    """The nodes of the prefix trie of all conversations, rebuilt on the first turns of every twentieth."""
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt(prefix_trie.turn_paths(table(spark, sf_dir, "conversations"))))
+
+
+@query("op12_importance_resampling", sql.IMPORTANCE)
+def op12(spark, sf_dir):
+    """A quarter of the documents, drawn towards the texts of the benchmark."""
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("features").alias("n_features"), "weight", "score", "rank")
