@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlog.llm import (
-    chat, embeddings, importance, language, maxscore, mixing, pieces, prefix_trie, sharding, simhash, sql, token_counts, token_files)
+    chat, embeddings, importance, language, maxscore, mixing, personal_data, pieces, prefix_trie, sharding, simhash, sql, token_counts,
+    token_files)
 from airlog.llm.common import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +216,19 @@ def op12(spark, sf_dir):
     """A quarter of the documents, drawn towards the texts of the benchmark."""
     found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("features").alias("n_features"), "weight", "score", "rank")
+
+
+@query("op13_personal_data")
+def op13(spark, sf_dir):
+    """Personal data in every document, by the patterns and by the tagger learned from them."""
+    docs = table(spark, sf_dir, "documents")
+    found = personal_data.find(docs, personal_data.fit(docs))
+    base = F.filter("spans", lambda s: ~s["learned"])
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"),
+                        F.size(F.filter("spans", lambda s: s["learned"])).cast("long").alias("n_learned"))
