@@ -228,7 +228,9 @@ def op13(spark, sf_dir):
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"),
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("id").alias("doc_id"), *map(count, personal_data.KINDS), F.sha2(listed(base), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"),
                         F.size(F.filter("spans", lambda s: s["learned"])).cast("long").alias("n_learned"))
