@@ -8,6 +8,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from airlog.functions.paths import VIDEO_FORMATS, extension
+from airlog.sources.listing import list_library
 
 
 def source_file() -> Column:
@@ -21,16 +22,6 @@ def relative_to(path: str, root: str) -> Column:
     return F.substr(path, F.instr(path, base) + F.lit(len(base)))
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path relative to the root, size and mtime_ns of every file; contents are not read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return listed.select(
-        relative_to("path", root).alias("path"),
-        F.col("length").alias("size"),
-        (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"),
-    )
-
-
 def skip_reason(path: Column | str, extensions: Sequence[str] = VIDEO_FORMATS) -> Column:
     """hidden_directory, hidden or unsupported_extension; null for a file that is kept."""
     p = F.split(F.col(path) if isinstance(path, str) else path, "/")
@@ -79,9 +70,25 @@ def usable_baseline(errors: DataFrame) -> DataFrame:
     return errors.agg(F.count(F.lit(1)).alias("errors")).select((F.col("errors") == 0).alias("usable"), "errors")
 
 
-def scan_manifest(spark: SparkSession, root: str, extensions: Sequence[str] = VIDEO_FORMATS) -> tuple[DataFrame, DataFrame]:
-    """Files and skipped rows below a folder. Spark's own listing leaves out names starting with . or _."""
-    return classify_manifest(list_files(spark, root), extensions)
+def split_listing(listing: DataFrame, extensions: Sequence[str] = VIDEO_FORMATS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files (path, size, mtime_ns), skipped rows (path, reason) and errors (path, error) of a listing of a library.
+
+    A hidden folder is one skipped row and is not looked into. A file is skipped by its name before it is looked at, so only a folder
+    or a file of a kept kind can be an error.
+    """
+    reason = F.when(F.col("is_folder"), F.when(F.startswith(F.element_at(F.split("path", "/"), -1), F.lit(".")), "hidden_directory")
+                    ).otherwise(skip_reason("path", extensions))
+    marked = listing.withColumn("reason", reason)
+    kept = marked.filter("reason IS NULL")
+    return (kept.filter("error IS NULL").select("path", "size", "mtime_ns"),
+            marked.filter("reason IS NOT NULL").select("path", "reason"),
+            kept.filter("error IS NOT NULL").select("path", "error"))
+
+
+def scan_manifest(spark: SparkSession, root: str, extensions: Sequence[str] = VIDEO_FORMATS,
+                  parts: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, skipped rows and errors below a folder that all executors have mounted; see split_listing."""
+    return split_listing(list_library(spark, root, parts), extensions)
 
 
 def manifest_stats(manifest: DataFrame, links: DataFrame | None = None) -> DataFrame:

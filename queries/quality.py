@@ -239,7 +239,9 @@ def _(t):
     return q.replay_counts(events, items.select("id", F.lit(0).alias("count")), items.select("id", F.lit(400).alias("count")))
 
 
-@query("check_decoded_rows", "SELECT id, 'missing' AS problem FROM blocks WHERE id % 4 = 2")
+@query("check_decoded_rows", """
+    SELECT id, CASE WHEN id % 4 = 2 THEN 'missing' WHEN id % 4 = 3 THEN 'malformed' ELSE 'not_positive' END AS problem FROM blocks
+    WHERE id % 4 IN (2, 3) OR id % 2500 = 0 OR id % 4 = 1 AND (id * 7) % 2500 = 0""")
 def _(t):
-    """Events written as schedule rows: a JSON null is not a reference, a missing text is not checked."""
-    return q.check_content_ids(_raw_blocks(t).filter("content_json IS NOT NULL")).filter("problem = 'missing'")
+    """Events written as schedule rows: a JSON null is not a reference, a missing text is no JSON, an id of 0 is none."""
+    return q.check_content_ids(_raw_blocks(t))

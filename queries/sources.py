@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from airlog.operators import joins as jn
-from airlog.operators.catalog import show_rollup
 from airlog.sources import configs as cf
 from airlog.sources import guide, manifests, sidecars, tables
 from queries.registry import query
@@ -348,20 +349,72 @@ def _(t):
         shown.select("station", F.lit(None).cast("bigint").alias("id"), F.concat(F.lit("#"), "number").alias("listing")))
 
 
-@query("scan_manifest", """
-    SELECT 'source=' || source AS show, CAST(1 AS BIGINT) AS file_count, CAST(sum(strlen(text) + 1) AS BIGINT) AS total_bytes,
-           CAST(1 AS BIGINT) AS skipped, TRUE AS recent FROM documents GROUP BY source""")
-def _(t):
-    """A library of one text file per source, listed as texts (all kept) and as videos (all skipped)."""
+#: What stands in a source's folder of the library, by the documents' language; a document without one stands for a dangling link.
+_LIBRARY_SQL = """
+    WITH groups AS (SELECT 'show=' || coalesce(source, 'none') AS title, coalesce(lang, 'none') AS lang, count(*) AS n FROM documents GROUP BY 1, 2),
+    entries AS (
+      SELECT title || '/' || unnest(['_' || lang || '.mp4', lang || '.TXT', '.' || lang || '.mkv', '.' || lang, 'season/' || lang || '.Mkv', lang || '.avi']) AS path,
+             unnest([NULL, 'unsupported_extension', 'hidden', 'hidden_directory', NULL, NULL]) AS reason,
+             unnest([NULL, NULL, NULL, NULL, NULL, 'No such file or directory']) AS error, n FROM groups)
+    SELECT path, CASE WHEN reason IS NULL AND error IS NULL THEN n END AS size, reason, error FROM entries"""
+
+
+def _library(t) -> str:
+    """A folder with a show for every source of the documents and files of all sorts for every language of it, written by tasks.
+
+    Beside kept files there are hidden files and folders, texts, links to nothing, and links to folders that the library has anyway.
+    """
     folder = scratch(t) + "/library"
-    t.read("documents").select("source", "text").repartition("source").write.partitionBy("source").text(folder)
-    files, _ = manifests.scan_manifest(t.spark, folder, extensions=("txt",))
-    _, skipped = manifests.scan_manifest(t.spark, folder)
-    left_out = skipped.filter("reason = 'unsupported_extension'").groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("show")).agg(
-        F.count(F.lit(1)).alias("skipped"))
-    timed = files.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("show")).agg(
-        (F.min("mtime_ns") > 1_600_000_000_000_000_000).alias("recent"))
-    return show_rollup(files).join(left_out, "show", "left").join(timed, "show")
+    root = folder.removeprefix("file:")
+    groups = t.read("documents").groupBy(
+        F.coalesce("source", F.lit("none")).alias("show"), F.coalesce("lang", F.lit("none")).alias("lang")).count()
+
+    def written(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                lang, show = row["lang"], os.path.join(root, f"show={row['show']}")
+                for name in (f"_{lang}.mp4", f"{lang}.TXT", f".{lang}.mkv", f".{lang}/inside.mp4", f"season/{lang}.Mkv"):
+                    os.makedirs(os.path.dirname(os.path.join(show, name)), exist_ok=True)
+                    with open(os.path.join(show, name), "wb") as out:
+                        out.write(b"x" * row["count"])
+                for link, target in ((f"{lang}.avi", "nowhere"), (f"zz_{lang}", "season"), (f"season/back_{lang}", "..")):
+                    if not os.path.lexists(os.path.join(show, link)):
+                        os.symlink(target, os.path.join(show, link))
+            yield batch
+
+    groups.mapInArrow(written, groups.schema).write.format("noop").mode("overwrite").save()
+    return root
+
+
+def _findings(files, skipped, errors):
+    nothing = F.lit(None).cast("string")
+    return files.select("path", "size", nothing.alias("reason"), nothing.alias("error")).unionByName(
+        skipped, allowMissingColumns=True).unionByName(errors, allowMissingColumns=True)
+
+
+@query("scan_manifest", _LIBRARY_SQL)
+def _(t):
+    """Files, skipped rows and errors of a library that is listed by the executors."""
+    return _findings(*manifests.scan_manifest(t.spark, _library(t)))
+
+
+@query("stream_listing", _LIBRARY_SQL)
+def _(t):
+    """The same library listed by a stream in two runs, half of the shows being renamed into place between them."""
+    from airlog.sources.listing import newest_of_each, stream_library
+
+    root, folder = _library(t), scratch(t)
+    shows = sorted(os.listdir(root))
+    os.mkdir(folder.removeprefix("file:"))
+    for late in shows[::2]:
+        os.rename(f"{root}/{late}", f"{folder.removeprefix('file:')}/{late}")
+    for moved in (shows[::2], []):
+        stream_library(t.spark, root, lag_seconds=0).writeStream.format("parquet").option("path", folder + "/seen").option(
+            "checkpointLocation", folder + "/state").trigger(availableNow=True).start().awaitTermination()
+        for late in moved:
+            os.rename(f"{folder.removeprefix('file:')}/{late}", f"{root}/{late}")
+    seen = newest_of_each(t.spark.read.parquet(folder + "/seen"))
+    return _findings(*manifests.split_listing(seen))
 
 
 @query("manifest_errors", """

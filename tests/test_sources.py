@@ -9,7 +9,7 @@ import pytest
 
 from airlog import schemas
 from airlog.operators import diff
-from airlog.sources import configs, manifests, sidecars, tables
+from airlog.sources import configs, listing, manifests, sidecars, tables
 from conftest import rows
 
 
@@ -17,7 +17,7 @@ def test_scan_and_snapshot_diff(spark, tmp_path):
     for name in ("A/1.mp4", "A/2.mkv", "A/notes.txt", "top.MP4"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x" * 10)
-    files, skipped = manifests.scan_manifest(spark, str(tmp_path))
+    files, skipped, _ = manifests.scan_manifest(spark, str(tmp_path))
     assert rows(files.select("path", "size")) == [("A/1.mp4", 10), ("A/2.mkv", 10), ("top.MP4", 10)]
     assert rows(skipped) == [("A/notes.txt", "unsupported_extension")]
 
@@ -86,3 +86,62 @@ def test_fingerprint_counts_copies(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "id int")
     b = spark.createDataFrame([(1,), (2,), (2,)], "id int")
     assert diff.runs_match(a, b).first()["passed"] is False
+
+
+def test_listing_of_a_real_library(spark, tmp_path):
+    root = tmp_path / "library"
+    for name in ("_intro.mp4", ".x", ".git/a.mp4", "A/1.mp4", "A/deep/er/_2.mkv", "A/deep/er/.3.mkv", "B/note.txt", "B/.h/4.mp4"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x" * len(name))
+    (root / "B/lost.mp4").symlink_to("nowhere")
+    (root / "B/loop.mp4").symlink_to("loop.mp4")
+    (root / "B/lost.txt").symlink_to("nowhere")
+    (root / "B/again").symlink_to("../A/deep")
+    (root / "A/deep/up").symlink_to("../..")
+    for parts in (1, 7):
+        files, skipped, errors = manifests.scan_manifest(spark, str(root), parts=parts)
+        assert rows(files.select("path", "size")) == [("A/1.mp4", 7), ("A/deep/er/_2.mkv", 16), ("_intro.mp4", 10)]
+        assert rows(skipped) == [(".git", "hidden_directory"), (".x", "hidden"), ("A/deep/er/.3.mkv", "hidden"),
+                                 ("B/.h", "hidden_directory"), ("B/lost.txt", "unsupported_extension"), ("B/note.txt", "unsupported_extension")]
+        assert [r["path"] for r in errors.orderBy("path").collect()] == ["B/loop.mp4", "B/lost.mp4"]
+
+
+def test_an_unreadable_folder_is_a_row(tmp_path, monkeypatch):
+    for name in ("A/1.mp4", "B/2.mp4"):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text("x")
+    scan = listing.os.scandir
+
+    def refused(path):
+        if path.endswith("/A"):
+            raise PermissionError(13, "Permission denied")
+        return scan(path)
+
+    monkeypatch.setattr(listing.os, "scandir", refused)
+    found = [row for part in range(5) for row in listing.walk(str(tmp_path), part, 5)]
+    assert sorted((r[0], r[3], r[-1]) for r in found) == [("A", True, "Permission denied"), ("B/2.mp4", False, None)]
+    assert [r[0::7] for r in listing.walk(str(tmp_path / "none"))] == [(".", "No such file or directory")]
+
+
+def test_listing_plan_lists_nothing_on_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing.os, "scandir", None)
+    manifests.scan_manifest(spark, str(tmp_path / "none"))
+
+
+def test_listing_stream_gives_what_comes_later(spark, tmp_path):
+    root, kept = tmp_path / "library", str(tmp_path / "kept")
+    (root / "A").mkdir(parents=True)
+    (root / "A/1.mp4").write_text("x")
+    (tmp_path / "late").mkdir()
+    (tmp_path / "late/2.mp4").write_text("xx")
+
+    def run():
+        listing.stream_library(spark, str(root), lag_seconds=0).writeStream.format("parquet").option("path", kept).option(
+            "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        files, _, _ = manifests.split_listing(listing.newest_of_each(spark.read.parquet(kept)))
+        return rows(files.select("path", "size"))
+
+    assert run() == [("A/1.mp4", 1)]
+    (tmp_path / "late").rename(root / "B")
+    (root / "A/1.mp4").write_text("xxx")
+    assert run() == [("A/1.mp4", 3), ("B/2.mp4", 2)] == rows(manifests.scan_manifest(spark, str(root))[0].select("path", "size"))
