@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from airlog.functions.paths import show_of
 from airlog.functions.values import canonical
 from airlog.operators.intervals import _ntz, clipped, components
-from airlog.operators.scan import DAY_US, OrderedScan, Running, numbered_by_levels
+from airlog.operators.scan import DAY_US, OrderedScan, Running, numbered_by_digits
 
 
 # ---- manifests -----------------------------------------------------------------------------
@@ -268,8 +268,7 @@ def reconcile_ids(
     A row that is the same as an old one keeps its id (reused); any other gets the next id above the
     floor and all old ids, in identity order (new). A changed row of a protected id is a conflict, an
     identity generated twice a duplicate, and one that several old rows have is ambiguous; none gets an id. Protected rows
-    that were not generated again are kept. New rows are numbered level by level of the identity: by its first column, then
-    inside that by the second, and so on.
+    that were not generated again are kept. New rows are numbered by digits of the identity's columns.
     """
     keys = list(identity)
     held = old.select(*keys, F.col("id").alias("_old_id"), F.struct(*compare).alias("_was")).join(
@@ -285,7 +284,7 @@ def reconcile_ids(
     )
     judged = joined.withColumn("disposition", disposition).filter("disposition IS NOT NULL")
     top = old.agg(F.greatest(F.max("id"), F.lit(floor))).scalar()
-    placed = numbered_by_levels(judged.filter("disposition = 'new'").select(*keys), keys, "_n")
+    placed = numbered_by_digits(judged.filter("disposition = 'new'").select(*keys), [], keys, "_n")
     rest = judged.filter("disposition <> 'new'").select(
         *keys, F.when(F.col("disposition").isin("reused", "kept"), F.col("_old_id")).alias("id"), "disposition")
     rest = rest.filter("id IS NOT NULL").unionByName(rest.filter("id IS NULL").distinct())

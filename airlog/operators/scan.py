@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from airlog.functions.values import micros
+from airlog.session import durable
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
@@ -109,21 +110,75 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return running(df, keys, order, Running(name, "count", F.lit(1)), width=width)
 
 
-def numbered_by_levels(df: DataFrame, levels: Sequence[str], name: str) -> DataFrame:
-    """1-based position of each row in the order of all levels together, without one window over all rows.
+def order_text(order: Sequence[str], types: dict[str, T.DataType]) -> Column:
+    """One text whose order is the order of several columns, nulls first: texts as they are, whole numbers as fixed-width digits."""
+    parts = []
+    for name in order:
+        kind = types[name]
+        if isinstance(kind, T.StringType):
+            # a terminator below every character, which is doubled by a second one where it stands in the text
+            text = F.concat(F.replace(name, F.lit("\x00"), F.lit("\x00\x01")), F.lit("\x00\x00"))
+        elif isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            number = F.col(name).cast("bigint") if isinstance(kind, T.IntegralType) else micros(F.col(name).cast("timestamp_ntz"))
+            text = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+        else:
+            raise TypeError(f"no text orders a column of {kind.simpleString()}")
+        parts.append(F.when(F.col(name).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), text)))
+    return F.concat(*parts)
 
-    Rows are counted by the first level, then by the first two, and so on; each count table is numbered inside its parent, and
-    rows themselves only inside all levels but the last. The first window holds the distinct values of the first level.
+
+#: Rows that one task may number, and characters of a digit.
+CROWD, DIGIT = 200_000, 2
+
+
+def cut_by_digits(df: DataFrame, keys: Sequence[str], order: Sequence[str], crowd: int,
+                  digit: int = DIGIT) -> tuple[DataFrame, list[str], list[tuple[list[str], DataFrame]]]:
+    """The rows with the parts they fall into, the columns that name a part, and for each level of the trie how many rows of a node
+    stand before each of its parts.
+
+    The rows of a key are a node. A node with more than `crowd` rows is cut by the digit, a few characters of the text of the sort key,
+    that follows what its first and last row have in common, so nothing is spent on what all its rows share; crowded parts are
+    cut again until none is left. Parts are counted before anything is shuffled.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    rows = df.withColumn("_sort", order_text(order, types))
+    rows = rows if keys else rows.withColumn("_all", F.substr("_sort", F.lit(1), F.lit(0)))
+    node, found = list(keys) or ["_all"], []
+    sizes = [F.count(F.lit(1)).alias("_rows"), F.min("_sort").alias("_low"), F.max("_sort").alias("_high")]
+    crowded = durable(rows.groupBy(*node).agg(*sizes).filter(F.col("_rows") > crowd))
+    while not crowded.isEmpty():
+        start, part = f"_from_{len(found)}", f"_digit_{len(found)}"
+        equal = F.transform(F.sequence(F.lit(1), F.least(F.length("_low"), F.length("_high"))),
+                            lambda i: F.substr("_low", i, F.lit(1)) == F.substr("_high", i, F.lit(1)))
+        cuts = crowded.select(*[F.col(k).alias(f"_is_{k}") for k in node], F.array_position(equal, False).cast("int").alias(start))
+        same = [F.col(k).eqNullSafe(F.col(f"_is_{k}")) for k in node]
+        rows = rows.join(cuts, same, "left").drop(*[f"_is_{k}" for k in node])
+        rows = rows.withColumn(part, F.substr("_sort", F.col(start), F.lit(digit)))
+        parts = durable(rows.filter(F.col(start).isNotNull()).groupBy(*node, part).agg(*sizes))
+        rows = rows.drop(start)
+        earlier = Window.partitionBy(*node).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        node = [*node, part]
+        found.append((node, parts.select(*[F.col(k).alias(f"_is_{k}") for k in node],
+                                         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))))
+        crowded = parts.filter(F.col("_rows") > crowd)
+    return rows, node, found
+
+
+def numbered_by_digits(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, crowd: int = CROWD,
+                       digit: int = DIGIT) -> DataFrame:
+    """1-based position of each row in its key, however many rows a key has: a radix rank over the text of the sort key.
+
+    A window over the counts of one node's parts gives how many rows stand before each part (see cut_by_digits), and rows are
+    numbered in a window inside one part, so no window holds a crowded key. `order` must end in a unique column; without keys the
+    table is one key.
+
+    Nodes are counted while the query is built, as the data decide how deep to go: once, and once more for each level that is
+    crowded. Only crowded nodes and their parts are kept, in the checkpoint folder, a few for every `crowd` rows.
     """
-    before = []
-    for depth in range(1, len(levels)):
-        parent, keys = list(levels[:depth - 1]), list(levels[:depth])
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        rows = Window.partitionBy(*parent).orderBy(levels[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
-        offset = counts.select(*[F.col(k).alias(f"_is_{k}") for k in keys],
-                               F.coalesce(F.sum("_n").over(rows), F.lit(0)).alias(f"_before_{depth}"))
-        same = [F.col(k).eqNullSafe(F.col(f"_is_{k}")) for k in keys]
-        df = df.join(offset, same).drop(*[f"_is_{k}" for k in keys])
-        before.append(F.col(f"_before_{depth}"))
-    inner = F.row_number().over(Window.partitionBy(*levels[:-1]).orderBy(levels[-1]))
-    return df.withColumn(name, sum(before, inner.cast("bigint"))).drop(*[f"_before_{d}" for d in range(1, len(levels))])
+    rows, node, found = cut_by_digits(df, keys, order, crowd, digit)
+    numbered_rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(*node).orderBy("_sort")).cast("bigint"))
+    for levels, ahead in found:
+        same = [F.col(k).eqNullSafe(F.col(f"_is_{k}")) for k in levels]
+        numbered_rows = numbered_rows.join(ahead, same, "left").withColumn(
+            name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", *[f"_is_{k}" for k in levels])
+    return numbered_rows.select(*df.columns, name)

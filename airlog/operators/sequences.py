@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from airlog.functions.calendar import BROADCAST_START, weekday_number
 from airlog.functions.values import seeded_number
 from airlog.operators.intervals import _ntz
-from airlog.operators.scan import DAY_US, OrderedScan, Running, numbered
+from airlog.operators.scan import DAY_US, OrderedScan, Running, numbered, numbered_by_digits
 
 KEY = ("station", "sequence_name", "tag_path")
 
@@ -42,10 +42,10 @@ def assign_episodes(
 ) -> DataFrame:
     """Give every airing its episode. Episodes are taken in path order, airings in the given order.
 
-    The order of airings starts with a time or number, of which width is scanned together. The episodes of a sequence are
-    the files of one show and are numbered in one piece.
+    The order of airings starts with a time or number, of which width is scanned together. Episodes are numbered by digits of their
+    paths, so a sequence may hold any share of all files.
     """
-    placed = numbered(episodes, keys, ["fpath", "id"], "_n")
+    placed = numbered_by_digits(episodes, keys, ["fpath", "id"], "_n")
     placed = placed.select(*keys, (F.col("_n") - 1).alias("episode_index"), "fpath")
     aired = numbered(airings, keys, order, "_k", width)
     timed = aired.join(sequence_bounds(sequences, episodes, keys, seed), list(keys))
@@ -71,7 +71,7 @@ def resync_cursor(cursors: DataFrame, old: DataFrame, new: DataFrame, keys: Sequ
 
     cursors: keys + current_index; old: keys + fpath, sequence_index; new: keys + fpath.
     """
-    fresh = numbered(new.select(*keys, "fpath").distinct(), keys, ["fpath"], "_n")
+    fresh = numbered_by_digits(new.select(*keys, "fpath").distinct(), keys, ["fpath"], "_n")
     fresh = fresh.select(*keys, "fpath", (F.col("_n") - 1).alias("_new_index"))
     sizes = fresh.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     at = old.select(*keys, F.col("sequence_index").alias("current_index"), "fpath")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airlog.operators import sequences as sq
-from airlog.operators.scan import DAY_US, numbered
+from airlog.operators.scan import DAY_US, numbered, numbered_by_digits
 from airlog.plans import breaks, playout, segments as sg
 from queries.registry import query
 
@@ -269,6 +269,18 @@ def _(t):
     return aired.select("station", *_AIRINGS[1:], "episode_index", "fpath")
 
 
+@query("number_hot_keys", """
+    SELECT l_returnflag AS station, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           row_number() OVER (PARTITION BY l_returnflag ORDER BY l_linestatus, l_shipdate, l_partkey, l_orderkey, l_linenumber, l_suppkey) AS n
+    FROM lineitem""")
+def _(t):
+    """Positions of line items in three keys, each cut into parts of at most 500 rows by digits of the sort key."""
+    items = t.read("lineitem").withColumnRenamed("l_returnflag", "station")
+    order = ["l_linestatus", "l_shipdate", "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"]
+    return numbered_by_digits(items, ["station"], order, "n", crowd=500).select(
+        "station", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "n")
+
+
 @query("rewind_cursors", """
     WITH eps AS (SELECT station, path, row_number() OVER (PARTITION BY station ORDER BY path, id) - 1 AS i FROM items),
     ahead AS (SELECT station, arg_min(path, (ts, l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS path
@@ -278,7 +290,7 @@ def _(t):
     blocks = t.plays.select(
         "station", "path", F.col("ts").alias("start_time"), F.lit(0).alias("end_time"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"))
-    positions = numbered(_episodes(t), ["station"], ["fpath", "id"], "n").select(
+    positions = numbered_by_digits(_episodes(t), ["station"], ["fpath", "id"], "n").select(
         "station", "fpath", (F.col("n") - 1).alias("sequence_index"))
     return sq.rewind_cursors(blocks, positions, "1999-06-01 00:00:00", keys=["station"])
 
@@ -294,7 +306,7 @@ def _(t):
     LEFT JOIN (SELECT DISTINCT station, n FROM new) s ON s.station = cur.station""".replace("\\\\", "\\"))
 def _(t):
     before = t.parts_as_items.filter("id % 5 <> 0").select("station", F.col("path").alias("fpath")).distinct()
-    old = numbered(before, ["station"], ["fpath"], "n").select("station", "fpath", (F.col("n") - 1).alias("sequence_index"))
+    old = numbered_by_digits(before, ["station"], ["fpath"], "n").select("station", "fpath", (F.col("n") - 1).alias("sequence_index"))
     new = t.parts_as_items.filter("id % 4 <> 0").select("station", F.col("path").alias("fpath"))
     cursors = t.parts_as_items.select("station").distinct().withColumn(
         "current_index", F.regexp_extract("station", r"(\d+)", 1).cast("bigint") * 4)

@@ -6,11 +6,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from airlog.operators import diff, intervals as iv
 from airlog.operators.quality import check_guide
-from airlog.operators.scan import DAY_US, OrderedScan, Running, numbered, numbered_by_levels
+from airlog.operators.scan import DAY_US, OrderedScan, Running, cut_by_digits, numbered, numbered_by_digits
 from airlog.plans.playout import plan_timeline
 from conftest import rows
 from queries.views import Tables
@@ -113,13 +113,13 @@ def test_one_hot_key_is_cut_into_buckets(spark):
 
 
 def test_building_runs_no_job(spark, folder):
+    """Ordered scans; ranks by digits do count crowded keys first, see test_ranks_count_nodes_only."""
     t = Tables(spark, folder)
     builds = [
         lambda: iv.coverage(t.blocks, t.windows), lambda: iv.components(t.blocks), lambda: iv.lookahead(t.blocks, tag="title"),
         lambda: iv.exclude_overlapping(t.baseline, t.proposed, "content_id"),
         lambda: iv.now_playing(t.blocks, t.blocks.selectExpr("station", "start_time AS at")),
         lambda: diff.diff_schedules(t.baseline, t.proposed, t.windows),
-        lambda: diff.reconcile_ids(t.parts_as_items, t.parts_as_items.drop("id"), ["station", "tag", "path"], ["title"], t.parts_as_items.select("id")),
         lambda: check_guide(t.blocks, t.blocks), lambda: plan_timeline(t.plan_entries, order=["l_linenumber", "l_partkey", "l_suppkey"])]
     t.blocks, t.baseline, t.proposed, t.windows, t.parts_as_items, t.plan_entries  # reading a footer may run a job
     spark.sparkContext.setJobGroup("building", "no job may run")
@@ -131,11 +131,38 @@ def test_building_runs_no_job(spark, folder):
     assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
 
 
-def test_numbering_by_levels(spark):
-    made = [(a, b, c) for a in ("x", None, "y") for b in (2, 1, None) for c in ("q", "p")]
+def test_numbering_by_digits(spark):
+    made = [(a, b, c) for a in ("x", None, "y", "x\0", "x\0\1", "xy", "日本", "日本x") for b in (2, -1, None) for c in ("q", "p")]
     df = spark.createDataFrame(made, "a string, b int, c string")
-    got = [tuple(r)[:3] for r in numbered_by_levels(df, ["a", "b", "c"], "n").orderBy("n").collect()]
-    assert got == [tuple(r) for r in df.orderBy("a", "b", "c").collect()]
+    expected = [tuple(r) for r in df.orderBy("a", "b", "c").collect()]
+    for crowd in (100, 7, 1):
+        got = [tuple(r)[:3] for r in numbered_by_digits(df, [], ["a", "b", "c"], "n", crowd).orderBy("n").collect()]
+        assert got == expected
+    assert numbered_by_digits(df.where("false"), [], ["a"], "n", 1).collect() == []
+
+
+def test_a_hot_key_is_numbered_in_many_tasks(spark):
+    """A third of all rows have one key and a long common beginning; no window holds more of them than are allowed."""
+    made = [("hot" if i % 3 == 0 else f"k{i % 50}", f"shows/with/one/beginning/{i % 7}/{'same' if i % 2 else i}.mp4", i) for i in range(3000)]
+    df = spark.createDataFrame(made, "key string, path string, id bigint").withColumn("_n", F.lit(0))
+    got = numbered_by_digits(df, ["key"], ["path", "id"], "n", crowd=40)
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("path", "id")).cast("bigint"))
+    assert rows(got) == rows(plain) and got.columns == plain.columns
+    cut, node, _ = cut_by_digits(df, ["key"], ["path", "id"], 40)
+    sizes = [r["count"] for r in cut.filter("key = 'hot'").groupBy(*node).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 40 and len(sizes) > 10
+
+
+def test_ranks_count_nodes_only(spark, folder):
+    """Without a crowded key, building runs the count of the keys and asks whether there is one."""
+    t = Tables(spark, folder)
+    t.parts_as_items  # reading a footer may run a job
+    spark.sparkContext.setJobGroup("ranking", "few jobs")
+    try:
+        cut, node, found = cut_by_digits(t.parts_as_items, ["station"], ["path", "id"], 10**6)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert node == ["station"] and found == [] and len(spark.sparkContext.statusTracker().getJobIdsForGroup("ranking")) <= 4
 
 
 def test_lookahead_keeps_the_block_and_crosses_buckets(spark):
