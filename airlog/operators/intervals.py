@@ -157,39 +157,70 @@ def components(
 # ---- overlap joins -------------------------------------------------------------------------
 
 
-def _in_buckets(df: DataFrame, start: str, end: str, width: int, name: str) -> DataFrame:
-    """One row per time bucket an interval touches; an empty interval touches one."""
-    first = F.floor(F.col(start) / F.lit(width))
-    last = F.greatest(F.floor((F.col(end) - 1) / F.lit(width)), first)
-    return df.withColumn(name, F.explode(F.sequence(first, last)))
+#: A cell is so many times as wide as one of the level below; the widest are under this many microseconds.
+FANOUT, WIDEST = 8, 1 << 61
+
+
+def _widths(finest: int) -> list[int]:
+    return [finest * FANOUT ** k for k in range(64) if k == 0 or finest * FANOUT ** k < WIDEST]
+
+
+def _width_of(level: str, finest: int) -> Column:
+    return F.get(F.array(*map(F.lit, _widths(finest))), F.col(level))
+
+
+def in_cells(df: DataFrame, finest: int) -> DataFrame:
+    """Rows (_level, _cell) for every interval that is not empty: the cells it touches on the first level whose cells are as long as it.
+
+    There are two of them at most (below the last level, whose cells are thousands of years wide).
+    """
+    widths, length = _widths(finest), F.col("end_us") - F.col("start_us")
+    level = F.least(F.size(F.filter(F.array(*map(F.lit, widths)), lambda w: w < length)), F.lit(len(widths) - 1))
+    width = _width_of("_level", finest)
+    sized = df.filter("end_us > start_us").withColumn("_level", level)
+    return sized.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor((F.col("end_us") - 1) / width))))
+
+
+def start_cells(df: DataFrame, levels: Column, finest: int) -> DataFrame:
+    """Rows (_level, _cell) for the start of every interval: the cell it lies in on each of some levels."""
+    placed = df.withColumn("_level", F.explode(levels))
+    return placed.withColumn("_cell", F.floor(F.col("start_us") / _width_of("_level", finest)))
 
 
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str] = (),
-    bucket_seconds: int = 3600,
+    bucket_seconds: int = 300,
     how: str = "inner",
 ) -> DataFrame:
-    """Pairs of intervals that overlap, as an equi-join on (keys, time bucket).
-
-    Columns of the right side get the prefix r_. A pair sharing several buckets is kept only in the
-    bucket where the later of the two starts, so every pair appears once. With how="left_semi" the
-    left rows that have a partner are returned, and no pair is made.
+    """Pairs of intervals that overlap, as equi-joins on (keys, level, cell) over cells of several widths.
+
+    Of two overlapping intervals one holds the start of the other. An interval lies in at most two cells as wide as itself
+    or up to eight times wider; a start lies in one cell on every level, and of these only the levels that hold an interval of the
+    other side count. So an interval of any length is a few rows, and is held only against starts within some times its own length.
+    The left side holds starts that are no earlier, the right side later ones: every pair appears once. Columns of the right
+    side get the prefix r_. bucket_seconds is the width of the finest cells; it changes no result. With how="left_semi" the left
+    rows that have a partner are returned, and no pair is made.
     """
-    width = bucket_seconds * 1_000_000
+    finest = bucket_seconds * 1_000_000
     if how == "left_semi":
-        return _reached(with_micros(left), right, keys, (), width).filter(F.col("_reach") > F.col("start_us")).drop("_reach")
-    a = _in_buckets(with_micros(left), "start_us", "end_us", width, "_bucket")
-    b = with_micros(right)
-    b = b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns])
-    b = _in_buckets(b, "r_start_us", "r_end_us", width, "r__bucket")
-    on = (F.col("_bucket") == F.col("r__bucket")) & (F.col("start_us") < F.col("r_end_us"))
-    on = on & (F.col("end_us") > F.col("r_start_us"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"r_{k}"))
-    later = F.floor(F.greatest("start_us", "r_start_us") / F.lit(width))
-    return a.join(b, on & (F.col("_bucket") == later)).drop("_bucket", "r__bucket")
+        return _reached(with_micros(left), right, keys, (), DAY_US).filter(F.col("_reach") > F.col("start_us")).drop("_reach")
+    a, b = with_micros(left), with_micros(right)
+    names = [*[F.col(c) for c in a.columns], *[F.col(f"r_{c}") for c in b.columns]]
+
+    def held(holding: DataFrame, starting: DataFrame, swapped: bool) -> DataFrame:
+        cells = in_cells(holding, finest)
+        levels = cells.agg(F.collect_set("_level")).scalar()
+        starts = start_cells(starting, levels, finest)
+        one, two = (starts, cells) if swapped else (cells, starts)
+        two = two.select(*[F.col(c).alias(f"r_{c}") for c in two.columns])
+        on = [F.col(k) == F.col(f"r_{k}") for k in ("_level", "_cell", *keys)]
+        on += [F.col("start_us") < F.col("r_end_us"), F.col("end_us") > F.col("r_start_us")]
+        on.append(F.col("r_start_us") < F.col("start_us") if swapped else F.col("start_us") <= F.col("r_start_us"))
+        return one.join(two, reduce(Column.__and__, on)).select(*names)
+
+    return held(a, b, False).unionAll(held(b, a, True))
 
 
 def exclude_overlapping(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -80,6 +81,28 @@ def test_overlap_join_equals_the_plain_predicate(spark, bucket):
     assert semi.count() == semi.distinct().count()
 
 
+def test_overlap_join_of_very_different_lengths(spark):
+    """Years and seconds in one join: few rows an interval, each pair once, few pairs looked at beyond those that overlap."""
+    rnd = random.Random(9)
+    lengths = [1, 60, 7200, 86400 * 30, 86400 * 400, 0]
+
+    def made(n, seed):
+        rnd.seed(seed)
+        starts = [T0 + timedelta(seconds=rnd.randrange(86400 * 500)) for _ in range(n)]
+        return [(i, "s", at, at + timedelta(seconds=lengths[i % 6]), "t") for i, at in enumerate(starts)]
+
+    a, b = made(240, 1), made(240, 2) + [(1000, "s", T0 - timedelta(days=36500), T0 + timedelta(days=36500), "long")]
+    left, right = spark.createDataFrame(a, BLOCKS), spark.createDataFrame(b, BLOCKS)
+    want = [(x[0], y[0]) for x in a for y in b if x[2] < y[3] and x[3] > y[2]]
+    got = rows(iv.overlap_join(left, right, ["station"]).select("id", "r_id"))
+    assert got == sorted(want, key=repr) and len(set(got)) == len(got)
+    cells = iv.in_cells(iv.with_micros(right), 60_000_000)
+    assert cells.groupBy("id").count().agg(F.max("count")).first()[0] <= 2
+    levels = cells.agg(F.collect_set("_level")).first()[0]
+    assert len(levels) <= 2 * math.log2(200 * 365 * 86400 / 60)
+    assert iv.start_cells(iv.with_micros(left), F.array(*map(F.lit, levels)), 60_000_000).count() == 240 * len(levels)
+
+
 @pytest.mark.parametrize("closed, width", [(False, DAY_US), (True, DAY_US), (False, 50_000_000), (True, 50_000_000)])
 def test_now_playing_takes_the_earliest_block(spark, closed, width):
     made = schedule(200, 3, 4)
