@@ -5,13 +5,10 @@ Segment tables have path, chapter_start and chapter_end in seconds, one row per
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airlog.operators.scan import OrderedScan, Running
+from airlog.session import durable
 
 # Fixed value: breaks closer than this to either end, and shorter segments, are not used.
 MIN_SECONDS = 60
@@ -83,71 +80,81 @@ def black_segments(log: DataFrame, files: DataFrame, width: float = WIDTH) -> Da
         (F.coalesce("_next", "duration") - F.col("chapter_start")).alias("segment_duration"))
 
 
+#: Rounds of folding in one job, and how much wider the buckets of the next job are.
+ROUNDS, WIDER = 2, 8
+
+
 def merge_short(segs: DataFrame, min_seconds: float = MIN_SECONDS, compat_hole: bool = False,
                 width: float = WIDTH) -> DataFrame:
     """Fold the shortest segment into the one before it until none is shorter than min_seconds.
 
-    Which segment is folded next depends on the folds before it, but a fold never reaches past a
-    segment that is long enough. Each run of short segments is therefore worked on separately from
-    the long segment before it, not each file. The first segment of a file is never folded.
-    compat_hole=True leaves the end of the surviving segment where it was.
+    A short segment that is shorter than both neighbours (of equal ones the first) is folded before either of them changes, as
+    lengths only grow; so all such segments fold at once, and the order of folds elsewhere does not matter. Two kinds of chains fold in
+    the same round: rising ones behind a segment that stays, one after the other into it, and falling ones, pair by pair from their
+    end. A round takes a share of every chain, so rounds grow with the logarithm of a run, not with its length.
+
+    Rounds work inside buckets of `width` seconds, where the first and last row wait for a neighbour they do not see; buckets grow
+    from job to job while the rows get fewer, until no short segment is left. So a file's run of short segments is spread over as many
+    tasks as it has buckets. Every job writes its rows to the checkpoint folder; the driver sees one count each.
+
+    The first segment of a file is never folded. compat_hole=True leaves the end of the surviving segment where it was.
     """
-    long_enough = (F.col("segment_duration") >= min_seconds).cast("int")
-    runs = OrderedScan(segs, ["path"], ["chapter_start", "seq"], width).running(
-        Running("_run", "sum", long_enough)).result()
-    fields = "path string, _run bigint, seq bigint, chapter_start double, chapter_end double, segment_duration double"
-    names = [f.split()[0] for f in fields.split(", ")]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            # the last run of a batch may go on in the next one
-            last = (batch["path"] == batch["path"].iloc[-1]) & (batch["_run"] == batch["_run"].iloc[-1])
-            if not last.all():
-                yield _fold_runs(pd.concat([*held, batch[~last]]), min_seconds)[names]
-                held = [batch[last]]
-            elif held and not _same_run(held[-1], batch):
-                yield _fold_runs(pd.concat(held), min_seconds)[names]
-                held = [batch]
-            else:
-                held.append(batch)
-        if held:
-            yield _fold_runs(pd.concat(held), min_seconds)[names]
-
-    placed = runs.select(*names).repartition("path", "_run").sortWithinPartitions("path", "_run", "chapter_start", "seq")
-    merged = placed.mapInPandas(fold, fields).drop("_run")
+    rows = segs.select("path", "seq", "chapter_start", "chapter_end", "segment_duration")
+    while True:
+        ends = rows.groupBy("path").agg(F.min(F.struct("chapter_start", "seq")).alias("_low"), F.max(F.struct("chapter_start", "seq")).alias("_high"))
+        place = F.struct("chapter_start", "seq")
+        state = rows.join(ends, "path").withColumns({
+            "_opens": place == F.col("_low"), "_closes": place == F.col("_high"),
+            "_bucket": F.floor(F.col("chapter_start") / F.lit(float(width)))}).drop("_low", "_high")
+        for _ in range(ROUNDS):
+            state = _fold_once(state, min_seconds)
+        left = F.max((F.col("segment_duration") < min_seconds) & ~F.col("_opens"))
+        state = durable(state)
+        rows = state.drop("_opens", "_closes", "_bucket")
+        if not state.agg(left).first()[0]:
+            break
+        width *= WIDER
     if compat_hole:
-        return merged
-    return merged.withColumn("chapter_end", F.col("chapter_start") + F.col("segment_duration"))
-
-
-def _same_run(a: pd.DataFrame, b: pd.DataFrame) -> bool:
-    return a["path"].iloc[0] == b["path"].iloc[0] and a["_run"].iloc[0] == b["_run"].iloc[0]
-
-
-def _fold_runs(rows: pd.DataFrame, min_seconds: float) -> pd.DataFrame:
-    """Fold every run of a sorted batch of whole runs; a run's first row is never folded."""
-    length = rows["segment_duration"].tolist()
-    change = (rows["path"] != rows["path"].shift()) | (rows["_run"] != rows["_run"].shift())
-    starts = [i for i, first in enumerate(change) if first] + [len(length)]
-    keep = [True] * len(length)
-    for lo, hi in zip(starts, starts[1:]):
-        before = list(range(lo - 1, hi - 1))
-        after = list(range(lo + 1, hi + 1))
-        short = [(length[i], i) for i in range(lo + 1, hi) if length[i] < min_seconds]
-        heapq.heapify(short)
-        while short:
-            size, i = heapq.heappop(short)
-            if not keep[i] or size != length[i]:
-                continue
-            keep[i], p = False, before[i - lo]
-            length[p] += size
-            after[p - lo] = after[i - lo]
-            if after[i - lo] < hi:
-                before[after[i - lo] - lo] = p
-            if p > lo and length[p] < min_seconds:
-                heapq.heappush(short, (length[p], p))
-    return rows.assign(segment_duration=length)[keep]
+        return rows
+    return rows.withColumn("chapter_end", F.col("chapter_start") + F.col("segment_duration"))
+
+
+def _fold_once(state: DataFrame, min_seconds: float) -> DataFrame:
+    """One round inside the buckets (path, _bucket); _opens and _closes mark the first and last segment of a file."""
+    part, order = ["path", "_bucket"], ["chapter_start", "seq"]
+    ahead, back = Window.partitionBy(*part).orderBy(*order), Window.partitionBy(*part).orderBy(*[F.desc(c) for c in order])
+    size = F.col("segment_duration")
+    foldable = ~F.col("_opens") & F.coalesce(size < min_seconds, F.lit(False))
+    seen = state.withColumn("_fold", foldable).withColumns({
+        "_at": F.row_number().over(ahead), "_before": F.lag(F.struct("segment_duration", "_fold")).over(ahead),
+        "_next": F.lead("segment_duration").over(ahead), "_second": F.lead("segment_duration", 2).over(ahead)})
+    rises = F.col("_fold") & F.when(F.col("_next").isNull(), F.col("_closes")).otherwise(size <= F.col("_next"))
+    falls = F.col("_fold") & F.col("_before").isNotNull() & (~F.col("_before._fold") | (size < F.col("_before.segment_duration")))
+    seen = seen.withColumns({"_rises": rises, "_falls": falls})
+    seen = seen.withColumn("_least", F.col("_rises") & F.col("_falls"))
+    # behind a segment that stays, everything that rises up to here
+    upto = ahead.rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumns({
+        "_stays": F.max(F.when(~F.col("_fold"), F.col("_at"))).over(upto),
+        "_stops": F.max(F.when(F.col("_fold") & ~F.col("_rises"), F.col("_at"))).over(upto),
+        "_least_next": F.coalesce(F.lead("_least").over(ahead), F.lit(False))})
+    rising = F.col("_rises") & F.col("_stays").isNotNull() & F.coalesce(F.col("_stops") < F.col("_stays"), F.lit(True))
+    # down to the least segment that follows, every second one, while what is folded there is no shorter than the one before
+    early = ~F.col("_least") & ~F.col("_least_next") & ~F.coalesce(size <= F.col("_next") + F.col("_second"), F.lit(False))
+    onward = back.rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumns({
+        "_end": F.min(F.when(F.col("_least"), F.col("_at"))).over(onward),
+        "_breaks": F.min(F.when(~F.col("_falls") | early, F.col("_at"))).over(onward)})
+    falling = (F.col("_end").isNotNull() & F.coalesce(F.col("_breaks") > F.col("_end"), F.lit(True))
+               & ((F.col("_end") - F.col("_at")) % 2 == 0))
+    folded = seen.withColumn("_gone", rising | falling)
+    group = F.sum((~F.col("_gone")).cast("int")).over(upto)
+    grouped = folded.withColumn("_group", group)
+    own = Window.partitionBy(*part, "_group")
+    running = F.sum("segment_duration").over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    summed = grouped.withColumn("_sum", running).withColumns({
+        "segment_duration": F.max("_sum").over(own), "_closes": F.max("_closes").over(own)})
+    return summed.filter(~F.col("_gone")).select(*state.columns)
 
 
 def thin_segments(segs: DataFrame, wanted: Column | int, width: float = WIDTH, positions: int = POSITIONS) -> DataFrame:

@@ -53,15 +53,22 @@ def test_merge_short_equals_folding_one_by_one(spark, width):
     assert rows(got.select("path", "chapter_start", "chapter_end", "segment_duration")) == sorted(want, key=repr)
 
 
-def test_merge_short_across_small_batches(spark):
-    made, files, points = files_and_points(6)
-    segs = sg.segments(spark.createDataFrame(points, POINTS), spark.createDataFrame(files, "path string, duration double"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    try:
-        got = rows(sg.merge_short(segs).select("path", "chapter_start", "segment_duration"))
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == sorted([(p, s, d) for p, starts in made.items() for s, d in fold(cut(starts, 3050.0), 60)], key=repr)
+@pytest.mark.parametrize("name, lengths", [
+    ("equal", [5.0] * 300), ("rising", [1 + k / 10 for k in range(300)]), ("falling", [50 - k / 10 for k in range(300)]),
+    ("steep", [58.0, 29.0, 14.0, 7.0, 3.0, 1.0] * 40), ("zigzag", [30.0, 1.0, 2.0, 31.0, 59.0] * 60)])
+def test_long_runs_of_short_segments(spark, monkeypatch, name, lengths):
+    """Chains of all shapes fold in few jobs, in many buckets and without a Python worker."""
+    starts = [0.0]
+    for length in lengths:
+        starts.append(starts[-1] + length)
+    segs = spark.createDataFrame([("f", k, a, b, b - a) for k, (a, b) in enumerate(zip(starts, starts[1:]))],
+                                 "path string, seq bigint, chapter_start double, chapter_end double, segment_duration double")
+    jobs, plain = [], sg.durable
+    monkeypatch.setattr(sg, "durable", lambda df: jobs.append(df._jdf.queryExecution().toString()) or plain(df))
+    got = rows(sg.merge_short(segs, width=100).select("chapter_start", "segment_duration"))
+    want = fold([(a, b - a) for a, b in zip(starts, starts[1:])], 60)
+    assert got == sorted([(a, d) for a, d in want], key=repr)
+    assert len(jobs) <= 8 and not any("Python" in j or "InPandas" in j for j in jobs)
 
 
 def test_merge_short_can_leave_the_hole(spark):
