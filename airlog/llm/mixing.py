@@ -23,9 +23,10 @@ ORDER_BITS, BUCKET_BITS = 60, 12
 _FIRST_ID = -(1 << 63)
 
 
-def _place_columns(seed: int, ident: Column, source: Column) -> tuple[Column, Column, Column]:
-    """id, queue and place of a row. queue orders sources by code point, null last; place is made of md5("seed:id")."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit(""))).cast("binary"))
+def _place_columns(seed: int, ident: Column, source: Column, text: Column) -> tuple[Column, Column, Column]:
+    """id, queue and place of a row. queue orders sources by code point, null last; place is made of md5("seed:id:md5(text)")."""
+    own = F.coalesce(F.md5(text.cast("string").cast("binary")), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
     return (F.coalesce(ident.cast("long"), F.lit(_FIRST_ID)),
             F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("t")),
             F.conv(F.substring(digest, 1, ORDER_BITS // 4), 16, 10).cast("long"))
@@ -34,7 +35,7 @@ def _place_columns(seed: int, ident: Column, source: Column) -> tuple[Column, Co
 def queue_entries(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", source_col: str = "source",
                   text_col: str = "text") -> DataFrame:
     """(id, queue, place, size) of every row: its source's queue, its place there and its words."""
-    ident, queue, place = _place_columns(seed, F.col(id_col), F.col(source_col))
+    ident, queue, place = _place_columns(seed, F.col(id_col), F.col(source_col), F.col(text_col))
     return docs.select(ident.alias("id"), queue.alias("queue"), place.alias("place"), word_count(F.col(text_col)).alias("size"))
 
 
@@ -64,7 +65,7 @@ def targets(entries: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float
 def thresholds(entries: DataFrame, goals: DataFrame, passes: int = 2) -> DataFrame:
     """(queue, last): how far the mix goes in each pass of a source, as an array of the (place, id) of the last entry taken.
 
-    A pass of which nothing is taken has null. Entries of one id and source rise and fall together.
+    A pass of which nothing is taken has null. Entries of one id, source and text rise and fall together.
     """
     units = entries.groupBy("queue", "place", "id").agg(F.sum("size").alias("size")).where("size > 0").withColumn(
         "bucket", F.shiftright("place", ORDER_BITS - BUCKET_BITS))
@@ -100,8 +101,8 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
              id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(id, size, source_size, target, copies) of every row of a table of documents.
 
-    Null and blank texts have size 0. Rows with one id and source are taken together, also repeated ones; null ids count as one
-    id. A null source is a source. Sources without words have target 0. An empty table gives an empty plan.
+    Null and blank texts have size 0. Rows that repeat id, source and text are taken together; rows that only share an id, or have
+    none, are not. A null source is a source. Sources without words have target 0. An empty table gives an empty plan.
     """
     entries = written(queue_entries(docs, seed, id_col, source_col, text_col), "queue")
     goals = written(targets(entries, weights, share, passes), "targets")
@@ -118,7 +119,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.
     entries = written(queue_entries(docs, seed, id_col, source_col, text_col), "queue")
     goals = written(targets(entries, weights, share, passes), "targets")
     ends = written(thresholds(entries, goals, passes), "thresholds")
-    ident, queue, place = _place_columns(seed, docs[id_col], docs[source_col])
+    ident, queue, place = _place_columns(seed, docs[id_col], docs[source_col], docs[text_col])
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), ident.alias("id"), queue.alias("queue"),
                        place.alias("place"))
     copies = _copies(F.col("place"), F.col("id"), F.col("last"))

@@ -42,7 +42,7 @@ def op10(spark, sf_dir):
 @query("op3_weighted_fair_queueing", r"""
 WITH entries AS (
   SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS id, coalesce('s' || source, 't') AS queue,
-         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place,
+         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, 15))::BIGINT AS place,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
   FROM documents),
 sums AS (SELECT queue, sum(size)::BIGINT AS source_size FROM entries GROUP BY queue),
