@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from airlog.llm.common import portions, written
 
 BINS = 4096
-#: Characters of a text that are counted at once (n-grams across such a cut are not counted), and texts.
+#: Characters of a text that are counted at once, and texts.
 PIECE, TEXTS = 300_000, 256
 UNKNOWN = "und"
 #: Characters of the beginnings of training texts that stand for short texts; classes of length, two for each doubling of its
@@ -29,6 +29,8 @@ UNKNOWN = "und"
 STARTS, CLASSES = (4, 8, 16, 32, 64, 128, 256, 1024), 2 * BINS.bit_length() - 1
 #: A training text's distance is measured without this part of the texts; a class of fewer distances says nothing by itself.
 FOLDS, FEW = 4, 20
+#: Ids of a label are counted by so many first bits of their hash before any are ordered.
+STRETCH_BITS = 12
 
 
 @cache
@@ -36,48 +38,64 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+def _folded(text: str, padded: bool) -> np.ndarray:
+    """Codes of a text's letters with one space for each stretch of others, and one in front if it is padded."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    codes = np.where(_letters()[codes], codes, 32).astype(np.uint32)
+    if padded:
+        codes = np.insert(codes, 0, 32)
+    blank = codes == 32
+    return codes[~(blank & np.insert(blank[:-1], 0, False))] if len(codes) else codes
+
+
+def _pieces(text: str) -> Iterator[tuple[str, int, bool]]:
+    """A text in stretches: (the last two folded characters before it and the stretch, how many those are, whether it ends the text)."""
+    before = ""
+    for at in range(0, len(text), PIECE):
+        piece = before + text[at:at + PIECE].lower()
+        last = at + PIECE >= len(text)
+        yield piece, len(before), last
+        if not last:
+            before = "".join(map(chr, _folded(piece, not before)[-2:].tolist()))
+
+
 def gram_counts(texts: list[str | None]) -> np.ndarray:
-    """A row of n-gram counts for each text; a row of zeros for a text without a letter."""
-    rows, pieces = [], []
+    """A row of n-gram counts for each text; a row of zeros for a text without a letter.
+
+    A long text is counted in stretches, each with the two characters before it, so the counts are those of the whole text.
+    """
+    counts = np.zeros((len(texts), BINS), dtype=np.float32)
+    rows, pieces, size = [], [], 0
     for row, text in enumerate(texts):
-        for at in range(0, len(text or ""), PIECE):
+        for piece in _pieces(text or ""):
+            if pieces and size + len(piece[0]) > PIECE:
+                _count_into(counts, rows, pieces)
+                rows, pieces, size = [], [], 0
             rows.append(row)
-            pieces.append(text[at:at + PIECE].lower())
-    counts = np.zeros((len(texts), BINS), dtype=np.float32)
-    first = 0
-    while first < len(pieces):
-        last, size = first, 0
-        while last < len(pieces) and (last == first or size + len(pieces[last]) <= PIECE):
-            size += len(pieces[last])
-            last += 1
-        _count_into(counts, rows[first:last], pieces[first:last])
-        first = last
+            pieces.append(piece)
+            size += len(piece[0])
+    if pieces:
+        _count_into(counts, rows, pieces)
     return counts
 
 
-def _count_into(counts: np.ndarray, rows: list[int], pieces: list[str]) -> None:
-    lengths = np.array([len(p) + 1 for p in pieces])
-    codes = np.frombuffer((" ".join(pieces) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    codes = np.where(_letters()[codes], codes, 32)
-    owner = np.repeat(np.arange(len(pieces)), lengths)
-    # one space between words, and at the start of a text
-    blank = codes == 32
-    keep = np.ones(len(codes), dtype=bool)
-    keep[1:] = ~(blank[1:] & blank[:-1] & (owner[1:] == owner[:-1]))
-    codes, owner = codes[keep].astype(np.uint32), owner[keep]
-    starts = np.flatnonzero(np.diff(owner, prepend=-1))
-    starts = starts[codes[starts] != 32]
-    codes, owner = np.insert(codes, starts, 32), np.insert(owner, starts, owner[starts])
+def _count_into(counts: np.ndarray, rows: list[int], pieces: list[tuple[str, int, bool]]) -> None:
+    folded = [_folded(text + " " * last, not led) for text, led, last in pieces]
+    lengths = np.array([len(f) for f in folded])
+    codes, owner = np.concatenate(folded), np.repeat(np.arange(len(pieces)), lengths)
+    # characters of the stretch before, of which every gram that ends in them has been counted
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    fresh = place >= np.repeat([led for _, led, _ in pieces], lengths)
     numbers, width = np.array(rows)[owner] * BINS, counts.size
     mixed = codes * np.uint32(0x9E3779B1)
-    bins = [mixed[codes != 32] >> np.uint32(20)]
-    places = [numbers[codes != 32]]
+    alone = (codes != 32) & fresh
+    bins, places = [mixed[alone] >> np.uint32(20)], [numbers[alone]]
     for more in (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)):
         if len(mixed) < 2:
             break
         mixed = (mixed[:-1] ^ (mixed[:-1] >> np.uint32(15))) * more + codes[len(codes) - len(mixed) + 1:] * np.uint32(0x27D4EB2F)
         span = len(codes) - len(mixed)
-        inside = owner[span:] == owner[:len(owner) - span]
+        inside = (owner[span:] == owner[:len(owner) - span]) & fresh[span:]
         if span == 2:  # only the middle of a gram of three may not be a space
             inside &= codes[1:-1] != 32
         bins.append((mixed >> np.uint32(20))[inside])
@@ -181,11 +199,17 @@ def fit(labelled: DataFrame, per_language: int = 200, centroids: int = 4, quanti
     the lengths near it. If no length has enough, only texts that share nothing are rejected. Texts without a letter teach
     nothing. Without any text the model rejects everything.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    order = Window.partitionBy("label").orderBy("hash", "id")
     known = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"),
                             F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND label IS NOT NULL")
-    names = known.select("id", "label").distinct()
-    picked = written(names.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select(
+    names = known.select("id", "label").distinct().withColumn("hash", F.xxhash64("id"))
+    # the smallest hashes lie in the first stretches of a label that hold enough ids; only these are ordered
+    names = names.withColumn("stretch", F.shiftright("hash", 64 - STRETCH_BITS))
+    earlier = Window.partitionBy("label").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = names.groupBy("label", "stretch").count().withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).where(
+        F.col("before") < per_language).groupBy("label").agg(F.max("stretch").alias("end"))
+    near = names.join(ends, "label").where("stretch <= end")
+    picked = written(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select(
         F.col("id").alias("picked_id"), F.col("label").alias("picked_label")), "training-rows")
     found = known.join(picked, (F.col("id") == F.col("picked_id")) & (F.col("label") == F.col("picked_label")))
     texts = found.groupBy("id", "label").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
