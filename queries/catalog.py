@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from airlog.functions import paths
 from airlog.functions.hints import decode_hints
-from airlog.operators import catalog as ct
+from airlog.operators import catalog as ct, trigrams
 from airlog.operators.intervals import lookahead
 from queries.registry import query
+from queries.scratch import scratch
 
 NOON = "2024-01-15 12:00:00"
 
@@ -30,6 +33,21 @@ def _(t):
     return ct.search(t.parts_as_items, "b_lt", ["title"], "Brand#3").select("id", "title")
 
 
+_SEARCHES = ("RING", "b_lt", "st%ee", "no such thing", "_", "#3/", "blue s1")
+
+
+@query("search_stored", " UNION ALL ".join(
+    f"SELECT {k} AS search, id, title FROM items WHERE title ILIKE '%{text}%' OR tag ILIKE '%{text}%' OR path ILIKE '%{text}%'"
+    for k, text in enumerate(_SEARCHES)))
+def _(t):
+    """Several searches in a catalog that is stored with its trigrams; one has wildcards, one no trigram, one nothing to find."""
+    folder = scratch(t) + "/catalog"
+    trigrams.store_catalog(t.parts_as_items, folder, span=500, folders=16)
+    found = [trigrams.search_stored(t.spark, folder, text, folders=16).select(F.lit(k).alias("search"), "id", "title")
+             for k, text in enumerate(_SEARCHES)]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("eligible_inclusive", "SELECT id, duration FROM items WHERE duration BETWEEN 1 AND 1320")
 def _(t):
     return ct.eligible(t.parts_as_items, 1320.0).select("id", "duration")
