@@ -1,4 +1,4 @@
-"""Change audits: snapshots, schedules, fingerprints, id reconciliation and field changes."""
+"""Change audits: snapshots, schedules, id reconciliation and field changes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from airlog.functions.paths import show_of
-from airlog.functions.values import canonical
 from airlog.operators.intervals import _ntz, clipped, components
 from airlog.operators.scan import DAY_US, OrderedScan, Running, numbered_by_digits
 
@@ -186,51 +185,6 @@ def protected_differences(before: DataFrame, after: DataFrame, affected: DataFra
     return _lost_and_added(before.join(hold, key, "left_anti"), after.join(hold, key, "left_anti"))
 
 
-# ---- fingerprints --------------------------------------------------------------------------
-
-
-def fingerprint(df: DataFrame, table: str) -> DataFrame:
-    """One row (table, columns, row_count, digest) that does not depend on the order of rows.
-
-    Row digests are cut into parts that are summed, so the aggregate combines before it shuffles and
-    nothing is sorted. Equal rows count as often as they occur.
-    """
-    digest = F.sha2(canonical(df, df.columns), 256)
-    parts = [
-        F.coalesce(F.sum(F.conv(F.substr("d", F.lit(1 + 15 * i), F.lit(15)), 16, 10).cast("decimal(20,0)")), F.lit(0))
-        for i in range(4)
-    ]
-    layout = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(df.schema.fields, key=lambda f: f.name))
-    summed = df.select(digest.alias("d")).agg(F.count(F.lit(1)).alias("row_count"), *[
-        p.alias(f"s{i}") for i, p in enumerate(parts)])
-    whole = F.sha2(F.concat_ws(":", F.col("row_count"), *[F.col(f"s{i}") for i in range(4)]), 256)
-    return summed.select(F.lit(table).alias("table"), F.lit(layout).alias("columns"), "row_count", whole.alias("digest"))
-
-
-def diff_fingerprints(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per table: added, removed, schema_changed, changed or same."""
-    a = before.select("table", F.col("columns").alias("ca"), F.struct("row_count", "digest").alias("da"))
-    b = after.select("table", F.col("columns").alias("cb"), F.struct("row_count", "digest").alias("db"))
-    change = (
-        F.when(F.col("ca").isNull(), "added").when(F.col("cb").isNull(), "removed")
-        .when(F.col("ca") != F.col("cb"), "schema_changed").when(F.col("da") != F.col("db"), "changed").otherwise("same")
-    )
-    return a.join(b, "table", "full_outer").select("table", change.alias("change"))
-
-
-def runs_match(first: DataFrame, second: DataFrame) -> DataFrame:
-    """One row: whether two runs gave the same rows, with both digests and counts."""
-    both = fingerprint(first, "first").unionByName(fingerprint(second, "second"))
-
-    def of(run: str, name: str) -> Column:
-        return F.max(F.when(F.col("table") == run, F.col(name)))
-
-    return both.agg(
-        of("first", "digest").alias("digest_1"), of("second", "digest").alias("digest_2"),
-        of("first", "row_count").alias("rows_1"), of("second", "row_count").alias("rows_2"),
-    ).withColumn("passed", F.col("digest_1") == F.col("digest_2"))
-
-
 # ---- records -------------------------------------------------------------------------------
 
 

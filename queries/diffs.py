@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airlog.operators import diff as df_
+from airlog.operators import diff as df_, fingerprints as fp_
 from airlog.operators.intervals import coverage_spans
 from airlog.operators.joins import diff_records
 from airlog.operators.scan import HOUR_US
 from airlog.sources.manifests import classify_manifest
 from queries.intervals import spans_sql
 from queries.registry import query
+from queries.scratch import scratch
 
 FIELDS = ["title", "content_id"]
 
@@ -224,28 +225,76 @@ def _(t):
     """All columns of both tables. Amounts have two decimals and are read as such: the texts of doubles differ between engines."""
     lines = t.read("lineitem")
     exact = lines.withColumns({f.name: F.col(f.name).cast("decimal(18,2)") for f in lines.schema.fields if f.dataType.typeName() == "double"})
-    return df_.fingerprint(t.manifest_before, "manifest").unionByName(df_.fingerprint(exact, "lineitem"))
+    return fp_.fingerprint(t.manifest_before, "manifest").unionByName(fp_.fingerprint(exact, "lineitem"))
 
 
 @query("diff_fingerprints", """
-    SELECT * FROM (VALUES ('manifest', 'changed'), ('orders', 'same'), ('part', 'schema_changed'), ('region', 'removed'), ('nation', 'added'))
-      v("table", change) WHERE (SELECT count(*) FROM orders) > 0""")
+    SELECT * FROM (VALUES ('manifest', 'changed', (SELECT count(*) FROM manifest_before), (SELECT count(*) FROM manifest_after), FALSE),
+      ('orders', 'same', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders), TRUE),
+      ('part', 'schema_changed', (SELECT count(*) FROM part), (SELECT count(*) FROM part), FALSE),
+      ('region', 'removed', (SELECT count(*) FROM region), NULL, NULL), ('nation', 'added', NULL, (SELECT count(*) FROM nation), NULL))
+      v("table", change, rows_before, rows_after, equal_digests)""")
 def _(t):
-    p = df_.fingerprint
+    p = fp_.fingerprint
     before = [p(t.manifest_before, "manifest"), p(t.read("orders"), "orders"), p(t.read("part"), "part"), p(t.read("region"), "region")]
     after = [p(t.manifest_after, "manifest"), p(t.read("orders").orderBy("o_totalprice"), "orders"),
              p(t.read("part").drop("p_size"), "part"), p(t.read("nation"), "nation")]
     for more in (before, after):
         while len(more) > 1:
             more.append(more.pop(0).unionByName(more.pop(0)))
-    return df_.diff_fingerprints(before[0], after[0])
+    found = fp_.diff_fingerprints(before[0], after[0])
+    return found.select("table", "change", "rows_before", "rows_after", (F.col("digest_before") == F.col("digest_after")).alias("equal_digests"))
+
+
+#: Line items of which some orders lose one line, some get it twice and some have another quantity.
+_AFTER_LINES = """
+    after AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 4001 = 7 THEN l_quantity + 1 ELSE l_quantity END::DECIMAL(18, 2) AS l_quantity
+              FROM lineitem WHERE NOT (l_orderkey % 5003 = 9 AND l_linenumber = 1)
+              UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::DECIMAL(18, 2) FROM lineitem WHERE l_orderkey % 6007 = 11),
+    before AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::DECIMAL(18, 2) AS l_quantity FROM lineitem),
+    changed AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, sum(n) AS n_all FROM (SELECT *, -1 AS n FROM before UNION ALL SELECT *, 1 FROM after) GROUP BY ALL)"""
+
+
+def _two_versions(t):
+    n, line = F.col("l_orderkey"), F.col("l_linenumber")
+    before = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("decimal(18,2)").alias("l_quantity"))
+    more = F.when(n % 4001 == 7, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).cast("decimal(18,2)")
+    after = before.filter(~((n % 5003 == 9) & (line == 1))).withColumn("l_quantity", more).unionByName(before.filter(n % 6007 == 11))
+    return before, after
+
+
+def _stored_trees(t):
+    before, after = _two_versions(t)
+    folder = scratch(t)
+    for name, df in (("before", before), ("after", after)):
+        fp_.store_tree(df, f"{folder}/{name}", "l_orderkey", width=16, fanout=8)
+    return before, after, fp_.changed_ranges(t.spark, f"{folder}/before", f"{folder}/after", width=16, fanout=8)
+
+
+@query("changed_ranges", f"""WITH {_AFTER_LINES},
+    b AS (SELECT l_orderkey // 16 AS node, count(*) AS n FROM before GROUP BY 1), a AS (SELECT l_orderkey // 16 AS node, count(*) AS n FROM after GROUP BY 1)
+    SELECT c.node * 16 AS low_key, c.node * 16 + 15 AS high_key, coalesce(b.n, 0) AS rows_before, coalesce(a.n, 0) AS rows_after
+    FROM (SELECT DISTINCT l_orderkey // 16 AS node FROM changed WHERE n_all <> 0) c LEFT JOIN a USING (node) LEFT JOIN b USING (node)""")
+def _(t):
+    """The ranges of order keys in which two versions of the line items differ, found by comparing two stored trees."""
+    return _stored_trees(t)[2]
+
+
+@query("changed_rows", f"""WITH {_AFTER_LINES}
+    SELECT CASE WHEN n_all < 0 THEN 'lost' ELSE 'added' END AS change, abs(n_all)::BIGINT AS copies, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           l_quantity::DOUBLE AS l_quantity FROM changed WHERE n_all <> 0""")
+def _(t):
+    """The rows of these ranges that one version has more often."""
+    before, after, ranges = _stored_trees(t)
+    found = fp_.changed_rows(before, after, ranges, "l_orderkey", width=16)
+    return found.withColumn("l_quantity", F.col("l_quantity").cast("double"))
 
 
 @query("runs_match", "SELECT TRUE AS same_passed, FALSE AS other_passed, CAST((SELECT count(*) FROM manifest_before) AS BIGINT) AS rows_1")
 def _(t):
-    same = df_.runs_match(t.manifest_before, t.manifest_before.orderBy("size")).select(
+    same = fp_.runs_match(t.manifest_before, t.manifest_before.orderBy("size")).select(
         F.col("passed").alias("same_passed"), "rows_1", F.lit(1).alias("k"))
-    other = df_.runs_match(t.manifest_before, t.manifest_after).select(F.col("passed").alias("other_passed"), F.lit(1).alias("k"))
+    other = fp_.runs_match(t.manifest_before, t.manifest_after).select(F.col("passed").alias("other_passed"), F.lit(1).alias("k"))
     return same.join(other, "k").drop("k")
 
 

@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 
 from airlog import schemas
-from airlog.operators import diff
+from airlog.operators import diff, fingerprints
 from airlog.sources import configs, listing, manifests, sidecars, tables
 from conftest import rows
 
@@ -79,13 +79,13 @@ def test_decode_bad_json_gives_null(spark):
 def test_fingerprint_ignores_order_but_not_values(spark, changed, same):
     a = spark.createDataFrame([(1, "x", 0.5), (2, None, 1.5), (2, None, 1.5)], "id int, name string, v double")
     b = spark.createDataFrame([(2, None, 1.5), (1, "x", 0.5 + changed), (2, None, 1.5)], "id int, name string, v double")
-    assert diff.runs_match(a, b).first()["passed"] is same
+    assert fingerprints.runs_match(a, b).first()["passed"] is same
 
 
 def test_fingerprint_counts_copies(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "id int")
     b = spark.createDataFrame([(1,), (2,), (2,)], "id int")
-    assert diff.runs_match(a, b).first()["passed"] is False
+    assert fingerprints.runs_match(a, b).first()["passed"] is False
 
 
 def test_listing_of_a_real_library(spark, tmp_path):
