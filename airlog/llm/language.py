@@ -206,8 +206,9 @@ def fit(labelled: DataFrame, per_language: int = 200, centroids: int = 4, quanti
     # the smallest hashes lie in the first stretches of a label that hold enough ids; only these are ordered
     names = names.withColumn("stretch", F.shiftright("hash", 64 - STRETCH_BITS))
     earlier = Window.partitionBy("label").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    ends = names.groupBy("label", "stretch").count().withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).where(
-        F.col("before") < per_language).groupBy("label").agg(F.max("stretch").alias("end"))
+    # a row for each label; written, so that its size is known before the ids meet it
+    ends = written(names.groupBy("label", "stretch").count().withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).where(
+        F.col("before") < per_language).groupBy("label").agg(F.max("stretch").alias("end")), "stretches")
     near = names.join(ends, "label").where("stretch <= end")
     picked = written(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select(
         F.col("id").alias("picked_id"), F.col("label").alias("picked_label")), "training-rows")
