@@ -195,7 +195,8 @@ def labelled_windows(docs: DataFrame, per_class: int, text_col: str = "text") ->
                         continue
                     for kind, window, spans in _examples(text):
                         own = best[kind]
-                        own[xxhash.xxh3_64_intdigest(window.encode("utf-8", "surrogatepass")) >> 1] = (window, spans)
+                        hashed = xxhash.xxh3_64_intdigest(window.encode("utf-8", "surrogatepass")) >> 1
+                        own[hashed] = min((window, spans), own.get(hashed, (window, spans)))
                         if len(own) > 4 * per_class:
                             best[kind] = {h: own[h] for h in sorted(own)[:per_class]}
         rows = [(kind, h, *own[h]) for kind, own in best.items() for h in sorted(own)[:per_class]]
@@ -205,8 +206,8 @@ def labelled_windows(docs: DataFrame, per_class: int, text_col: str = "text") ->
 
     found = written(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(
         cut, "class int, hash long, window string, spans array<int>"), "windows")
-    sample = [row for kind in range(-1, len(KINDS)) for row in found.where(F.col("class") == kind).dropDuplicates(["hash"]).orderBy(
-        "hash").limit(per_class).collect()]
+    once = found.groupBy("class", "hash").agg(F.min(F.struct("window", "spans")).alias("seen")).select("class", "hash", "seen.*")
+    sample = [row for kind in range(-1, len(KINDS)) for row in once.where(F.col("class") == kind).orderBy("hash").limit(per_class).collect()]
     return [(r["class"], r.window, [tuple(r.spans[k:k + 3]) for k in range(0, len(r.spans), 3)]) for r in sample]
 
 
