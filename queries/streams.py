@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from airlog.streaming import horizon, manifests, plays, status
+from airlog.streaming import horizon, manifests, plays, status, timers
 from queries.registry import query
 from queries.scratch import scratch
 
@@ -88,6 +88,23 @@ def _(t):
     return horizon.current_alerts(t.spark, folder + "/alerts")
 
 
+@query("stream_due_stations", """
+    WITH moved AS (SELECT station, id, start_time + y AS start_time, end_time + y AS end_time FROM (
+      SELECT *, CASE WHEN station::INT % 2 = 1 THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END AS y FROM blocks_by_user)),
+    ends AS (SELECT station, arg_max(end_time, (start_time, end_time, id::VARCHAR)) AS schedule_end FROM moved GROUP BY 1)
+    SELECT coalesce(s.station, e.station) AS station, e.schedule_end FROM (SELECT CAST(c_custkey AS VARCHAR) AS station FROM customer) s
+    FULL JOIN ends e ON e.station = s.station WHERE e.schedule_end IS NULL OR e.station::INT % 2 = 0""")
+def _(t):
+    """Stations that are due by the clock: half of the schedules ended long ago, the others end in a hundred years."""
+    years = F.when(F.col("station").cast("int") % 2 == 1, F.expr("INTERVAL 100 YEARS")).otherwise(F.expr("INTERVAL 0 YEARS"))
+    moved = t.blocks_by_user.select("station", "id", (F.col("start_time") + years).alias("start_time"), (F.col("end_time") + years).alias("end_time"))
+    stations = t.read("customer").select(F.col("c_custkey").cast("string").alias("station"))
+    folder = scratch(t)
+    run = timers.watch_schedules(_replayed(t, moved, folder + "/in"), stations, folder + "/changes", folder + "/state", 24)
+    timers.catch_up(run, 600)
+    return timers.current_due(t.spark, folder + "/changes")
+
+
 @query("stream_manifest_ingest", """
     SELECT coalesce(a.path, b.path) AS path, coalesce(a.size, b.size) AS size, coalesce(a.mtime_ns, b.mtime_ns) AS mtime_ns
     FROM manifest_before b FULL JOIN manifest_after a ON a.path = b.path""")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import time
+from datetime import datetime, timedelta, timezone
 
-from airlog.streaming import manifests, plays, sinks, status
+from airlog.streaming import manifests, plays, sinks, status, timers
 from conftest import rows
 
 
@@ -68,3 +69,52 @@ def test_a_file_without_metadata_is_refreshed_once(spark, tmp_path):
         (0, "a.mp3", "refresh"), (3, "b.mp3", "update")]
     assert rows(manifests.cached(spark, meta, folder, every=2).select("path", "size", "meta")) == [
         ("a.mp3", 1, "{}"), ("b.mp3", 2, "{\"title\":\"b\"}")]
+
+
+def test_alerts_fire_when_time_passes(spark, tmp_path):
+    """No row comes after the first batch; a schedule reaches the threshold before and another after a restart."""
+    kind = "station string, id bigint, start_time timestamp_ntz, end_time timestamp_ntz"
+    source, folder, state = (str(tmp_path / n) for n in ("in", "changes", "state"))
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+
+    def block(station, number, seconds, start=0):
+        return (station, number, now + timedelta(seconds=start), now + timedelta(hours=1, seconds=seconds))
+
+    made = [block("past", 1, -99999, -99999), block("soon", 1, 15), block("later", 1, 40), block("far", 1, 10**6),
+            block("renewed", 1, -50, -100), block("renewed", 2, 10**6, -10)]
+    blocks = spark.createDataFrame(made, kind)
+    blocks.coalesce(1).write.parquet(source)
+    stations = spark.createDataFrame([("past",), ("never",)], "station string")
+
+    def run(seconds, wanted):
+        query = timers.watch_schedules(spark.readStream.schema(kind).parquet(source), stations, folder, state, 1)
+        try:
+            until = time.monotonic() + seconds
+            while time.monotonic() < until and due() != wanted:
+                time.sleep(1)
+                assert query.exception() is None
+        finally:
+            query.stop()
+
+    def due():
+        return {r["station"] for r in timers.current_due(spark, folder).collect()}
+
+    run(60, {"past", "never", "soon"})
+    assert due() == {"past", "never", "soon"}
+    run(90, {"past", "never", "soon", "later"})
+    plain = timers.due_at(blocks, stations, datetime.now(timezone.utc).replace(tzinfo=None), 1)
+    assert rows(timers.current_due(spark, folder)) == rows(plain) and len(due()) == 4
+    changes = sinks.read_batches(spark, folder)
+    assert changes.filter("station = 'far'").count() == 0 and changes.groupBy("station").count().filter("count > 1").count() == 0
+    fired = {r["station"]: r["at_us"] - (r["schedule_end_us"] - 3_600_000_000) for r in changes.filter("station IN ('soon', 'later')").collect()}
+    assert all(late > 0 for late in fired.values())
+
+
+def test_a_new_block_ends_an_alert(spark, tmp_path):
+    kind = "station string, id bigint, start_time timestamp_ntz, end_time timestamp_ntz"
+    source, folder, state = (str(tmp_path / n) for n in ("in", "changes", "state"))
+    for number, end in ((1, datetime(2024, 1, 1)), (2, datetime(2099, 1, 1))):
+        spark.createDataFrame([("s", number, datetime(2023, 1, number), end)], kind).write.mode("append").parquet(source)
+        timers.catch_up(timers.watch_schedules(spark.readStream.schema(kind).parquet(source), None, folder, state, 1), 60)
+        assert timers.current_due(spark, folder).count() == 2 - number
+    assert [r["due"] for r in sinks.read_batches(spark, folder).orderBy("at_us").collect()] == [True, False]
