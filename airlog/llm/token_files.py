@@ -115,16 +115,26 @@ def open_units(path: str) -> Units:
     return _OPEN[path]
 
 
+def _checksum(frequencies: bytes, section_start: int, ids: pa.Array, lengths: np.ndarray, count: int, checkpoints: bytes, payload: bytes) -> int:
+    """CRC-32 of all that a block is decoded from: frequencies, place, document ids, lengths, number of ids, checkpoints and codes."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    crc = zlib.crc32(frequencies)
+    for part in (np.array([section_start, count, len(lengths)], "<i8"), known, ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"),
+                 np.asarray(lengths, "<i8")):
+        crc = zlib.crc32(part.tobytes(), crc)
+    return zlib.crc32(payload, zlib.crc32(checkpoints, crc))
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id",
                       text_col: str = "text") -> None:
     """Tokenize every text, append end_id, and write the ids in ascending order of document ids below path.
 
-    Null and empty texts have the end id only. Rows with one document id follow each other by their texts, so repeated rows are
-    repeated; null ids come first. An empty table writes files without rows.
+    Null and empty texts have the end id only. Rows with one document id follow each other by a hash of their texts, and may fill several
+    files; repeated rows are repeated; null ids come first. An empty table writes files without rows.
     """
     block_type = pa.struct([
         ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("checkpoints", pa.binary()),
-        ("payload", pa.binary()), ("payload_crc32", pa.int64())])
+        ("payload", pa.binary()), ("crc32", pa.int64())])
     schema = pa.schema([("file_no", pa.int32()), ("section", pa.int32()), ("section_start", pa.int64()),
                         ("n_tokens", pa.int64()), ("frequencies", pa.binary()), ("blocks", pa.list_(block_type))])
     end = array("I", [end_id]).tobytes()
@@ -138,9 +148,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         firsts = np.flatnonzero(np.diff(number, prepend=-1))
         lasts = np.append(firsts[1:], len(ids))
         cut = [tokens[ends[a] - lengths[a]:ends[b - 1]] for a, b in zip(firsts, lasts)]
-        blocks = [{"ids": ids[a:b], "lengths": lengths[a:b].tolist(), "n_tokens": len(some), "checkpoints": checkpoints,
-                   "payload": payload, "payload_crc32": zlib.crc32(payload)}
-                  for a, b, some, (checkpoints, payload) in zip(firsts, lasts, cut, rans.encode(cut, frequencies))]
+        # blocks coded side by side are padded to the longest, so a block of one long document is coded by itself
+        coded_blocks = dict(zip(usual, rans.encode([cut[k] for k in usual], frequencies))) if (
+            usual := [k for k, some in enumerate(cut) if len(some) <= 2 * BLOCK]) else {}
+        for k, some in enumerate(cut):
+            if k not in coded_blocks:
+                coded_blocks[k] = rans.encode([some], frequencies)[0]
+        blocks = [{"ids": ids[a:b], "lengths": lengths[a:b].tolist(), "n_tokens": len(cut[k]), "checkpoints": coded_blocks[k][0],
+                   "payload": coded_blocks[k][1],
+                   "crc32": _checksum(frequencies.to_bytes(), start, pa.array(ids[a:b], pa.int64()), lengths[a:b], len(cut[k]), *coded_blocks[k])}
+                  for k, (a, b) in enumerate(zip(firsts, lasts))]
         values = [[file_no], [section], [start], [len(tokens)], [frequencies.to_bytes()], [blocks]]
         return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, schema)], schema=schema)
 
@@ -162,17 +179,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield section_row(file_no, section, start, ids, coded)
 
     docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-                ).repartitionByRange("id").sortWithinPartitions("id", "text").withColumn(
-        "file_no", F.spark_partition_id()).mapInArrow(encoded, (
+                ).withColumn("hash", F.xxhash64("text")).repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select(
+        "id", "text", F.spark_partition_id().alias("file_no")).mapInArrow(encoded, (
             "file_no int, section int, section_start long, n_tokens long, frequencies binary, blocks array<struct<ids: "
-            "array<bigint>, lengths: array<bigint>, n_tokens: bigint, checkpoints: binary, payload: binary, payload_crc32: "
+            "array<bigint>, lengths: array<bigint>, n_tokens: bigint, checkpoints: binary, payload: binary, crc32: "
             "bigint>>")).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, tokens) of every document, decoded from the files; start counts the ids of all documents before.
 
-    tokens are the ids as little-endian unsigned 32-bit integers. A block whose bytes do not fit their checksum raises an error.
+    tokens are the ids as little-endian unsigned 32-bit integers. A block that does not fit its checksum, which covers all that it is
+    decoded from, raises an error.
     """
     sections = spark.read.parquet(path)
     sums = sections.groupBy("file_no").agg(F.sum("n_tokens").alias("count"))
@@ -183,11 +201,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                start, frequencies = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                start, frequencies, own = (batch.column(k)[row].as_py() for k in (0, 1, 3))
                 decoder = rans.Decoder(rans.Table.from_bytes(frequencies))
                 for number, block in enumerate(batch.column(2)[row]):
-                    one = {k: block[k].as_py() for k in ("n_tokens", "checkpoints", "payload", "payload_crc32")}
-                    if zlib.crc32(one["payload"]) != one["payload_crc32"]:
+                    one = {k: block[k].as_py() for k in ("n_tokens", "checkpoints", "payload", "crc32")}
+                    found = _checksum(frequencies, own, block["ids"].values, block["lengths"].values.to_numpy(), one["n_tokens"],
+                                      one["checkpoints"], one["payload"])
+                    if found != one["crc32"]:
                         raise ValueError(f"block {number} of the section at {start} is damaged")
                     tokens = decoder.block(one["checkpoints"], one["payload"], one["n_tokens"]).astype("<u4")
                     ids, lengths = block["ids"].values, block["lengths"].values.to_numpy()
@@ -201,5 +221,5 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     start += one["n_tokens"]
 
     return sections.join(files, "file_no").select(
-        (F.col("file_start") + F.col("section_start")).alias("start"), "frequencies", "blocks").mapInArrow(
+        (F.col("file_start") + F.col("section_start")).alias("start"), "frequencies", "blocks", "section_start").mapInArrow(
         decoded, "id long, start long, n_tokens long, tokens binary")

@@ -182,6 +182,46 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_token_files(spark, none).collect() == []
 
 
+@pytest.mark.parametrize("part", ["frequencies", "ids", "lengths", "n_tokens", "checkpoints", "payload", "section_start"])
+def test_every_damage_is_seen(spark, tmp_path, part):
+    """A changed bit in any part that a block is decoded from is an error, not other ids."""
+    rows = [(k, f"some words {k * k} and more {k ** 3} of them") for k in range(900)] + [(None, "nothing")]
+    path, vocabulary = str(tmp_path / "tokens"), public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, vocabulary)
+    files = spark.read.parquet(path)
+    spoiled = files.collect()[0].asDict(recursive=True)
+    block = spoiled["blocks"][0]
+    if part in ("checkpoints", "payload"):
+        block[part] = bytearray(block[part])
+        block[part][len(block[part]) // 2] ^= 4
+    elif part in ("ids", "lengths"):
+        block[part][3] += 1
+    elif part == "n_tokens":
+        block[part] -= 1
+    elif part == "frequencies":
+        spoiled[part] = bytearray(spoiled[part])
+        spoiled[part][-1] ^= 1
+    else:
+        spoiled[part] += 1
+    bad = str(tmp_path / "bad")
+    spark.createDataFrame([spoiled], files.schema).write.parquet(bad)
+    with pytest.raises(Exception, match="is damaged|Error"):
+        token_files.read_token_files(spark, bad).collect()
+
+
+def test_a_document_longer_than_a_block(spark, tmp_path, monkeypatch):
+    """Such a document is a block by itself and does not pad the others."""
+    monkeypatch.setattr(token_files, "BLOCK", 64)
+    rows = [(k, f"some words {k} " * (1 if k != 3 else 900)) for k in range(9)] + [(5, "twice"), (5, "twice"), (None, None)]
+    path, vocabulary = str(tmp_path / "tokens"), public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, vocabulary)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    plain = Counter((k, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, t in rows)
+    assert Counter((r.id, bytes(r.tokens)) for r in token_files.read_token_files(spark, path).collect()) == plain
+
+
 @pytest.mark.parametrize("count", [1, 511, 513, 140_000])
 def test_coder_round_trip(count):
     ids = (np.random.default_rng(count).zipf(1.4, count) % 50_000).astype(np.uint32)
