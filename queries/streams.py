@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from airlog.streaming import horizon, manifests, plays, status, timers
+from airlog.streaming import horizon, manifests, onair, plays, sinks, status, timers
 from queries.registry import query
 from queries.scratch import scratch
 
@@ -105,6 +105,29 @@ def _(t):
     return timers.current_due(t.spark, folder + "/changes")
 
 
+@query("stream_on_schedule", """
+    SELECT e.id AS number, e.station, b.id AS block_id, b.title IS NOT DISTINCT FROM e.title AND b.id IS NOT NULL AS agrees
+    FROM (SELECT id, station, title, start_time + INTERVAL 30 MINUTE AS at FROM blocks_by_user WHERE id % 3 = 0) e
+    LEFT JOIN blocks_by_user b ON b.station = e.station AND b.start_time <= e.at AND e.at < b.end_time AND b.id % 5 <> 0""")
+def _(t):
+    """Every third event half an hour after its start, against the blocks that are on then; both are streams of several batches."""
+    folder, made = scratch(t), t.blocks_by_user
+    moved = {c: F.col(c).cast("timestamp") for c in ("start_time", "end_time")}
+    end = t.spark.sql("SELECT 0L AS id, 'end' AS station, '' AS title, timestamp'2100-01-01' + make_dt_interval(400 * id) AS start_time, "
+                      "timestamp'2100-01-02' + make_dt_interval(400 * id) AS end_time FROM range(2)")
+    blocks = made.filter("id % 5 <> 0").withColumns(moved).select("id", "station", "title", "start_time", "end_time").unionByName(end)
+    events = made.filter("id % 3 = 0").withColumns(moved).select(
+        F.col("id").alias("number"), "station", (F.col("start_time") + F.expr("INTERVAL 30 MINUTES")).alias("at"), "title").unionByName(
+        end.select(F.col("id").alias("number"), "station", F.col("start_time").alias("at"), "title"))
+    # in files by time, as they would come; the delay is longer than what one batch reads
+    streams = []
+    for name, df, at in (("events", events, "at"), ("blocks", blocks, "start_time")):
+        df.repartitionByRange(4, at).write.parquet(f"{folder}/{name}")
+        streams.append(t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/{name}"))
+    onair.watch_status(*streams, folder + "/found", folder + "/state", delay="60 days").awaitTermination()
+    return sinks.read_batches(t.spark, folder + "/found").filter("station <> 'end'").select("number", "station", "block_id", "agrees")
+
+
 @query("stream_manifest_ingest", """
     SELECT coalesce(a.path, b.path) AS path, coalesce(a.size, b.size) AS size, coalesce(a.mtime_ns, b.mtime_ns) AS mtime_ns
     FROM manifest_before b FULL JOIN manifest_after a ON a.path = b.path""")

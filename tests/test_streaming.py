@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from datetime import datetime, timedelta, timezone
 
-from airlog.streaming import manifests, plays, sinks, status, timers
+from airlog.streaming import manifests, onair, plays, sinks, status, timers
 from conftest import rows
 
 
@@ -118,3 +118,32 @@ def test_a_new_block_ends_an_alert(spark, tmp_path):
         timers.catch_up(timers.watch_schedules(spark.readStream.schema(kind).parquet(source), None, folder, state, 1), 60)
         assert timers.current_due(spark, folder).count() == 2 - number
     assert [r["due"] for r in sinks.read_batches(spark, folder).orderBy("at_us").collect()] == [True, False]
+
+
+def test_status_against_blocks_of_two_streams(spark, tmp_path):
+    """The stream gives the rows of the batch form over all events, and its state keeps no more than the delay and the longest block."""
+    start = datetime(2024, 1, 1)
+    blocks = [(k, f"s{k % 2}", f"t{k % 5}", start + timedelta(hours=k), start + timedelta(hours=k + 1 + k % 3)) for k in range(240)]
+    blocks.append((900, "s0", "long", start + timedelta(hours=20), start + timedelta(hours=75)))
+    events = [(k, f"s{k % 3}", start + timedelta(minutes=37 * k), f"t{k % 5}") for k in range(380)]
+    kinds = ("id bigint, station string, title string, start_time timestamp, end_time timestamp",
+             "number bigint, station string, at timestamp, title string")
+    days = range(12)
+    far = datetime(2024, 3, 1)
+    batches = [([b for b in blocks if (b[3] - start).days == d], [e for e in events if (e[2] - start).days == d]) for d in days]
+    batches.append(([(999, "end", "", far, far + timedelta(hours=1))], [(999, "end", far, "")]))
+    batches.append(([(998, "end", "", far + timedelta(days=2), far + timedelta(days=3))], [(998, "end", far + timedelta(days=2), "")]))
+    sizes, folder = [], str(tmp_path / "found")
+    for b, e in batches:
+        for rows_, kind, name in zip((b, e), kinds, ("blocks", "events")):
+            spark.createDataFrame(rows_, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        streams = [spark.readStream.schema(kind).parquet(str(tmp_path / name)) for kind, name in zip(kinds[::-1], ("events", "blocks"))]
+        query = onair.watch_status(*streams, folder, str(tmp_path / "state"), delay="2 hours", longest_hours=6)
+        query.awaitTermination()
+        sizes.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    found = sinks.read_batches(spark, folder).drop("batch_id").filter("station <> 'end'")
+    plain = onair.on_schedule(spark.createDataFrame(events, kinds[1]), spark.createDataFrame(blocks, kinds[0]), longest_hours=6)
+    assert rows(found) == rows(plain)
+    assert found.filter("block_id IS NULL").select("number").distinct().count() >= 126
+    # a day's rows and what the delay and the longest stretch keep of the day before
+    assert max(sizes) <= 40 and sizes[-1] <= 8
