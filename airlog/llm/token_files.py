@@ -115,10 +115,10 @@ def open_units(path: str) -> Units:
     return _OPEN[path]
 
 
-def _checksum(frequencies: bytes, section_start: int, ids: pa.Array, lengths: np.ndarray, count: int, checkpoints: bytes, payload: bytes) -> int:
-    """CRC-32 of all that a block is decoded from: frequencies, place, document ids, lengths, number of ids, checkpoints and codes."""
+def _checksum(crc: int, section_start: int, ids: pa.Array, lengths: np.ndarray, count: int, checkpoints: bytes, payload: bytes) -> int:
+    """CRC-32 of all that a block is decoded from, begun with that of the frequencies: place, document ids, lengths, number of ids,
+    checkpoints and codes."""
     known = ids.is_valid().to_numpy(zero_copy_only=False)
-    crc = zlib.crc32(frequencies)
     for part in (np.array([section_start, count, len(lengths)], "<i8"), known, ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"),
                  np.asarray(lengths, "<i8")):
         crc = zlib.crc32(part.tobytes(), crc)
@@ -148,6 +148,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         firsts = np.flatnonzero(np.diff(number, prepend=-1))
         lasts = np.append(firsts[1:], len(ids))
         cut = [tokens[ends[a] - lengths[a]:ends[b - 1]] for a, b in zip(firsts, lasts)]
+        table_bytes = frequencies.to_bytes()
+        table_crc = zlib.crc32(table_bytes)
         # blocks coded side by side are padded to the longest, so a block of one long document is coded by itself
         coded_blocks = dict(zip(usual, rans.encode([cut[k] for k in usual], frequencies))) if (
             usual := [k for k, some in enumerate(cut) if len(some) <= 2 * BLOCK]) else {}
@@ -156,9 +158,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 coded_blocks[k] = rans.encode([some], frequencies)[0]
         blocks = [{"ids": ids[a:b], "lengths": lengths[a:b].tolist(), "n_tokens": len(cut[k]), "checkpoints": coded_blocks[k][0],
                    "payload": coded_blocks[k][1],
-                   "crc32": _checksum(frequencies.to_bytes(), start, pa.array(ids[a:b], pa.int64()), lengths[a:b], len(cut[k]), *coded_blocks[k])}
+                   "crc32": _checksum(table_crc, start, pa.array(ids[a:b], pa.int64()), lengths[a:b], len(cut[k]), *coded_blocks[k])}
                   for k, (a, b) in enumerate(zip(firsts, lasts))]
-        values = [[file_no], [section], [start], [len(tokens)], [frequencies.to_bytes()], [blocks]]
+        values = [[file_no], [section], [start], [len(tokens)], [table_bytes], [blocks]]
         return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(values, schema)], schema=schema)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +204,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 start, frequencies, own = (batch.column(k)[row].as_py() for k in (0, 1, 3))
-                decoder = rans.Decoder(rans.Table.from_bytes(frequencies))
+                decoder, table_crc = rans.Decoder(rans.Table.from_bytes(frequencies)), zlib.crc32(frequencies)
                 for number, block in enumerate(batch.column(2)[row]):
                     one = {k: block[k].as_py() for k in ("n_tokens", "checkpoints", "payload", "crc32")}
-                    found = _checksum(frequencies, own, block["ids"].values, block["lengths"].values.to_numpy(), one["n_tokens"],
+                    found = _checksum(table_crc, own, block["ids"].values, block["lengths"].values.to_numpy(), one["n_tokens"],
                                       one["checkpoints"], one["payload"])
                     if found != one["crc32"]:
                         raise ValueError(f"block {number} of the section at {start} is damaged")
