@@ -199,7 +199,7 @@ def op8(spark, sf_dir):
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
-@query("op4_subspace_pigeonhole")
+@query("op4_subspace_pigeonhole", sql.SIMILAR_VECTORS)
 def op4(spark, sf_dir):
     """Near-duplicate groups of all embeddings."""
     return embeddings.similar(table(spark, sf_dir, "embeddings"), threshold=0.93)
