@@ -43,11 +43,24 @@ def stored(spark: SparkSession, folder: str, before: int | None = None, every: i
 def compact(spark: SparkSession, folder: str, batch_id: int, merge: Callable[[DataFrame], DataFrame], every: int = EVERY) -> None:
     """After each `every`-th batch, merge what is stored so far into a version that later batches read instead.
 
-    merge takes and returns the columns of the batches with batch_id. A batch run again writes the same version again.
+    merge takes and returns the columns of the batches with batch_id. A batch run again writes the same version again: it reads the
+    version before and the batches since. Whatever is older than two versions is removed, so a folder holds at most three times
+    `every` batches and three versions, however long a stream runs.
     """
     if (batch_id + 1) % every == 0:
         merge(stored(spark, folder, batch_id + 1, every)).write.mode("overwrite").parquet(
             f"{folder}_versions/version={batch_id + 1}")
+        oldest = batch_id + 1 - 2 * every
+        for parent, prefix in ((folder, "batch_id="), (f"{folder}_versions", "version=")):
+            for number in subfolders(spark, parent, prefix):
+                if int(number) < oldest:
+                    remove(spark, f"{parent}/{prefix}{number}")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that a stream wrote and no later batch reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def start(empty: DataFrame, folder: str) -> None:

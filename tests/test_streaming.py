@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
+
 from airlog.streaming import manifests, onair, plays, sinks, status, timers
 from conftest import rows
 
@@ -57,6 +59,22 @@ def test_later_batches_read_one_version_and_few_batches(spark, tmp_path):
     assert any("version=6" in f for f in read) and not any("batch_id=5" in f for f in read)
 
 
+def test_merged_batches_are_removed(spark, tmp_path):
+    """What two versions have taken up goes; a batch run again still gives the same totals."""
+    folder = str(tmp_path / "counts")
+
+    def merged(counts):
+        return counts.groupBy("station").agg(F.sum("plays").alias("plays"), F.max("batch_id").alias("batch_id"))
+
+    sinks.start(spark.createDataFrame([], "station string, plays bigint"), folder)
+    for batch in [*range(12), 11]:
+        sinks.write_batch(spark.createDataFrame([("s", 1)], "station string, plays bigint"), folder, batch)
+        sinks.compact(spark, folder, batch, merged, 3)
+    assert sorted(int(b) for b in sinks.subfolders(spark, folder, "batch_id=")) == list(range(6, 12))
+    assert sorted(int(v) for v in sinks.subfolders(spark, folder + "_versions", "version=")) == [6, 9, 12]
+    assert sinks.stored(spark, folder, every=3).agg(F.sum("plays")).first()[0] == 12
+
+
 def test_a_file_without_metadata_is_refreshed_once(spark, tmp_path):
     kind = "path string, size bigint, mtime_ns bigint"
     source, folder, state = (str(tmp_path / n) for n in ("in", "changes", "state"))
