@@ -138,11 +138,15 @@ class ScheduleDiff:
 
     def accounting_errors(self) -> DataFrame:
         """Stations whose counters do not add up to their blocks; always empty unless there is a fault."""
-        c = self.counts()
-        kept = F.col("unchanged_blocks") + F.col("replaced_pairs")
-        return c.filter(
-            (kept + F.col("removed_blocks") + F.col("reshaped_baseline_blocks") != F.col("baseline_blocks"))
-            | (kept + F.col("generated_blocks") + F.col("reshaped_proposed_blocks") != F.col("proposed_blocks")))
+        return accounting_errors(self.counts())
+
+
+def accounting_errors(counts: DataFrame) -> DataFrame:
+    """The rows of ScheduleDiff.counts() whose counters do not add up to the blocks of one of the sides."""
+    kept = F.col("unchanged_blocks") + F.col("replaced_pairs")
+    return counts.filter(
+        (kept + F.col("removed_blocks") + F.col("reshaped_baseline_blocks") != F.col("baseline_blocks"))
+        | (kept + F.col("generated_blocks") + F.col("reshaped_proposed_blocks") != F.col("proposed_blocks")))
 
 
 def diff_schedules(base: DataFrame, proposed: DataFrame, windows: DataFrame, fields: Sequence[str] = ("title", "content_id"),

@@ -111,6 +111,23 @@ def _(t):
     return df_.ScheduleDiff(t.baseline, t.proposed, t.windows, FIELDS).accounting_errors()
 
 
+_COUNTERS = ("baseline_blocks", "proposed_blocks", "components", "unchanged_blocks", "replaced_pairs", "removed_blocks", "generated_blocks",
+             "reshaped_components", "reshaped_baseline_blocks", "reshaped_proposed_blocks")
+
+
+@query("accounting_errors_found", _by_user(_DIFF + "SELECT station, " + ", ".join(
+    f"{c} + CASE WHEN CAST(station AS INTEGER) % {3 if c == 'removed_blocks' else 5} = 0 THEN 1 ELSE 0 END AS {c}"
+    if c in ("removed_blocks", "generated_blocks") else c for c in _COUNTERS)
+    + " FROM summary WHERE CAST(station AS INTEGER) % 3 = 0 OR CAST(station AS INTEGER) % 5 = 0"))
+def _(t):
+    """Counters that were tampered with: of every third station a removed block too many, of every fifth a generated one."""
+    counts = df_.ScheduleDiff(_user(t, t.baseline), _user(t, t.proposed), t.windows_by_user, FIELDS).counts()
+    number = F.col("station").cast("int")
+    return df_.accounting_errors(counts.withColumns({
+        "removed_blocks": F.col("removed_blocks") + F.when(number % 3 == 0, 1).otherwise(0),
+        "generated_blocks": F.col("generated_blocks") + F.when(number % 5 == 0, 1).otherwise(0)}))
+
+
 def _two_spans() -> str:
     cuts = []
     for name in ("baseline", "proposed"):
