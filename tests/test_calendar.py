@@ -14,6 +14,7 @@ def at(spark, text, test):
     return df.select(test).first()[0]
 
 
+# Dates at the edges of weeks, holidays and ranges.
 @pytest.mark.parametrize("when, week, hit", [
     ("2025-12-29", "week number 1", True), ("2027-01-02", "week number 1", False),
     ("2026-12-29", "week number 53", True), ("2026-12-27", "week number 53", False), ("2026-03-18", "2", False)])
