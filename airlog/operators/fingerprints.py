@@ -75,7 +75,7 @@ def runs_match(first: DataFrame, second: DataFrame) -> DataFrame:
 # ---- trees ---------------------------------------------------------------------------------
 
 #: Keys of a leaf, children of a node, and nodes that are named one by one in a scan.
-WIDTH, FANOUT, NAMED = 4096, 16, 1000
+WIDTH, FANOUT, NAMED = 4096, 16, 100
 _STORED = ", ".join(["node bigint", "row_count bigint", *[f"{s} bigint" for s in _SUMS], "level int"])
 
 
@@ -107,11 +107,18 @@ def store_tree(df: DataFrame, folder: str, key: str, width: int = WIDTH, fanout:
         "level").parquet(folder)
 
 
+def _any_of(tests: Sequence[Column]) -> Column:
+    """Whether one of some tests holds, halved again and again: a chain of as many ORs would be as deep as it is long."""
+    if len(tests) < 2:
+        return tests[0] if tests else F.lit(False)
+    return _any_of(tests[:len(tests) // 2]) | _any_of(tests[len(tests) // 2:])
+
+
 def _children(nodes: DataFrame, parents: DataFrame, named: Sequence[int | None] | None, fanout: int) -> DataFrame:
     """Nodes of a level below some nodes of the next; a few are named in the scan, so that only their row groups are read."""
     if named is not None:
         ranges = [F.col("node").between(p * fanout, p * fanout + fanout - 1) if p is not None else F.col("node").isNull() for p in named]
-        return nodes.filter(reduce(Column.__or__, ranges, F.lit(False)))
+        return nodes.filter(_any_of(ranges))
     return nodes.withColumn("_p", F.floor(F.col("node") / fanout)).join(
         parents.select(F.col("node").alias("_parent")), F.col("_p").eqNullSafe(F.col("_parent")), "left_semi").drop("_p")
 
@@ -159,8 +166,8 @@ def changed_rows(before: DataFrame, after: DataFrame, ranges: DataFrame, key: st
 
     def inside(df: DataFrame) -> DataFrame:
         if len(lows) <= NAMED:
-            return df.filter(reduce(Column.__or__, [
-                F.col(key).between(low, low + width - 1) if low is not None else F.col(key).isNull() for low in lows], F.lit(False)))
+            return df.filter(_any_of([
+                F.col(key).between(low, low + width - 1) if low is not None else F.col(key).isNull() for low in lows]))
         starts = ranges.select(F.col("low_key").alias("_low"))
         return df.join(starts, (F.floor(F.col(key) / width) * width).eqNullSafe(F.col("_low")), "left_semi")
 

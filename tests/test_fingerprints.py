@@ -73,6 +73,19 @@ def test_only_children_of_unequal_nodes_are_read(spark, tmp_path, monkeypatch):
     assert last.count() == 200_000
 
 
+def test_many_unequal_leaves(spark, tmp_path):
+    """Nearly a thousand unequal leaves do not overflow the stack."""
+    a = spark.range(40_000).selectExpr("id AS k", "1 AS v")
+    b = a.withColumn("v", F.expr("IF(k % 40 = 3 AND k < 39000, 2, v)"))
+    for name, df in (("a", a), ("b", b)):
+        fp.store_tree(df, str(tmp_path / name), "k", width=10, fanout=4)
+    found = fp.changed_ranges(spark, str(tmp_path / "a"), str(tmp_path / "b"), width=10, fanout=4)
+    assert rows(found) == sorted(((k, k + 9, 10, 10) for k in range(0, 39_000, 40)), key=repr)
+    assert fp.changed_rows(a, b, found, "k", width=10).count() == 2 * 975
+    tests = fp._any_of([F.col("id") == n for n in range(0, 2000, 2)])
+    assert spark.range(10).select(tests.alias("even")).filter("even").count() == 5
+
+
 def test_sums_are_those_of_the_rows(spark):
     """A node's digest parts are the sums of its rows' parts, so a fingerprint does not depend on how rows are split."""
     df = spark.createDataFrame(versions(5)[0], KIND)
