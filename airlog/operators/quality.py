@@ -299,13 +299,19 @@ def check_reference_columns(columns: DataFrame, known: DataFrame) -> DataFrame:
     return suspects.select("table", "column").join(known.select("table", "column"), ["table", "column"], "left_anti")
 
 
-def replay_counts(events: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+def replay_counts(events: DataFrame, before: DataFrame, after: DataFrame, lists: DataFrame | None = None,
+                  on: Sequence[str] = ()) -> DataFrame:
     """Replay selections and compare with the final counts: id, increments, problem, disposition.
 
     events: ids (array), one row per play. before and after: id, count. A problem is an id that is
-    unknown, or a final count that the replay does not give.
+    unknown, or a final count that the replay does not give. Where many events have the same list, `lists` may hold each once,
+    in rows (*on, ids), and events only its key: plays of a list are then counted before its ids are read.
     """
-    played = events.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    if lists is None:
+        listed = events.select("ids", F.lit(1).cast("bigint").alias("_plays"))
+    else:
+        listed = events.groupBy(*on).agg(F.count(F.lit(1)).alias("_plays")).join(lists.select(*on, "ids"), list(on))
+    played = listed.select(F.explode("ids").alias("id"), "_plays").groupBy("id").agg(F.sum("_plays").alias("_n"))
     was = before.select("id", F.col("count").alias("_was"))
     now = after.select("id", F.col("count").alias("_now"))
     joined = was.join(now, "id", "full_outer").join(played, "id", "full_outer")
