@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from airlog.functions import calendar as cal
 from airlog.functions import paths
 from airlog.functions.hints import hint_matches
-from airlog.functions.values import seeded_number
+from airlog.functions.values import let, seeded_number
 from airlog.operators.intervals import _ntz, exclude_overlapping, now_playing
 
 # The total orders used for stable output.
@@ -132,6 +132,7 @@ def apply_meta_hints(
     holidays: Mapping[str, str] | None = None,
     parts: Mapping[str, Sequence[int]] = cal.DAY_PARTS,
     items: DataFrame | None = None,
+    on: Sequence[str] | None = None,
 ) -> DataFrame:
     """The candidate pool of each request under metadata-hint rules.
 
@@ -140,20 +141,48 @@ def apply_meta_hints(
     rule of the same item failed. items is a table with every candidate's path, such as the catalog, if it is smaller than the
     candidates. Rules are found once per path; each candidate is judged in its own row, and one window per request
     tells whether an exclusive item passed.
+
+    With `on`, candidates are requests, and each may air the items that equal it in these columns. A request is then judged once
+    for every distinct list of rules among its items, and meets the items themselves last: no pair is shuffled.
     """
     ruled = rules_of_paths(candidates if items is None else items, rules, parts)
+    if on is not None:
+        return _judged_requests(candidates, items.join(ruled, "path", "left"), list(on), per, when, compat, holidays)
     met = candidates.join(ruled, "path", "left")
-    judged = met.withColumn("_judged", F.transform("_rules", lambda r: F.struct(
-        r["rule_order"].alias("at"), _rule_passes(r, F.col(when), holidays).alias("passes"), r["_exclusive"].alias("exclusive"))))
-    failed_at = F.array_min(F.transform(F.filter("_judged", lambda r: ~r["passes"]), lambda r: r["at"]))
-    exclusive_at = F.array_min(F.transform(F.filter("_judged", lambda r: r["passes"] & r["exclusive"]), lambda r: r["at"]))
-    marked = judged.withColumns({"_failed_at": failed_at, "_exclusive_at": exclusive_at})
-    all_pass = F.col("_failed_at").isNull()
-    captured = F.col("_exclusive_at").isNotNull() & (
-        (all_pass | (F.col("_exclusive_at") < F.col("_failed_at"))) if compat else all_pass)
-    pooled = marked.withColumn("_captured", captured).withColumn(
-        "_only_exclusive", F.bool_or("_captured").over(Window.partitionBy(*per)))
-    return pooled.filter(F.when(F.col("_only_exclusive"), F.col("_captured")).otherwise(all_pass)).select(*candidates.columns)
+    judged = met.withColumn("_verdict", _verdict(F.col("_rules"), F.col(when), compat, holidays))
+    pooled = judged.withColumn("_only_exclusive", F.bool_or("_verdict.captured").over(Window.partitionBy(*per)))
+    return pooled.filter(F.when(F.col("_only_exclusive"), F.col("_verdict.captured")).otherwise(F.col("_verdict.all_pass"))).select(
+        *candidates.columns)
+
+
+def _verdict(rules: Column, when: Column, compat: bool, holidays: Mapping[str, str] | None) -> Column:
+    """(all_pass, captured): whether no rule of a list fails at a time, and whether the list makes its items exclusive."""
+    judged = F.transform(rules, lambda r: F.struct(
+        r["rule_order"].alias("at"), _rule_passes(r, when, holidays).alias("passes"), r["_exclusive"].alias("exclusive")))
+
+    def ruling(j: Column) -> Column:
+        failed_at = F.array_min(F.transform(F.filter(j, lambda r: ~r["passes"]), lambda r: r["at"]))
+        exclusive_at = F.array_min(F.transform(F.filter(j, lambda r: r["passes"] & r["exclusive"]), lambda r: r["at"]))
+        all_pass = failed_at.isNull()
+        captured = exclusive_at.isNotNull() & ((all_pass | (exclusive_at < failed_at)) if compat else all_pass)
+        return F.struct(all_pass.alias("all_pass"), captured.alias("captured"))
+
+    return let(judged, ruling)
+
+
+def _judged_requests(requests: DataFrame, ruled: DataFrame, on: list[str], per: Sequence[str], when: str, compat: bool,
+                     holidays: Mapping[str, str] | None) -> DataFrame:
+    """Requests with the items they may air, judged by the distinct lists of rules that the items they could meet have."""
+    listed = ruled.withColumn("_rules", F.array_sort(F.coalesce("_rules", F.array())))
+    lists = listed.groupBy(*on).agg(F.array_sort(F.collect_set("_rules")).alias("_lists"))
+    numbered = listed.join(lists, on).withColumn("_list", F.array_position("_lists", F.col("_rules"))).drop("_lists", "_rules")
+    asked = requests.join(lists, on).withColumn("_verdicts", F.transform("_lists", lambda r: _verdict(r, F.col(when), compat, holidays)))
+    pooled = asked.drop("_lists").withColumn("_only_exclusive", F.bool_or(
+        F.exists("_verdicts", lambda v: v["captured"])).over(Window.partitionBy(*per)))
+    aired = pooled.withColumn("_airs", F.when(F.col("_only_exclusive"), F.transform("_verdicts", lambda v: v["captured"])).otherwise(
+        F.transform("_verdicts", lambda v: v["all_pass"]))).drop("_verdicts", "_only_exclusive")
+    met = aired.filter(F.exists("_airs", lambda a: a)).join(numbered, on)
+    return met.filter(F.element_at("_airs", F.col("_list").cast("int"))).drop("_airs", "_list")
 
 
 # ---- ranking and samples -------------------------------------------------------------------

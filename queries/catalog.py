@@ -304,8 +304,7 @@ _JUDGED = """
     WHERE CASE WHEN only_exclusive = 1 THEN passes AND tag = 'PROMO' ELSE passes OR NOT has_meta END""")
 def _(t):
     items = t.parts_as_items.select("id", "station", "path", "duration")
-    pool = _requests(t).join(items, ["station", "duration"])
-    return ct.apply_meta_hints(pool, _rules(t), items=items).select("request_id", "id")
+    return ct.apply_meta_hints(_requests(t), _rules(t), items=items, on=["station", "duration"]).select("request_id", "id")
 
 
 @query("meta_hint_pool_compat", f"""WITH {_JUDGED},
@@ -322,8 +321,7 @@ def _(t):
     """An exclusive rule comes first and the rule of a whole brand last, for a quarter in which nothing is asked."""
     items = t.parts_as_items.select("id", "station", "path", "duration")
     late = _rules(t).withColumn("rule_order", 3 - F.col("rule_order")).withColumn("quarter", F.when(F.col("quarter") == "Q1", F.lit("Q2")))
-    pool = _requests(t).join(items, ["station", "duration"])
-    return ct.apply_meta_hints(pool, late, compat=True, items=items).select("request_id", "id")
+    return ct.apply_meta_hints(_requests(t), late, compat=True, items=items, on=["station", "duration"]).select("request_id", "id")
 
 
 @query("candidates", """
