@@ -6,7 +6,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from airlog.operators import catalog as ct, quality as q
+from airlog.functions.hints import hint_matches
+from airlog.operators import catalog as ct, intervals as iv, quality as q
 
 RULE = "under string, rule_order int, month string, quarter string, date_range string, week_number string, day_of_week string, day_part string, custom_holiday string, exclusive boolean"
 
@@ -37,3 +38,53 @@ def test_plays_of_a_list_are_counted_once(spark):
     found = q.replay_counts(plays, counts, counts, lists, ["k"])
     assert rows(found) == rows(q.replay_counts(plays.join(lists, "k"), counts, counts))
     assert {r["id"]: r["increments"] for r in found.collect()} == {1: 500, 2: 1000, 3: 0}
+
+
+def _wanted(spark):
+    hints = "array<struct<type:string,month:string,quarter:string,range_string:string,range_start:string,range_end:string,part:string,day:string,where:string,week_number:string,custom_holiday:string>>"
+    items = spark.range(60).selectExpr(
+        "id", "concat('s', id % 2) AS station", "if(id % 7 = 0, null, 't') AS tag", "CAST(id % 5 * 30 AS DOUBLE) AS duration",
+        "if(id % 4 = 0, null, concat('r', id % 6)) AS realpath", "concat(if(id % 3 = 0, 'a/x/', if(id % 3 = 1, 'a/', 'b/')), id) AS path")
+    friday = F.from_json(F.lit('[{"type": "day_of_week", "day": "friday"}]'), hints)
+    items = items.withColumn("hints", F.when(F.col("id") % 11 == 5, None).when(F.col("id") % 4 == 1, friday).otherwise(F.from_json(F.lit("[]"), hints)))
+    whens = [datetime(2024, 1, 5, 3), datetime(2024, 5, 4, 3), datetime(2024, 2, 2, 23), None]
+    requests = spark.createDataFrame(
+        [(n if n % 9 else None, f"s{n % 3}", "t", whens[n % 4], [20.0, 61.0, 200.0][n % 3 if n < 6 else 2]) for n in range(24)]
+        + [(1, "s1", "t", whens[0], 500.0)], "request_id int, station string, tag string, when timestamp_ntz, seconds double")
+    rules = spark.createDataFrame([("a/x", 1, "January", None, None, None, None, None, None, True), ("a", 2, None, "Q1", None, None, None, None, None, None)], RULE)
+    busy = spark.createDataFrame([
+        ("r1", datetime(2024, 1, 5, 3, 1), datetime(2024, 1, 5, 3, 1)), ("r2", datetime(2024, 1, 5, 3, 1), datetime(2024, 1, 5, 4)),
+        ("r3", datetime(2024, 1, 4), datetime(2024, 1, 5, 3)), ("r5", datetime(2024, 1, 1), datetime(2024, 2, 2, 23, 0, 1)),
+        (None, datetime(2024, 1, 1), datetime(2025, 1, 1)), ("r1", datetime(2024, 5, 4, 3, 2), None), ("r2", None, datetime(2024, 5, 5))],
+        "realpath string, start_time timestamp_ntz, end_time timestamp_ntz")
+    return requests, items, rules, busy
+
+
+@pytest.mark.parametrize("ruled", [False, True])
+@pytest.mark.parametrize("held", [False, True])
+def test_candidates_give_the_rows_of_judged_pairs(spark, ruled, held):
+    """Hints, then rules, then busy items, pair by pair; with repeated and null requests, and items without a path, tag or hints."""
+    requests, items, rules, busy = _wanted(spark)
+    pairs = requests.join(items, ["station", "tag"]).filter("duration >= 1 AND duration < seconds").filter(hint_matches("hints", "when"))
+    if ruled:
+        pairs = ct.apply_meta_hints(pairs, rules, items=items)
+    if held:
+        end = F.col("when") + F.make_dt_interval(secs=F.col("duration"))
+        pairs = iv.exclude_overlapping(pairs.withColumns({"start_time": F.col("when"), "end_time": end}), busy, "realpath", ("request_id", "id"))
+    pool = ct.candidates(requests, items, rules if ruled else None, busy if held else None)
+    columns = ["request_id", "station", "when", "seconds", "id", "path", "duration", "realpath"]
+    assert rows(pool.select(*columns)) == rows(pairs.select(*columns)) != []
+
+
+def test_pairs_of_candidates_are_not_shuffled(spark, tmp_path):
+    """More items of each station and tag add to the pool, not to the rows that are sorted: the items are met last."""
+    requests, items, rules, busy = _wanted(spark)
+    text = ct.candidates(requests, items, rules, busy)._jdf.queryExecution().optimizedPlan().toString()
+    # windows stand below the joins with the items, never above them
+    top = text.splitlines()[:text.splitlines().index(next(x for x in text.splitlines() if "Join" in x))]
+    assert not any("Window" in line for line in top)
+
+
+def test_least_played_counts_its_choices(spark):
+    pool = spark.createDataFrame([(1, 7, 3, "a", "p"), (1, 8, 2, "b", "q"), (2, 9, 1, "c", "r")], "request_id int, id int, count int, title string, path string")
+    assert rows(ct.pick_least_played(pool, ["request_id"], counted="n").select("request_id", "id", "n")) == [(1, 8, 2), (2, 9, 1)]
