@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from airlog.functions.values import micros, seconds_interval, with_micros
+from airlog.functions.values import from_micros, micros, seconds_interval, with_micros
 from airlog.operators.scan import DAY_US, OrderedScan, Running
 
 
@@ -312,17 +312,34 @@ def now_playing(blocks: DataFrame, probes: DataFrame, closed: bool = False, widt
 
 
 def slot_grid(blocks: DataFrame, stations: DataFrame, lo, hi, slot_minutes: int = 30,
-              off_air: str = "Offair") -> DataFrame:
-    """One row per (slot, station) with the covering block, or the off-air text."""
-    starts = F.sequence(_ntz(lo), _ntz(hi) - F.expr("INTERVAL 1 SECOND"),
-                        F.make_dt_interval(F.lit(0), F.lit(0), F.lit(slot_minutes), F.lit(0).cast("decimal(18,6)")))
-    slots = stations.select("station", F.explode(starts).alias("at"))
-    seen = now_playing(blocks_in_window(blocks, lo, hi), slots)
-    return seen.select(
-        "at",
+              off_air: str = "Offair", width: int = DAY_US) -> DataFrame:
+    """One row per (slot, station) with the covering block, or the off-air text.
+
+    Along the start order, a block answers for the time from the end of those before it until its own end: off air until it starts, then
+    it is the first one on air. What is left up to the end of the grid is off air. These stretches are laid out in slots last, so no
+    slot is shuffled or sorted.
+    """
+    low, high, step = micros(_ntz(lo)), micros(_ntz(hi)), F.lit(slot_minutes * 60_000_000).cast("bigint")
+    seen = OrderedScan(with_micros(blocks_in_window(blocks, lo, hi)), ["station"], ["start_us", "end_us", "id"], width).running(
+        Running("_reach", "max", F.col("end_us"), inclusive=False)).result()
+    answered = seen.select("station", "title", "start_us", F.coalesce("_reach", low).alias("_from"), F.col("end_us").alias("_until"))
+    last = seen.groupBy("station").agg(F.max("end_us").alias("_from"))
+    none = F.lit(None)
+    rest = stations.select("station").join(last, "station", "left").select(
+        "station", none.cast("string").alias("title"), none.cast("bigint").alias("start_us"), F.coalesce("_from", low).alias("_from"),
+        high.alias("_until"))
+    runs = stations.select("station").join(answered, "station").select(*rest.columns).unionAll(rest)
+    # the slots of a run, counted from the first one of the grid
+    first = F.ceil((F.greatest("_from", low) - low) / step)
+    after = F.ceil((F.least("_until", high) - low) / step)
+    laid = runs.withColumns({"_first": first, "_last": after - 1}).filter("_first <= _last").withColumn(
+        "_slot", F.explode(F.sequence("_first", "_last"))).withColumn("_us", low + F.col("_slot") * step)
+    shown = F.coalesce(F.col("start_us") <= F.col("_us"), F.lit(False))
+    return laid.select(
+        from_micros("_us").alias("at"),
         "station",
-        F.coalesce("title", F.lit(off_air)).alias("title"),
-        F.coalesce(F.col("start_us") < micros("at"), F.lit(False)).alias("continued"),
+        F.coalesce(F.when(shown, F.col("title")), F.lit(off_air)).alias("title"),
+        (shown & (F.col("start_us") < F.col("_us"))).alias("continued"),
     )
 
 

@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import Window, functions as F
 
+from airlog.functions.values import micros
 from airlog.operators import diff, intervals as iv
 from airlog.operators.quality import check_guide
 from airlog.operators.scan import DAY_US, OrderedScan, Running, cut_by_digits, numbered, numbered_by_digits
@@ -207,3 +208,30 @@ def test_preview_keeps_blocks_under_a_second(spark):
     made = [(1, "s", T0, T0 + timedelta(milliseconds=500), "blink"), (2, "s", T0 + timedelta(milliseconds=500), T0 + timedelta(hours=3), "film")]
     got = iv.preview(spark.createDataFrame(made, BLOCKS), T0).orderBy("id").collect()
     assert [(r["title"], r["width_us"], r["ends_later"]) for r in got] == [("blink", 500000, False), ("film", 3 * 3600 * 10**6 - 500000, True)]
+
+
+def test_slot_grid_gives_what_is_on_at_every_slot(spark):
+    """Nested, empty, backward and endless blocks, blocks across the edges, null titles, stations repeated, null or without blocks."""
+    day = datetime(2024, 1, 10)
+    spans = [("a", -60, 45), ("a", 30, 200), ("a", 60, 90), ("a", 230, 230), ("a", 240, 235), ("a", 300, 330), ("b", 100, 100), ("b", 400, 390),
+             ("b", 420, 9000), ("d", -500, -400), ("e", 0, 30), ("e", 15, 75), (None, 0, 600), ("f", 30, None), ("f", 200, 200)]
+    at = lambda m: None if m is None else day + timedelta(minutes=m)
+    blocks = spark.createDataFrame([(s, n, at(x), at(y), None if n == 5 else f"t{n}") for n, (s, x, y) in enumerate(spans)],
+                                   "station string, id int, start_time timestamp_ntz, end_time timestamp_ntz, title string")
+    stations = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("d",), ("e",), ("f",), (None,)], "station string")
+    grid = iv.slot_grid(blocks, stations, day, at(600), 25)
+    slots = stations.crossJoin(spark.range(24).selectExpr("timestamp_ntz'2024-01-10' + id * INTERVAL 25 MINUTES AS at"))
+    seen = iv.now_playing(iv.blocks_in_window(blocks, day, at(600)), slots)
+    expected = seen.select("at", "station", F.coalesce("title", F.lit("Offair")).alias("title"),
+                           F.coalesce(F.col("start_us") < micros("at"), F.lit(False)).alias("continued"))
+    assert rows(grid) == rows(expected)
+    assert grid.count() == 8 * 24
+
+
+def test_slots_are_laid_out_last(spark):
+    """No slot is shuffled or sorted: the slots appear above every exchange of the plan."""
+    blocks = spark.createDataFrame([("a", 1, datetime(2024, 1, 10), datetime(2024, 1, 11), "t")],
+                                   "station string, id int, start_time timestamp_ntz, end_time timestamp_ntz, title string")
+    grid = iv.slot_grid(blocks, blocks.select("station"), "2024-01-10", "2024-01-12")
+    lines = grid._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert max(n for n, x in enumerate(lines) if "Generate" in x) < min(n for n, x in enumerate(lines) if "Exchange" in x)
