@@ -20,6 +20,15 @@ HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 _BUCKET, _REAL = "_bucket_of_order", "_real_row"
 
+#: Partitions of a shuffle that is sorted by key and bucket. Spark merges small ones by their compressed size, which is far below what
+#: sorting them takes; a number that is asked for stays.
+SPREAD = 96
+
+
+def spread(df: DataFrame, *columns: str, parts: int = 0) -> DataFrame:
+    """The rows in SPREAD partitions by some columns, in more if asked for or if the session shuffles into more."""
+    return df.repartition(max(parts, SPREAD, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *columns)
+
 
 @dataclass(frozen=True)
 class Running:
@@ -127,14 +136,14 @@ def order_text(order: Sequence[str], types: dict[str, T.DataType]) -> Column:
     return F.concat(*parts)
 
 
-#: Rows that one task may number, and characters of a digit.
-CROWD, DIGIT = 200_000, 2
+#: Rows that one task may number, characters of a digit, and nodes that are few enough to be sent to every task.
+CROWD, DIGIT, FEW = 200_000, 2, 10_000
 
 
 def cut_by_digits(df: DataFrame, keys: Sequence[str], order: Sequence[str], crowd: int,
                   digit: int = DIGIT) -> tuple[DataFrame, list[str], list[tuple[list[str], DataFrame]]]:
-    """The rows with the parts they fall into, the columns that name a part, and for each level of the trie how many rows of a node
-    stand before each of its parts.
+    """The rows with the parts they fall into, the columns that name a part, and for each level of the trie how many rows
+    of a key stand before each of its parts.
 
     The rows of a key are a node. A node with more than `crowd` rows is cut by the digit, a few characters of the text of the sort key,
     that follows what its first and last row have in common, so nothing is spent on what all its rows share; crowded parts are
@@ -145,21 +154,23 @@ def cut_by_digits(df: DataFrame, keys: Sequence[str], order: Sequence[str], crow
     rows = rows if keys else rows.withColumn("_all", F.substr("_sort", F.lit(1), F.lit(0)))
     node, found = list(keys) or ["_all"], []
     sizes = [F.count(F.lit(1)).alias("_rows"), F.min("_sort").alias("_low"), F.max("_sort").alias("_high")]
-    crowded = durable(rows.groupBy(*node).agg(*sizes).filter(F.col("_rows") > crowd))
+    crowded = durable(rows.groupBy(*node).agg(*sizes).filter(F.col("_rows") > crowd).withColumn("_ahead", F.lit(0).cast("bigint")))
     while not crowded.isEmpty():
         start, part = f"_from_{len(found)}", f"_digit_{len(found)}"
         equal = F.transform(F.sequence(F.lit(1), F.least(F.length("_low"), F.length("_high"))),
                             lambda i: F.substr("_low", i, F.lit(1)) == F.substr("_high", i, F.lit(1)))
         cuts = crowded.select(*[F.col(k).alias(f"_is_{k}") for k in node], F.array_position(equal, False).cast("int").alias(start))
         same = [F.col(k).eqNullSafe(F.col(f"_is_{k}")) for k in node]
-        rows = rows.join(cuts, same, "left").drop(*[f"_is_{k}" for k in node])
+        # a few hot nodes hold all rows: these stay where they are
+        rows = rows.join(F.broadcast(cuts) if crowded.count() <= FEW else cuts, same, "left").drop(*[f"_is_{k}" for k in node])
         rows = rows.withColumn(part, F.substr("_sort", F.col(start), F.lit(digit)))
-        parts = durable(rows.filter(F.col(start).isNotNull()).groupBy(*node, part).agg(*sizes))
-        rows = rows.drop(start)
         earlier = Window.partitionBy(*node).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        held = crowded.select(*[F.col(k).alias(f"_is_{k}") for k in node], "_ahead")
+        counted = rows.filter(F.col(start).isNotNull()).groupBy(*node, part).agg(*sizes).join(held, same).drop(*[f"_is_{k}" for k in node])
+        parts = durable(counted.withColumn("_ahead", F.col("_ahead") + F.coalesce(F.sum("_rows").over(earlier), F.lit(0))))
+        rows = rows.drop(start)
         node = [*node, part]
-        found.append((node, parts.select(*[F.col(k).alias(f"_is_{k}") for k in node],
-                                         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))))
+        found.append((node, parts.select(*node, "_rows", "_ahead")))
         crowded = parts.filter(F.col("_rows") > crowd)
     return rows, node, found
 
@@ -173,12 +184,16 @@ def numbered_by_digits(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     table is one key.
 
     Nodes are counted while the query is built, as the data decide how deep to go: once, and once more for each level that is
-    crowded. Only crowded nodes and their parts are kept, in the checkpoint folder, a few for every `crowd` rows.
+    crowded. Only crowded nodes and their parts are kept, in the checkpoint folder, a few for every `crowd` rows. What stands before
+    a part enters its window as the first row, so rows are shuffled once, into so many partitions that the crowded ones are about CROWD in each.
     """
     rows, node, found = cut_by_digits(df, keys, order, crowd, digit)
-    numbered_rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(*node).orderBy("_sort")).cast("bigint"))
-    for levels, ahead in found:
-        same = [F.col(k).eqNullSafe(F.col(f"_is_{k}")) for k in levels]
-        numbered_rows = numbered_rows.join(ahead, same, "left").withColumn(
-            name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", *[f"_is_{k}" for k in levels])
-    return numbered_rows.select(*df.columns, name)
+    marked = rows.drop("_sort").withColumns({"_real": F.lit(1), "_ahead": F.lit(0).cast("bigint")})
+    if found:
+        hot = found[0][1].agg(F.sum("_rows")).first()[0]
+        for levels, parts in found:
+            marked = marked.unionByName(parts.select(*levels, F.lit(0).alias("_real"), "_ahead"), allowMissingColumns=True)
+        marked = spread(marked, *node, parts=hot // CROWD)
+    upto = Window.partitionBy(*node).orderBy("_real", *order).rowsBetween(Window.unboundedPreceding, 0)
+    spot = F.sum("_real").over(upto) + F.max("_ahead").over(upto)
+    return marked.withColumn(name, spot.cast("bigint")).filter("_real = 1").select(*df.columns, name)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from airlog.functions.values import micros
-from airlog.operators import diff, intervals as iv
+from airlog.operators import diff, intervals as iv, scan
 from airlog.operators.quality import check_guide
 from airlog.operators.scan import DAY_US, OrderedScan, Running, cut_by_digits, numbered, numbered_by_digits
 from airlog.plans.playout import plan_timeline
@@ -177,6 +177,18 @@ def test_a_hot_key_is_numbered_in_many_tasks(spark):
     assert sum(sizes) == 1000 and max(sizes) <= 40 and len(sizes) > 10
 
 
+def test_crowded_rows_are_shuffled_once_into_many_partitions(spark, monkeypatch):
+    """All rows have one of three keys; none of them is sorted by key alone, and no task gets a third of them."""
+    monkeypatch.setattr(scan, "CROWD", 100)
+    df = spark.range(3000).selectExpr("concat('k', id % 3) AS key", "concat('title ', id % 40) AS title", "id")
+    got = numbered_by_digits(df, ["key"], ["title", "id"], "n", crowd=50)
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("title", "id")).cast("bigint"))
+    assert rows(got) == rows(plain)
+    text = numbered_by_digits(df, ["key"], ["title", "id"], "n", crowd=50)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning") == 1
+    assert max(n for n, in got.rdd.mapPartitions(lambda x: [(sum(1 for _ in x),)]).collect()) < 500
+
+
 def test_ranks_count_nodes_only(spark, folder):
     """Without a crowded key, building runs the count of the keys and asks whether there is one."""
     t = Tables(spark, folder)
