@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from airlog.operators.scan import OrderedScan, Running
+from airlog.operators.scan import OrderedScan, Running, spread
 from airlog.session import durable
 
 # Fixed value: breaks closer than this to either end, and shorter segments, are not used.
@@ -34,7 +34,7 @@ def segments(points: DataFrame, files: DataFrame, width: float = WIDTH) -> DataF
     lead_in = first.select("path", F.lit(-1).cast("bigint").alias("seq"), F.lit(0.0).alias("chapter_start"), "chapter_end")
     marks = points.select("path", F.col("seq").cast("bigint").alias("seq"), "chapter_start", "chapter_end")
     followed = _next(marks.unionByName(lead_in), "chapter_start", "_next", ["chapter_start", "seq"], width)
-    timed = followed.join(files.select("path", "duration"), "path")
+    timed = spread(followed, "path").join(files.select("path", "duration"), "path")
     until = F.coalesce("_next", "duration")
     return timed.select(
         "path", "seq", "chapter_start", F.coalesce(F.col("chapter_end"), until).alias("chapter_end"),
@@ -74,7 +74,7 @@ def black_segments(log: DataFrame, files: DataFrame, width: float = WIDTH) -> Da
         "path", F.col("line_no").alias("seq"), F.coalesce("_previous", F.lit(0.0)).alias("chapter_start"),
         F.col("midpoint").alias("chapter_end"))
     pieces = _next(cut.unionByName(tail), "chapter_start", "_next", ["chapter_start", "seq"], width)
-    timed = pieces.join(files.select("path", "duration"), "path")
+    timed = spread(pieces, "path").join(files.select("path", "duration"), "path")
     return timed.select(
         "path", "seq", "chapter_start", "chapter_end",
         (F.coalesce("_next", "duration") - F.col("chapter_start")).alias("segment_duration"))
@@ -83,6 +83,9 @@ def black_segments(log: DataFrame, files: DataFrame, width: float = WIDTH) -> Da
 #: Rounds of folding in one job, and how much wider the buckets of the next job are.
 ROUNDS, WIDER = 2, 8
 
+#: Segments that one task folds; each of them takes some kilobytes there, as a round sorts them several times.
+FOLDED = 50_000
+
 
 def merge_short(segs: DataFrame, min_seconds: float = MIN_SECONDS, compat_hole: bool = False,
                 width: float = WIDTH) -> DataFrame:
@@ -95,17 +98,19 @@ def merge_short(segs: DataFrame, min_seconds: float = MIN_SECONDS, compat_hole:
 
     Rounds work inside buckets of `width` seconds, where the first and last row wait for a neighbour they do not see; buckets grow
     from job to job while the rows get fewer, until no short segment is left. So a file's run of short segments is spread over as many
-    tasks as it has buckets. Every job writes its rows to the checkpoint folder; the driver sees one count each.
+    tasks as it has buckets, and no task gets many more than FOLDED rows. Every job writes its rows to the checkpoint folder; the driver sees
+    two counts each.
 
     The first segment of a file is never folded. compat_hole=True leaves the end of the surviving segment where it was.
     """
-    rows = segs.select("path", "seq", "chapter_start", "chapter_end", "segment_duration")
+    rows = durable(segs.select("path", "seq", "chapter_start", "chapter_end", "segment_duration"))
     while True:
         ends = rows.groupBy("path").agg(F.min(F.struct("chapter_start", "seq")).alias("_low"), F.max(F.struct("chapter_start", "seq")).alias("_high"))
         place = F.struct("chapter_start", "seq")
         state = rows.join(ends, "path").withColumns({
             "_opens": place == F.col("_low"), "_closes": place == F.col("_high"),
             "_bucket": F.floor(F.col("chapter_start") / F.lit(float(width)))}).drop("_low", "_high")
+        state = spread(state, "path", "_bucket", parts=rows.count() // FOLDED)
         for _ in range(ROUNDS):
             state = _fold_once(state, min_seconds)
         left = F.max((F.col("segment_duration") < min_seconds) & ~F.col("_opens"))
