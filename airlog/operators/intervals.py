@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airlog.functions.values import from_micros, micros, seconds_interval, with_micros
-from airlog.operators.scan import DAY_US, OrderedScan, Running
+from airlog.operators.scan import DAY_US, OrderedScan, Running, spread
 
 
 # ---- filters -------------------------------------------------------------------------------
@@ -134,11 +134,16 @@ def components(
     nothing before the bucket reaches past it, so a window over the buckets gives each of them what the earlier ones carry in:
     their reach and the run that is open. Both enter as the first row of the bucket, and one window over the rows does the rest.
     """
+    return components_in_buckets(blocks, keys, tie, width).drop("_bucket")
+
+
+def components_in_buckets(blocks: DataFrame, keys: Sequence[str], tie: Sequence[str], width: int) -> DataFrame:
+    """components() with the _bucket of each row, by which and the keys the rows are partitioned."""
     order, place = ["start_us", "end_us", *tie], [*keys, "_bucket"]
     timed = with_micros(blocks).withColumn("_bucket", F.floor(F.col("start_us") / F.lit(width)))
     opens = F.col("_reach").isNull() | (F.col("start_us") >= F.col("_reach"))
     rows = Window.partitionBy(*place).orderBy(*order)
-    alone = timed.withColumn("_reach", F.max("end_us").over(rows.rowsBetween(Window.unboundedPreceding, -1)))
+    alone = spread(timed, *place).withColumn("_reach", F.max("end_us").over(rows.rowsBetween(Window.unboundedPreceding, -1)))
     buckets = alone.groupBy(*place).agg(
         F.max("end_us").alias("_end"), F.max(F.when(opens, F.col("start_us"))).alias("_begin"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,12 +151,12 @@ def components(
     begins = F.when(F.col("_before").isNull() | (F.col("_begin") >= F.col("_before")), F.col("_begin"))
     carried = reached.withColumn("_open", F.max(begins).over(earlier)).filter(F.col("_before").isNotNull()).select(
         *place, F.col("_before").alias("end_us"), "_open", F.lit(0).alias("_real"))
-    both = timed.withColumn("_real", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    both = spread(timed.withColumn("_real", F.lit(1)).unionByName(carried, allowMissingColumns=True), *place)
     scan = Window.partitionBy(*place).orderBy("_real", *order)
     seen = both.withColumn("_reach", F.max("end_us").over(scan.rowsBetween(Window.unboundedPreceding, -1)))
     begun = F.when(F.col("_real") == 0, F.col("_open")).when(opens, F.col("start_us"))
     labelled = seen.withColumn("component_us", F.max(begun).over(scan.rowsBetween(Window.unboundedPreceding, 0)))
-    return labelled.filter("_real = 1").drop("_reach", "_open", "_real", "_bucket")
+    return labelled.filter("_real = 1").drop("_reach", "_open", "_real")
 
 
 # ---- overlap joins -------------------------------------------------------------------------

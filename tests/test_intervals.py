@@ -247,3 +247,16 @@ def test_slots_are_laid_out_last(spark):
     grid = iv.slot_grid(blocks, blocks.select("station"), "2024-01-10", "2024-01-12")
     lines = grid._jdf.queryExecution().executedPlan().toString().splitlines()
     assert max(n for n, x in enumerate(lines) if "Generate" in x) < min(n for n, x in enumerate(lines) if "Exchange" in x)
+
+
+@pytest.mark.parametrize("build", [
+    lambda blocks, windows: iv.coverage_spans(blocks, windows), lambda blocks, windows: iv.components(blocks),
+    lambda blocks, windows: diff.ScheduleDiff(blocks, blocks.filter("id % 7 > 0"), windows, ["title"]).meanings])
+def test_ordered_scans_are_spread_over_many_tasks(spark, build):
+    """Small compressed shuffles are not merged into a few tasks that have to sort them: a month of one station is in many partitions."""
+    blocks = spark.range(4000).selectExpr(
+        "id", "'s' AS station", "timestamp_ntz'2024-01-01' + id * INTERVAL 10 MINUTES AS start_time",
+        "timestamp_ntz'2024-01-01' + id * INTERVAL 10 MINUTES + INTERVAL 5 MINUTES AS end_time", "'t' AS title")
+    windows = spark.sql("SELECT 's' AS station, timestamp_ntz'2024-01-01' AS seam, timestamp_ntz'2024-02-01' AS horizon")
+    found = build(blocks, windows)
+    assert found.select("station", F.spark_partition_id().alias("p")).distinct().count() > 10
