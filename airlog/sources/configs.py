@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from airlog.functions.calendar import DAYS
 from airlog.functions.values import strict_json, tags_array
+from airlog.operators.scan import spread
 from airlog.sources.manifests import source_file
 
 _MAP = T.MapType(T.StringType(), T.StringType())
@@ -22,8 +23,12 @@ def _get(path: str, text: str = "text") -> Column:
 
 
 def parse_configs(configs: DataFrame) -> DataFrame:
-    """Station settings of each document, and an error instead of them where it cannot be used."""
-    valid = configs.withColumn("_valid", strict_json("text").isNotNull())
+    """Station settings of each document, and an error instead of them where it cannot be used.
+
+    Reading a document takes far longer than its bytes tell, so documents are spread over more tasks than their files are.
+    """
+    # exploded, so that no filter on it goes back below the shuffle
+    valid = spread(configs, "file").withColumn("_valid", F.explode(F.array(strict_json("text").isNotNull())))
     name = _get("network_name")
     error = F.when(~F.col("_valid"), "malformed").when(name.isNull(), "no_network_name")
     return valid.select(
@@ -41,67 +46,79 @@ def _as_map(text: Column) -> Column:
     return F.from_json(F.when(F.startswith(text, F.lit("{")), text), _MAP)
 
 
-def config_slots(stations: DataFrame) -> DataFrame:
-    """Slots of all documents in long form.
+def _rules(stations: DataFrame, *more: str) -> DataFrame:
+    """The slot rules of every usable document, a row for each entry of a rule: station, rule_kind, rule_key, rule_order, day, hour, slot.
 
-    station, rule_kind (weekday, date or week), rule_key, rule_order, day, hour, tags, continued, slot
-    (JSON text). A weekday given by name of a day template takes the template's slots.
+    A document is parsed once, and so are its day templates. `more` names settings whose entries follow as rules of that kind, and
+    station itself, an entry without fields that has `names`: what the document refers to directly.
     """
-    templates = _as_map(_get("day_templates"))
+    fields = ["day_templates", *DAYS, "date_overrides", "week_overrides", "fallback_tag", "bump_dir", "commercial_dir", *more]
+    usable = stations.filter("error IS NULL").select("station", F.json_tuple(F.get_json_object("text", "$.station_conf"), *fields).alias(*fields))
+    # an exploded column is computed once, however often it is named
+    parsed = usable.withColumn("_templates", F.explode(F.array(_as_map(F.col("day_templates")))))
     null = F.lit(None).cast("string")
 
     def inlined(day: Column) -> Column:
-        return F.when(F.startswith(day, F.lit("{")), day).otherwise(F.try_element_at(templates, day))
+        return F.when(F.startswith(day, F.lit("{")), day).otherwise(F.try_element_at("_templates", day))
 
-    def rule(kind: str, key: Column, order: Column, day: Column, slots: Column) -> Column:
+    named = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in (
+        ("tag", "fallback_tag"), ("bump_dir", "bump_dir"), ("commercial_dir", "commercial_dir"))])
+    unnamed = F.slice(named, F.lit(1), F.lit(0))
+
+    def rule(kind: str, key: Column, order: Column, day: Column, slots: Column, names: Column = unnamed) -> Column:
         return F.struct(F.lit(kind).alias("rule_kind"), key.alias("rule_key"), order.cast("int").alias("rule_order"),
-                        day.alias("day"), slots.alias("slots"))
+                        day.alias("day"), slots.alias("slots"), names.alias("names"))
 
-    weekdays = F.array(*[rule("weekday", F.lit(d), F.lit(0), F.lit(d), inlined(_get(d))) for d in DAYS])
+    plain = [rule("weekday", F.lit(d), F.lit(0), F.lit(d), inlined(F.col(d))) for d in DAYS]
+    plain += [rule(m, null, F.lit(0), null, F.col(m)) for m in more]
+    if more:
+        plain.append(rule("station", null, F.lit(0), null, F.lit('{"station": {}}'), named))
+    weekdays = F.array(*plain)
     dates = F.transform(
-        F.map_entries(_as_map(_get("date_overrides"))),
+        F.map_entries(_as_map(F.col("date_overrides"))),
         lambda e, i: rule("date", e["key"], i, null, inlined(e["value"])))
     weeks = F.flatten(F.transform(
-        F.map_entries(_as_map(_get("week_overrides"))),
+        F.map_entries(_as_map(F.col("week_overrides"))),
         lambda e, i: F.transform(
             F.map_entries(_as_map(e["value"])),
             lambda d: rule("week", e["key"], i, d["key"], inlined(d["value"])))))
     empty = F.slice(weekdays, F.lit(1), F.lit(0))
     every = F.concat(weekdays, F.coalesce(dates, empty), F.coalesce(weeks, empty))
-    rules = stations.filter("error IS NULL").select("station", F.explode(every).alias("r")).select("station", "r.*")
-    slots = rules.select("station", "rule_kind", "rule_key", "rule_order", "day",
-                         F.explode(_as_map(F.col("slots"))).alias("hour", "slot"))
+    rules = parsed.select("station", F.explode(every).alias("r")).select("station", "r.*")
+    return rules.select("station", "rule_kind", "rule_key", "rule_order", "day", "names", F.explode(_as_map(F.col("slots"))).alias("hour", "slot"))
+
+
+def config_slots(stations: DataFrame) -> DataFrame:
+    """Slots of all documents in long form.
+
+    station, rule_kind (weekday, date or week), rule_key, rule_order, day, hour, tags, continued, slot
+    (JSON text). A weekday given by name of a day template takes the template's slots.
+    """
+    columns = ["station", "rule_kind", "rule_key", "rule_order", "day"]
+    slots = _rules(stations).select(*columns, "hour", "slot", F.json_tuple("slot", "tags", "continued").alias("tags", "continued"))
     return slots.select(
-        "station", "rule_kind", "rule_key", "rule_order", "day", F.col("hour").try_cast("int").alias("hour"),
-        tags_array(F.get_json_object("slot", "$.tags")).alias("tags"),
-        F.coalesce(F.get_json_object("slot", "$.continued").try_cast("boolean"), F.lit(False)).alias("continued"), "slot")
+        *columns, F.col("hour").try_cast("int").alias("hour"), tags_array("tags").alias("tags"),
+        F.coalesce(F.col("continued").try_cast("boolean"), F.lit(False)).alias("continued"), "slot")
 
 
 def referenced_tags(stations: DataFrame) -> DataFrame:
     """Everything a document refers to, as distinct (station, kind, name).
 
     Kinds: tag, bump_dir, commercial_dir, start_bump and end_bump, from slots of every rule level,
-    tag overrides, clip shows, the fallback tag and the station itself.
+    tag overrides, clip shows, the fallback tag and the station itself. One pass over the documents gives them all.
     """
-    slots = config_slots(stations)
     fields = ("bump_dir", "commercial_dir", "start_bump", "end_bump")
+    inside = ("tags", *fields, "start_clip", "end_clip")
+    entries = _rules(stations, "tag_overrides", "clip_shows").select(
+        "station", "rule_kind", "hour", "names", F.json_tuple("slot", *inside).alias(*inside))
 
     def named(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.alias("name"))
 
-    from_tags = slots.select("station", F.explode("tags").alias("name")).select("station", F.lit("tag").alias("kind"), "name")
-    from_slots = slots.select("station", F.explode(F.array(
-        *[named(f, F.get_json_object("slot", f"$.{f}")) for f in fields])).alias("r")).select("station", "r.*")
-    ok = stations.filter("error IS NULL")
-    overrides = ok.select("station", F.explode(F.map_values(_as_map(_get("tag_overrides")))).alias("o")).select(
-        "station", F.explode(F.array(*[named(f, F.get_json_object("o", f"$.{f}")) for f in fields])).alias("r")).select(
-        "station", "r.*")
-    clips = ok.select("station", F.explode(_as_map(_get("clip_shows"))).alias("clip", "c")).select(
-        "station", F.explode(F.array(
-            named("tag", F.col("clip")), named("tag", F.get_json_object("c", "$.start_clip")),
-            named("tag", F.get_json_object("c", "$.end_clip")))).alias("r")).select("station", "r.*")
-    station = ok.select("station", F.explode(F.array(
-        named("tag", F.col("fallback_tag")), named("bump_dir", _get("bump_dir")),
-        named("commercial_dir", _get("commercial_dir")))).alias("r")).select("station", "r.*")
-    every = from_tags.unionByName(from_slots).unionByName(overrides).unionByName(clips).unionByName(station)
+    dirs = F.array(*[named(f, F.col(f)) for f in fields])
+    clips = F.array(named("tag", F.col("hour")), named("tag", F.col("start_clip")), named("tag", F.col("end_clip")))
+    tags = F.coalesce(F.transform(tags_array("tags"), lambda v: named("tag", v)), F.slice(dirs, F.lit(1), F.lit(0)))
+    refers = (F.when(F.col("rule_kind") == "station", F.col("names")).when(F.col("rule_kind") == "clip_shows", clips)
+              .when(F.col("rule_kind") == "tag_overrides", dirs).otherwise(F.concat(tags, dirs)))
+    every = entries.select("station", F.explode(refers).alias("r")).select("station", "r.*")
     return every.filter("name IS NOT NULL AND name <> ''").distinct()

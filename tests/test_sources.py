@@ -145,3 +145,19 @@ def test_listing_stream_gives_what_comes_later(spark, tmp_path):
     (tmp_path / "late").rename(root / "B")
     (root / "A/1.mp4").write_text("xxx")
     assert run() == [("A/1.mp4", 3), ("B/2.mp4", 2)] == rows(manifests.scan_manifest(spark, str(root))[0].select("path", "size"))
+
+
+def test_a_document_is_read_once_and_by_many_tasks(spark):
+    text = ('{"station_conf": {"network_name": "N", "fallback_tag": "f", "bump_dir": "b", "day_templates": {"w": {"6": {"tags": ["x", "y"]}}}, '
+            '"monday": "w", "tuesday": {"7": {"tags": "z", "start_bump": "s", "continued": true}}, "sunday": null, '
+            '"clip_shows": {"c": {"end_clip": "e"}}, "tag_overrides": {"t": {"commercial_dir": "ads"}}}}')
+    parsed = configs.parse_configs(spark.createDataFrame([("a.json", text), ("b.json", text + "}")], "file string, text string"))
+    slots = configs.config_slots(parsed)
+    assert rows(slots.select("day", "hour", "tags", "continued")) == [
+        ("monday", 6, ["x", "y"], False), ("tuesday", 7, ["z"], True)]
+    found = configs.referenced_tags(parsed)
+    assert rows(found) == sorted([("N", k, n) for k, n in (
+        ("tag", "f"), ("tag", "x"), ("tag", "y"), ("tag", "z"), ("tag", "c"), ("tag", "e"), ("bump_dir", "b"), ("start_bump", "s"),
+        ("commercial_dir", "ads"))], key=repr)
+    assert slots.rdd.getNumPartitions() >= 96
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") == parsed.select("error")._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json")
