@@ -310,7 +310,7 @@ def now_playing(blocks: DataFrame, probes: DataFrame, closed: bool = False, widt
     seen = OrderedScan(both, ["station"], ["_us", "_side"], width).running(
         Running("_hit", "last", F.col("_block"))).result().filter("_side = 1")
     hit = F.when(F.col("_us") < F.col("_hit.until_us"), F.col("_hit"))
-    found = seen.select("station", "at", hit.alias("_hit"))
+    found = spread(seen.select("station", "at", hit.alias("_hit")), "station", "at")
     return probes.join(found, ["station", "at"], "left").withColumns({
         "block_id": F.col("_hit.id"), "title": F.col("_hit.title"),
         "start_us": F.col("_hit.start_us"), "end_us": F.col("_hit.end_us")}).drop("_hit")

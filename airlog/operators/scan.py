@@ -82,6 +82,7 @@ class OrderedScan:
             typed = valued.withColumns({f"_value_{r.name}": F.col(f"_value_{r.name}").cast(types[r.name]) for r in wanted})
             valued = typed.withColumn(_REAL, F.lit(1)).unionByName(carry, allowMissingColumns=True)
             keys, order = [*keys, _BUCKET], [_REAL, *order]
+        if keys:
             valued = spread(valued, *keys)
         rows = Window.partitionBy(*keys).orderBy(*order)
         found = {}

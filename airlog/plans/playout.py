@@ -38,17 +38,18 @@ def play_point(blocks: DataFrame, timeline: DataFrame, probes: DataFrame, closed
                width: int = DAY_US) -> DataFrame:
     """Entry index and offset playing at each probe (station, at); null past the end of the plan.
 
-    Inside its block a probe looks back to the last entry that began before it.
+    Inside its block a probe looks back to the last entry that began before it. Probes with nothing on air pass through the same scan
+    by their own time, so that no probe is joined with its answer.
     """
-    on_air = now_playing(blocks, probes, closed, width).withColumn("_us", micros("at") - F.col("start_us"))
+    on_air = now_playing(blocks, probes, closed, width)
+    since = F.coalesce(micros("at") - F.col("start_us"), micros("at"))
     entry = F.struct("entry", "from_us", "until_us")
-    begun = timeline.select(
+    begun = timeline.filter("block_id IS NOT NULL").select(
         "block_id", F.col("from_us").alias("_us"), F.lit(0).alias("_side"), F.col("entry").alias("_n"), entry.alias("_entry"))
-    asked = on_air.filter("block_id IS NOT NULL").select("block_id", "_us", F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_n")).distinct()
+    asked = on_air.select("block_id", since.alias("_us"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_n"), "station", "at")
     seen = OrderedScan(
         begun.unionByName(asked, allowMissingColumns=True), ["block_id"], ["_us", "_side", "_n"], HOUR_US
     ).running(Running("_hit", "last", F.col("_entry"))).result().filter("_side = 1")
     hit = F.when(F.col("_us") < F.col("_hit.until_us"), F.col("_hit"))
-    found = seen.select("block_id", "_us", hit.alias("_hit"))
-    return on_air.join(found, ["block_id", "_us"], "left").select(
+    return seen.withColumn("_hit", hit).select(
         "station", "at", "block_id", F.col("_hit.entry").alias("index"), (F.col("_us") - F.col("_hit.from_us")).alias("offset_us"))

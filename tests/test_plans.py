@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airlog.operators.sequences import episode_index
-from airlog.plans import breaks, segments as sg
+from airlog.plans import breaks, playout, segments as sg
 from conftest import rows
 
 POINTS = "path string, seq bigint, chapter_start double, chapter_end double"
@@ -152,3 +152,17 @@ def test_clip_plans_play_everything_once_and_spread_reels(spark):
 def test_episodes_go_round_from_the_start(spark, start, end, want):
     df = spark.createDataFrame([(k, start, end) for k in range(6)], "k bigint, s bigint, e bigint")
     assert [r[1] for r in sorted(df.select("k", episode_index(F.col("k"), F.col("s"), F.col("e"))).collect())] == want
+
+
+def test_play_points_of_repeated_probes_and_of_none_on_air(spark):
+    """Two equal probes keep two rows, one off air keeps a null, an entry without a block answers nobody; many tasks share the scan."""
+    blocks = spark.createDataFrame([("s", 7, "x", "2024-01-01 00:00:00", "2024-01-01 01:00:00")], "station string, id bigint, title string, a string, b string").selectExpr(
+        "station", "id", "title", "CAST(a AS timestamp_ntz) AS start_time", "CAST(b AS timestamp_ntz) AS end_time")
+    entries = spark.createDataFrame([(7, 0, 600.0), (7, 1, 600.0), (None, 0, 1e12)], "block_id bigint, position int, duration double")
+    probes = spark.createDataFrame([("s", "2024-01-01 00:10:05")] * 2 + [("s", "2024-01-01 00:30:00"), ("s", "2024-01-02 00:00:00"), (None, "2024-01-01 00:00:00")],
+                                   "station string, a string").selectExpr("station", "CAST(a AS timestamp_ntz) AS at")
+    timeline = playout.plan_timeline(entries)
+    assert timeline.rdd.getNumPartitions() >= 96
+    found = playout.play_point(blocks, timeline, probes).selectExpr("station", "date_format(at, 'dd HH:mm:ss') AS at", "block_id", "index", "offset_us")
+    assert rows(found) == sorted([("s", "01 00:10:05", 7, 1, 5_000_000)] * 2 + [
+        ("s", "01 00:30:00", 7, None, None), ("s", "02 00:00:00", None, None, None), (None, "01 00:00:00", None, None, None)], key=repr)
