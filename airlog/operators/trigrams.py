@@ -4,7 +4,8 @@
     search_stored(spark, folder, "b_lt", ["title"])  # the rows that catalog.search finds, from few files
 
 A posting row holds the ids of one range whose column contains a trigram. Postings are kept in folders by the hash of the trigram and
-sorted inside, so the few that a search needs are found by folder and by the bounds of row groups. A search looks up in a small table
+sorted inside, so the few that a search needs are found by folder and by the bounds of row groups; so are the ranges of the catalog,
+by the hash of their number. There are so many folders at any size, as a search lists them all. A search looks up in a small table
 of its own how often the trigrams of its text occur, intersects the ids of the rarest, reads the catalog's ranges that hold any of them and tests these rows.
 """
 
@@ -30,8 +31,8 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.when(F.length(lower) >= 3, runs).otherwise(F.array()))
 
 
-def _folder_of(gram: Column, folders: int) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(folders)).cast("int")
+def _folder_of(value: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(folders)).cast("int")
 
 
 def store_catalog(items: DataFrame, folder: str, columns: Sequence[str] = COLUMNS, span: int = RANGE, folders: int = FOLDERS) -> None:
@@ -40,7 +41,9 @@ def store_catalog(items: DataFrame, folder: str, columns: Sequence[str] = COLUMN
     Ids are unique whole numbers. A posting row has at most `span` ids, so no trigram is gathered in one row, however common it is.
     """
     ranged = items.withColumn("id_range", F.floor(F.col("id") / span))
-    ranged.repartition("id_range").sortWithinPartitions("id").write.mode("overwrite").partitionBy("id_range").parquet(f"{folder}/items")
+    placed = ranged.withColumn("range_folder", _folder_of(F.col("id_range"), folders))
+    rows = ["range_folder", "id_range", "id"]
+    placed.repartitionByRange(*rows).sortWithinPartitions(*rows).write.mode("overwrite").partitionBy("range_folder").parquet(f"{folder}/items")
     texts = ranged.select("id", "id_range", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), trigrams(F.col(c)).alias("grams")) for c in columns])).alias("_t"))
     postings = texts.select("id", "id_range", "_t.column", F.explode("_t.grams").alias("gram")).groupBy("gram", "column", "id_range").agg(
@@ -69,7 +72,7 @@ def search_stored(spark: SparkSession, folder: str, text: str, columns: Sequence
     items = spark.read.parquet(f"{folder}/items")
     grams = pattern_trigrams(text)
     if not grams:
-        return search(items, text, columns, station).drop("id_range")
+        return search(items, text, columns, station).drop("id_range", "range_folder")
     numbers = spark.range(1).select(F.array(*[_folder_of(F.lit(g), folders) for g in grams])).first()[0]
     folder_of = dict(zip(grams, numbers))
 
@@ -84,11 +87,12 @@ def search_stored(spark: SparkSession, folder: str, text: str, columns: Sequence
             rarest = [g for _, g in found[:RAREST]]
             wanted, used = wanted | ((F.col("column") == column) & F.col("gram").isin(rarest)), used | set(rarest)
     if not used:
-        return search(items.filter("false"), text, columns, station).drop("id_range")
+        return search(items.filter("false"), text, columns, station).drop("id_range", "range_folder")
     several = min(RAREST, len(grams))
     hits = spark.read.parquet(f"{folder}/postings").filter(of(sorted(used)) & wanted).select("column", "id_range", F.explode("ids").alias("id")).groupBy("column", "id_range", "id").agg(
         F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == several)
     candidates = durable(hits.select("id_range", "id").distinct())
-    ranges = [r["id_range"] for r in candidates.select("id_range").distinct().limit(NAMED + 1).collect()]
-    near = items if len(ranges) > NAMED else items.filter(F.col("id_range").isin(ranges))
-    return search(near.join(candidates, ["id_range", "id"], "left_semi"), text, columns, station).drop("id_range")
+    ranges = candidates.select("id_range", _folder_of(F.col("id_range"), folders).alias("range_folder")).distinct().limit(NAMED + 1).collect()
+    near = items if len(ranges) > NAMED else items.filter(
+        F.col("range_folder").isin(sorted({r["range_folder"] for r in ranges})) & F.col("id_range").isin([r["id_range"] for r in ranges]))
+    return search(near.join(candidates, ["id_range", "id"], "left_semi"), text, columns, station).drop("id_range", "range_folder")

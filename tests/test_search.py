@@ -64,3 +64,11 @@ def test_no_posting_row_holds_more_than_a_range(spark, stored):
     _, folder = stored
     longest = spark.read.parquet(f"{folder}/postings").agg(F.max("n"), F.max(F.size("ids"))).first()
     assert longest[0] == longest[1] == 250
+
+
+def test_folders_do_not_grow_with_the_ranges(spark, tmp_path):
+    """20,000 ranges of one id in 8 folders, which every search lists."""
+    items = spark.range(20000).selectExpr("id", "concat('t', id) AS title", "'x' AS tag", "concat('p/', id) AS path")
+    trigrams.store_catalog(items, str(tmp_path), span=1, folders=8)
+    assert len([d for d in (tmp_path / "items").iterdir() if d.is_dir()]) <= 8
+    assert rows(trigrams.search_stored(spark, str(tmp_path), "t1999", folders=8).select("id")) == [(1999,)] + [(19990 + i,) for i in range(10)]
