@@ -9,8 +9,8 @@ from queries.registry import query
 from queries.scratch import scratch
 
 
-def _replayed(t, df: DataFrame, folder: str, kind: str = "parquet", files: int = 4) -> DataFrame:
-    """Write rows as files and read them back as a stream of several micro-batches."""
+def _replayed(t, df: DataFrame, folder: str, kind: str = "parquet", files: int = 48) -> DataFrame:
+    """Write rows as files, so many that each stays small, and read them back as a stream of two micro-batches."""
     df.repartition(files).write.format(kind).save(folder)
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // 2)).format(kind).load(folder)
 

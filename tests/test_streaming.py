@@ -165,3 +165,14 @@ def test_status_against_blocks_of_two_streams(spark, tmp_path):
     assert found.filter("block_id IS NULL").select("number").distinct().count() >= 126
     # a day's rows and what the delay and the longest stretch keep of the day before
     assert max(sizes) <= 40 and sizes[-1] <= 8
+
+
+def test_replayed_rows_are_written_by_many_tasks_and_read_in_two_batches(spark, tmp_path):
+    from queries.streams import _replayed
+    from queries.views import Tables
+
+    stream = _replayed(Tables(spark, "unused"), spark.range(1000), str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 48
+    run = stream.writeStream.format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sum(1 for p in run.recentProgress if p.numInputRows) == 2 and spark.table("replayed").count() == 1000
