@@ -1,73 +1,104 @@
-"""Alerts when time passes: stations whose schedule runs out, from timers beside one row of state each.
+"""Alerts when time passes: stations whose schedule runs out, from timers beside their state.
 
-A station's state is the end of its last-starting block. A timer stands at that end less the threshold, so the alert fires when the
-moment comes, whether rows arrive or not. Rows are written when a station becomes due or is no longer due, or the end of one that is due moves, never for the rest.
+A station's state is the end of its last-starting block. A timer stands at the first such end of a group of stations less the threshold,
+so the alert fires when the moment comes, whether rows arrive or not. Rows are written when a station becomes due or is no longer due, or the end of one that is due moves, never for the rest.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from airlog.functions.values import micros
 from airlog.operators.intervals import _ntz
 from airlog.streaming import sinks
 
 CHANGES = "station string, due boolean, schedule_end_us bigint, at_us bigint"
-_STATE = StructType([StructField("start_us", LongType()), StructField("end_us", LongType()), StructField("id", StringType()),
-                     StructField("due", BooleanType()), StructField("timer_ms", LongType())])
+#: The state of a group of stations: of each its newest block and whether it was said to be due, and the one timer of the group.
+_STATE = StructType([
+    StructField("stations", ArrayType(StringType())), StructField("start_us", ArrayType(LongType())), StructField("end_us", ArrayType(LongType())),
+    StructField("ids", ArrayType(StringType())), StructField("due", ArrayType(BooleanType())), StructField("timer_ms", LongType())])
+#: Groups that stations are spread over by hash, so that a call to the state serves many of them; it changes no result. A state
+#: written with another number must not be read.
+GROUPS = 1024
 
 
 class ScheduleTimers(StatefulProcessor):
-    """Keeps one row and at most one timer for each station."""
+    """Keeps one row and at most one timer for each group of stations: it stands at the first moment at which one of them becomes due."""
 
     def __init__(self, hours: float):
         self.ahead_us = int(hours * 3_600_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("schedule", _STATE)
+        self.state = handle.getValueState("schedules", _STATE)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        """A known station without a schedule: due from the start, said by a timer at once."""
-        self.state.update((None, None, None, False, 0))
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1)
+        """Known stations without a schedule: due from the start, said by a timer at once."""
+        timer = timerValues.getCurrentProcessingTimeInMs() + 1
+        self.handle.registerTimer(timer)
+        self._keep({known["station"]: (None, None, None, False) for known in initialState["stations"]}, timer)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        start, end, ident, due, timer = self.state.get() or (None, None, None, False, 0)
-        said = end
+        held, timer = self._held()
+        said = {}
         for row in rows:
+            station = row["station"]
+            start, end, ident, due = held.get(station, (None, None, None, False))
+            said.setdefault(station, end)
             place = (row["start_us"], row["end_us"], row["id"])
             if start is None or place > (start, end, ident):
-                start, end, ident = place
-        yield from self._settle(key, start, end, ident, due, timer, timerValues, due and end != said)
+                held[station] = (*place, due)
+        moved = {station for station, end in said.items() if held[station][3] and held[station][1] != end}
+        yield from self._settle(held, timer, timerValues, moved)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._settle(key, *self.state.get(), timerValues)
-
-    def _settle(self, key, start, end, ident, due, timer, timerValues, moved: bool = False) -> Iterator[Row]:
-        now_ms = timerValues.getCurrentProcessingTimeInMs()
-        # the first whole millisecond at which the end lies less than the threshold ahead
-        moment = 0 if end is None else (end - self.ahead_us) // 1000 + 1
-        if timer and timer != moment:
+        held, timer = self._held()
+        # Spark removes a timer that has fired
+        yield from self._settle(held, 0 if timer == expiredTimerInfo.getExpiryTimeInMs() else timer, timerValues)
+
+    def _held(self) -> tuple[dict, int]:
+        stored = self.state.get()
+        if stored is None:
+            return {}, 0
+        stations, *columns, timer = stored
+        return dict(zip(stations, zip(*columns))), timer
+
+    def _keep(self, held: dict, timer: int) -> None:
+        columns = zip(*held.values()) if held else ((), (), (), ())
+        self.state.update((list(held), *map(list, columns), timer))
+
+    def _settle(self, held: dict, timer: int, timerValues, moved: Collection[str] = ()) -> Iterator[Row]:
+        now_ms, first = timerValues.getCurrentProcessingTimeInMs(), 0
+        changes = []
+        for station, (start, end, ident, due) in held.items():
+            # the first whole millisecond at which the end lies less than the threshold ahead
+            moment = 0 if end is None else (end - self.ahead_us) // 1000 + 1
+            new = moment <= now_ms
+            if not new and (not first or moment < first):
+                first = moment
+            if new != due or station in moved:
+                changes.append((station, start, end, ident, new))
+        for station, start, end, ident, new in changes:
+            held[station] = (start, end, ident, new)
+        if timer and timer != first:
             self.handle.deleteTimer(timer)
-        if moment > now_ms and timer != moment:
-            self.handle.registerTimer(moment)
-        new = moment <= now_ms
-        self.state.update((start, end, ident, new, 0 if new else moment))
-        if new != due or moved:
-            yield Row(station=key[0], due=new, schedule_end_us=end, at_us=now_ms * 1000)
+        if first and timer != first:
+            self.handle.registerTimer(first)
+        self._keep(held, first)
+        for station, _, end, _, new in changes:
+            yield Row(station=station, due=new, schedule_end_us=end, at_us=now_ms * 1000)
 
     def close(self) -> None:
         pass
 
 
-def due_changes(blocks: DataFrame, stations: DataFrame | None, hours: float) -> DataFrame:
+def due_changes(blocks: DataFrame, stations: DataFrame | None, hours: float, groups: int = GROUPS) -> DataFrame:
     """A stream of CHANGES from a stream of blocks (station, id, start_time, end_time); a time without a zone is UTC.
 
     stations, if given, are known from the start, so that one without any block is due. Needs the RocksDB state store, which
@@ -78,8 +109,10 @@ def due_changes(blocks: DataFrame, stations: DataFrame | None, hours: float) ->
     beat = blocks.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load().filter("value < 0").select(
         F.lit("").alias("station"), *[F.lit(0).cast("bigint").alias(c) for c in ("start_us", "end_us")], F.lit("").alias("id"))
     rows = rows.unionByName(beat)
-    known = None if stations is None else stations.select("station").distinct().groupBy("station")
-    return rows.groupBy("station").transformWithState(
+    group = F.pmod(F.xxhash64("station"), F.lit(groups)).alias("_group")
+    known = None if stations is None else stations.select("station").distinct().groupBy(group).agg(
+        F.collect_list(F.struct("station")).alias("stations")).groupBy("_group")
+    return rows.select(group, "*").groupBy("_group").transformWithState(
         statefulProcessor=ScheduleTimers(hours), outputStructType=CHANGES, outputMode="Update", timeMode="ProcessingTime", initialState=known)
 
 

@@ -138,6 +138,23 @@ def test_a_new_block_ends_an_alert(spark, tmp_path):
     assert [r["due"] for r in sinks.read_batches(spark, folder).orderBy("at_us").collect()] == [True, False]
 
 
+def test_many_stations_share_a_row_of_state_and_a_timer(spark, tmp_path):
+    """The calls to the state grow with the groups, not with the stations; each station is still judged by itself."""
+    kind = "station string, id bigint, start_time timestamp_ntz, end_time timestamp_ntz"
+    source, folder, state = (str(tmp_path / n) for n in ("in", "changes", "state"))
+    made = [(str(n), 1, datetime(2023, 1, 1), datetime(2023 if n % 2 else 2099, 1, 2)) for n in range(0, 2600, 13)]
+    spark.createDataFrame(made, kind).write.parquet(source)
+    stations = spark.range(5000).select(F.col("id").cast("string").alias("station")).union(spark.sql("SELECT CAST(NULL AS STRING)"))
+    query = timers.watch_schedules(spark.readStream.schema(kind).parquet(source), stations, folder, state, 1)
+    timers.catch_up(query, 90)
+    kept = max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators)
+    assert 0 < kept <= 3 * timers.GROUPS
+    got = rows(timers.current_due(spark, folder))
+    ends = {station: end for station, _, _, end in made}
+    assert got == sorted(((s, ends.get(s)) for s in [*map(str, range(5000)), None] if s not in ends or ends[s].year == 2023), key=repr)
+    assert got == rows(timers.due_at(spark.createDataFrame(made, kind), stations, datetime.now(timezone.utc).replace(tzinfo=None), 1))
+
+
 def test_status_against_blocks_of_two_streams(spark, tmp_path):
     """The stream gives the rows of the batch form over all events, and its state keeps no more than the delay and the longest block."""
     start = datetime(2024, 1, 1)
