@@ -85,6 +85,41 @@ def test_pairs_of_candidates_are_not_shuffled(spark, tmp_path):
     assert not any("Window" in line for line in top)
 
 
+def _asked(spark, n):
+    return spark.range(n).selectExpr("if(id % 10 = 9, null, id % 50) AS request_id", "if(id % 8 = 7, null, 's') AS station", "if(id % 6 = 5, null, 'A') AS block_tag",
+                                     "if(id % 7 = 6, null, 'B') AS next_1", "'C' AS next_2", "CAST(null AS string) AS next_3", "CAST(id % 4 * 50 AS double) AS seconds")
+
+
+def test_next_pool_gives_the_rows_of_a_plain_join(spark):
+    """Repeated and null requests, stations, tags and lengths; more items of one tag than a tile holds."""
+    items = spark.range(300).selectExpr("if(id % 9 = 8, null, id % 100) AS id", "if(id % 5 = 4, null, 's') AS station", "element_at(array('next/--B', 'next/A--B--C', 'next/--C', null), CAST(id % 4 + 1 AS int)) AS tag",
+                                        "if(id % 11 = 10, null, CAST(id % 30 * 5 AS double)) AS duration")
+    want = []
+    for r in _asked(spark, 120).collect():
+        tails = ["B", "B--C"] if r["next_1"] else []
+        tags = {f"next/{h}--{t}" for h in ("", r["block_tag"]) if h is not None for t in tails}
+        want += [(i["station"], i["tag"], r["request_id"], r["seconds"], i["id"], i["duration"]) for i in items.collect()
+                 if i["station"] and i["station"] == r["station"] and i["tag"] in tags and i["duration"] is not None and 1 <= i["duration"] < r["seconds"]]
+    got = ct.next_pool(_asked(spark, 120), items)
+    assert got.columns == ["station", "tag", "request_id", "seconds", "id", "duration"] and rows(got) == sorted(want, key=repr) != []
+
+
+def test_pairs_of_a_crowded_tag_are_spread_and_stored_small(spark, tmp_path):
+    """One tag holds all pairs of tables too large to send to every task: several tasks make them, and a file takes far less than a byte a pair."""
+    requests = spark.range(400).selectExpr("id AS request_id", "'s' AS station", "'A' AS block_tag", "'B' AS next_1", "CAST(null AS string) AS next_2", "CAST(null AS string) AS next_3", "100.0D AS seconds")
+    items = spark.range(6000).selectExpr("id * 7919 AS id", "'s' AS station", "'next/--B' AS tag", "60.0D AS duration")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pool = ct.next_pool(requests, items).select("request_id", "id", F.spark_partition_id().alias("task"))
+        assert pool.select("task").distinct().count() >= 4
+        pool.drop("task").coalesce(2).write.parquet(str(tmp_path / "pool"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert spark.read.parquet(str(tmp_path / "pool")).distinct().count() == 2_400_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pool").glob("*.parquet")) < 0.4 * 2_400_000
+
+
 def test_least_played_counts_its_choices(spark):
     pool = spark.createDataFrame([(1, 7, 3, "a", "p"), (1, 8, 2, "b", "q"), (2, 9, 1, "c", "r")], "request_id int, id int, count int, title string, path string")
     assert rows(ct.pick_least_played(pool, ["request_id"], counted="n").select("request_id", "id", "n")) == [(1, 8, 2), (2, 9, 1)]
