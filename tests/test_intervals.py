@@ -104,6 +104,27 @@ def test_overlap_join_of_very_different_lengths(spark):
     assert iv.start_cells(iv.with_micros(left), F.array(*map(F.lit, levels)), 60_000_000).count() == 240 * len(levels)
 
 
+def test_overlap_join_of_nulls_and_repeats(spark):
+    """Null stations and times, empty and backward blocks, and rows that come twice, against the plain predicate."""
+    made = [(k if k % 6 else None, [None, "a", "b"][k % 3], None if k % 7 == 6 else T0 + timedelta(seconds=k * 20 % 130), None if k % 11 == 10 else T0 + timedelta(seconds=k * 37 % 300), "t")
+            for k in range(60)] * 2
+    df = spark.createDataFrame(made, BLOCKS)
+    for keys in ([], ["station"]):
+        want = [(x[0], x[1], y[0], y[1]) for x in made for y in made if None not in (*x[2:4], *y[2:4]) and (not keys or x[1] and x[1] == y[1]) and x[2] < y[3] and x[3] > y[2]
+                and (x[3] > x[2] if x[2] <= y[2] else y[3] > y[2])]
+        assert rows(iv.overlap_join(df, df, keys, 60).select("id", "station", "r_id", "r_station")) == sorted(want, key=repr) != []
+
+
+def test_pairs_of_a_crowded_time_are_stored_small(spark, tmp_path):
+    """Many blocks on air at once: what their pairs take in a file is far less than a byte a pair."""
+    blocks = spark.range(2500).selectExpr("id * 7919 AS id", "concat('s', id % 5) AS station", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(id * 7 % 1200 AS decimal(18, 6))) AS start_time")
+    blocks = blocks.withColumn("end_time", F.col("start_time") + F.expr("INTERVAL 30 MINUTE"))
+    pairs = iv.overlap_join(blocks, blocks).filter("station <> r_station").select("id", "r_id")
+    pairs.coalesce(2).write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 5_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.6 * 5_000_000
+
+
 @pytest.mark.parametrize("closed, width", [(False, DAY_US), (True, DAY_US), (False, 50_000_000), (True, 50_000_000)])
 def test_now_playing_takes_the_earliest_block(spark, closed, width):
     made = schedule(200, 3, 4)
