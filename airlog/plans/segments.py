@@ -25,20 +25,42 @@ def _next(df: DataFrame, value: str, name: str, order: list[str], width: float)
     return seen.result().drop(*[f"_back_{c}" for c in order])
 
 
+#: The buckets of rows without a start, behind all others or before them.
+_LAST, _FIRST = (1 << 63) - 1, -(1 << 63)
+
+
+def _bucketed(df: DataFrame, width: float, unplaced: int) -> DataFrame:
+    """Rows with the number of the stretch of `width` seconds that they start in."""
+    return df.withColumn("_bucket", F.coalesce(F.floor(F.col("chapter_start") / F.lit(float(width))), F.lit(unplaced)))
+
+
 def segments(points: DataFrame, files: DataFrame, width: float = WIDTH) -> DataFrame:
     """Break marks as segments covering a file from 0 to its duration.
 
     points: path, seq (a unique number per mark of a file), chapter_start, optional chapter_end.
+
+    Marks are shuffled once, into buckets of `width` seconds. What a bucket needs from the rest of its file, the next start and the
+    duration, is found from one row of each bucket.
     """
-    first = points.groupBy("path").agg(F.min("chapter_start").alias("chapter_end")).filter("chapter_end > 0")
-    lead_in = first.select("path", F.lit(-1).cast("bigint").alias("seq"), F.lit(0.0).alias("chapter_start"), "chapter_end")
-    marks = points.select("path", F.col("seq").cast("bigint").alias("seq"), "chapter_start", "chapter_end")
-    followed = _next(marks.unionByName(lead_in), "chapter_start", "_next", ["chapter_start", "seq"], width)
-    timed = spread(followed, "path").join(files.select("path", "duration"), "path")
-    until = F.coalesce("_next", "duration")
-    return timed.select(
+    marks = _bucketed(points.select("path", F.col("seq").cast("bigint").alias("seq"), "chapter_start", "chapter_end"), width, _LAST)
+    place = ["path", "_bucket"]
+    totals = spread(marks.groupBy(*place).agg(F.min("chapter_start").alias("_first")), "path")
+    # buckets of a file from its last one: what begins behind each, and whether it is the first of the file
+    back = Window.partitionBy("path").orderBy(F.desc("_bucket"))
+    known = totals.withColumns({
+        "_after": F.last("_first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
+        "_opens": F.lead("_bucket").over(back).isNull()})
+    carry = known.join(spread(files.select("path", "duration"), "path"), "path")
+    ahead = Window.partitionBy(*place).orderBy("chapter_start", F.asc_nulls_last("seq"))
+    followed = spread(marks, *place).withColumn("_next", F.lead("chapter_start").over(ahead))
+    until = F.coalesce("_next", "_after", "duration")
+    cut = followed.join(spread(carry.select(*place, "_after", "duration"), *place), place).select(
         "path", "seq", "chapter_start", F.coalesce(F.col("chapter_end"), until).alias("chapter_end"),
         (until - F.col("chapter_start")).alias("segment_duration"))
+    lead_in = carry.filter("_opens AND _first > 0").select(
+        "path", F.lit(-1).cast("bigint").alias("seq"), F.lit(0.0).alias("chapter_start"), F.col("_first").alias("chapter_end"),
+        F.col("_first").alias("segment_duration"))
+    return cut.unionByName(lead_in)
 
 
 def black_marks(log: DataFrame) -> DataFrame:
@@ -163,21 +185,36 @@ def _fold_once(state: DataFrame, min_seconds: float) -> DataFrame:
 
 
 def thin_segments(segs: DataFrame, wanted: Column | int, width: float = WIDTH, positions: int = POSITIONS) -> DataFrame:
-    """At most `wanted` segments per file: evenly spread breaks are kept, neighbours merged."""
+    """At most `wanted` segments per file: evenly spread breaks are kept, neighbours merged.
+
+    Segments are shuffled once, into buckets of `width` seconds; how many stand before a bucket, and the next kept start behind it, are
+    found from one row of each bucket. positions changes nothing any more; kept breaks follow each other inside the same buckets.
+    """
     m = wanted if isinstance(wanted, Column) else F.lit(wanted)
-    placed = OrderedScan(segs.withColumn("_m", m.cast("bigint")), ["path"], ["chapter_start", "seq"], width).running(
-        Running("_index", "count", F.lit(1))).result().withColumn("_index", F.col("_index") - 1)
-    sizes = segs.groupBy("path").agg(
-        F.count(F.lit(1)).alias("_n"), F.max_by("chapter_end", F.struct("chapter_start", "seq")).alias("_last"))
-    sized = placed.join(sizes, "path").filter("_m > 0")
+    place, row = ["path", "_bucket"], ["chapter_start", "seq", "chapter_end", "_m"]
+    rows = spread(_bucketed(segs.withColumn("_m", m.cast("bigint")).select("path", *row), width, _FIRST), *place)
+    # the whole row, so that the totals read the same shuffle as the rows
+    totals = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("_count"), F.max(F.struct(*row)).alias("_tail"))
+    file = Window.partitionBy("path")
+    earlier = file.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = spread(totals, "path").select(
+        *place, F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"), F.sum("_count").over(file).alias("_n"),
+        F.max("_tail").over(file)["chapter_end"].alias("_last"))
+    order = Window.partitionBy(*place).orderBy("chapter_start", "seq")
+    sized = rows.withColumn("_at", F.row_number().over(order)).join(spread(carry, *place), place).withColumn(
+        "_index", F.col("_before") + F.col("_at") - 1).filter("_m > 0")
     step = (F.col("_n") - 1) / F.nullif(F.col("_m") - 1, F.lit(0)).cast("double")
     near = F.floor(F.col("_index") / step)
     chosen = F.exists(
         F.sequence(F.greatest(near - 1, F.lit(1)), F.greatest(near + 1, F.lit(1))),
         lambda i: (i <= F.col("_m") - 1) & (F.bround(i * step) == F.col("_index")))
-    opens = (F.col("_n") <= F.col("_m")) | (F.col("_index") == 0) | F.coalesce(chosen, F.lit(False))
-    kept = _next(sized.filter(opens), "chapter_start", "_next", ["_index"], positions)
     whole = F.col("_n") <= F.col("_m")
-    return kept.select(
+    kept = sized.filter(whole | (F.col("_index") == 0) | F.coalesce(chosen, F.lit(False))).select(
+        *place, "_index", "chapter_start", F.when(whole, F.col("chapter_end")).otherwise(F.col("_last")).alias("_end"), whole.alias("_whole"))
+    heads = kept.groupBy(*place).agg(F.min(F.struct("_index", "chapter_start", "_end", "_whole")).alias("_head"))
+    behind = file.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    after = spread(heads, "path").select(*place, F.last("_head.chapter_start", ignorenulls=True).over(behind).alias("_after"))
+    followed = kept.withColumn("_next", F.lead("chapter_start").over(Window.partitionBy(*place).orderBy("_index")))
+    return followed.join(spread(after, *place), place).select(
         "path", "chapter_start",
-        F.when(whole, F.col("chapter_end")).otherwise(F.coalesce("_next", "_last")).alias("chapter_end"))
+        F.when(F.col("_whole"), F.col("_end")).otherwise(F.coalesce("_next", "_after", "_end")).alias("chapter_end"))

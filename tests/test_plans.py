@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,39 @@ def test_play_points_of_repeated_probes_and_of_none_on_air(spark):
     found = playout.play_point(blocks, timeline, probes).selectExpr("station", "date_format(at, 'dd HH:mm:ss') AS at", "block_id", "index", "offset_us")
     assert rows(found) == sorted([("s", "01 00:10:05", 7, 1, 5_000_000)] * 2 + [
         ("s", "01 00:30:00", 7, None, None), ("s", "02 00:00:00", None, None, None), (None, "01 00:00:00", None, None, None)], key=repr)
+
+
+def _odd_marks(spark):
+    """Marks without a start, end, file or number, marks and files that come twice, and one file with most of the marks."""
+    made = [("big" if k % 3 else f"f{k % 5}", None if k % 17 == 5 else k % 13, None if k % 19 == 7 else float(k * 37 % 900), None if k % 2 else float(k * 37 % 900 + 5)) for k in range(120)]
+    made += made[:20] + [(None, 1, 5.0, None), ("lost", 1, 5.0, None), ("bare", 1, None, None), ("zero", 1, 0.0, 7.0), ("zero", 2, 9.0, None), ("two", 1, 100.0, None), ("two", 2, 300.0, None)]
+    files = spark.createDataFrame([(p, 1000.0) for p in ("big", "f0", "f1", "f2", "f3", "f4", "bare", "zero", "two", "two", "none", None)], "path string, duration double")
+    return spark.createDataFrame(made, "path string, seq bigint, chapter_start double, chapter_end double").distinct().unionAll(
+        spark.createDataFrame(made[:6], "path string, seq bigint, chapter_start double, chapter_end double")), files
+
+
+@pytest.mark.parametrize("width", [60, 600])
+def test_odd_marks_give_what_whole_files_give(spark, width):
+    """Segments and thinned ones in narrow buckets are those of windows over whole files."""
+    points, files = _odd_marks(spark)
+    lead_in = points.groupBy("path").agg(F.min("chapter_start").alias("chapter_end")).filter("chapter_end > 0").selectExpr("path", "-1L AS seq", "0.0D AS chapter_start", "chapter_end")
+    whole = points.unionByName(lead_in).withColumn("until", F.expr(
+        "first(chapter_start, true) OVER (PARTITION BY path ORDER BY chapter_start ASC NULLS LAST, seq ASC NULLS LAST, chapter_end ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"))
+    want = whole.join(files, "path").selectExpr("path", "seq", "chapter_start", "coalesce(chapter_end, until, duration) AS chapter_end", "coalesce(until, duration) - chapter_start AS segment_duration")
+    assert rows(sg.segments(points, files, width=width)) == rows(want) != []
+    placed = want.selectExpr("*", "row_number() OVER (PARTITION BY path ORDER BY chapter_start, seq, chapter_end) - 1 AS idx", "count(*) OVER (PARTITION BY path) AS n",
+                             "last(chapter_end) OVER (PARTITION BY path ORDER BY chapter_start, seq, chapter_end ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e")
+    kept = placed.filter("n <= 4 OR idx = 0 OR idx IN (bround((n - 1) / 3D), bround((n - 1) / 3D * 2), bround((n - 1) / 3D * 3))")
+    thin = kept.selectExpr("path", "chapter_start", "if(n <= 4, chapter_end, coalesce(first(chapter_start, true) OVER (PARTITION BY path ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), e)) AS chapter_end")
+    assert rows(sg.thin_segments(want, 4, width=width)) == rows(thin) != []
+
+
+@pytest.mark.parametrize("width", [60, 600])
+def test_thinning_shuffles_rows_once_for_each_step(spark, width):
+    """Marks are shuffled once and segments once; what else is shuffled is one row for each bucket or file, and the distinct marks of the test."""
+    points, files = _odd_marks(spark)
+    found = sg.thin_segments(sg.segments(points, files, width=width), 3, width=width)
+    found.collect()
+    text = found._jdf.queryExecution().executedPlan().toString()
+    final = text[:text.index("+- == Initial Plan ==")]
+    assert len(re.findall(r"\+- Exchange hashpartitioning\(path", final)) <= 12
