@@ -51,8 +51,8 @@ def segments(points: DataFrame, files: DataFrame, width: float = WIDTH) -> DataF
         "_after": F.last("_first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
         "_opens": F.lead("_bucket").over(back).isNull()})
     carry = known.join(spread(files.select("path", "duration"), "path"), "path")
-    ahead = Window.partitionBy(*place).orderBy("chapter_start", F.asc_nulls_last("seq"))
-    followed = spread(marks, *place).withColumn("_next", F.lead("chapter_start").over(ahead))
+    behind = Window.partitionBy(*place).orderBy(F.desc("chapter_start"), F.desc_nulls_first("seq"))
+    followed = spread(marks, *place).withColumn("_next", F.lag("chapter_start").over(behind))
     until = F.coalesce("_next", "_after", "duration")
     cut = followed.join(spread(carry.select(*place, "_after", "duration"), *place), place).select(
         "path", "seq", "chapter_start", F.coalesce(F.col("chapter_end"), until).alias("chapter_end"),
@@ -193,13 +193,15 @@ def thin_segments(segs: DataFrame, wanted: Column | int, width: float = WIDTH, p
     m = wanted if isinstance(wanted, Column) else F.lit(wanted)
     place, row = ["path", "_bucket"], ["chapter_start", "seq", "chapter_end", "_m"]
     rows = spread(_bucketed(segs.withColumn("_m", m.cast("bigint")).select("path", *row), width, _FIRST), *place)
-    # the whole row, so that the totals read the same shuffle as the rows
-    totals = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("_count"), F.max(F.struct(*row)).alias("_tail"))
+    # the whole row, so that the totals read the same shuffle as the rows; of equal marks the one that ends first is the last
+    ends_first = F.struct("chapter_start", "seq", (-F.col("chapter_end")).alias("_back"))
+    tail = F.struct(ends_first.alias("_place"), F.struct(*row).alias("_row"))
+    totals = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("_count"), F.max(tail).alias("_tail"))
     file = Window.partitionBy("path")
     earlier = file.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = spread(totals, "path").select(
         *place, F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"), F.sum("_count").over(file).alias("_n"),
-        F.max("_tail").over(file)["chapter_end"].alias("_last"))
+        F.max("_tail").over(file)["_row"]["chapter_end"].alias("_last"))
     order = Window.partitionBy(*place).orderBy("chapter_start", "seq")
     sized = rows.withColumn("_at", F.row_number().over(order)).join(spread(carry, *place), place).withColumn(
         "_index", F.col("_before") + F.col("_at") - 1).filter("_m > 0")

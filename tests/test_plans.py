@@ -188,7 +188,7 @@ def test_odd_marks_give_what_whole_files_give(spark, width):
     want = whole.join(files, "path").selectExpr("path", "seq", "chapter_start", "coalesce(chapter_end, until, duration) AS chapter_end", "coalesce(until, duration) - chapter_start AS segment_duration")
     assert rows(sg.segments(points, files, width=width)) == rows(want) != []
     placed = want.selectExpr("*", "row_number() OVER (PARTITION BY path ORDER BY chapter_start, seq, chapter_end) - 1 AS idx", "count(*) OVER (PARTITION BY path) AS n",
-                             "last(chapter_end) OVER (PARTITION BY path ORDER BY chapter_start, seq, chapter_end ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e")
+                             "last(chapter_end) OVER (PARTITION BY path ORDER BY chapter_start, seq, chapter_end DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS e")
     kept = placed.filter("n <= 4 OR idx = 0 OR idx IN (bround((n - 1) / 3D), bround((n - 1) / 3D * 2), bround((n - 1) / 3D * 3))")
     thin = kept.selectExpr("path", "chapter_start", "if(n <= 4, chapter_end, coalesce(first(chapter_start, true) OVER (PARTITION BY path ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), e)) AS chapter_end")
     assert rows(sg.thin_segments(want, 4, width=width)) == rows(thin) != []
